@@ -22,17 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantspark.llm.store import cut
-from quantspark.llm.words import Words, chunks, mix, prefix, ranges, span_hashes
+from quantspark.llm.words import WordIds, Words, chunks, gather, mix, prefix, ranges, span_hashes
 
 #: Tokens over which entropy is taken, so that it doesn't depend on a text's length; a shorter rest joins the last window.
 ENTROPY_WINDOW = 64
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_BROADCAST_LANGUAGES = 10_000
-#: Words kept with their token counts in a worker; a full cache is emptied, so its size doesn't change results.
-CACHE_WORDS = 1_000_000
 #: The half-width of a band in scales of its measure, and the least half-width of each measure.
-SPREAD = 7.0
+SPREAD = 8.0
 FLOORS = {"chars_per_token": 0.1, "byte_share": 0.05, "token_entropy": 0.02}
 MEASURES = tuple(FLOORS)
 
@@ -52,40 +50,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Pieces:
-    """Token ids of words, remembered for each worker."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def of(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word."""
-        missing = [w for w in words if w not in self.place]
-        if len(self.place) + len(missing) > CACHE_WORDS:
-            self.clear()
-            missing = words
-        if missing:
-            found = self.model.encode([w.decode("utf-8", "replace") for w in missing], num_threads=1)
-            for word, ids in zip(missing, found, strict=True):
-                self.place[word] = len(self.ids)
-                self.ids.append(np.array(ids, np.int32))
-        return [self.ids[self.place[w]] for w in words]
+_MODELS: dict[str, tuple[WordIds, np.ndarray]] = {}
 
 
-_MODELS: dict[str, _Pieces] = {}
-
-
-def _pieces(path: str) -> _Pieces:
+def _model(path: str) -> tuple[WordIds, np.ndarray]:
+    """The vocabulary at ``path``, and for each id whether it is a fallback byte; loaded once for each worker."""
     if path not in _MODELS:
-        _MODELS[path] = _Pieces(path)
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
+        _MODELS[path] = WordIds(lambda words: model.encode(words, num_threads=1)), is_byte
     return _MODELS[path]
 
 
@@ -135,30 +110,18 @@ def measure(column: pa.Array, vocabulary: str) -> list[np.ndarray]:
     word_chars = words.per_doc(_LETTER_START[words.raw] & words.inside)
     n_symbols = words.per_doc(_SYMBOL[words.raw])
 
-    distinct, at, index = np.unique(hashes, return_index=True, return_inverse=True)
-    raw = words.raw.tobytes()
-    model = _pieces(vocabulary)
-    ids = model.of([raw[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-    begin = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1], out=begin[1:] if len(size) else None)
-    bytes_in = np.add.reduceat(np.append(model.is_byte[flat], False).astype(np.int64), begin) * (size > 0) if len(size) else size
-
-    each = size[index] if len(size) else np.empty(0, np.int64)
-    n_tokens = np.bincount(words.doc, each, words.n_docs).astype(np.int64)
-    n_bytes = np.bincount(words.doc, bytes_in[index] if len(size) else None, words.n_docs)
+    model, is_byte = _model(vocabulary)
+    begin, each = model.of(words, hashes)
+    token = gather(model.flat, begin, each)
+    doc = np.repeat(words.doc, each)
+    n_tokens = np.bincount(doc, minlength=words.n_docs)
+    n_bytes = np.bincount(doc[is_byte[token]], minlength=words.n_docs)
     entropy = np.zeros(words.n_docs)
-    if len(each):
-        offset = np.zeros(len(each), np.int64)
-        np.cumsum(each[:-1], out=offset[1:])
-        place = np.arange(int(each.sum()))
-        token = flat[place - np.repeat(offset, each) + np.repeat(begin[index], each)]
-        doc = np.repeat(words.doc, each)
+    if len(token):
         ahead = np.cumsum(n_tokens) - n_tokens
         n_windows = np.maximum(1, n_tokens // ENTROPY_WINDOW)
         first_window = np.cumsum(n_windows) - n_windows
-        window = first_window[doc] + np.minimum((place - ahead[doc]) // ENTROPY_WINDOW, n_windows[doc] - 1)
+        window = first_window[doc] + np.minimum((np.arange(len(token)) - ahead[doc]) // ENTROPY_WINDOW, n_windows[doc] - 1)
         key = window << 32 | token
         key.sort()
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))

@@ -6,13 +6,13 @@ it. Words are ``[^\\x20\\x09-\\x0D]+``. No loop runs over words or documents in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
@@ -160,3 +160,54 @@ def shingles(words: Words, size: int, hashes: np.ndarray | None = None) -> tuple
     end = np.minimum(start + size, last[keep])
     sums, back = prefix(hashes)
     return ranges(sums, back, start, end), words.doc[start]
+
+
+class WordIds:
+    """Token ids of words, remembered in a worker in flat arrays.
+
+    A full memory is emptied and filled again, so ``most`` bounds a worker's memory and never changes results.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000):
+        self.encode, self.most = encode, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used = np.zeros(4096, np.int32), 0
+
+    def _add(self, words: list[bytes]) -> None:
+        found = self.encode([w.decode("utf-8", "replace") for w in words])
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
+        n = len(self.place)
+        while len(self.begin) < n + len(words):
+            self.begin, self.size = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.size, np.zeros_like(self.size))
+        while len(self.flat) < self.used + len(flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.size[n : n + len(words)] = size
+        self.begin[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def of(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids begin in ``flat`` and how many they are; valid until the next call."""
+        _, at, index = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = words.raw.tobytes()
+        distinct = [raw[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
+        missing = [w for w in distinct if w not in self.place]
+        if len(self.place) + len(missing) > self.most and self.place:
+            self._clear()
+            missing = distinct
+        for k in range(0, len(missing), 20_000):
+            self._add(missing[k : k + 20_000])
+        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[index] if distinct else np.empty(0, np.int64)
+        return self.begin[places], self.size[places]
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The concatenation of ``flat[b : b + n]`` over all pairs."""
+    ahead = np.cumsum(size) - size
+    return flat[np.arange(int(size.sum())) + np.repeat(begin - ahead, size)]
