@@ -163,48 +163,51 @@ def shingles(words: Words, size: int, hashes: np.ndarray | None = None) -> tuple
 
 
 class WordIds:
-    """Token ids of words, remembered in a worker in flat arrays.
+    """Token ids of words, remembered in a worker in flat arrays under the words' 64-bit hashes.
 
     A full memory is emptied and filled again, so ``most`` bounds a worker's memory and never changes results.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_500_000):
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, np.int32), 0
-
-    def _add(self, words: list[bytes]) -> None:
-        found = self.encode([w.decode("utf-8", "replace") for w in words])
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
-        n = len(self.place)
-        while len(self.begin) < n + len(words):
-            self.begin, self.size = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.size, np.zeros_like(self.size))
-        while len(self.flat) < self.used + len(flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.size[n : n + len(words)] = size
-        self.begin[n : n + len(words)] = self.used + np.cumsum(size) - size
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        self.keys, self.begin, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _add(self, keys: np.ndarray, words: list[bytes]) -> None:
+        size, begin = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
+        for k in range(0, len(words), 20_000):
+            found = self.encode([w.decode("utf-8", "replace") for w in words[k : k + 20_000]])
+            part = np.fromiter(map(len, found), np.int32, len(found))
+            n = int(part.sum())
+            while len(self.flat) < self.used + n:
+                self.flat = np.append(self.flat, np.zeros_like(self.flat))
+            self.flat[self.used : self.used + n] = np.fromiter((i for ids in found for i in ids), np.int32, n)
+            size[k : k + len(part)] = part
+            begin[k : k + len(part)] = self.used + np.cumsum(part) - part
+            self.used += n
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = np.insert(self.keys, place, keys), np.insert(self.begin, place, begin), np.insert(self.size, place, size)
+
+    def _missing(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
 
     def of(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's ids begin in ``flat`` and how many they are; valid until the next call."""
-        _, at, index = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = words.raw.tobytes()
-        distinct = [raw[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
-        missing = [w for w in distinct if w not in self.place]
-        if len(self.place) + len(missing) > self.most and self.place:
+        keys, at, index = np.unique(hashes, return_index=True, return_inverse=True)
+        missing = self._missing(keys)
+        if len(self.keys) and len(self.keys) + missing.sum() > self.most:
             self._clear()
-            missing = distinct
-        for k in range(0, len(missing), 20_000):
-            self._add(missing[k : k + 20_000])
-        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[index] if distinct else np.empty(0, np.int64)
-        return self.begin[places], self.size[places]
+            missing = self._missing(keys)
+        if missing.any():
+            raw, at = words.raw, at[missing]
+            self._add(keys[missing], [raw[s:e].tobytes() for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
+        place = np.searchsorted(self.keys, keys)[index]
+        return self.begin[place], self.size[place].astype(np.int64)
 
 
 def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
