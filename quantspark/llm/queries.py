@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspark.llm import exact_dedup, mixing, packing, quality
+from quantspark.llm import exact_dedup, mixing, near_dedup, packing, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir)).select("doc_id", "class_id", "kept", "n_shingles")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 _OP3 = r"""
