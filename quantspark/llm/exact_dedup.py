@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from quantspark.llm.store import cut, fresh_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State lives on disk, and an executor closes a partition's state once its task has committed it to the shared folder.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -34,10 +37,9 @@ def sha256(text: Column) -> Column:
 
 
 def _land(docs: DataFrame, path: str, digest: Callable[[Column], Column]) -> None:
-    """Write docs as (row, doc_id, digest, body, locator); ``row`` names a landed row for good."""
-    body = normalised(F.col("text"))
-    landed = docs.select("doc_id", body.alias("body"), F.input_file_name().alias("locator"))
-    landed.select(F.monotonically_increasing_id().alias("row"), "doc_id", digest(F.col("body")).alias("digest"), "body", "locator").write.parquet(path)
+    """Write docs as (row, doc_id, digest, locator); ``row`` names a landed row for good. Texts stay where they are."""
+    landed = docs.select("doc_id", digest(normalised(F.col("text"))).alias("digest"), F.input_file_name().alias("locator"))
+    landed.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
 
 
 def update_state(spark: SparkSession, inbox: str, state: str) -> None:
@@ -46,16 +48,15 @@ def update_state(spark: SparkSession, inbox: str, state: str) -> None:
     rows = spark.readStream.schema(schema).parquet(inbox)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "locator")
     keyed = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         query = keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
@@ -65,47 +66,55 @@ def read_state(spark: SparkSession, state: str) -> DataFrame:
     return raw.select(F.col("key.digest").alias("digest"), F.col(f"{first}.row").alias("keep_row"), F.col(f"{first}.doc_id").alias("keep_id"), F.col(count).alias("group_size"), F.col(f"{first}.locator").alias("locator"))
 
 
-def _differing(landed: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Rows whose bytes differ from those of the row that their digest points to."""
-    hits = grouped.where("group_size > 1").select("row", "keep_row")
-    texts = cut(landed.select("row", "body").join(hits, "row"))
-    first = texts.where("row = keep_row").select("keep_row", F.col("body").alias("first_body"))
-    return texts.where("row <> keep_row").join(first, "keep_row").where("body <> first_body").select("row", "body")
+def _texts(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    body = normalised(F.col("text"))
+    return docs.select("doc_id", digest(body).alias("digest"), body.alias("body"))
 
 
-def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
-    """The landed rows of ``docs`` (row, doc_id, digest, body), and row, doc_id, digest, keep_row, keep_id, group_size.
+def _differing(docs: DataFrame, grouped: DataFrame, digest: Callable[[Column], Column], path: str) -> DataFrame:
+    """The digests of which some row's bytes differ from those of the row that the digest points to.
 
-    Needs doc_id and text; other columns are ignored. Null text counts as empty, null doc_ids come after all others,
-    and of rows with equal doc_id and text the one that landed first stays. An empty table gives an empty result.
+    Hits alone are read again: rows of groups of two or more, found by doc_id and digest.
     """
     spark = docs.sparkSession
-    inbox, state = fresh_path(spark, "inbox"), fresh_path(spark, "dedup-state")
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    _land(docs, inbox, digest)
-    landed = spark.read.schema("row long, doc_id long, digest string, body string, locator string").parquet(inbox)
-    update_state(spark, inbox, state)
-    keyed = read_state(spark, state).drop("locator")
-    grouped = cut(landed.select("row", "doc_id", "digest").join(keyed, "digest"))
-    differing = cut(_differing(landed, grouped))
-    if not differing.isEmpty():
-        grouped = cut(_regroup(landed, grouped, differing))
-    return landed, grouped
+    hits = grouped.where("group_size > 1").select("doc_id", "digest", "keep_id").distinct()
+    found = _texts(docs, digest).alias("t").join(hits.alias("h"), F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.digest") == F.col("h.digest")))
+    found.select("t.*", "h.keep_id").write.option("compression", "zstd").parquet(path)
+    texts = spark.read.schema("doc_id long, digest string, body string, keep_id long").parquet(path)
+    first = texts.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("body").alias("first_body"))
+    return texts.join(first, "digest").where("body <> first_body").select("digest").distinct()
 
 
-def _regroup(landed: DataFrame, grouped: DataFrame, differing: DataFrame) -> DataFrame:
+def _regroup(docs: DataFrame, grouped: DataFrame, bad: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """``grouped`` with the groups of colliding digests formed again by their full bytes."""
-    bad = differing.join(grouped.select("row", "digest"), "row").select("digest").distinct()
-    again = landed.join(bad, "digest", "left_semi")
+    again = _texts(docs, digest).join(bad, "digest", "left_semi")
+    again = cut(again.withColumn("row", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     keyed = again.groupBy("digest", "body").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    fixed = again.join(keyed, ["digest", "body"]).select("digest", "row", "doc_id", F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size")
+    fixed = again.join(keyed, ["digest", "body"]).select("row", "doc_id", "digest", F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size")
     return grouped.join(bad, "digest", "left_anti").unionByName(fixed)
 
 
+def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """row, doc_id, digest, keep_row, keep_id, group_size of each document; ``row`` tells rows apart.
+
+    Needs doc_id and text; other columns are ignored. Null text counts as empty, null doc_ids come after all others,
+    and of rows with equal doc_id and text the one that landed first stays. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    inbox, state, hits = (fresh_path(spark, n) for n in ("inbox", "dedup-state", "hits"))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    _land(docs, inbox, digest)
+    landed = spark.read.schema("row long, doc_id long, digest string").parquet(inbox)
+    update_state(spark, inbox, state)
+    grouped = cut(landed.join(read_state(spark, state).drop("locator"), "digest").select("row", "doc_id", "digest", "keep_row", "keep_id", "group_size"))
+    bad = cut(_differing(docs, grouped, digest, hits))
+    return grouped if bad.isEmpty() else cut(_regroup(docs, grouped, bad, digest))
+
+
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """For each document doc_id, keep_id, group_size, kept and its digest as text_sha256."""
-    _, grouped = groups(docs, digest)
+    grouped = groups(docs, digest)
     return grouped.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
@@ -115,7 +124,7 @@ def keep_first(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     Joined back by doc_id and digest, so rows that share a doc_id with another text are told apart; of rows with
     equal doc_id and equal text one stays.
     """
-    _, grouped = groups(docs, digest)
+    grouped = groups(docs, digest)
     stay = grouped.where("row = keep_row").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("digest").alias("__digest"))
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "__digest": digest(normalised(F.col("text")))})
     repeated = grouped.groupBy("doc_id", "digest").count().where("count > 1").limit(1)
