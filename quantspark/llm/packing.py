@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quantspark.llm.store import cut
 from quantspark.llm.words import WordIds, Words, chunks, gather
+from quantspark.session import ship
 
 LENGTH = 2048
 END_ID = 1
@@ -191,6 +192,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, w
     Rows that share a doc_id (null too) are packed as documents of their own. An empty table gives an empty result.
     A longest text is cut as often as it needs.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = docs.mapInArrow(_pack_partition(vocabulary or default_vocabulary(), length, windows, least_cut), PIECE_DDL)
     packed = cut(packed)

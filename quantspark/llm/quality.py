@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quantspark.llm.store import cut
 from quantspark.llm.words import WordIds, Words, chunks, gather, mix, prefix, ranges, span_hashes
+from quantspark.session import ship
 
 #: Tokens over which entropy is taken, so that it doesn't depend on a text's length; a shorter rest joins the last window.
 ENTROPY_WINDOW = 64
@@ -137,6 +138,7 @@ def measure(column: pa.Array, vocabulary: str) -> list[np.ndarray]:
 
 def metrics(docs: DataFrame, columns: list[str], vocabulary: str | None = None) -> DataFrame:
     """``columns`` of each document and the columns of METRICS_DDL; ``columns`` may not clash with those."""
+    ship(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     schema = docs.select(*columns).schema
 

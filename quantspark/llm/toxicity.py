@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quantspark.llm.store import cut
 from quantspark.llm.words import BASE, BYTE_VALUES, Words, chunks, mix, powers
+from quantspark.session import ship
 
 MAX_LABELLED = 12_000
 MAX_LEXICON = 512
@@ -296,6 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, max_lexi
     Labels that are null count as missing; of several labels of a doc_id the largest counts. With no labels, or of
     one kind only, the model is a constant rate.
     """
+    ship(docs.sparkSession)
     may = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
     n = may.count()
     share = min(1.0, most / max(1, n))
@@ -321,6 +323,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, max_lexi
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of each document; null and empty texts have the score of a text without words."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
