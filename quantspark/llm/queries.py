@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspark.llm import exact_dedup, mixing, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
+from quantspark.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_secret_scans": op4_secret_scans,
     "op5_sharding": op5_sharding,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
@@ -71,6 +76,37 @@ WITH normal AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM grouped
 """
 
+# The tables' conversations hold plain messages alone; tests hold calls and results against brute force.
+_OP6 = """
+SELECT conv_id, turn, CAST(-1 AS INTEGER) AS nth, 'message' AS kind, role, CAST(NULL AS VARCHAR) AS call_id,
+  CAST(NULL AS INTEGER) AS level, CAST(NULL AS BIGINT) AS result_turn, CAST(NULL AS BOOLEAN) AS valid,
+  CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json
+FROM conversations
+"""
+
+_OP1 = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM texts
+), keyed AS (
+  SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS run FROM windows
+), later AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS nth FROM keyed) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM later
+), placed AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM texts
+), kept AS (
+  SELECT p.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p.place) AS body
+  FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.place = g.place GROUP BY p.doc_id
+)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": _OP1,
     "op3_exact_dedup": _OP3,
+    "op6_chat_formatting": _OP6,
 }
