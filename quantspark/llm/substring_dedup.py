@@ -13,7 +13,7 @@ is found under its anchor. Windows of a text that share an anchor form one candi
 
 "Earlier" is the smaller doc_id, then the smaller start. Candidates that an Arrow batch already holds an earlier copy
 of are settled there, and a text that repeats itself or a batch of copies sends one entry of each kind; only what is
-left, about one narrow row for every seven words, is shuffled. Texts are shuffled by row id for the last two steps.
+left, about one narrow row for every seven words, is shuffled. Texts are shuffled once, by row id, for steps 2 and 3.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.llm.store import cut
+from quantspark.llm.store import table
 from quantspark.llm.words import BASE, BASE2, Words, chunks, mix, prefix, ranges
+from quantspark.session import ship
 
 WINDOW = 20
 ANCHOR = 8
@@ -118,7 +119,7 @@ def _spans(column: pa.Array) -> pa.Array:
 
 
 def _windows(window: int):
-    """Two hashes of every window inside the spans of a row, and its start."""
+    """Two hashes of every window inside the spans of a row, and its start; the second is null for repeats for certain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +130,8 @@ def _windows(window: int):
                 keys = [ranges(*prefix(hashes, base), start, start + window) for base in (BASE, BASE2)]
                 row = words.doc[start]
                 lo = start - words.first[row]
-                columns = [pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(lo)]
+                first = _first_of((keys[0], keys[1]), (_order(part.column(0))[row], lo))
+                columns = [pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64), mask=~first), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(lo)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "key2", "doc_id", "row_id", "lo"])
 
     return run
@@ -186,16 +188,14 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     lo = F.expr(f"span DIV {window}")
     factors = factors.withColumns({"lo": lo, "hi": lo + F.col("span") % window})
     judged = factors.withColumns({"later": F.col("words").isNull() | (F.rank().over(same) > 1), "mixed": F.min("words").over(entry) < F.max("words").over(entry)})
-    judged = cut(judged.where("later OR mixed").select("doc_id", "row_id", "lo", "hi", "later"))
+    judged = table(judged.where("later OR mixed").select("doc_id", "row_id", "lo", "hi", "later"), "factors")
     whole = judged.where("later").select("row_id", "lo", "hi")
     edges = judged.where("NOT later").groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    parsed = texts.join(edges, "row_id").select("doc_id", "row_id", "text", "spans").mapInArrow(_windows(window), _SPAN_DDL)
-    parsed = cut(parsed)
-    firsts = parsed.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "key2", "first")
-    again = parsed.join(firsts, ["key", "key2"])
-    earlier = (F.col("first.doc_id").isNull() & F.col("doc_id").isNotNull()) | (F.col("first.doc_id") < F.col("doc_id")) | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.lo") < F.col("lo")))
-    single = again.where(earlier).select("row_id", "lo", F.col("lo").alias("hi"))
-    return cut(whole.unionByName(single).groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    parsed = texts.join(edges, "row_id").select("doc_id", "row_id", "text", "spans").mapInArrow(_windows(window), _SPAN_DDL).repartition("key")
+    first_start = F.rank().over(Window.partitionBy("key", "key2").orderBy("doc_id", "lo")) == 1
+    single = parsed.withColumn("first", first_start & F.col("key2").isNotNull()).where("NOT first")
+    single = single.select("row_id", "lo", F.col("lo").alias("hi"))
+    return whole.unionByName(single).groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -205,8 +205,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     all others. Rows that share a doc_id count as one document in what is earlier: the smaller start is kept, and rows
     that start a window at the same place both keep it. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     row_id = F.xxhash64("doc_id", "text", F.lit(7))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", row_id.alias("row_id"), "text")
+    # No alias where no cast is needed: it would keep the two uses of the text shuffle from being one.
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = docs.select("doc_id", row_id.alias("row_id"), "text")
     spans = repeated_spans(texts, window, anchor)
     joined = texts.join(spans, "row_id", "left").select("doc_id", F.col("text").alias("__text"), F.col("spans").alias("__spans"))
     return joined.mapInArrow(_cut_out(window, with_text), "doc_id long, " + _KEPT_DDL + ", kept_text string" * with_text)
