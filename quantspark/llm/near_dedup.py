@@ -8,7 +8,7 @@ Two documents are linked when the weighted Jaccard similarity of their bags of `
   0.99998, and all that share one are compared unless they are connected already.
 * A bucket is never expanded into all its pairs. In a round each bucket compares its next few members (hubs) with its
   other members of different components; what is verified joins components, and buckets inside one component are
-  finished. Hubs double from round to round until each live bucket has used all its members, so no candidate pair of
+  finished. Hubs grow fourfold from round to round until each live bucket has used all its members, so no candidate pair of
   different components is left out, and a bucket of n near copies costs about n comparisons.
 * Texts are shuffled once, for nodes that share a bucket only after a narrow join, and kept for all rounds.
 """
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 from quantspark.llm.bagminhash import bags, signatures
 from quantspark.llm.store import cut, fresh_path
 from quantspark.llm.words import BASE, BASE2, Words, chunks, mix, prefix, ranges, shingles
+from quantspark.session import ship
 
 SIZE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 28, 5
 SALT = 64
+#: A round may list so many pairs for each member of a bucket.
+PAIRS_PER_MEMBER = 4
 
 _SKETCH = "doc_id long, text_hash long, content long, content2 long, n_shingles long, bands array<long>"
 
@@ -87,7 +90,7 @@ def _verify(size: int, numerator: int, denominator: int):
     return run
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links connect each node with; only for nodes that have a link.
 
     Labels spread to neighbours and then jump to the label of their label, so long chains halve in every step. Each
@@ -97,13 +100,24 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     labels = cut(both.groupBy("node").agg(F.min(F.least("node", "other")).alias("component")))
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "other", "component": "near"}), "other").groupBy("node").agg(F.min("near").alias("near"))
-        spread = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("before"))
-        spread = cut(spread)
-        jump = spread.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = cut(spread.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "before"))
-        labels = after.select("node", "component")
-        if after.where("component <> before").isEmpty():
+        spread = cut(labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("before")))
+        if spread.where("component < before").isEmpty():
             return labels
+        jump = spread.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        labels = cut(spread.join(jump, "component").select("node", F.least("component", "further").alias("component")))
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after more links; only what the links touch is labelled anew, as a graph of components."""
+    if labels is None:
+        return components(links)
+    for side in ("a", "b"):
+        known = labels.withColumnsRenamed({"node": side, "component": f"{side}_component"})
+        links = links.join(known, side, "left").withColumn(side, F.coalesce(f"{side}_component", side)).drop(f"{side}_component")
+    merged = components(cut(links.where("a <> b")))
+    renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    old = labels.join(renamed, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    return cut(old.unionByName(merged.join(labels, "node", "left_anti")))
 
 
 def _hubs(members: DataFrame, after: int, upto: int) -> DataFrame:
@@ -125,7 +139,8 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
     exploded = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = cut(exploded.join(shared, "bucket").select("bucket", "node", F.col("n_shingles").alias("n")))
-    if members.isEmpty():
+    n_members = members.count()
+    if not n_members:
         return None
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
     keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("doc_id", "text").alias("h"), "text")
@@ -133,8 +148,8 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
     found = wanted.join(keyed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
     found.select("node", "text").write.option("compression", "zstd").parquet(path)
     texts = spark.read.schema("node long, text string").parquet(path).dropDuplicates(["node"]) if _repeats(wanted, path) else spark.read.schema("node long, text string").parquet(path)
-    live, links, tried, labels, used = members.withColumn("component", F.col("node")), None, None, None, 0
-    upto = 1
+    live, tried, labels = members.withColumn("component", F.col("node")), None, None
+    used, upto = 0, 1
     while True:
         hubs = _hubs(live, used, upto)
         pairs = live.join(hubs, "bucket").where("node > hub AND component <> hub_component")
@@ -148,17 +163,18 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
         new = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, numerator, denominator), "a long, b long")
         new = cut(new)
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            labels = components(nodes, links)
-        used, upto = upto, upto * 2 + 1
+            labels = _joined(labels, new)
         current = members if labels is None else members.join(labels, "node", "left")
         component = F.col("node") if labels is None else F.coalesce("component", "node")
         current = current.withColumn("component", component).select("bucket", "node", "n", "component")
         open_buckets = current.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-        open_buckets = open_buckets.where((F.col("low") != F.col("high")) & (F.col("size") > used + 1)).select("bucket")
-        live = cut(current.join(open_buckets, "bucket", "left_semi"))
-        if live.isEmpty():
+        open_buckets = cut(open_buckets.where((F.col("low") != F.col("high")) & (F.col("size") > upto + 1)).select("bucket", "size"))
+        largest, pairs_left = open_buckets.agg(F.max("size"), F.sum(F.col("size") * (F.col("size") - upto))).first()
+        if largest is None:
             return labels
+        # All hubs that are left, if that costs no more than a round over all members; else a few more hubs.
+        used, upto = upto, largest if pairs_left <= PAIRS_PER_MEMBER * n_members else min(largest, upto * 4 + 3)
+        live = cut(current.join(open_buckets, "bucket", "left_semi"))
 
 
 def _repeats(wanted: DataFrame, path: str) -> bool:
@@ -174,6 +190,7 @@ def near_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, d
     ``size`` words is one shingle. Rows that share a doc_id are told apart by their texts. An empty table gives an
     empty result.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_hash"), "text")
     sketches = cut(keyed.mapInArrow(_sketches(size, bands, rows), _SKETCH)).withColumn("row", F.monotonically_increasing_id())
