@@ -10,6 +10,8 @@ Two documents are linked when the weighted Jaccard similarity of their bags of `
   other members of different components; what is verified joins components, and buckets inside one component are
   finished. Hubs grow fourfold from round to round until each live bucket has used all its members, so no candidate pair of
   different components is left out, and a bucket of n near copies costs about n comparisons.
+* Pairs are listed only if their lengths and ``BITS`` one-bit hashes allow the threshold; a pair at the threshold
+  fails this once in 10**8. Sharing a passage isn't enough, however many texts share it.
 * Texts are shuffled once, for nodes that share a bucket only after a narrow join, and kept for all rounds.
 """
 
@@ -34,7 +36,11 @@ SALT = 64
 #: A round may list so many pairs for each member of a bucket.
 PAIRS_PER_MEMBER = 4
 
-_SKETCH = "doc_id long, text_hash long, content long, content2 long, n_shingles long, bands array<long>"
+#: Places of a signature of which one bit each is kept for a bound on similarity, and how many standard deviations
+#: below its expectation a pair at the threshold may lie (one in 10**8 lies lower).
+BITS, SIGMAS = 128, 5.6
+
+_SKETCH = "doc_id long, text_hash long, content long, content2 long, n_shingles long, bands array<long>, bits long, bits2 long"
 
 
 def _sketches(size: int, bands: int, rows: int):
@@ -48,6 +54,7 @@ def _sketches(size: int, bands: int, rows: int):
                 keys, owner = shingles(words, size, hashes)
                 n = np.bincount(owner, minlength=words.n_docs)
                 names = signatures(*bags(keys, owner), words.n_docs, m).reshape(-1, bands, rows)
+                bits = _bits(names.reshape(-1, m))
                 band = np.broadcast_to(np.arange(bands, dtype=np.uint64), names.shape[:2])
                 for k in range(rows):
                     band = mix(band ^ names[:, :, k])
@@ -56,12 +63,25 @@ def _sketches(size: int, bands: int, rows: int):
                 has = np.repeat(n > 0, bands)
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[has].view(np.int64)))
-                columns = [part.column(0), part.column(1), pa.array(content[0]), pa.array(content[1]), pa.array(n, pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "content", "content2", "n_shingles", "bands"])
+                columns = [part.column(0), part.column(1), pa.array(content[0]), pa.array(content[1]), pa.array(n, pa.int64()), lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "content", "content2", "n_shingles", "bands", "bits", "bits2"])
 
     return run
 
 
+def _bits(names: np.ndarray) -> np.ndarray:
+    """The lowest bit of up to BITS places of each signature, as two numbers."""
+    low = np.zeros((len(names), BITS), np.uint8)
+    low[:, : min(BITS, names.shape[1])] = (names[:, :BITS] & np.uint64(1)).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(low, axis=1)).view(np.int64).reshape(len(names), 2)
+
+
+def most_differing_bits(m: int, similarity: float) -> int:
+    """The most bits in which signatures of a pair at the threshold differ; other places differ in half of their bits."""
+    n, p = min(BITS, m), (1 - similarity) / 2
+    return int(np.ceil(n * p + SIGMAS * np.sqrt(n * p * (1 - p))))
+
+
 def overlap(left: pa.Array, right: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """For each pair of texts the size of the intersection and of the union of their bags of shingles."""
     keys, owner, side = [], [], []
@@ -130,15 +150,15 @@ def _hubs(members: DataFrame, after: int, upto: int) -> DataFrame:
     some = members.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALT)))
     some = some.withColumn("place", F.row_number().over(part)).where(F.col("place") <= upto)
     ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-    return ranked.where((F.col("place") > after) & (F.col("place") <= upto)).select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+    return ranked.where((F.col("place") > after) & (F.col("place") <= upto)).select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"), F.col("bits2").alias("hub_bits2"), F.col("component").alias("hub_component"))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame | None:
+def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denominator: int, most_bits: int) -> DataFrame | None:
     """(node, component) for all nodes that verified links connect with others; None when there are none."""
     spark = docs.sparkSession
-    exploded = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    exploded = nodes.select("node", "n_shingles", "bits", "bits2", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    members = cut(exploded.join(shared, "bucket").select("bucket", "node", F.col("n_shingles").alias("n")))
+    members = cut(exploded.join(shared, "bucket").select("bucket", "node", F.col("n_shingles").alias("n"), "bits", "bits2"))
     n_members = members.count()
     if not n_members:
         return None
@@ -152,8 +172,10 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
     used, upto = 0, 1
     while True:
         hubs = _hubs(live, used, upto)
-        pairs = live.join(hubs, "bucket").where("node > hub AND component <> hub_component")
-        pairs = pairs.where((F.least("n", "hub_n") * denominator >= F.greatest("n", "hub_n") * numerator)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        differing = F.bit_count(F.col("bits").bitwiseXOR(F.col("hub_bits"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("hub_bits2")))
+        close = (F.least("n", "hub_n") * denominator >= F.greatest("n", "hub_n") * numerator) & (differing <= most_bits)
+        apart = (F.col("node") > F.col("hub")) & (F.col("component") != F.col("hub_component"))
+        pairs = live.alias("x").join(hubs.alias("h"), (F.col("x.bucket") == F.col("h.bucket")) & apart & close).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -166,7 +188,7 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
             labels = _joined(labels, new)
         current = members if labels is None else members.join(labels, "node", "left")
         component = F.col("node") if labels is None else F.coalesce("component", "node")
-        current = current.withColumn("component", component).select("bucket", "node", "n", "component")
+        current = current.withColumn("component", component).select("bucket", "node", "n", "bits", "bits2", "component")
         open_buckets = current.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
         open_buckets = cut(open_buckets.where((F.col("low") != F.col("high")) & (F.col("size") > upto + 1)).select("bucket", "size"))
         largest, pairs_left = open_buckets.agg(F.max("size"), F.sum(F.col("size") * (F.col("size") - upto))).first()
@@ -195,10 +217,10 @@ def near_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, d
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_hash"), "text")
     sketches = cut(keyed.mapInArrow(_sketches(size, bands, rows), _SKETCH)).withColumn("row", F.monotonically_increasing_id())
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
-    nodes = sketches.groupBy("content", "content2").agg(F.min(order).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    nodes = nodes.select("content", "content2", "n_shingles", "bands", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.row").alias("node"))
+    nodes = sketches.groupBy("content", "content2").agg(F.min(order).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"))
+    nodes = nodes.select("content", "content2", "n_shingles", "bands", "bits", "bits2", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.row").alias("node"))
     nodes = cut(nodes)
-    labels = _links(docs, nodes, size, numerator, denominator)
+    labels = _links(docs, nodes, size, numerator, denominator, most_differing_bits(bands * rows, numerator / denominator))
     named = nodes.select("content", "content2", "node", F.col("doc_id").alias("first_id"))
     if labels is None:
         named = named.select("content", "content2", F.col("first_id").alias("class_id"), F.col("node").alias("keep_row"))
@@ -207,7 +229,7 @@ def near_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, d
         best = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "node")).alias("best")
         classes = joined.groupBy("component").agg(best).select("component", F.col("best.first_id").alias("class_id"), F.col("best.node").alias("keep_row"))
         named = joined.join(classes, "component").select("content", "content2", "class_id", "keep_row")
-    out = sketches.drop("bands").join(cut(named), ["content", "content2"])
+    out = sketches.drop("bands", "bits", "bits2").join(cut(named), ["content", "content2"])
     return out.select("doc_id", "text_hash", "n_shingles", "class_id", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
