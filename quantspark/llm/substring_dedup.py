@@ -34,7 +34,7 @@ WINDOW = 20
 ANCHOR = 8
 
 #: ``span``: the first window's start times WINDOW, plus the number of further windows. ``words`` is null where the
-#: factor is a repeat for certain.
+#: factor is a repeat for certain; its anchor is then an arbitrary number, as it needs no entry in the index.
 _FACTOR = pa.schema([(n, pa.int64()) for n in ("anchor", "words", "doc_id", "row_id", "span")])
 _FACTOR_DDL = "anchor long, words long, doc_id long, row_id long, span long"
 _SPAN_DDL = "key long, key2 long, doc_id long, row_id long, lo long"
@@ -63,6 +63,11 @@ def _first_of(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> np
     return first
 
 
+def _scattered(row_id: pa.Array, lo: np.ndarray) -> np.ndarray:
+    """Keys for what is settled already, so that it doesn't gather at a frequent key."""
+    return mix(row_id.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ mix(lo.astype(np.uint64)))
+
+
 def _candidates(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """For each candidate factor: anchor hash, words' hash, row, first and last window start (within the row)."""
     hashes = words.hashes()
@@ -97,6 +102,7 @@ def _factors(window: int, anchor: int):
             key, content, row, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True))
             first = _first_of((key, content), (order[row], lo))
             doc_id, row_id = batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))
+            key = np.where(first, key, _scattered(row_id, lo))
             columns = [pa.array(key.view(np.int64)), pa.array(content.view(np.int64), mask=~first), doc_id, row_id, pa.array(lo * window + hi - lo)]
             yield pa.RecordBatch.from_arrays(columns, schema=_FACTOR)
 
@@ -131,6 +137,7 @@ def _windows(window: int):
                 row = words.doc[start]
                 lo = start - words.first[row]
                 first = _first_of((keys[0], keys[1]), (_order(part.column(0))[row], lo))
+                keys[0] = np.where(first, keys[0], _scattered(part.column(1).take(pa.array(row)), lo))
                 columns = [pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64), mask=~first), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(lo)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "key2", "doc_id", "row_id", "lo"])
 
