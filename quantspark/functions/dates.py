@@ -24,11 +24,16 @@ def precision_of(code: Column) -> Column:
 def parse_date(text: Column) -> Column:
     """STRUCT<at, precision> of an absolute English date, else null."""
     cleaned = F.regexp_replace(F.regexp_replace(F.trim(text), r"(\d)(st|nd|rd|th)\b", "$1"), r"(?i)\b(of|the)\b ?", "")
-    tries = []
-    for pattern, precision in FORMATS:
-        at = F.try_to_timestamp(cleaned, F.lit(pattern))
-        tries.append(F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(precision).alias("precision"))))
-    return F.coalesce(*tries)
+
+    def first(c: Column) -> Column:
+        tries = []
+        for pattern, precision in FORMATS:
+            at = F.try_to_timestamp(c, F.lit(pattern))
+            tries.append(F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(precision).alias("precision"))))
+        return F.coalesce(*tries)
+
+    # As a lambda, so that the cleaned text is made once and not for each format.
+    return F.get(F.transform(F.array(cleaned), first), F.lit(0))
 
 
 def parse_known(text: Column) -> Column:

@@ -199,8 +199,7 @@ def plural(word: Column) -> Column:
 
 def full_text(texts: Column, quantities: Column) -> Column:
     """Runs of text with quantities between them as one text; a null quantity adds nothing."""
-    pairs = F.arrays_zip(texts.alias("t"), quantities.alias("q"))
-    return F.array_join(F.transform(pairs, lambda p: F.concat(F.coalesce(p[0], F.lit("")), F.coalesce(p[1], F.lit("")))), "")
+    return F.array_join(F.transform(texts, lambda t, i: F.concat(F.coalesce(t, F.lit("")), F.coalesce(F.get(quantities, i), F.lit("")))), "")
 
 
 def shortened(text: Column) -> Column:

@@ -13,8 +13,13 @@ MAX_BROADCAST_PHRASES = 200_000
 
 def ngrams(words: Column, most: int) -> Column:
     """All runs of one to ``most`` words, joined by spaces."""
-    runs = [F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(1, most + 1)]
-    return F.flatten(F.array(*[F.when(F.size(words) >= n, run).otherwise(F.array().cast("array<string>")) for n, run in enumerate(runs, 1)]))
+
+    def runs(n: int) -> Column:
+        # Word by word: a slice would copy the whole list for each run.
+        joined = F.transform(words, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
+        return F.slice(joined, 1, F.greatest(F.lit(0), F.size(words) - n + 1))
+
+    return F.flatten(F.array(*[words if n == 1 else runs(n) for n in range(1, most + 1)]))
 
 
 def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, text: str = "text") -> DataFrame:
@@ -24,7 +29,9 @@ def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, text: str
     """
     phrases = phrases.select("id", F.array_join(lemmas(F.col("phrase")), " ").alias("phrase")).where("phrase <> ''").distinct()
     longest = phrases.select(F.max(F.size(F.split("phrase", " "))), F.count(F.lit(1))).first()
-    runs = texts.select(*keys, F.explode(ngrams(lemmas(F.col(text)), longest[0] or 1)).alias("phrase"))
+    # Exploding an array of one keeps the word list a column, so that it isn't made again for each run.
+    words = texts.select(*keys, F.explode(F.array(lemmas(F.col(text)))).alias("__words"))
+    runs = words.select(*keys, F.explode(ngrams(F.col("__words"), longest[0] or 1)).alias("phrase"))
     return runs.join(F.broadcast(phrases) if longest[1] <= MAX_BROADCAST_PHRASES else phrases, "phrase")
 
 
