@@ -136,10 +136,11 @@ def mixed_documents(docs: DataFrame, seed: int = 1, **options: int) -> DataFrame
     """The documents of the mix with their columns as they were: each as often as its tokens taken fill it, rounded."""
     chosen = mix(docs, seed, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
     copies = F.round(F.col("taken") / F.col("rows") / F.col("size")).cast("int")
-    chosen = chosen.withColumn("__copies", copies).where("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": n_words(F.col("text"))})
+    chosen = chosen.withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "size", "copies")
+    # The row as one struct, so that no column of it clashes with the keys.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     condition = F.lit(True)
-    for c in ("__id", "__source", "__size"):
+    for c in ("doc_id", "source", "size"):
         condition = condition & F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}"))
-    joined = keyed.alias("d").join(chosen.alias("c"), condition).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("c.__copies").alias("__copies"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies")
+    joined = packed.alias("d").join(chosen.alias("c"), condition).select("d.doc", "c.copies")
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")

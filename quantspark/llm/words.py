@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
@@ -168,7 +168,7 @@ class WordIds:
     A full memory is emptied and filled again, so ``most`` bounds a worker's memory and never changes results.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000):
         self.encode, self.most = encode, most
         self._clear()
 

@@ -1,0 +1,260 @@
+"""Mixing, sharding, packing, quality, toxicity, secrets, chat and the pipeline."""
+
+import json
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quantspark.llm import chat, mixing, packing, quality, secrets, sharding, stages, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+def water(sizes, weights=(5, 2, 1), most=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    left, free, out = float(sum(sizes.values())), set(names), {}
+    while free:
+        total = sum(w[s] for s in free)
+        over = [s for s in free if left * w[s] / total > most * sizes[s] + 1e-9]
+        if not over:
+            return out | {s: left * w[s] / total for s in free}
+        for s in over:
+            out[s] = most * sizes[s]
+            left -= out[s]
+            free.discard(s)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 50, None: 1000}, {"x": 10}, {"a": 0, "b": 7, "c": 3, "d": 900}])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert got == pytest.approx(water(sizes))
+
+
+@pytest.mark.parametrize("votes,seats", [([53, 24, 23], 7), ([1000, 1, 1, 1], 20), ([5, 5, 5], 4), ([1, 10**6], 1000), ([340, 280, 160, 60], 1)])
+def test_sainte_lague(spark, votes, seats):
+    df = spark.createDataFrame([(f"s{k}", float(v), seats) for k, v in enumerate(votes)], "source string, v double, seats long")
+    got = [r.quota for r in mixing.sainte_lague(df, [], ["source"], "v", "seats").orderBy("source").collect()]
+    want = [0] * len(votes)
+    for _ in range(seats):
+        k = max(range(len(votes)), key=lambda j: (votes[j] / (2 * want[j] + 1), -j))
+        want[k] += 1
+    assert got == want
+
+
+def test_mix(spark, odd, empty):
+    for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
+        rows = mixing.mix(docs, rows_per_shard=40).collect()
+        assert len(rows) == docs.count() and all(0 <= r.taken <= 3 * r.size for r in rows)
+        by = {}
+        for r in rows:
+            t = by.setdefault(r.source, [0, r.target, r.source_size])
+            t[0] += r.taken
+        for taken, target, _ in by.values():
+            assert abs(taken - target) <= 0.05 * target + 64
+        assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs, rows_per_shard=40).collect()))
+    assert mixing.mix(empty).count() == 0
+    mixed = mixing.mixed_documents(odd)
+    assert mixed.columns == odd.columns and mixing.mixed_documents(empty).count() == 0
+
+
+def test_shards(spark, odd, empty, tmp_path):
+    rows = sharding.shard(odd, shards=3, slots=64, path=f"file://{tmp_path}/map").collect()
+    assert len(rows) == odd.count()
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    texts = {r.doc_id: r.text for r in odd.select("doc_id", "text").collect()}
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+    versions = sharding.load_map(spark, f"file://{tmp_path}/map", 1), sharding.load_map(spark, f"file://{tmp_path}/map")
+    assert [v.first().version for v in versions] == [1, 2] and all(v.count() == 64 for v in versions)
+    assert sharding.shard(empty).count() == 0
+
+
+def test_rebalancing_evens_out(spark):
+    weights = spark.range(256).select(F.col("id").cast("int").alias("slot"), (F.col("id") * F.col("id") + 1).alias("bytes"))
+    edited = sharding.rebalanced(sharding.first_map(spark, 256, 5), weights, 5)
+    loads = [r.b for r in edited.join(weights, "slot").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
+    assert len(loads) == 5 and max(loads) - min(loads) <= 0.01 * sum(loads)
+
+
+def check_packing(docs, pieces, length=2048):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    want = sorted(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.select("text").collect())
+    by_sequence, total = {}, 0
+    for p in pieces:
+        by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        total += p.length
+    assert total == sum(want)
+    for s in by_sequence.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at and n > 0
+            at += n
+        assert at <= length
+    return len(by_sequence) * length / max(1, total)
+
+
+def test_packing(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).repartition(5)
+    pieces = packing.pack(docs, fan_in=2).collect()
+    check_packing(docs, pieces)
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    for r in docs.select("doc_id", "text").collect():
+        ids = np.array(t.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4")
+        at = 0
+        for p in sorted((p for p in pieces if p.doc_id == r.doc_id), key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
+    assert packing.pack(empty).count() == 0
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(6)
+    assert check_packing(big, packing.pack(big).collect()) < 1.01
+
+
+def base_counts(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    covered = set()
+    for k, g in enumerate(grams):
+        if grams.count(g) > 1 if len(grams) < 400 else g in _twice(grams):
+            covered |= {k, k + 1, k + 2}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+_CACHE = {}
+
+
+def _twice(grams):
+    import collections
+
+    if id(grams) not in _CACHE:
+        _CACHE[id(grams)] = {g for g, n in collections.Counter(grams).items() if n > 1}
+    return _CACHE[id(grams)]
+
+
+def test_quality_counts(spark, odd, empty):
+    docs = odd.unionByName(spark.createDataFrame([(99, "a # b\n \n*$%&|<>\na # b\n" * 3, "en", "a", 1, 1, True, 1, "", 1)], odd.schema))
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = quality.quality_rules(docs).collect()
+    want = sorted(str((i, *base_counts(t))) for i, t in texts)
+    assert sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got) == want
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in got)
+    assert all(not r.kept for r in got if r.base_failed)
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    assert quality.quality_rules(empty).count() == 0 and quality.keep_good(empty).count() == 0
+
+
+def test_quality_verdicts(spark):
+    """Clean labelled documents stay; most junk goes."""
+    d = "/root/testdata/sf0.01"
+    rows = quality.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    good, junk = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert all(good) and np.mean(junk) < 0.4
+
+
+def test_fertility_against_the_vocabulary(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=quality.default_vocabulary())
+    text = "The quick brown ☃ fox\U0001f600 jumps  over\nthe lazy dog"
+    ids = [i for w in text.split() for i in model.encode(w)]
+    r = quality.metrics(spark.createDataFrame([(text,)], "text string"), []).first()
+    assert r.n_tokens == len(ids) and r.byte_share == pytest.approx(np.mean([model.is_byte(i) for i in ids]))
+    assert r.chars_per_token == pytest.approx(len("".join(text.split())) / len(ids))
+
+
+def test_toxicity_held_out(spark, odd, empty):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels)
+    rows = got.join(labels, "doc_id").where("held_out").collect()
+    s, y = np.array([r.score for r in rows]), np.array([r.toxic for r in rows])
+    auc = (s[y == 1][:, None] > s[y == 0][None]).mean()
+    assert auc > 0.9 and all(0 <= x <= 1 for x in s) and all((r.score >= 0.5) == r.predicted for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    model = toxicity.train(odd, labels.limit(0))
+    assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(empty, model).count() == 0
+
+
+def test_letters_see_through_signs():
+    assert toxicity.word_hash("id*i.o-t!") == toxicity.word_hash("IDIOT") != toxicity.word_hash("idio")
+    assert toxicity.word_hash("ÉCOLE") == toxicity.word_hash("école")
+
+
+def test_trees_and_isotonic():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 5))
+    y = (x[:, 0] + x[:, 1] ** 2 + 0.3 * rng.normal(size=2000) > 1).astype(float)
+    t = toxicity.Trees().fit(x[:1500], y[:1500])
+    assert ((t.score(x[1500:]) > 0) == y[1500:]).mean() > 0.9
+    knots, rates = toxicity.isotonic(t.score(x[1500:]), y[1500:])
+    assert (np.diff(knots) > 0).all() and (np.diff(rates) >= -1e-12).all()
+
+
+def test_secrets(spark, odd, empty):
+    model = secrets.train(secrets.labelled_findings(spark))
+    other = model.transform(secrets._vectors(secrets.labelled_findings(spark, 2000, 99)))
+    assert other.where("label = prediction").count() / other.count() > 0.95
+    texts = [(1, 'we set token = "0123456789abcdef0123456789abcdefdeadbeef" here'), (2, "card 4929348385146306 paid"), (3, "nothing at all"), (4, None), (5, "commit 0123456789abcdef0123456789abcdefdeadbeef fixes it"), (6, 'api_key = "YOUR_API_KEY_1234567"')]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id): r.is_secret for r in secrets.scan(docs).collect()}
+    assert got[1] and not got[2] and not got[5] and not got[6] and 3 not in got and 4 not in got
+    assert secrets.scan(odd).count() >= 0 and secrets.scan(empty).count() == 0
+
+
+CHAT = [
+    (1, 0, "system", '{"tools":[{"name":"add","parameters":{"required":["a","b"],"properties":{"a":{"type":"number"},"b":{"type":"number"}}}}]}'),
+    (1, 1, "user", "sum?"),
+    (1, 2, "assistant", '{"tool_calls":[{"id":"c1","name":"add","arguments":{"b":2,"a":1}},{"id":"c2","name":"add","arguments":{"a":{"$ref":"c1"},"b":"x"}},{"id":"c3","name":"mul","arguments":{"z":[1, 2]}}]}'),
+    (1, 3, "tool", '{"tool_call_id":"c1","content":"3"}'), (1, 4, "tool", '{"tool_call_id":"c9","content":"lost"}'), (1, 5, "tool", '{"tool_call_id":"c1","content":"second"}'),
+    (2, 0, "assistant", '{"tool_calls":[{"id":"x","name":"f","arguments":{"q":{"$ref":"y"}}},{"id":"y","name":"f","arguments":{"q":{"$ref":"x"}}},{"id":"z","name":"f","arguments":{"q":{"$ref":"w"}}},{"id":"w","name":"f","arguments":{}}]}'),
+    (2, 1, "user", None), (None, None, None, "{bad json"), (3, 0, "user", ""), (3, 0, "user", ""),
+]
+
+
+def test_chat(spark):
+    df = spark.createDataFrame([(*r, 1) for r in CHAT], "conv_id long, turn long, role string, text string, level int")
+    rows = chat.formatted(df).collect()
+    calls = {(r.conv_id, r.call_id): (r.level, r.result_turn, r.valid) for r in rows if r.kind == "call"}
+    assert calls == {(1, "c1"): (0, 3, True), (1, "c2"): (1, None, False), (1, "c3"): (0, None, None), (2, "x"): (None, None, None), (2, "y"): (None, None, None), (2, "z"): (1, None, None), (2, "w"): (0, None, None)}
+    assert sorted(r.turn for r in rows if r.kind == "orphan") == [4, 5] and [r.turn for r in rows if r.kind == "result"] == [3]
+    assert sum(r.kind != "call" for r in rows) == len(CHAT)
+    for r in rows:
+        again = json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert r.json == again
+    assert chat.formatted(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "exact_dedup", "minhash_near_dedup", "mixing", "packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, SF).cache()
+        assert after.columns == columns, name
+        ids = {r.doc_id for r in before.select("doc_id").collect()}
+        assert {r.doc_id for r in after.select("doc_id").collect()} <= ids
+        before = after
+    check_packing(before, stages.packed(spark, before, SF).collect())
+    assert corpus_pipeline.run(spark, SF).count() > 0
