@@ -6,10 +6,11 @@ Two documents are linked when the weighted Jaccard similarity of their bags of `
 * Equal word sequences are one node from the start (combined before any shuffle), so copies never meet in a bucket.
 * Signatures are banded. With 28 bands of 5 places, two bags of similarity 0.8 share a bucket with probability
   0.99998, and all that share one are compared unless they are connected already.
-* A bucket is never expanded into all its pairs. In a round each bucket compares its next few members (hubs) with its
-  other members of different components; what is verified joins components, and buckets inside one component are
-  finished. Hubs grow fourfold from round to round until each live bucket has used all its members, so no candidate pair of
-  different components is left out, and a bucket of n near copies costs about n comparisons.
+* A bucket is never expanded into all its pairs. First the smallest member (hub) of each bucket of a few bands is
+  compared with the others, then, with what this connects as components, the hubs of all bands with members of other
+  components; so a bucket of n near copies costs about n comparisons, however many bands they share. What is still in
+  several components is compared in full, so that no candidate pair is left out: buckets of up to ``SMALL`` members as
+  pairs, larger ones in blocks of ``BLOCK`` members, whose overlaps are one matrix product and whose rows are links.
 * Pairs are listed only if their lengths and ``BITS`` one-bit hashes allow the threshold; a pair at the threshold
   fails this once in 10**8. Sharing a passage isn't enough, however many texts share it.
 * Texts are shuffled once, for nodes that share a bucket only after a narrow join, and kept for all rounds.
@@ -33,8 +34,9 @@ SIZE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 28, 5
 SALT = 64
-#: A round may list so many pairs for each member of a bucket.
-PAIRS_PER_MEMBER = 4
+SMALL, BLOCK = 16, 256
+#: The first round looks at so many bands alone; what they connect needs no pairs in the others.
+FIRST_BANDS = 3
 
 #: Places of a signature of which one bit each is kept for a bound on similarity, and how many standard deviations
 #: below its expectation a pair at the threshold may lie (one in 10**8 lies lower).
@@ -156,11 +158,10 @@ def _hubs(members: DataFrame, after: int, upto: int) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denominator: int, most_bits: int) -> DataFrame | None:
     """(node, component) for all nodes that verified links connect with others; None when there are none."""
     spark = docs.sparkSession
-    exploded = nodes.select("node", "n_shingles", "bits", "bits2", F.explode("bands").alias("bucket"))
+    exploded = nodes.select("node", "n_shingles", "bits", "bits2", F.posexplode("bands").alias("band", "bucket"))
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    members = cut(exploded.join(shared, "bucket").select("bucket", "node", F.col("n_shingles").alias("n"), "bits", "bits2"))
-    n_members = members.count()
-    if not n_members:
+    members = cut(exploded.join(shared, "bucket").select("bucket", "node", F.col("n_shingles").alias("n"), "bits", "bits2", "band"))
+    if members.isEmpty():
         return None
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
     keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("doc_id", "text").alias("h"), "text")
@@ -168,9 +169,8 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
     found = wanted.join(keyed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
     found.select("node", "text").write.option("compression", "zstd").parquet(path)
     texts = spark.read.schema("node long, text string").parquet(path).dropDuplicates(["node"]) if _repeats(wanted, path) else spark.read.schema("node long, text string").parquet(path)
-    live, tried, labels = members.withColumn("component", F.col("node")), None, None
-    used, upto = 0, 1
-    while True:
+    def compare(live: DataFrame, used: int, upto: int, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Verified links, and all pairs that were compared, of hubs from place ``used`` to ``upto``."""
         hubs = _hubs(live, used, upto)
         differing = F.bit_count(F.col("bits").bitwiseXOR(F.col("hub_bits"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("hub_bits2")))
         close = (F.least("n", "hub_n") * denominator >= F.greatest("n", "hub_n") * numerator) & (differing <= most_bits)
@@ -179,24 +179,99 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         new = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, numerator, denominator), "a long, b long")
-        new = cut(new)
-        if not new.isEmpty():
-            labels = _joined(labels, new)
-        current = members if labels is None else members.join(labels, "node", "left")
-        component = F.col("node") if labels is None else F.coalesce("component", "node")
-        current = current.withColumn("component", component).select("bucket", "node", "n", "bits", "bits2", "component")
-        open_buckets = current.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-        open_buckets = cut(open_buckets.where((F.col("low") != F.col("high")) & (F.col("size") > upto + 1)).select("bucket", "size"))
-        largest, pairs_left = open_buckets.agg(F.max("size"), F.sum(F.col("size") * (F.col("size") - upto))).first()
-        if largest is None:
-            return labels
-        # All hubs that are left, if that costs no more than a round over all members; else a few more hubs.
-        used, upto = upto, largest if pairs_left <= PAIRS_PER_MEMBER * n_members else min(largest, upto * 4 + 3)
-        live = cut(current.join(open_buckets, "bucket", "left_semi"))
+        return cut(new), pairs if tried is None else tried.union(pairs)
+
+    def current(labels: DataFrame | None) -> DataFrame:
+        """Members with their components, of buckets with more than one, and the bucket's size."""
+        if labels is None:
+            found = members.withColumn("component", F.col("node"))
+        else:
+            found = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = found.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+        return found.join(mixed.where("low <> high").select("bucket", "size"), "bucket")
+
+    few = members.where(F.col("band") < FIRST_BANDS).withColumn("component", F.col("node"))
+    links, tried = compare(few, 0, 1, None)
+    labels = None if links.isEmpty() else _joined(None, links)
+    links, tried = compare(cut(current(labels)), 0, 1, tried)
+    labels = labels if links.isEmpty() else _joined(labels, links)
+    live = cut(current(labels).where("size > 2"))
+    small, _ = compare(live.where(F.col("size") <= SMALL), 1, SMALL, tried)
+    large = _block_links(live.where(F.col("size") > SMALL), texts, size, numerator, denominator)
+    links = small.unionByName(large)
+    return labels if links.isEmpty() else _joined(labels, links)
+
+
+def _block_links(live: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """(a, b) links of large buckets: all members of different components compared, block by block.
+
+    A bucket's members are dealt into blocks of about BLOCK; a task holds two blocks and counts all overlaps at once
+    as a product of incidence matrices. Of the links it finds, those of a spanning forest are rows.
+    """
+    dealt = live.select("bucket", "node", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("n_blocks")).cast("int")).join(texts, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    cells = dealt.withColumn("other", other).select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "text")
+    return cut(cells.groupBy("bucket", "low", "high").applyInArrow(_verify_block(size, numerator, denominator), "a long, b long"))
+
+
+def _verify_block(size: int, numerator: int, denominator: int):
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        component = table.column("component").to_numpy()
+        both, total = _block_overlaps(table.column("text").combine_chunks(), size)
+        either = total[:, None] + total[None, :] - both
+        a, b = np.nonzero(np.triu(both * denominator >= either * numerator, 1) & (component[:, None] != component[None, :]))
+        owner = {int(c): int(c) for c in component}
+
+        def root(x: int) -> int:
+            while owner[x] != x:
+                owner[x] = owner[owner[x]]
+                x = owner[x]
+            return x
+
+        kept = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = root(int(component[i])), root(int(component[j]))
+            if x != y:
+                owner[max(x, y)] = min(x, y)
+                kept.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        return pa.table({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64())})
+
+    return run
+
+
+def _block_overlaps(column: pa.Array, size: int, columns_at_once: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections of all pairs of bags of shingles, and the size of each bag.
+
+    The n-th copy of a shingle is an element of its own, so that a bag is a set; elements of one bag alone count for
+    its size only. The incidence matrix is multiplied a few columns at a time.
+    """
+    n = len(column)
+    keys, owner = shingles(Words(column), size)
+    total = np.bincount(owner, minlength=n).astype(np.int64)
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))
+    start = np.flatnonzero(first)
+    copy = np.arange(len(keys)) - np.repeat(start, np.diff(np.append(start, len(keys))))
+    distinct, index, count = np.unique(mix(keys ^ mix(copy.astype(np.uint64))), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[index]
+    owner, at = owner[keep], place[index[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((n, n), np.float64)
+    for low in range(0, int(shared.sum()), columns_at_once):
+        a, b = np.searchsorted(at, [low, low + columns_at_once])
+        part = np.zeros((n, columns_at_once), np.float32)
+        part[owner[a:b], at[a:b] - low] = 1
+        both += part @ part.T
+    return np.rint(both).astype(np.int64), total
 
 
 def _repeats(wanted: DataFrame, path: str) -> bool:
@@ -235,12 +310,11 @@ def near_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, d
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with its columns as they were."""
-    stay = near_groups(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).withColumn("__n", F.lit(1))
-    stay = cut(stay)
-    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long"))
-    keyed = keyed.withColumn("__text_hash", F.xxhash64("__doc", "text"))
-    joined = keyed.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-    repeated = joined.groupBy("__doc", "__text_hash").count().where("count > 1")
-    if not repeated.isEmpty():
-        joined = joined.dropDuplicates(["__doc", "__text_hash"])
-    return joined.drop("__doc", "__text_hash")
+    stay = cut(near_groups(docs, **options).where("kept").select("doc_id", "text_hash"))
+    doc_id = F.col("doc_id").cast("long")
+    # The row as one struct, so that no column of it clashes with the keys.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), doc_id.alias("id"), F.xxhash64(doc_id, "text").alias("hash"))
+    joined = packed.join(stay.distinct(), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_semi")
+    if not joined.groupBy("id", "hash").count().where("count > 1").isEmpty():
+        joined = joined.dropDuplicates(["id", "hash"])
+    return joined.select("doc.*")

@@ -175,6 +175,33 @@ def test_near_chains_and_rounds(spark):
     assert grouped(near_dedup.near_groups(df, bands=6, rows=1)) == classes(rows)
 
 
+def test_near_in_many_blocks(spark, monkeypatch):
+    """Buckets larger than a block: all pairs of blocks meet."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    base = [f"b{k}" for k in range(80)]
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in r.sample(range(80), r.randint(0, 4)):
+            w[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert grouped(near_dedup.near_groups(df, bands=3, rows=1)) == classes(rows)
+
+
+def test_block_overlaps():
+    texts = ["a b c d e f a b c d e", "a b c d e f", "x", "", "a b c d e"]
+    both, total = near_dedup._block_overlaps(pa.array(texts), 5, columns_at_once=3)
+    bags = [bag(t) for t in texts]
+    assert total.tolist() == [sum(b.values()) for b in bags]
+    for i in range(5):
+        for j in range(5):
+            if i != j:
+                assert both[i, j] == sum((bags[i] & bags[j]).values())
+
+
 def test_bagminhash_is_unbiased():
     rng = np.random.default_rng(0)
     z = []
