@@ -202,7 +202,10 @@ def _expression(text: str) -> float | int | None:
 
 def _words(text: str) -> float | int | None:
     """Digits and number words: tens and units add, hundreds and magnitudes multiply what stands before them."""
-    tokens = re.findall(r"[+-]?\d[\d,]*(?:\.\d+)?|[^\W\d_]+", text.lower())
+    token = r"[+-]?\d[\d,]*(?:\.\d+)?|[^\W\d_]+"
+    if re.sub(token, "", text.lower()).strip(" -,\t\n"):
+        return None
+    tokens = re.findall(token, text.lower())
     total, group, seen = 0, None, False
     for k, token in enumerate(tokens):
         if token in ("and", "plus"):

@@ -23,11 +23,11 @@ def ngrams(words: Column, most: int) -> Column:
 
 
 def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, text: str = "text") -> DataFrame:
-    """(keys, id, phrase) for each occurrence of a phrase (table id, phrase) in a text: an equi-join on word runs.
+    """(keys, hit, phrase) for each occurrence of a phrase (table id, phrase) in a text: an equi-join on word runs.
 
     Runs as long as the longest phrase are generated; phrases are broadcast only while they are few.
     """
-    phrases = phrases.select("id", F.array_join(lemmas(F.col("phrase")), " ").alias("phrase")).where("phrase <> ''").distinct()
+    phrases = phrases.select(F.col("id").alias("hit"), F.array_join(lemmas(F.col("phrase")), " ").alias("phrase")).where("phrase <> ''").distinct()
     longest = phrases.select(F.max(F.size(F.split("phrase", " "))), F.count(F.lit(1))).first()
     # Exploding an array of one keeps the word list a column, so that it isn't made again for each run.
     words = texts.select(*keys, F.explode(F.array(lemmas(F.col(text)))).alias("__words"))
@@ -39,9 +39,9 @@ def unit_frequencies(texts: DataFrame, keys: list[str], units: DataFrame, labels
     """(qid, n) of all labelled ``units`` (qid): occurrences of their aliases, zero where there is none."""
     aliases = units.join(labels.where("kind = 'units'"), F.col("qid") == F.col("uri")).select(F.col("qid").alias("id"), F.col("alias").alias("phrase"))
     aliases = aliases.join(F.broadcast(stop), F.lower("phrase") == F.col("word"), "left_anti")
-    counted = phrase_hits(texts, keys, aliases).groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    counted = phrase_hits(texts, keys, aliases).groupBy("hit").agg(F.count(F.lit(1)).alias("hits"))
     labelled = aliases.select(F.col("id").alias("qid")).distinct()
-    return labelled.join(counted, labelled["qid"] == counted["id"], "left").select("qid", F.coalesce("hits", F.lit(0)).alias("n"))
+    return labelled.join(counted, labelled["qid"] == counted["hit"], "left").select("qid", F.coalesce("hits", F.lit(0)).alias("n"))
 
 
 def unlabelled(units: DataFrame, labels: DataFrame) -> DataFrame:
