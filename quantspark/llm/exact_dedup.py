@@ -81,8 +81,8 @@ def _differing(docs: DataFrame, grouped: DataFrame, digest: Callable[[Column], C
     found = _texts(docs, digest).alias("t").join(hits.alias("h"), F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.digest") == F.col("h.digest")))
     found.select("t.*", "h.keep_id").write.option("compression", "zstd").parquet(path)
     texts = spark.read.schema("doc_id long, digest string, body string, keep_id long").parquet(path)
-    first = texts.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("body").alias("first_body"))
-    return texts.join(first, "digest").where("body <> first_body").select("digest").distinct()
+    first = cut(texts.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("body").alias("first_body")))
+    return cut(texts.join(first, "digest").where("body <> first_body").select("digest"))
 
 
 def _regroup(docs: DataFrame, grouped: DataFrame, bad: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
@@ -108,8 +108,8 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
     landed = spark.read.schema("row long, doc_id long, digest string").parquet(inbox)
     update_state(spark, inbox, state)
     grouped = cut(landed.join(read_state(spark, state).drop("locator"), "digest").select("row", "doc_id", "digest", "keep_row", "keep_id", "group_size"))
-    bad = cut(_differing(docs, grouped, digest, hits))
-    return grouped if bad.isEmpty() else cut(_regroup(docs, grouped, bad, digest))
+    bad = _differing(docs, grouped, digest, hits)
+    return grouped if bad.isEmpty() else cut(_regroup(docs, grouped, bad.distinct(), digest))
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -125,10 +125,11 @@ def keep_first(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     equal doc_id and equal text one stays.
     """
     grouped = groups(docs, digest)
-    stay = grouped.where("row = keep_row").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("digest").alias("__digest"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "__digest": digest(normalised(F.col("text")))})
-    repeated = grouped.groupBy("doc_id", "digest").count().where("count > 1").limit(1)
-    joined = keyed.join(stay, ["__id", "__digest"], "left_semi")
-    if not repeated.isEmpty():
-        joined = joined.dropDuplicates(["__id", "__digest"])
-    return joined.drop("__id", "__digest")
+    same = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    stay = grouped.where("row = keep_row").select(same(F.col("doc_id")).alias("id"), "digest").distinct()
+    # The row as one struct, so that no column of it clashes with the keys.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), same(F.col("doc_id").cast("long")).alias("id"), digest(normalised(F.col("text"))).alias("digest"))
+    joined = packed.join(stay, ["id", "digest"], "left_semi")
+    if not grouped.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        joined = joined.dropDuplicates(["id", "digest"])
+    return joined.select("doc.*")
