@@ -30,6 +30,8 @@ _FRACTION = rf"(?:\s?[+{DASHES}]?\s?\d+\s?)?[/⁄]\d+|\s?[{_VULGAR}]"
 _DIGIT_NUMBER = re.compile(rf"(?<![\w.,^/⁄])(?:(?<![^\s(])[+±√{DASHES}]\s?)?(?:[{_VULGAR}]|(?:{_DIGITS})(?:{_POWER})?(?:{_FRACTION})?)(?!(?:st|nd|rd|th)\b)")
 _WORD = "|".join(sorted((w for w in {*vocab.cardinals(), *vocab.magnitudes()} | {vocab.plural(m) for m in vocab.magnitudes()}), key=lambda w: (-len(w), w)))
 _WORDS = re.compile(rf"(?<![\w-])(?:{_WORD})(?:(?:[ -]|(?:(?<=hundred)|(?<=thousand)|(?<=illion)) and )(?:{_WORD}))*(?: and (?:a|one) (?:half|quarter|third))?(?![\w])", re.IGNORECASE)
+_WORD_SET = frozenset(_WORD.split("|"))
+_ANY_DIGIT = re.compile(rf"[\d{_VULGAR}]")
 _MAGNITUDE = re.compile(rf" (?:{'|'.join(sorted(vocab.magnitudes(), key=len, reverse=True))})s?\b", re.IGNORECASE)
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
@@ -69,13 +71,18 @@ def find_numbers(text: str | None, consider_ordinals: bool = False) -> list[tupl
     """Spans of numbers in digits or words, without dates, ordinals and rates after ``per``."""
     if not text:
         return []
-    spans = [m.span() for m in _DIGIT_NUMBER.finditer(text)] + [m.span() for m in _WORDS.finditer(text)]
+    # Most texts hold neither digits nor number words; both tests are far cheaper than the patterns.
+    spans = [m.span() for m in _DIGIT_NUMBER.finditer(text)] if _ANY_DIGIT.search(text) else []
+    if not _WORD_SET.isdisjoint(re.findall("[a-z]{3,}", text.lower())):
+        spans += [m.span() for m in _WORDS.finditer(text)]
     if consider_ordinals:
         spans += [m.span() for m in re.finditer(r"(?<![\w.,])\d+(?:st|nd|rd|th)\b", text)]
     longer = []
     for start, end in spans:
         m = _MAGNITUDE.match(text, end)
         longer.append((start, m.end() if m else end))
+    if not spans:
+        return []
     dates = find_dates(text)
     kept = []
     for start, end in merged(longer):

@@ -128,7 +128,7 @@ def postprocess_sentence(text: str, spans: list[tuple[int, int]]) -> tuple[str,
     return text, [(a, b) for a, b in moved]
 
 
-_SENTENCE_END = re.compile(r"[.!?][\"')\]]*\s+(?=[\"'(\[]?[A-ZÀ-Þ0-9])|\n\n")
+_SENTENCE_END = re.compile(r"[.!?][\"')\]]*(?:(?!\n\n)\s)+(?=[\"'(\[]?[A-ZÀ-Þ0-9])|\n\n")
 
 
 def split_sentences(text: str) -> list[tuple[int, int]]:
