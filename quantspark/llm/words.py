@@ -168,7 +168,10 @@ class WordIds:
     A full memory is emptied and filled again, so ``most`` bounds a worker's memory and never changes results.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000):
+    #: The one memory that is filled in this worker; another vocabulary's is emptied before a new one is used.
+    _active: WordIds | None = None
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_500_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -198,6 +201,10 @@ class WordIds:
 
     def of(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's ids begin in ``flat`` and how many they are; valid until the next call."""
+        if WordIds._active is not self:
+            if WordIds._active is not None:
+                WordIds._active._clear()
+            WordIds._active = self
         keys, at, index = np.unique(hashes, return_index=True, return_inverse=True)
         missing = self._missing(keys)
         if len(self.keys) and len(self.keys) + missing.sum() > self.most:
