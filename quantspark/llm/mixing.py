@@ -14,6 +14,8 @@ of shards grows with the rows. A hot source has as many cells as any.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ from quantspark.llm.store import cut
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BLOCK = 16
-ROWS_PER_SHARD = 50_000
+#: A shard has so many rows at least, and with the root of the number of rows more, so that neither cells nor the
+#: number of shards that a source's blocks are apportioned to gets large.
+LEAST_ROWS_PER_SHARD, ROOTS_PER_SHARD = 2_000, 10
 MAX_BROADCAST_CELLS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -97,7 +101,7 @@ def _with_cells(rows: DataFrame, cells: DataFrame, key: list[str]) -> DataFrame:
     return rows.alias("r").join(right, condition).select("r.*", *[f"c.{c}" for c in cells.columns if c not in key])
 
 
-def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK, rows_per_shard: int | None = None) -> DataFrame:
     """For each document doc_id, size, source_size, target, taken, and its source, weight and shard.
 
     Needs doc_id, text and source; other columns are ignored. Null text has size 0 and is never taken; a null source
@@ -106,7 +110,9 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_
     """
     spark: SparkSession = docs.sparkSession
     sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
-    shards = max(1, -(-sizes.count() // rows_per_shard))
+    n_rows = sizes.count()
+    rows_per_shard = rows_per_shard or max(LEAST_ROWS_PER_SHARD, ROOTS_PER_SHARD * math.isqrt(n_rows))
+    shards = max(1, -(-n_rows // rows_per_shard))
     sizes = sizes.withColumns({"shard": F.pmod(seeded(seed + 1, F.col("doc_id")), F.lit(shards)).cast("int"), "place": seeded(seed, F.col("doc_id"))})
     aimed = cut(targets(sizes, weights, max_repeat))
     total = aimed.select(F.floor(F.coalesce(F.sum("target"), F.lit(0)) / block).cast("long")).first()[0]
