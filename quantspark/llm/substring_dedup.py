@@ -187,8 +187,14 @@ def _joined(words: Words, keep: np.ndarray) -> list[bytes]:
     return [data[b - n : b - 1] if n else b"" for n, b in zip(total.tolist(), end.tolist(), strict=True)]
 
 
+def _at_rows(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """``texts`` with the spans of their rows; a row is named by doc_id and a hash of its text."""
+    spans = spans.select(F.col("doc_id").alias("__doc_id"), F.col("row_id").alias("__row_id"), "spans")
+    return texts.join(spans, (F.col("row_id") == F.col("__row_id")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), how).drop("__doc_id", "__row_id")
+
+
 def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(row_id, spans): for each row of ``texts`` (doc_id, row_id, text) with repeats, the ranges of starts of windows that start earlier elsewhere."""
+    """(doc_id, row_id, spans): for each row of ``texts`` (doc_id, row_id, text) with repeats, the ranges of starts of windows that start earlier elsewhere."""
     factors = texts.mapInArrow(_factors(window, anchor), _FACTOR_DDL).repartition("anchor")
     same = Window.partitionBy("anchor", "words").orderBy("doc_id", "lo")
     entry = Window.partitionBy("anchor")
@@ -196,13 +202,13 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     factors = factors.withColumns({"lo": lo, "hi": lo + F.col("span") % window})
     judged = factors.withColumns({"later": F.col("words").isNull() | (F.rank().over(same) > 1), "mixed": F.min("words").over(entry) < F.max("words").over(entry)})
     judged = table(judged.where("later OR mixed").select("doc_id", "row_id", "lo", "hi", "later"), "factors")
-    whole = judged.where("later").select("row_id", "lo", "hi")
-    edges = judged.where("NOT later").groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    parsed = texts.join(edges, "row_id").select("doc_id", "row_id", "text", "spans").mapInArrow(_windows(window), _SPAN_DDL).repartition("key")
+    whole = judged.where("later").select("doc_id", "row_id", "lo", "hi")
+    edges = judged.where("NOT later").groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    parsed = _at_rows(texts, edges, "inner").select("doc_id", "row_id", "text", "spans").mapInArrow(_windows(window), _SPAN_DDL).repartition("key")
     first_start = F.rank().over(Window.partitionBy("key", "key2").orderBy("doc_id", "lo")) == 1
     single = parsed.withColumn("first", first_start & F.col("key2").isNotNull()).where("NOT first")
-    single = single.select("row_id", "lo", F.col("lo").alias("hi"))
-    return whole.unionByName(single).groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    single = single.select("doc_id", "row_id", "lo", F.col("lo").alias("hi"))
+    return whole.unionByName(single).groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -219,5 +225,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = docs.select("doc_id", row_id.alias("row_id"), "text")
     spans = repeated_spans(texts, window, anchor)
-    joined = texts.join(spans, "row_id", "left").select("doc_id", F.col("text").alias("__text"), F.col("spans").alias("__spans"))
+    joined = _at_rows(texts, spans, "left").select("doc_id", F.col("text").alias("__text"), F.col("spans").alias("__spans"))
     return joined.mapInArrow(_cut_out(window, with_text), "doc_id long, " + _KEPT_DDL + ", kept_text string" * with_text)
