@@ -14,7 +14,7 @@ from quantspark.functions.numbers import SPAN, date_spans, number_spans, parse_n
 from quantspark.functions.spans import substring
 from quantspark.functions.text import full_text, sentence_spans
 from quantspark.operators import filters, matching
-from quantspark.operators.annotate import tokens
+from quantspark.operators.annotate import coreferent, tokens
 from quantspark.operators.sequence import paragraphs, with_context
 from quantspark.session import ship
 from quantspark.sources.tables import cut
@@ -68,7 +68,17 @@ def alias_hits(candidates: DataFrame, labels: DataFrame, uri: str, kind: str, na
     """Spans of the aliases of a candidate's ``uri`` in its sentence as column ``name``, and whether it has aliases."""
     aliases = labels.where(F.col("kind") == kind).groupBy(F.col("uri").alias(uri)).agg(F.array_sort(F.collect_set("alias")).alias("__aliases"))
     joined = candidates.join(aliases, uri, "left")
-    return joined.withColumns({name: _alias_spans("sentence", "__aliases"), f"{name}_known": F.col("__aliases").isNotNull()}).drop("__aliases")
+    return joined.withColumns({name: _alias_spans("sentence", "__aliases"), f"{name}_known": F.col("__aliases").isNotNull()}).withColumnRenamed("__aliases", f"{name}_aliases")
+
+
+@F.pandas_udf(SPAN)
+def _coreferent_spans(previous: pd.Series, texts: pd.Series, aliases: pd.Series) -> pd.Series:
+    """The phrase at a sentence's start that stands for an entity which the sentence before is about."""
+    out = []
+    for p, t, names in zip(previous, texts, aliases, strict=True):
+        hit = next((h for n in ([] if names is None else names) if (h := coreferent(p, t, n))), None)
+        out.append([] if hit is None else [{"start": hit[0], "end": hit[1]}])
+    return pd.Series(out)
 
 
 def qualifier_hits(candidates: DataFrame, labels: DataFrame) -> DataFrame:
@@ -81,11 +91,16 @@ def qualifier_hits(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     in_time = stated.where(matching.same_date(F.col("known"), F.col("known_precision"), F.col("stated.at"), F.col("stated.precision"))).groupBy(*EXAMPLE, "tag").agg(F.collect_set("d").alias("spans"))
     named = rows.where(~F.col("tag").isin(*matching.TIME_QUALIFIERS.values(), "coordinate_location")).withColumn("uri", F.col("q.value"))
     named = alias_hits(named, labels, "uri", "qualifiers_values", "spans").where(F.size("spans") > 0).groupBy(*EXAMPLE, "tag").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return in_time.unionByName(named)
+    placed = rows.where(F.col("tag") == "coordinate_location").withColumn("spans", matching.coordinate_spans("sentence", F.col("q.value")))
+    placed = placed.where(F.size("spans") > 0).groupBy(*EXAMPLE, "tag").agg(F.first("spans").alias("spans"))
+    return in_time.unionByName(named).unionByName(placed)
+
 
+def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: list[str] | None = None) -> DataFrame:
+    """All candidates with annotations and the reason for which each is dropped, if any.
 
-def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: DataFrame | None = None) -> DataFrame:
-    """All candidates with annotations and the reason for which each is dropped, if any."""
+    ``frequent_units`` are the aliases of frequent units (a report-sized list), next to which a value isn't the fact's.
+    """
     ship(pages.sparkSession)
     found = cut(sentences(pages, facts))
     targets = matching.variants(facts, conversions, labels.where("kind = 'units'"))
@@ -102,14 +117,21 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
     after = F.substring("sentence", F.col("span.end") + 1, 10)
     rare = filters.is_rare(F.col("text"), F.col("deviation"), F.col("is_count"), after)
     must = F.array(value, F.col("unit_span"))
+    # An entity that only the sentence before names: for exact values of a named property that aren't counts.
+    apart = ~F.col("is_count") & (F.col("deviation") == 0) & (F.size("property_spans") > 0) & (F.size("entity_spans") == 0)
+    stand_in = _coreferent_spans(F.try_element_at("before", F.lit(-1)), F.col("sentence"), F.col("entity_spans_aliases"))
+    cand = cand.withColumn("stand_in", stand_in).withColumn("by_coreference", apart & (F.size("stand_in") > 0))
+    cand = cand.withColumn("entity_spans", F.when(F.col("by_coreference"), F.col("stand_in")).otherwise(F.col("entity_spans")))
     for name in ("property_spans", "entity_spans"):
         cand = cand.withColumn("__r", filters.reduced("sentence", name, must)).withColumns({name: F.col("__r.spans"), f"{name}_reason": F.col("__r.reason")}).drop("__r")
     no_unit = ~F.col("is_count") & F.col("unit_span").isNull()
     nothing = F.array().cast(_SPANS)
+    frequent = _alias_spans("sentence", F.array(*[F.lit(u) for u in frequent_units])) if frequent_units else nothing
+    cand = cut(cand.withColumn("frequent", frequent))
     reason = F.coalesce(
         F.when(~known, "missing_alias_for_entity_or_property"), F.col("drop_reason"), filters.value_drop_reason(F.col("sentence"), value),
         F.when(no_unit & (F.size("unit_spans") > 1), "multiple_units_adjecent_to_value"), F.when(no_unit, "no_unit"),
-        F.when(F.col("unit_span").isNotNull(), filters.unit_drop_reason(F.col("sentence"), F.col("unit_span"), value, F.col("numbers"), nothing)),
+        F.when(F.col("unit_span").isNotNull(), filters.unit_drop_reason(F.col("sentence"), F.col("unit_span"), value, F.col("numbers"), F.filter("frequent", lambda h: h["start"] != F.col("unit_span.start")))),
         filters.context_drop_reason(F.col("sentence"), F.col("entity_spans"), F.col("property_spans"), rare),
         F.when(filters.mixes_dimensions(F.col("sentence"), F.col("property"), value, F.col("property_spans")), "prevent_mixing_up_height_width_and_depth"),
     )
@@ -117,15 +139,15 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
     hits = qualifier_hits(cand.where("drop_reason IS NULL"), labels).groupBy(*EXAMPLE).agg(F.map_from_entries(F.collect_list(F.struct("tag", "spans"))).alias("found_qualifiers"))
     cand = cand.join(hits, EXAMPLE, "left")
     small = filters.small_count_without_qualifier(F.col("value"), F.col("is_count"), F.coalesce(F.size("found_qualifiers"), F.lit(0)))
-    weak = F.filter(F.array(F.when(F.col("by_rounding"), "relax_threshold_for_small_rounded_values"), F.when((F.size("property_spans") == 0) & rare, "no_property_but_rare_num_exact_match"), F.col("property_spans_reason"), F.col("entity_spans_reason")), lambda r: r.isNotNull())
+    weak = F.filter(F.array(F.when(F.col("by_rounding"), "relax_threshold_for_small_rounded_values"), F.when((F.size("property_spans") == 0) & rare, "no_property_but_rare_num_exact_match"), F.col("property_spans_reason"), F.col("entity_spans_reason"), F.when(F.col("by_coreference"), "found_entity_with_coreference_resolution")), lambda r: r.isNotNull())
     main = F.create_map(F.lit("entity"), F.col("entity_spans"), F.lit("property"), F.col("property_spans"), F.lit("value"), F.array(value), F.lit("unit"), F.when(F.col("unit_span").isNull(), nothing).otherwise(F.array(F.col("unit_span"))))
     annotations = F.map_filter(F.map_concat(main, F.coalesce("found_qualifiers", F.create_map().cast(f"map<string,{_SPANS}>"))), lambda tag, spans: F.size(spans) > 0)
     fact = F.struct("fact_id", "entity", "property", F.col("fact_value").alias("value"), F.col("fact_unit").alias("unit"))
     return cand.select(*SENTENCE, "title", "fact_id", "unit", "sentence", annotations.alias("annotations"), fact.alias("fact"), F.struct("before", "after").alias("context"), weak.alias("weak_accept_reasons"), F.coalesce("drop_reason", small).alias("drop_reason"))
 
 
-def dataset(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame) -> DataFrame:
+def dataset(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: list[str] | None = None) -> DataFrame:
     """The context dataset: accepted examples after reconciliation within each sentence."""
-    accepted = examples(pages, facts, labels, conversions).where("drop_reason IS NULL").drop("drop_reason")
+    accepted = examples(pages, facts, labels, conversions, frequent_units).where("drop_reason IS NULL").drop("drop_reason")
     judged = filters.reconciled(accepted, SENTENCE, ["fact_id", "unit"]).where("reconcile_reason IS NULL")
     return judged.select(F.col("page_id").alias("id"), "title", "sent_idx", "sentence", "annotations", "fact", "context", "weak_accept_reasons")

@@ -103,6 +103,17 @@ def test_context_reasons(spark):
     assert context.dataset(pages.limit(0), facts, labels, conversions).count() == 0
 
 
+def test_coreference_and_coordinates(spark):
+    from quantspark.operators.matching import find_coordinates
+
+    _, facts, labels, conversions = catalogue.mini_corpus(spark)
+    pages = spark.createDataFrame([(1, "T", [["Start here. The Iron Tower stands in a town. It has a height of 324 metres."]], [])], schemas.PAGES_PARSED)
+    rows = [r for r in context.examples(pages, facts, labels, conversions, ["mile"]).collect() if r.drop_reason is None]
+    assert [r.weak_accept_reasons for r in rows] == [["found_entity_with_coreference_resolution"]] and tuple(rows[0].annotations["entity"][0]) == (0, 2)
+    assert find_coordinates("At 48.858412, 2.294500 exactly.", "Point(2.2945 48.8584)") == [(3, 12), (14, 22)]
+    assert find_coordinates("At 48.8584 alone.", "Point(2.2945 48.8584)") == [] and find_coordinates("x", None) == []
+
+
 def test_quantity_reasons(spark):
     pages = spark.createDataFrame([(1, "T", [["The tower is "], [" tall and was built. It costs "], [" per day of work here. And 5 more are "], [" long in all."]], [["324 m"] * 3, ["10 kg"] * 3, ["7 km"] * 3])], schemas.PAGES_PARSED)
     rows = {r.sentence: r.drop_reason for r in quantity.examples(pages).collect()}
