@@ -84,6 +84,54 @@ SELECT conv_id, turn, CAST(-1 AS INTEGER) AS nth, 'message' AS kind, role, CAST(
 FROM conversations
 """
 
+# Quotas by listing all quotients; the operator lists only those near the cut.
+_OP2 = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), shards AS (
+  SELECT greatest(1, ceil(count(*) / greatest(2000, 10 * floor(sqrt(count(*)))))::BIGINT) AS n FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS most FROM sources
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM weighed WINDOW o AS (ORDER BY most::DOUBLE / weight, source NULLS LAST)
+), aimed AS (
+  SELECT source, source_size, weight, CASE WHEN level * weight <= most THEN max(level) FILTER (level * weight <= most) OVER () * weight ELSE most END::DOUBLE AS target FROM levels
+), won AS (
+  SELECT source, count(*) AS quota FROM (
+    SELECT source, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, source NULLS LAST, seat) AS nth
+    FROM aimed, range((SELECT floor(sum(target) / 16)::BIGINT FROM aimed)) AS s(seat) WHERE target > 0
+  ) WHERE nth <= (SELECT floor(sum(target) / 16)::BIGINT FROM aimed) GROUP BY source
+), placed AS (
+  SELECT *, ('0x' || substr(md5(concat_ws(':', '2', coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT % (SELECT n FROM shards) AS shard,
+    ('0x' || substr(md5(concat_ws(':', '1', coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT AS place FROM sized
+), cells AS (
+  SELECT source, shard, sum(size)::BIGINT AS cell_size FROM placed GROUP BY source, shard
+), cells_won AS (
+  SELECT source, shard, count(*) AS quota FROM (
+    SELECT c.source, c.shard, w.quota AS seats, row_number() OVER (PARTITION BY c.source ORDER BY c.cell_size::DOUBLE / (2 * seat + 1) DESC, c.shard, seat) AS nth
+    FROM cells c JOIN won w ON c.source IS NOT DISTINCT FROM w.source, range(w.quota) AS s(seat) WHERE c.cell_size > 0
+  ) WHERE nth <= seats GROUP BY source, shard
+), goals AS (
+  SELECT c.*, least(coalesce(q.quota, 0) * 16, 3 * cell_size)::BIGINT AS goal,
+    ('0x' || substr(md5(concat_ws(':', '1', c.shard::VARCHAR, coalesce(c.source, ''))), 1, 15))::BIGINT % greatest(1, cell_size // 16) * 16 AS run_start
+  FROM cells c LEFT JOIN cells_won q ON c.source IS NOT DISTINCT FROM q.source AND c.shard = q.shard
+), runs AS (
+  SELECT *, CASE WHEN cell_size > 0 THEN goal // cell_size ELSE 0 END AS passes, goal - CASE WHEN cell_size > 0 THEN goal // cell_size ELSE 0 END * cell_size AS run FROM goals
+), lined AS (
+  SELECT p.*, g.cell_size, g.passes, g.run, g.run_start, sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY place, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING)::BIGINT AS until
+  FROM placed p JOIN runs g ON p.source IS NOT DISTINCT FROM g.source AND p.shard = g.shard
+)
+SELECT doc_id, size, source_size, target, (passes * size
+    + greatest(0, least(until, least(run_start + run, cell_size)) - greatest(until - size, run_start))
+    + greatest(0, least(until, run_start + run - cell_size) - greatest(until - size, 0)))::BIGINT AS taken,
+  l.source, a.weight::INTEGER AS weight, l.shard::INTEGER AS shard
+FROM lined l JOIN aimed a ON l.source IS NOT DISTINCT FROM a.source
+"""
+
 _OP1 = r"""
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -107,6 +155,7 @@ FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": _OP1,
+    "op2_mixing": _OP2,
     "op3_exact_dedup": _OP3,
     "op6_chat_formatting": _OP6,
 }

@@ -1,0 +1,51 @@
+"""The registered queries against their SQL in DuckDB, and their columns."""
+
+import math
+
+import duckdb
+import pytest
+
+from quantspark.llm import queries
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_substring_dedup": "doc_id:bigint n_words:bigint n_removed:bigint kept_sha256:string",
+    "op2_mixing": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
+    "op3_exact_dedup": "doc_id:bigint keep_id:bigint group_size:bigint kept:boolean text_sha256:string",
+    "op5_sharding": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
+    "op7_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
+    "op8_packing": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
+    "op9_quality_rules": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
+}
+
+
+def shown(value):
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return "NULL"
+    return f"{value:.9g}" if isinstance(value, float) else str(value)
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    kinds = dict(df.dtypes)
+    for column in COLUMNS.get(name, "").split():
+        c, kind = column.split(":")
+        assert kinds[c] == kind, column
+    rows = df.collect()
+    if name not in queries.ORACLE_SQL:
+        assert rows
+        return
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    want = sorted(tuple(shown(r[columns.index(c)]) for c in sorted(columns)) for r in found.fetchall())
+    assert sorted(tuple(shown(r[c]) for c in sorted(columns)) for r in rows) == want
+
+
+def test_ten_operators():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
+    assert numbers == list(range(1, 11))
