@@ -32,7 +32,7 @@ MIN_WORDS = 50
 MAX_BROADCAST_LANGUAGES = 10_000
 #: The half-width of a band in scales of its measure, and the least half-width of each measure.
 SPREAD = 8.0
-FLOORS = {"chars_per_token": 0.1, "byte_share": 0.05, "token_entropy": 0.02}
+FLOORS = {"chars_per_token": 0.35, "byte_share": 0.05, "token_entropy": 0.02}
 MEASURES = tuple(FLOORS)
 
 _SYMBOL = np.zeros(256, bool)
