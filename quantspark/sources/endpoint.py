@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ENDPOINT = "https://query.wikidata.org/sparql"
@@ -103,3 +104,22 @@ def label_query(uris: list[str], language: str = "en") -> str:
     """The query for labels and other names of items."""
     named = " ".join(uris)
     return f'SELECT ?item ?label WHERE {{ VALUES ?item {{ {named} }} ?item rdfs:label|skos:altLabel ?label . FILTER(LANG(?label) = "{language}") }}'
+
+
+_PAGE_INFO = "query STRUCT<normalized: ARRAY<STRUCT<`from`: STRING, `to`: STRING>>, redirects: ARRAY<STRUCT<`from`: STRING, `to`: STRING>>, pages: MAP<STRING, STRUCT<pageid: LONG, ns: INT, title: STRING>>>"
+
+
+def page_info(answers: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored page-info answers (json) and requested ``titles`` as (title, page_id, final) and (title, reason).
+
+    Titles go through normalisation and redirects; a title without a page or outside the article namespace fails.
+    """
+    from quantspark.operators.statements import final_titles
+
+    parsed = answers.select(F.from_json("json", _PAGE_INFO).alias("a")).where("a.query IS NOT NULL")
+    moves = [parsed.select(F.inline(f"a.query.{k}")).toDF("source", "target").distinct() for k in ("normalized", "redirects")]
+    pages = parsed.select(F.explode("a.query.pages").alias("key", "p")).select("p.pageid", "p.ns", F.col("p.title").alias("final")).distinct()
+    found = final_titles(titles, *moves).join(pages, "final", "left")
+    good = found.where("pageid IS NOT NULL AND ns = 0").select("title", F.col("pageid").alias("page_id"), "final")
+    reason = F.when(F.col("pageid").isNull(), "no_page_id_for_given_title").otherwise("wrong_namespace")
+    return good, found.where("pageid IS NULL OR ns <> 0").select("title", reason.alias("reason"))

@@ -68,6 +68,14 @@ def test_endpoint_source(spark):
     assert sorted((r.item, r.label or "") for r in rows) == [("Q1", ""), ("Q2", "x"), ("Q3", "")]
 
 
+def test_page_info(spark):
+    answer = {"query": {"normalized": [{"from": "tower", "to": "Tower"}], "redirects": [{"from": "Tower", "to": "Iron Tower"}], "pages": {"7": {"pageid": 7, "ns": 0, "title": "Iron Tower"}, "8": {"pageid": 8, "ns": 1, "title": "Talk:X"}, "-1": {"ns": 0, "title": "Gone"}}}}
+    answers = spark.createDataFrame([(json.dumps(answer),), ("not json",)], "json string")
+    good, failed = endpoint.page_info(answers, spark.createDataFrame([("tower",), ("Talk:X",), ("Gone",), ("Other",)], "title string"))
+    assert [(r.title, r.page_id, r.final) for r in good.collect()] == [("tower", 7, "Iron Tower")]
+    assert {r.title: r.reason for r in failed.collect()} == {"Talk:X": "wrong_namespace", "Gone": "no_page_id_for_given_title", "Other": "no_page_id_for_given_title"}
+
+
 def test_statements_from_triples(spark):
     rows = [
         ("P1", "wikibase:claim", "p:P1", None), ("P1", "wikibase:statementValue", "psv:P1", None), ("P1", "wikibase:propertyType", "wikibase:Quantity", None), ("P1", "rdfs:label", "height", "en"),
