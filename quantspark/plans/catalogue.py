@@ -533,7 +533,7 @@ def quantity_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantity.dataset(pages).select(F.col("id").cast("int").alias("id"), "sentence", F.size("quantities").alias("n"))
 
 
-@query()
+@query("SELECT s_suppkey AS page_id, 'wd:S' || s_suppkey AS entity, 'wdt:P1' AS property, CAST(s_acctbal AS VARCHAR) AS value, 'Q1' AS unit FROM supplier")
 def knowledge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples made of nations and suppliers, as quantitative statements, through the whole knowledge job."""
     from quantspark.plans import knowledge
@@ -542,6 +542,6 @@ def knowledge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda s, p, o, lang=None: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(lang).cast("string").alias("o_lang"))
     triples = supplier.select(F.inline(F.array(t(F.col("e"), "p:P1", F.col("st")), t(F.col("st"), "psv:P1", F.col("n")), t(F.col("n"), "wikibase:quantityAmount", F.col("v")), t(F.col("n"), "wikibase:quantityUnit", F.lit("Q1")), t(F.col("article"), "schema:about", F.col("e")), t(F.col("e"), "rdfs:label", F.col("name"), "en"))))
     schema = values(spark, "('wdt:P1', 'wikibase:propertyType', 'wikibase:Quantity', NULL), ('wdt:P1', 'wikibase:claim', 'p:P1', NULL), ('wdt:P1', 'wikibase:statementValue', 'psv:P1', NULL), ('wdt:P1', 'rdfs:label', 'balance', 'en'), ('Q1', 'rdfs:label', 'dollar', 'en')", "s, p, o, o_lang")
-    page_map = supplier.select(F.col("article").alias("url"), F.xxhash64("article").alias("page_id"))
+    page_map = supplier.select(F.col("article").alias("url"), F.regexp_extract("article", r"(\d+)$", 1).cast("long").alias("page_id"))
     config = values(spark, "('Q1', CAST(NULL AS STRING), CAST(NULL AS STRING))", "qid, si_label, factor")
     return knowledge.build(triples.unionByName(schema), page_map, config, statements.stop_words(spark))["facts"].select("page_id", "entity", "property", "value", "unit")
