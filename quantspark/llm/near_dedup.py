@@ -33,7 +33,6 @@ from quantspark.session import ship
 SIZE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 28, 5
-SALT = 64
 SMALL, BLOCK = 16, 256
 #: The first round looks at so many bands alone; what they connect needs no pairs in the others.
 FIRST_BANDS = 3
@@ -143,16 +142,19 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _hubs(members: DataFrame, after: int, upto: int) -> DataFrame:
-    """The members of each bucket from place ``after`` to ``upto`` in the order of nodes, with their place.
+    """The members of each bucket from place ``after`` to ``upto`` in the order of nodes.
 
-    First the ``upto`` smallest of each of SALT parts of a bucket, then of the bucket, so a large bucket is not
-    ordered by one task.
+    One hub is a partial aggregate, whatever a bucket's size; more are asked of small buckets alone.
     """
-    part = Window.partitionBy("bucket", "part").orderBy("node")
-    some = members.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALT)))
-    some = some.withColumn("place", F.row_number().over(part)).where(F.col("place") <= upto)
-    ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-    return ranked.where((F.col("place") > after) & (F.col("place") <= upto)).select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"), F.col("bits2").alias("hub_bits2"), F.col("component").alias("hub_component"))
+    fields = ["node", "n", "bits", "bits2", "component"]
+    if (after, upto) == (0, 1):
+        found = members.groupBy("bucket").agg(F.min_by(F.struct(*fields), "node").alias("hub")).select("bucket", "hub.*")
+    else:
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+        found = members.withColumn("place", place).where((F.col("place") > after) & (F.col("place") <= upto)).select("bucket", *fields)
+    named = {f: f"hub_{f}" for f in fields if f != "node"} | {"node": "hub"}
+    # Cut, so that both sides of the join with members are shuffled for it and a large bucket can be split.
+    return cut(found.withColumnsRenamed(named))
 
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denominator: int, most_bits: int) -> DataFrame | None:
@@ -302,7 +304,7 @@ def near_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, d
     else:
         joined = cut(named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
         best = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "node")).alias("best")
-        classes = joined.groupBy("component").agg(best).select("component", F.col("best.first_id").alias("class_id"), F.col("best.node").alias("keep_row"))
+        classes = cut(joined.groupBy("component").agg(best).select("component", F.col("best.first_id").alias("class_id"), F.col("best.node").alias("keep_row")))
         named = joined.join(classes, "component").select("content", "content2", "class_id", "keep_row")
     out = sketches.drop("bands", "bits", "bits2").join(cut(named), ["content", "content2"])
     return out.select("doc_id", "text_hash", "n_shingles", "class_id", (F.col("row") == F.col("keep_row")).alias("kept"))
