@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm.store import cut, fresh_path
+from quantspark.llm.store import cut, discard, fresh_path
 
 #: State lives on disk, and an executor closes a partition's state once its task has committed it to the shared folder.
 STATE_CONF = {
@@ -109,7 +109,10 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
     update_state(spark, inbox, state)
     grouped = cut(landed.join(read_state(spark, state).drop("locator"), "digest").select("row", "doc_id", "digest", "keep_row", "keep_id", "group_size"))
     bad = _differing(docs, grouped, digest, hits)
-    return grouped if bad.isEmpty() else cut(_regroup(docs, grouped, bad.distinct(), digest))
+    if not bad.isEmpty():
+        grouped = cut(_regroup(docs, grouped, bad.distinct(), digest))
+    discard(spark, inbox, state, hits)
+    return grouped
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:

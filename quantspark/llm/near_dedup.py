@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.llm.bagminhash import bags, signatures
-from quantspark.llm.store import cut, fresh_path
+from quantspark.llm.store import cut, discard, fresh_path
 from quantspark.llm.words import BASE, BASE2, Words, chunks, mix, prefix, ranges, shingles
 from quantspark.session import ship
 
@@ -204,7 +204,9 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
     small, _ = compare(live.where(F.col("size") <= SMALL), 1, SMALL, tried)
     large = _block_links(live.where(F.col("size") > SMALL), texts, size, numerator, denominator)
     links = small.unionByName(large)
-    return labels if links.isEmpty() else _joined(labels, links)
+    labels = labels if links.isEmpty() else _joined(labels, links)
+    discard(spark, path)
+    return labels
 
 
 def _block_links(live: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:

@@ -67,6 +67,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
+# All pairs that share a shingle are compared, and links are followed to the end.
+_OP10 = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingled AS (
+  SELECT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM texts WHERE len(words) > 0)
+), bags AS (
+  SELECT doc_id, shingle, count(*) AS n FROM shingled GROUP BY doc_id, shingle
+), sizes AS (
+  SELECT doc_id, sum(n)::BIGINT AS total FROM bags GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS common FROM bags a JOIN bags b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY x, y
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE common * 5 >= 4 * (s.total + t.total - common)
+  UNION ALL SELECT (SELECT min(doc_id) FROM texts WHERE len(words) = 0), doc_id FROM texts WHERE len(words) = 0
+), both_ways AS (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM texts UNION SELECT r.doc_id, b.y FROM reached r JOIN both_ways b ON r.other = b.x
+), classes AS (
+  SELECT doc_id, min(other) AS class_id FROM reached GROUP BY doc_id
+)
+SELECT c.doc_id, class_id, c.doc_id = class_id AS kept, coalesce(total, 0)::BIGINT AS n_shingles FROM classes c LEFT JOIN sizes s ON s.doc_id = c.doc_id
+"""
+
 _OP3 = r"""
 WITH normal AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
@@ -158,4 +183,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mixing": _OP2,
     "op3_exact_dedup": _OP3,
     "op6_chat_formatting": _OP6,
+    "op10_minhash_near_dedup": _OP10,
 }
