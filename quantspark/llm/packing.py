@@ -31,7 +31,7 @@ LENGTH = 2048
 END_ID = 1
 WINDOWS = 32
 LEAST_CUT = 8
-FAN_IN = 64
+FAN_IN = 16
 
 PIECE = pa.schema(
     [pa.field(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
