@@ -170,6 +170,18 @@ def test_quality_verdicts(spark):
     assert all(good) and np.mean(junk) < 0.4
 
 
+def test_quality_bands(spark):
+    """Of the junk that passes the base rules at most a tenth is kept, and each measure can reject by itself."""
+    d = "/root/testdata/sf0.01"
+    rows = quality.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    good, junk = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert all(good) and len(junk) > 20 and np.mean(junk) <= 0.1
+    limits = spark.createDataFrame([("en", 2.2, 0.0, 0.88, 0.42, 0.0, 0.1)], "band string, " + ", ".join(f"{m}_{x} double" for x in ("centre", "scale") for m in quality.MEASURES))
+    texts = [(0, 2.2, 0.0, 0.88), (1, 2.0, 0.0, 0.88), (2, 2.2, 0.06, 0.88), (3, 2.2, 0.0, 0.855)]
+    measured = spark.createDataFrame([("en", 1000, 0, *t) for t in texts], "lang string, n_words long, n_repeat_words long, id int, " + ", ".join(f"{m} double" for m in quality.MEASURES))
+    assert [r.kept for r in quality.judge(measured, limits).orderBy("id").collect()] == [True, False, False, False]
+
+
 def test_fertility_against_the_vocabulary(spark):
     import sentencepiece
 
