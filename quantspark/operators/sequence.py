@@ -23,11 +23,11 @@ def paragraphs(df: DataFrame, keys: list[str], order: list[str], is_break: Colum
     return df.withColumn("par_idx", F.sum(F.when(is_break, 1).otherwise(0)).over(upto).cast("int"))
 
 
-def with_context(df: DataFrame, keys: list[str], order: list[str], text: str = "text", most: int = 50) -> DataFrame:
-    """Texts before and after each row within its key, at most ``most`` on either side."""
+def with_context(df: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
+    """All texts before and after each row within its key; their size grows with the square of a key's rows."""
     by = Window.partitionBy(*keys).orderBy(*order)
-    before = F.collect_list(text).over(by.rowsBetween(-most, -1))
-    after = F.collect_list(text).over(by.rowsBetween(1, most))
+    before = F.collect_list(text).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.collect_list(text).over(by.rowsBetween(1, Window.unboundedFollowing))
     return df.withColumns({"before": before, "after": after})
 
 

@@ -32,9 +32,11 @@ def sentences(pages: DataFrame, facts: DataFrame) -> DataFrame:
     text = some.select(F.col("id").alias("page_id"), "title", full_text(runs, sides).alias("text"))
     split = text.select("page_id", "title", "text", F.posexplode(sentence_spans("text")).alias("sent_idx", "s"))
     rows = split.select("page_id", "title", "sent_idx", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("sentence"))
-    rows = paragraphs(rows, ["page_id"], ["sent_idx"], F.trim("sentence") == "")
-    rows = rows.where((F.size(F.split(F.trim("sentence"), r"\s+")) >= 3))
+    blank = F.col("sentence").rlike(r"^\s*$")
+    rows = paragraphs(rows, ["page_id"], ["sent_idx"], blank).where(~blank)
+    # Short sentences state no facts, but are context of others.
     rows = with_context(rows, ["page_id", "par_idx"], ["sent_idx"], "sentence")
+    rows = rows.where((F.size(F.split(F.trim("sentence"), r"\s+")) >= 3))
     return rows.withColumn("numbers", number_spans("sentence"))
 
 

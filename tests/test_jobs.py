@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantspark import cli, schemas
-from quantspark.operators import frequency, graph_patterns, statements
+from quantspark.operators import frequency, graph_patterns, sequence, statements
 from quantspark.plans import catalogue, context, parse, quantity, unit_frequencies
 from quantspark.sources import dump, endpoint, tables
 from quantspark.streaming import pages as page_stream
@@ -111,6 +111,22 @@ def test_context_reasons(spark):
     assert context.dataset(pages.limit(0), facts, labels, conversions).count() == 0
 
 
+def test_context_is_the_whole_paragraph(spark):
+    """All sentences of the paragraph, short ones too, and none of other paragraphs."""
+    _, facts, labels, conversions = catalogue.mini_corpus(spark)
+    early, late = [f"Line {k} says nothing." for k in range(60)], ["Too short.", *[f"Row {k} says nothing." for k in range(60)]]
+    body = " ".join([*early, "The Iron Tower has a height of 324 metres.", *late])
+    pages = spark.createDataFrame([(1, "T", [["Some other paragraph is here.", body, "A last one ends the page."]], [])], schemas.PAGES_PARSED)
+    rows = [r for r in context.examples(pages, facts, labels, conversions).collect() if "324" in r.sentence]
+    assert rows and all((r.context.before, r.context.after) == (early, late) for r in rows)
+
+
+def test_with_context_has_no_cap(spark):
+    rows = sequence.with_context(spark.range(130).select((F.col("id") % 2).alias("k"), "id", F.col("id").cast("string").alias("text")), ["k"], ["id"]).collect()
+    for r in rows:
+        assert (r.before, r.after) == ([str(n) for n in range(r.k, r.id, 2)], [str(n) for n in range(r.id + 2, 130, 2)])
+
+
 def test_coreference_and_coordinates(spark):
     from quantspark.operators.matching import find_coordinates
 
