@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions and JVM learners alone.
 
-Candidates are words that hold a long run of key-like characters, or any value after a credential name. Each is
+Candidates are all long runs of key-like characters with a digit, and any value after a credential name; a word
+without blanks, as in minified JSON or a query string, can hold many. Each is
 described by its length, its transitions between classes of characters, its variety, how much of it dictionary words
 cover, the path of its document and the words around it. A random forest, trained from labelled findings, tells
 secrets from checksums, identifiers, card and version numbers and placeholders.
@@ -26,6 +27,9 @@ PLACEHOLDER = r"(?i)(example|placeholder|dummy|changeme|your|sample|xxxx|\*\*\*|
 TEST_PATH = r"(?i)(test|example|mock|fixture|sample|doc|readme)"
 KEY_RUN = r"[A-Za-z0-9+/_=\-]{16,}"
 VALUE = r"[\x22\x27]?([^\x22\x27\s,;]{8,})"
+#: A whole run with a digit; a credential's name with its value, which ends at its quote or before the next name of a query.
+DIGIT_RUN = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*[0-9])" + KEY_RUN
+NAMED_VALUE = CREDENTIAL + r"[\x22\x27]?[=:](?:[\x22\x27][^\x22\x27\s]{8,}|(?:(?!&[\w.\-]+=)[^\x22\x27\s,;]){8,})"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words of which identifiers and prose are made (fixed values).
 DICTIONARY = "the and for with from this that not are was have you all can get set new old add put run map key list name type data file path user test item node text line code size time date year month week hour start end open close read write send load save make take give find show hide move copy call back next last first left right upper lower index value count total result error debug info warn config option default public private static class function method object string number array table column query request response server client service session cookie header footer button widget window screen image video audio token hash version release update create delete remove insert select order group where limit und der die das ein eine mit von zu ist nicht auch les des une pour par que est pas dans sur con los las una para por del como"
@@ -47,22 +51,39 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     def word(at: Column) -> Column:
         return F.coalesce(F.get("words", at), F.lit(""))
 
-    def named(i: Column) -> Column:
+    def announced(i: Column) -> Column:
         """Whether the words before say that a value follows."""
-        return (word(i - 1).rlike("[=:]$") & F.concat(word(i - 2), word(i - 1)).rlike(CREDENTIAL)) | F.get("words", i).rlike(CREDENTIAL + "[=:]")
+        return word(i - 1).rlike("[=:]$") & F.concat(word(i - 2), word(i - 1)).rlike(CREDENTIAL)
 
     def marked(w: Column, i: Column) -> Column:
-        is_key = w.rlike(KEY_RUN) & w.rlike("[0-9]")
-        return F.when(is_key | ((F.length(w) >= 8) & named(i)), i)
+        return F.when(w.rlike(DIGIT_RUN) | w.rlike(NAMED_VALUE) | ((F.length(w) >= 8) & announced(i)), i)
+
+    def finding(candidate: Column, ahead: Column, behind: Column, first: Column) -> Column:
+        """A candidate with the quotes around it, and the text of its word just before it."""
+        opening, closing = F.regexp_extract(ahead, r"[\x22\x27]$", 0), F.regexp_extract(behind, r"^[\x22\x27]", 0)
+        return F.struct(candidate.alias("candidate"), F.concat(opening, candidate, closing).alias("raw"), F.regexp_replace(ahead, r"[\x22\x27]$", "").alias("ahead"), first.alias("first"))
+
+    def named_values(gap: Column, first: Column) -> Column:
+        def split(m: Column) -> Column:
+            name = F.regexp_extract(m, r"^[^=:]*[=:][\x22\x27]?", 0)
+            return finding(F.substring(m, F.length(name) + 1, F.length(m)), name, F.regexp_extract(name, r"[\x22\x27]$", 0), first)
+
+        return F.transform(F.regexp_extract_all(gap, F.lit(f"({NAMED_VALUE})"), F.lit(1)), split)
 
     places = F.filter(F.transform("words", marked), lambda i: i.isNotNull())
     found = words.select("doc_id", "path", "words", F.explode(places).alias("place"))
-    place, raw = F.col("place"), F.get("words", F.col("place"))
-    run = F.regexp_extract(raw, f"({KEY_RUN})", 1)
-    value = F.regexp_extract(F.regexp_replace(raw, "^[^=:]*[=:]", ""), VALUE, 1)
-    candidate = F.when(run.rlike("[0-9]"), run).otherwise(value)
-    before = F.concat_ws(" ", *[word(place - k) for k in (3, 2, 1)])
-    out = found.select("doc_id", "place", candidate.alias("candidate"), raw.alias("raw"), before.alias("before"), word(place + 1).alias("after"), "path")
+    place = F.col("place")
+    found = found.withColumn("word", F.get("words", place))
+    found = found.withColumns({"runs": F.regexp_extract_all("word", F.lit(f"({DIGIT_RUN})"), F.lit(1)), "gaps": F.split("word", DIGIT_RUN, -1)})
+    in_runs = F.transform("runs", lambda run, k: finding(run, F.get("gaps", k), F.get("gaps", k + 1), k == 0))
+    in_gaps = F.flatten(F.transform("gaps", lambda gap, k: named_values(F.when(k < F.size("runs"), F.regexp_replace(gap, "&$", "")).otherwise(gap), k == 0)))
+    value = F.regexp_extract(F.regexp_replace("word", "^[^=:]*[=:]", ""), VALUE, 1)
+    whole = F.struct(value.alias("candidate"), F.col("word").alias("raw"), F.lit("").alias("ahead"), F.lit(True).alias("first"))
+    found = found.withColumn("all", F.concat(in_runs, in_gaps))
+    found = found.withColumn("c", F.explode(F.when(F.size("all") > 0, F.col("all")).otherwise(F.array(whole))))
+    earlier = F.when(F.col("c.first"), F.concat_ws(" ", *[word(place - k) for k in (3, 2, 1)]))
+    before = F.concat_ws(" ", earlier, F.nullif(F.col("c.ahead"), F.lit("")))
+    out = found.select("doc_id", "place", "c.candidate", "c.raw", before.alias("before"), word(place + 1).alias("after"), "path")
     return out.where("candidate <> ''")
 
 
