@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm.store import cut, discard, fresh_path
+from quantspark.llm.store import cut, discard, fresh_path, stored
 
 #: State lives on disk, and an executor closes a partition's state once its task has committed it to the shared folder.
 STATE_CONF = {
@@ -79,7 +79,7 @@ def _differing(docs: DataFrame, grouped: DataFrame, digest: Callable[[Column], C
     spark = docs.sparkSession
     hits = grouped.where("group_size > 1").select("doc_id", "digest", "keep_id").distinct()
     found = _texts(docs, digest).alias("t").join(hits.alias("h"), F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.digest") == F.col("h.digest")))
-    found.select("t.*", "h.keep_id").write.option("compression", "zstd").parquet(path)
+    stored(found.select("t.*", "h.keep_id"), path)
     texts = spark.read.schema("doc_id long, digest string, body string, keep_id long").parquet(path)
     first = cut(texts.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("body").alias("first_body")))
     return cut(texts.join(first, "digest").where("body <> first_body").select("digest"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.llm.bagminhash import bags, signatures
-from quantspark.llm.store import cut, discard, fresh_path
+from quantspark.llm.store import cut, discard, fresh_path, stored
 from quantspark.llm.words import BASE, BASE2, Words, chunks, mix, prefix, ranges, shingles
 from quantspark.session import ship
 
@@ -169,7 +169,7 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
     keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("doc_id", "text").alias("h"), "text")
     path = fresh_path(spark, "near-texts")
     found = wanted.join(keyed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-    found.select("node", "text").write.option("compression", "zstd").parquet(path)
+    stored(found.select("node", "text"), path)
     texts = spark.read.schema("node long, text string").parquet(path).dropDuplicates(["node"]) if _repeats(wanted, path) else spark.read.schema("node long, text string").parquet(path)
     def compare(live: DataFrame, used: int, upto: int, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Verified links, and all pairs that were compared, of hubs from place ``used`` to ``upto``."""
