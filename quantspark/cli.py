@@ -5,9 +5,14 @@ from __future__ import annotations
 import argparse
 import logging
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from quantspark import session
+from quantspark.operators import frequency
+from quantspark.operators.coreference import BACK_ENDS
 from quantspark.operators.statements import stop_words
-from quantspark.plans import context, knowledge, parse, quantity, unit_frequencies
+from quantspark.plans import context, knowledge, parse, quantity, statistics, unit_frequencies
 from quantspark.sources import tables
 from quantspark.sources.dump import DumpJob
 
@@ -30,17 +35,42 @@ def parser() -> argparse.ArgumentParser:
     f = sub.add_parser("unit-frequencies", help="how often units are named")
     for name in ("pages", "knowledge", "output"):
         f.add_argument(f"--{name}", required=True)
-    f.add_argument("--modes", nargs="+", choices=tuple(unit_frequencies.LIMITS), default=list(unit_frequencies.LIMITS))
+    f.add_argument("--modes", nargs="+", choices=unit_frequencies.MODES, default=list(unit_frequencies.MODES))
     f.add_argument("--limits", nargs="+", type=int)
     d = sub.add_parser("datasets", help="quantity and context datasets")
     for name in ("pages", "knowledge", "output"):
         d.add_argument(f"--{name}", required=True)
     d.add_argument("--skip-quantities", action="store_true")
     d.add_argument("--skip-context", action="store_true")
+    d.add_argument("--unit-frequencies", help="what the unit-frequencies command wrote")
+    d.add_argument("--frequent-percent", type=int, default=50)
+    d.add_argument("--remove-infrequent-units", action="store_true")
+    d.add_argument("--coreference", choices=tuple(BACK_ENDS), default="head_noun")
     d.add_argument("--dropped", help="also write dropped examples here")
+    d.add_argument("--statistics", help="also write counts of reasons here")
     return top
 
 
+def datasets(spark: SparkSession, pages: DataFrame, known: dict[str, DataFrame], args: argparse.Namespace) -> None:
+    """Both datasets, their dropped examples and statistics; all examples are made once and read again."""
+    conversions, frequent, made = known["unit_conversions"], None, {}
+    if args.unit_frequencies:
+        counted = tables.read_frequencies(spark, args.unit_frequencies).groupBy("qid").agg(F.max("n").alias("n"))
+        frequent = frequency.frequent_aliases(frequency.top(counted, args.frequent_percent), known["labels"])
+        conversions = frequency.excluded(conversions, counted, frequency.unlabelled(counted.select("qid"), known["labels"]), args.remove_infrequent_units)
+    if not args.skip_quantities:
+        made["quantity"] = tables.cut(quantity.examples(pages))
+        tables.write_examples(made["quantity"].where("drop_reason IS NULL").drop("drop_reason"), f"{args.output}/quantity", ["quantities"])
+    if not args.skip_context:
+        made["context"] = tables.cut(context.examples(pages, known["facts"], known["labels"], conversions, frequent, args.coreference))
+        tables.write_json_lines(context.reconciled_dataset(made["context"]), f"{args.output}/context")
+    if args.dropped:
+        for name, examples in made.items():
+            tables.write_dropped(examples, f"{args.dropped}/{name}")
+    if args.statistics and made:
+        tables.write_json_lines(statistics.dataset_statistics(pages, made), args.statistics)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     logging.basicConfig(level=args.log_level, format="%(asctime)s %(levelname)s %(message)s")
@@ -58,12 +88,7 @@ def main(argv: list[str] | None = None) -> None:
         counted.write.parquet(args.output)
     else:
         pages, known = tables.read_pages(spark, args.pages), tables.read_knowledge(spark, args.knowledge)
-        if not args.skip_quantities:
-            tables.write_json_lines(quantity.dataset(pages), f"{args.output}/quantity")
-        if not args.skip_context:
-            tables.write_json_lines(context.dataset(pages, known["facts"], known["labels"], known["unit_conversions"]), f"{args.output}/context")
-            if args.dropped:
-                tables.write_dropped(context.examples(pages, known["facts"], known["labels"], known["unit_conversions"]), args.dropped)
+        datasets(spark, pages, known, args)
     log.info("%s: done", args.command)
 
 

@@ -285,6 +285,12 @@ def parse_number(text: Column) -> Column:
     return F.coalesce(parse_plain(text), F.when(rest.isNotNull(), _parse_udf(rest)))
 
 
+@F.pandas_udf(T.StringType())
+def nfkc_digits(texts: pd.Series) -> pd.Series:
+    """``normalised_digits`` of each text."""
+    return texts.map(lambda t: None if t is None else normalised_digits(t))
+
+
 @F.pandas_udf(SPAN)
 def number_spans(texts: pd.Series) -> pd.Series:
     """Spans of numbers (character offsets from 0) of each text."""

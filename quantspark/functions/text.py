@@ -187,6 +187,17 @@ def enclosed(text: str, opening: str = "(", closing: str = ")") -> list[tuple[in
     return sorted(spans)
 
 
+@F.pandas_udf(SPAN)
+def bracketed(texts: pd.Series) -> pd.Series:
+    """The spans of all balanced brackets."""
+    return texts.map(lambda t: [{"start": a, "end": b} for a, b in enclosed(t or "")])
+
+
+@F.pandas_udf(T.StringType())
+def cleaned_template(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else clean_template(t))
+
+
 def is_of_which(text: Column, start: Column) -> Column:
     """Whether the text before ``start`` ends in "of which", so that a share follows."""
     return F.substring(text, F.lit(1), start).rlike(r" of which,? $")

@@ -8,12 +8,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantspark.functions import vocab
-from quantspark.functions.numbers import SPAN, find_dates, find_numbers
+from quantspark.functions.numbers import SPAN, date_spans, find_dates, merged, number_spans
 
 TOKEN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("lemma", T.StringType()), T.StructField("pos", T.StringType()), T.StructField("head", T.IntegerType())])
 TOKENS = T.ArrayType(TOKEN)
@@ -93,9 +93,29 @@ def annotated(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: tokens(t or ""))
 
 
+def lemma_of(word: Column) -> Column:
+    """``lemma`` in SQL."""
+    w = F.lower(word)
+    irregular = F.create_map(*[F.lit(x) for pair in _IRREGULAR.items() for x in pair])
+    size = F.length(w)
+    plural = w.endswith("s") & ~w.rlike("(ss|us|is)$")
+    by_rule = (
+        F.when((size > 4) & w.endswith("ies"), F.concat(F.substring(w, F.lit(1), size - 3), F.lit("y")))
+        .when((size > 4) & w.rlike("(ss|x|ch|sh)es$"), F.substring(w, F.lit(1), size - 2))
+        .when((size > 3) & plural, F.substring(w, F.lit(1), size - 1)).otherwise(w)
+    )
+    return F.coalesce(F.try_element_at(irregular, w), by_rule)
+
+
 def lemmas(text: Column) -> Column:
-    """Lower-case words in SQL, for plain phrase joins."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """The lower-case lemmas of a text's words, in SQL."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lemma_of)
+
+
+def components(df: DataFrame, text: str, wanted: tuple[str, ...]) -> DataFrame:
+    """``df`` with the annotations that a task asks for, and no others: tokens, numbers, dates, entities."""
+    made = {"tokens": annotated, "numbers": number_spans, "dates": date_spans, "entities": whitelisted}
+    return df.withColumns({name: made[name](text) for name in wanted})
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -118,9 +138,9 @@ def whitelisted(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b} for a, b, label in entities(t or "") if label in NUMBER_WHITELIST])
 
 
-def count_noun(text: str, value: tuple[int, int], frequent: set[str]) -> tuple[int, int] | None:
+def count_noun(text: str, value: tuple[int, int], frequent: set[str] | frozenset[str], toks: list[dict] | None = None) -> tuple[int, int] | None:
     """The noun right of a numeral that is counted, with ``per NOUN`` after it; None if that noun is a frequent unit."""
-    toks = tokens(text)
+    toks = tokens(text) if toks is None else toks
     after = [k for k, t in enumerate(toks) if t["start"] >= value[1]]
     if not after:
         return None
@@ -140,18 +160,44 @@ def count_noun(text: str, value: tuple[int, int], frequent: set[str]) -> tuple[i
     return toks[k]["start"], toks[end]["end"]
 
 
-def expanded(text: str, span: tuple[int, int], tag: str, taken: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """A phrase hit with adjacent modifiers, an entity also with its proper nouns; clipped or dropped where taken."""
-    toks = tokens(text)
+def modifiers(toks: list[dict], name: bool = False) -> dict[int, list[int]]:
+    """Head noun -> its modifiers in one run left of it: adjectives and nouns, for a ``name`` proper nouns too."""
+    kinds, found = ("ADJ", "NOUN", "PROPN") if name else ("ADJ", "NOUN"), {}
+    for k, t in enumerate(toks):
+        if t["pos"] not in ("NOUN", "PROPN"):
+            continue
+        low = k
+        while low > 0 and toks[low - 1]["pos"] in kinds:
+            low -= 1
+        if low < k:
+            found[k] = list(range(low, k))
+    return found
+
+
+def _covered(t: dict, spans: list[tuple[int, int]]) -> bool:
+    return any(a < t["end"] and t["start"] < b for a, b in spans)
+
+
+def expanded(text: str, span: tuple[int, int], tag: str, taken: list[tuple[int, int]], toks: list[dict] | None = None, units: frozenset[str] | set[str] = frozenset()) -> tuple[int, int] | None:
+    """A phrase hit with the modifiers of its first word, an entity also with the proper nouns and number after it.
+
+    It neither grows into what is ``taken`` nor into a frequent unit, a property not into ``fourth-highest``. Where it
+    overlaps what is taken it is clipped to the longer free side; inside it, it is dropped, but a property may lie in a unit.
+    """
+    toks = tokens(text) if toks is None else toks
     inner = [k for k, t in enumerate(toks) if t["start"] < span[1] and span[0] < t["end"]]
     if not inner:
         return None
     low, high = inner[0], inner[-1]
-    modifiers = ("ADJ", "NOUN", "PROPN") if tag == "entity" else ("ADJ", "NOUN")
-    while low > 0 and toks[low - 1]["pos"] in modifiers and not any(a < toks[low - 1]["end"] and toks[low - 1]["start"] < b for a, b in taken):
-        low -= 1
+    for k in reversed(modifiers(toks, tag == "entity").get(low, [])):
+        ordinal = tag == "property" and k > 1 and toks[k - 1]["text"] == "-"
+        if ordinal or toks[k]["lemma"] in units or _covered(toks[k], taken):
+            break
+        low = k
     if tag == "entity":
-        while high + 1 < len(toks) and toks[high + 1]["pos"] == "PROPN":
+        while high + 1 < len(toks) and toks[high + 1]["pos"] == "PROPN" and not _covered(toks[high + 1], taken):
+            high += 1
+        if text[toks[high]["end"] :].startswith(" CDP"):
             high += 1
     start, end = toks[low]["start"], toks[high]["end"]
     for a, b in taken:
@@ -164,16 +210,6 @@ def expanded(text: str, span: tuple[int, int], tag: str, taken: list[tuple[int,
     return (start, end) if start < end else None
 
 
-_PRONOUN = re.compile(r"^(?:It|He|She|They|This|The (?:\w+))\b")
-
-
-def coreferent(previous: str | None, sentence: str, entity: str) -> tuple[int, int] | None:
-    """The pronoun or definite phrase at the start of a sentence, if the sentence before names the entity as its subject."""
-    m = _PRONOUN.match(sentence)
-    if not m or not previous or not entity:
-        return None
-    return m.span() if previous.lower().startswith((entity.lower(), f"the {entity.lower()}")) else None
-
-
-def number_spans_of(text: str) -> list[tuple[int, int]]:
-    return find_numbers(text)
+def expanded_all(text: str, spans: list[tuple[int, int]], tag: str, taken: list[tuple[int, int]], toks: list[dict], units: frozenset[str]) -> list[tuple[int, int]]:
+    """All hits of a tag, expanded; those that then touch are one."""
+    return merged([s for h in spans if (s := expanded(text, h, tag, taken, toks, units))])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.functions.numbers import parse_plain
-from quantspark.operators.annotate import lemmas
+from quantspark.operators.annotate import annotated, lemmas
 
 MAX_BROADCAST_PHRASES = 200_000
 
@@ -35,6 +35,49 @@ def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, text: str
     return runs.join(F.broadcast(phrases) if longest[1] <= MAX_BROADCAST_PHRASES else phrases, "phrase")
 
 
+def lemma_phrases(aliases: DataFrame, column: str = "alias") -> DataFrame:
+    """Aliases with their lemmas as ``phrase`` and how many these are as ``n_words``; aliases without a word are left out.
+
+    Each distinct alias is annotated once, by the annotator that also makes the tokens of sentences.
+    """
+    named = aliases.select(column).distinct().withColumn("__t", annotated(column))
+    named = named.select(column, F.transform("__t", lambda t: t["lemma"]).alias("__w")).where(F.size("__w") > 0)
+    return aliases.join(named.select(column, F.array_join("__w", " ").alias("phrase"), F.size("__w").alias("n_words")), column)
+
+
+def token_runs(sentences: DataFrame, keys: list[str], most: int, tokens: str = "tokens") -> DataFrame:
+    """(keys, phrase, start, end): all runs of one to ``most`` tokens by their lemmas."""
+    def run(i: Column, n: Column) -> Column:
+        part = F.slice(F.col(tokens), i, n)
+        return F.struct(F.array_join(F.transform(part, lambda t: t["lemma"]), " ").alias("phrase"), F.element_at(part, 1)["start"].alias("start"), F.element_at(part, -1)["end"].alias("end"))
+
+    size = F.size(tokens)
+    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), size - i + 1)), lambda n: run(i, n))))
+    return sentences.select(*keys, F.explode(runs).alias("__r")).select(*keys, "__r.*")
+
+
+def longest_first(spans: Column) -> Column:
+    """Of spans that overlap only the longest (then the first), in order."""
+    by_size = F.array_sort(spans, lambda a, b: F.coalesce(F.nullif((b["end"] - b["start"]) - (a["end"] - a["start"]), F.lit(0)), a["start"] - b["start"]))
+    pick = lambda kept, s: F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(s)))
+    return F.array_sort(F.aggregate(by_size, F.array().cast("array<struct<start:int,end:int>>"), pick))
+
+
+def alias_spans(sentences: DataFrame, keys: list[str], aliases: DataFrame, most: int | None = None) -> DataFrame:
+    """(keys, kind, uri, spans): where sentences (keys, tokens) name a resource of ``aliases`` (kind, uri, alias).
+
+    An equi-join on runs of lemmas; where aliases of one resource overlap the longest stays.
+    """
+    phrases = lemma_phrases(aliases.select("kind", "uri", "alias").distinct())
+    most = most or phrases.agg(F.max("n_words")).first()[0] or 1
+    runs = token_runs(sentences, keys, most)
+    hits = runs.join(phrases.select("kind", "uri", "phrase").distinct(), "phrase")
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    found = hits.groupBy(*keys, "kind", "uri").agg(F.collect_set(span).alias("spans"))
+    return found.select(*keys, "kind", "uri", longest_first(F.col("spans")).alias("spans"))
+
+
 def unit_frequencies(texts: DataFrame, keys: list[str], units: DataFrame, labels: DataFrame, stop: DataFrame) -> DataFrame:
     """(qid, n) of all labelled ``units`` (qid): occurrences of their aliases, zero where there is none."""
     aliases = units.join(labels.where("kind = 'units'"), F.col("qid") == F.col("uri")).select(F.col("qid").alias("id"), F.col("alias").alias("phrase"))
@@ -83,10 +126,10 @@ def excluded(conversions: DataFrame, frequencies: DataFrame, without_labels: Dat
     return out.select(*conversions.columns)
 
 
-def pages_to_analyse(pages: DataFrame, limit: int, quantities_only: bool = False) -> DataFrame:
-    """The first pages by id; with ``quantities_only`` only pages that have quantities count."""
+def pages_to_analyse(pages: DataFrame, limit: int | None = None, quantities_only: bool = False) -> DataFrame:
+    """All pages, or the first ``limit`` by id; with ``quantities_only`` only pages that have quantities count."""
     some = pages.where(F.size("quantities") > 0) if quantities_only else pages
-    return some.orderBy("id").limit(limit)
+    return some if limit is None else some.orderBy("id").limit(limit)
 
 
 def page_totals(pages: DataFrame) -> DataFrame:

@@ -85,6 +85,13 @@ def property_catalogue(triples: DataFrame, kind: str = "wikibase:Quantity", only
     return labels(triples, typed).groupBy(F.col("item").alias("property")).agg(F.array_sort(F.collect_set("label")).alias("labels"))
 
 
+def constant_catalogue(triples: DataFrame, kind: str = "wd:Q173227", lang: str = "en") -> DataFrame:
+    """(item, label, alt_label): instances of a class with their label, and a row for each other name (null without one)."""
+    items = pattern(triples.where(F.col("o") == kind), "wdt:P31", "item", "class").select("item").distinct()
+    named = in_language(triples, lang)
+    return optional(optional(items, pattern(named, LABEL, "item", "label")), pattern(named, ALT_LABEL, "item", "alt_label"))
+
+
 def descendants(triples: DataFrame, predicate: str, roots: DataFrame) -> DataFrame:
     """(root, node): everything that a chain of ``predicate`` leads from to a root, the root included.
 

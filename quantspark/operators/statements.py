@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,18 @@ def upsert(cached: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return cached.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def read_through(requested: DataFrame, cached: DataFrame, key: str, fetch: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
+    """The cache after a request: ``fetch`` gets the keys that it lacks, or all of them with ``force``."""
+    wanted = requested.select(key).distinct() if force else missing(requested, cached, key)
+    return upsert(cached, fetch(wanted), key)
+
+
+def facts_by_page(facts: DataFrame) -> DataFrame:
+    """(page_id, facts): each page's facts as an array in the order of fact_id; for documents that list them so."""
+    rest = [c for c in facts.columns if c not in ("page_id", "fact_id")]
+    return facts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("fact_id", *rest))).alias("facts"))
+
+
 def final_titles(titles: DataFrame, normalised: DataFrame, redirected: DataFrame) -> DataFrame:
     """Titles through normalisation and redirects (each a table source, target)."""
     step = titles

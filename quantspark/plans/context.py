@@ -6,6 +6,8 @@ once, for pages with facts only; each drop carries its reason.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,9 @@ from quantspark.functions.numbers import SPAN, date_spans, number_spans, parse_n
 from quantspark.functions.spans import substring
 from quantspark.functions.text import full_text, sentence_spans
 from quantspark.operators import filters, matching
-from quantspark.operators.annotate import coreferent, tokens
+from quantspark.operators.annotate import components, count_noun, expanded_all
+from quantspark.operators.coreference import stand_in
+from quantspark.operators.frequency import alias_spans
 from quantspark.operators.sequence import paragraphs, with_context
 from quantspark.session import ship
 from quantspark.sources.tables import cut
@@ -47,89 +51,117 @@ def stated_numbers(found: DataFrame) -> DataFrame:
     return rows.withColumn("value", parse_number(F.col("text"))).where("value IS NOT NULL")
 
 
-def phrase_spans(text: str, aliases: list[str]) -> list[tuple[int, int]]:
-    """Whole-word occurrences of aliases by lemma, longest aliases first, without overlaps."""
-    toks = tokens(text)
-    lemmas, found = [t["lemma"] for t in toks], []
-    wanted = sorted({tuple(t["lemma"] for t in tokens(a)) for a in aliases} - {()}, key=lambda w: (-len(w), w))
-    for words in wanted:
-        for k in range(len(toks) - len(words) + 1):
-            if tuple(lemmas[k : k + len(words)]) == words:
-                span = toks[k]["start"], toks[k + len(words) - 1]["end"]
-                if not any(s < span[1] and span[0] < e for s, e in found):
-                    found.append(span)
-    return sorted(found)
+def alias_hits(candidates: DataFrame, hits: DataFrame, labels: DataFrame, uri: str, kind: str, name: str) -> DataFrame:
+    """Candidates with the spans of the aliases of their ``uri`` as column ``name``, the aliases, and whether there are any."""
+    aliases = labels.where(F.col("kind") == kind).groupBy(F.col("uri").alias(uri)).agg(F.array_sort(F.collect_set("alias")).alias(f"{name}_aliases"))
+    own = hits.where(F.col("kind") == kind).select(*SENTENCE, F.col("uri").alias(uri), F.col("spans").alias(name))
+    joined = candidates.join(own, [*SENTENCE, uri], "left").join(aliases, uri, "left")
+    return joined.withColumns({name: F.coalesce(name, F.array().cast(_SPANS)), f"{name}_known": F.col(f"{name}_aliases").isNotNull()})
 
 
-@F.pandas_udf(SPAN)
-def _alias_spans(texts: pd.Series, aliases: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "end": b} for a, b in phrase_spans(t, [] if w is None else list(w))] for t, w in zip(texts, aliases, strict=True)])
+def _pairs(spans: object) -> list[tuple[int, int]]:
+    return [] if spans is None else [(s["start"], s["end"]) for s in spans if s is not None]
+
+
+def _structs(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"start": a, "end": b} for a, b in spans]
 
 
-def alias_hits(candidates: DataFrame, labels: DataFrame, uri: str, kind: str, name: str) -> DataFrame:
-    """Spans of the aliases of a candidate's ``uri`` in its sentence as column ``name``, and whether it has aliases."""
-    aliases = labels.where(F.col("kind") == kind).groupBy(F.col("uri").alias(uri)).agg(F.array_sort(F.collect_set("alias")).alias("__aliases"))
-    joined = candidates.join(aliases, uri, "left")
-    return joined.withColumns({name: _alias_spans("sentence", "__aliases"), f"{name}_known": F.col("__aliases").isNotNull()}).withColumnRenamed("__aliases", f"{name}_aliases")
+def _stand_ins(back_end: str) -> Callable[..., F.Column]:
+    @F.pandas_udf(SPAN)
+    def run(previous: pd.Series, texts: pd.Series, names: pd.Series) -> pd.Series:
+        found = [stand_in(p, t, [] if n is None else list(n), back_end) for p, t, n in zip(previous, texts, names, strict=True)]
+        return pd.Series([_structs([f] if f else []) for f in found])
+
+    return run
 
 
 @F.pandas_udf(SPAN)
-def _coreferent_spans(previous: pd.Series, texts: pd.Series, aliases: pd.Series) -> pd.Series:
-    """The phrase at a sentence's start that stands for an entity which the sentence before is about."""
+def _count_nouns(texts: pd.Series, values: pd.DataFrame, tokens: pd.Series, units: pd.Series) -> pd.Series:
+    """The noun that a number counts, unless it is a frequent unit."""
     out = []
-    for p, t, names in zip(previous, texts, aliases, strict=True):
-        hit = next((h for n in ([] if names is None else names) if (h := coreferent(p, t, n))), None)
-        out.append([] if hit is None else [{"start": hit[0], "end": hit[1]}])
+    for text, a, b, toks, known in zip(texts, values["start"], values["end"], tokens, units, strict=True):
+        found = count_noun(text, (a, b), frozenset(known), list(toks))
+        out.append(_structs([found] if found else []))
     return pd.Series(out)
 
 
-def qualifier_hits(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """(page_id, sent_idx, fact_id, unit, tag, spans) of qualifiers that a sentence states: dates and aliases of values."""
+def _expanded(tag: str) -> Callable[..., F.Column]:
+    @F.pandas_udf(SPAN)
+    def run(texts: pd.Series, spans: pd.Series, taken: pd.Series, tokens: pd.Series, units: pd.Series) -> pd.Series:
+        rows = zip(texts, spans, taken, tokens, units, strict=True)
+        return pd.Series([_structs(expanded_all(t, _pairs(s), tag, _pairs(o), list(k), frozenset(u))) for t, s, o, k, u in rows])
+
+    return run
+
+
+def qualifier_hits(candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """(page_id, sent_idx, fact_id, unit, tag, spans) of qualifiers that a sentence states: dates, aliases of values and units."""
     rows = candidates.select(*EXAMPLE, "sentence", F.explode("qualifiers").alias("q")).withColumn("tag", matching.qualifier_tag(F.col("q.qualifier"))).where("tag IS NOT NULL")
     timed = rows.where(F.col("tag").isin(*matching.TIME_QUALIFIERS.values()))
     dated = timed.withColumn("d", F.explode(date_spans("sentence")))
     dates = dated.select(*EXAMPLE, "tag", "d", F.col("q.value").alias("value"), F.col("q.time_precision").alias("time_precision"), substring(F.col("sentence"), F.col("d")).alias("date_text"))
     stated = dates.withColumns({"known": matching.parse_known(F.col("value")), "known_precision": F.coalesce(matching.precision_of(F.col("time_precision")), F.lit("day")), "stated": matching.parse_date(F.col("date_text"))})
     in_time = stated.where(matching.same_date(F.col("known"), F.col("known_precision"), F.col("stated.at"), F.col("stated.precision"))).groupBy(*EXAMPLE, "tag").agg(F.collect_set("d").alias("spans"))
-    named = rows.where(~F.col("tag").isin(*matching.TIME_QUALIFIERS.values(), "coordinate_location")).withColumn("uri", F.col("q.value"))
-    named = alias_hits(named, labels, "uri", "qualifiers_values", "spans").where(F.size("spans") > 0).groupBy(*EXAMPLE, "tag").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    named = rows.where(~F.col("tag").isin(*matching.TIME_QUALIFIERS.values(), "coordinate_location"))
+    uris = F.filter(F.array(F.struct(F.lit("qualifiers_values").alias("kind"), F.col("q.value").alias("uri")), F.struct(F.lit("qualifiers_units").alias("kind"), F.col("q.unit").alias("uri"))), lambda u: u["uri"].isNotNull())
+    named = named.select(*EXAMPLE, "tag", F.inline(uris)).join(hits, [*SENTENCE, "kind", "uri"])
+    named = named.groupBy(*EXAMPLE, "tag").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     placed = rows.where(F.col("tag") == "coordinate_location").withColumn("spans", matching.coordinate_spans("sentence", F.col("q.value")))
     placed = placed.where(F.size("spans") > 0).groupBy(*EXAMPLE, "tag").agg(F.first("spans").alias("spans"))
     return in_time.unionByName(named).unionByName(placed)
 
 
-def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: list[str] | None = None) -> DataFrame:
+def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: DataFrame | None = None, back_end: str = "head_noun") -> DataFrame:
     """All candidates with annotations and the reason for which each is dropped, if any.
 
-    ``frequent_units`` are the aliases of frequent units (a report-sized list), next to which a value isn't the fact's.
+    ``frequent_units`` (alias) are names of frequent units, next to which a value isn't the fact's and which no phrase
+    grows into. ``back_end`` names the coreference. Aliases of all kinds are found by one equi-join on runs of lemmas,
+    in candidates' sentences alone, each of which is annotated once.
     """
     ship(pages.sparkSession)
     found = cut(sentences(pages, facts))
     targets = matching.variants(facts, conversions, labels.where("kind = 'units'"))
     matches = matching.value_matches(stated_numbers(found), targets, ["page_id"])
-    unique = matching.unique_values(matches.select(*EXAMPLE, "span", "text", "value", "deviation", "by_rounding", "is_count", "is_temperature", "inside"), EXAMPLE, F.col("n_exact") >= 0)
-    cand = unique.join(found.select(*SENTENCE, "title", "sentence", "numbers", "before", "after"), SENTENCE)
+    unique = matching.unique_values(matches.select(*EXAMPLE, "span", "text", "value", "deviation", "by_rounding", "is_count", "is_temperature", "inside"), EXAMPLE, ~F.col("m.is_count"))
+    some = found.join(unique.select(*SENTENCE).distinct(), SENTENCE, "left_semi")
+    some = cut(components(some, "sentence", ("tokens",)))
+    wanted = labels.where(F.col("kind").isin("entities", "properties", "units", "qualifiers_values", "qualifiers_units"))
+    if frequent_units is not None:
+        wanted = wanted.select("kind", "uri", "alias").unionByName(frequent_units.select(F.lit("frequent").alias("kind"), F.lit("frequent").alias("uri"), "alias"))
+    hits = cut(alias_spans(some.select(*SENTENCE, "tokens"), SENTENCE, wanted))
+    cand = unique.join(some.select(*SENTENCE, "title", "sentence", "tokens", "numbers", "before", "after"), SENTENCE)
     cand = cand.join(facts.select("page_id", "fact_id", "entity", "property", F.col("value").alias("fact_value"), F.col("unit").alias("fact_unit"), "qualifiers"), ["page_id", "fact_id"])
     for uri, kind, name in (("entity", "entities", "entity_spans"), ("property", "properties", "property_spans"), ("unit", "units", "unit_spans")):
-        cand = alias_hits(cand, labels, uri, kind, name)
+        cand = alias_hits(cand, hits, labels, uri, kind, name)
+    frequent = hits.where("kind = 'frequent'").select(*SENTENCE, F.col("spans").alias("frequent"))
+    cand = cand.join(frequent, SENTENCE, "left").withColumn("frequent", F.coalesce("frequent", F.array().cast(_SPANS)))
+    near = F.filter("tokens", lambda t: F.exists("frequent", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    cand = cand.withColumn("frequent_lemmas", F.array_distinct(F.transform(near, lambda t: t["lemma"])))
     value = F.col("span")
-    cand = cut(cand)
+    nouns = _count_nouns("sentence", "span", "tokens", "frequent_lemmas")
+    cand = cut(cand.withColumn("unit_spans", F.when(F.col("is_count"), nouns).otherwise(F.col("unit_spans"))))
     cand = cand.withColumn("unit_span", matching.unit_choice(F.col("unit_spans"), value))
+    taken = F.filter(F.array(value, F.col("unit_span")), lambda s: s.isNotNull())
+    for tag in ("property", "entity"):
+        # A property may lie inside a unit.
+        beside = F.array(value) if tag == "property" else taken
+        cand = cand.withColumn(f"{tag}_spans", _expanded(tag)("sentence", f"{tag}_spans", beside, "tokens", "frequent_lemmas"))
+    cand = cut(cand)
     known = F.col("entity_spans_known") & F.col("property_spans_known")
     after = F.substring("sentence", F.col("span.end") + 1, 10)
     rare = filters.is_rare(F.col("text"), F.col("deviation"), F.col("is_count"), after)
     must = F.array(value, F.col("unit_span"))
     # An entity that only the sentence before names: for exact values of a named property that aren't counts.
     apart = ~F.col("is_count") & (F.col("deviation") == 0) & (F.size("property_spans") > 0) & (F.size("entity_spans") == 0)
-    stand_in = _coreferent_spans(F.try_element_at("before", F.lit(-1)), F.col("sentence"), F.col("entity_spans_aliases"))
-    cand = cand.withColumn("stand_in", stand_in).withColumn("by_coreference", apart & (F.size("stand_in") > 0))
+    mention = _stand_ins(back_end)(F.try_element_at("before", F.lit(-1)), F.col("sentence"), F.col("entity_spans_aliases"))
+    cand = cand.withColumn("stand_in", mention).withColumn("by_coreference", apart & (F.size("stand_in") > 0))
     cand = cand.withColumn("entity_spans", F.when(F.col("by_coreference"), F.col("stand_in")).otherwise(F.col("entity_spans")))
     for name in ("property_spans", "entity_spans"):
         cand = cand.withColumn("__r", filters.reduced("sentence", name, must)).withColumns({name: F.col("__r.spans"), f"{name}_reason": F.col("__r.reason")}).drop("__r")
     no_unit = ~F.col("is_count") & F.col("unit_span").isNull()
     nothing = F.array().cast(_SPANS)
-    frequent = _alias_spans("sentence", F.array(*[F.lit(u) for u in frequent_units])) if frequent_units else nothing
-    cand = cut(cand.withColumn("frequent", frequent))
+    cand = cut(cand)
     reason = F.coalesce(
         F.when(~known, "missing_alias_for_entity_or_property"), F.col("drop_reason"), filters.value_drop_reason(F.col("sentence"), value),
         F.when(no_unit & (F.size("unit_spans") > 1), "multiple_units_adjecent_to_value"), F.when(no_unit, "no_unit"),
@@ -138,8 +170,8 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
         F.when(filters.mixes_dimensions(F.col("sentence"), F.col("property"), value, F.col("property_spans")), "prevent_mixing_up_height_width_and_depth"),
     )
     cand = cut(cand.withColumn("drop_reason", reason))
-    hits = qualifier_hits(cand.where("drop_reason IS NULL"), labels).groupBy(*EXAMPLE).agg(F.map_from_entries(F.collect_list(F.struct("tag", "spans"))).alias("found_qualifiers"))
-    cand = cand.join(hits, EXAMPLE, "left")
+    stated = qualifier_hits(cand.where("drop_reason IS NULL"), hits).groupBy(*EXAMPLE).agg(F.map_from_entries(F.collect_list(F.struct("tag", "spans"))).alias("found_qualifiers"))
+    cand = cand.join(stated, EXAMPLE, "left")
     small = filters.small_count_without_qualifier(F.col("value"), F.col("is_count"), F.coalesce(F.size("found_qualifiers"), F.lit(0)))
     weak = F.filter(F.array(F.when(F.col("by_rounding"), "relax_threshold_for_small_rounded_values"), F.when((F.size("property_spans") == 0) & rare, "no_property_but_rare_num_exact_match"), F.col("property_spans_reason"), F.col("entity_spans_reason"), F.when(F.col("by_coreference"), "found_entity_with_coreference_resolution")), lambda r: r.isNotNull())
     main = F.create_map(F.lit("entity"), F.col("entity_spans"), F.lit("property"), F.col("property_spans"), F.lit("value"), F.array(value), F.lit("unit"), F.when(F.col("unit_span").isNull(), nothing).otherwise(F.array(F.col("unit_span"))))
@@ -148,8 +180,13 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
     return cand.select(*SENTENCE, "title", "fact_id", "unit", "sentence", annotations.alias("annotations"), fact.alias("fact"), F.struct("before", "after").alias("context"), weak.alias("weak_accept_reasons"), F.coalesce("drop_reason", small).alias("drop_reason"))
 
 
-def dataset(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: list[str] | None = None) -> DataFrame:
+def dataset(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: DataFrame | None = None, back_end: str = "head_noun") -> DataFrame:
     """The context dataset: accepted examples after reconciliation within each sentence."""
-    accepted = examples(pages, facts, labels, conversions, frequent_units).where("drop_reason IS NULL").drop("drop_reason")
+    return reconciled_dataset(examples(pages, facts, labels, conversions, frequent_units, back_end))
+
+
+def reconciled_dataset(found: DataFrame) -> DataFrame:
+    """What is accepted of ``examples``, after reconciliation within each sentence."""
+    accepted = found.where("drop_reason IS NULL").drop("drop_reason")
     judged = filters.reconciled(accepted, SENTENCE, ["fact_id", "unit"]).where("reconcile_reason IS NULL")
     return judged.select(F.col("page_id").alias("id"), "title", "sent_idx", "sentence", "annotations", "fact", "context", "weak_accept_reasons")

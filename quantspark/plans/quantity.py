@@ -58,9 +58,8 @@ def examples(pages: DataFrame) -> DataFrame:
     some = pages.where(F.size("quantities") > 0)
     found = sentences_of(laid_out(some)).where(F.size("spans") > 0)
     words = F.size(F.split(F.trim("sentence"), r"\s+"))
-    found = found.where((words >= 3) & ~F.col("sentence").startswith("##"))
-    blacklist = [*vocab.basic_number_words(), *vocab.COLLOQUIAL, *vocab.CONSTANTS]
-    judged = found.withColumn("drop_reason", sentence_drop_reason(F.col("sentence"), F.col("spans"), whitelisted("sentence"), blacklist))
+    found = found.where((words >= 3) & ~F.col("sentence").startswith("##") & (F.col("sentence") != "\n\n"))
+    judged = found.withColumn("drop_reason", sentence_drop_reason(F.col("sentence"), F.col("spans"), whitelisted("sentence"), list(vocab.blacklisted_terms())))
     clean = judged.withColumn("clean", postprocessed("sentence", "spans"))
     return clean.select("id", "title", "sent_idx", F.col("clean.text").alias("sentence"), F.col("clean.spans").alias("quantities"), "drop_reason")
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ENDPOINT = "https://query.wikidata.org/sparql"
@@ -40,6 +42,17 @@ def repair_bindings(text: str) -> dict:
     return empty
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _repaired(texts: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([[list(row) for row in flat(repair_bindings(t), n.split(" "))] for t, n in zip(texts, names, strict=True)])
+
+
+def bindings_of(answers: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """``answers`` with a row for each binding of a stored, perhaps cut answer; its variables as columns ``names``."""
+    rows = answers.withColumn("__b", F.explode(_repaired(F.col(text), F.lit(" ".join(names)))))
+    return rows.select("*", *[F.get("__b", F.lit(k)).alias(n) for k, n in enumerate(names)]).drop("__b", text)
+
+
 def flat(answer: dict, names: list[str]) -> Iterator[tuple]:
     """Rows of an answer: the value of each variable, None where it is unbound."""
     for binding in answer.get("results", {}).get("bindings", []):

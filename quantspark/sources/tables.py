@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,33 @@ from quantspark import schemas
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the folder of ``spark.checkpoint.dir`` (a temporary one where unset)."""
+    """The same rows, computed once and kept in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quantspark-')}")
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir``; a temporary folder only under a local master."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='quantspark-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """(mode, qid, n) as the unit-frequencies job wrote it."""
+    return spark.read.schema(schemas.UNIT_FREQUENCIES).parquet(path)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Parsed pages from JSON lines; broken lines become rows of nulls and are dropped."""
     pages = spark.read.schema(schemas.PAGES_PARSED).option("mode", "PERMISSIVE").json(path)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quantspark.functions import convert, dates, formats, numbers, spans, text, units, vocab
-from quantspark.operators import annotate, filters, paths
+from quantspark.operators import annotate, coreference, filters, paths
 from quantspark.sources import endpoint
 
 NUMBER_TEXTS = [
@@ -179,7 +179,21 @@ def test_annotator():
     assert annotate.lemma("cities") == "city" and annotate.lemma("feet") == "foot"
     s = "The town has 12,345 inhabitants per mile."
     assert s[slice(*annotate.count_noun(s, (13, 19), set()))] == "inhabitants per mile" and annotate.count_noun(s, (13, 19), {"inhabitant"}) is None
-    assert annotate.coreferent("The Iron Tower is old.", "It is tall.", "Iron Tower") == (0, 2)
+    toks = annotate.tokens("The old stone bridge is long.")
+    assert annotate.modifiers(toks) == {3: [1, 2]} or annotate.modifiers(toks)[3] == [1, 2]
+    assert annotate.expanded("The old stone bridge is long.", (14, 20), "property", []) == (4, 20)
+    assert annotate.expanded("The old stone bridge is long.", (14, 20), "property", [(4, 7)]) == (8, 20)
+    assert annotate.expanded("The old stone bridge is long.", (14, 20), "property", [], units={"stone"}) == (14, 20)
+
+
+def test_coreference():
+    before = "The Iron Tower is old."
+    assert coreference.stand_in(before, "It is tall.", ["Iron Tower"]) == (0, 2)
+    assert coreference.stand_in(before, "In spring the tower is tall.", ["Iron Tower"]) == (10, 19)
+    assert coreference.stand_in(before, "In spring the tower is tall.", ["Iron Tower"], "pronoun") is None
+    assert coreference.stand_in(before, "It is tall.", ["Iron Tower"], "none") is None
+    assert coreference.stand_in("The debt, which the GDP dwarfs, is old.", "It is tall.", ["GDP"]) is None
+    assert coreference.stand_in(None, "It is tall.", ["Iron Tower"]) is None and coreference.stand_in(before, "It is tall.", ["Bridge"]) is None
 
 
 def test_ambiguity():

@@ -132,7 +132,7 @@ def test_coreference_and_coordinates(spark):
 
     _, facts, labels, conversions = catalogue.mini_corpus(spark)
     pages = spark.createDataFrame([(1, "T", [["Start here. The Iron Tower stands in a town. It has a height of 324 metres."]], [])], schemas.PAGES_PARSED)
-    rows = [r for r in context.examples(pages, facts, labels, conversions, ["mile"]).collect() if r.drop_reason is None]
+    rows = [r for r in context.examples(pages, facts, labels, conversions, spark.createDataFrame([("mile",)], "alias string")).collect() if r.drop_reason is None]
     assert [r.weak_accept_reasons for r in rows] == [["found_entity_with_coreference_resolution"]] and tuple(rows[0].annotations["entity"][0]) == (0, 2)
     assert find_coordinates("At 48.858412, 2.294500 exactly.", "Point(2.2945 48.8584)") == [(3, 12), (14, 22)]
     assert find_coordinates("At 48.8584 alone.", "Point(2.2945 48.8584)") == [] and find_coordinates("x", None) == []
