@@ -92,7 +92,7 @@ def plain_text(markup: str) -> list[str]:
     t = re.sub(r"<[^>]+>", "", t)
     t = t.replace("&nbsp;", " ").replace("&ndash;", "–").replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">")
     t = re.sub(r"^[*#:;]+\s*", "", t, flags=re.MULTILINE)
-    t = re.sub(r"^(=+)\s*(.*?)\s*\1\s*$", lambda m: "#" * len(m[1]) + " " + m[2], t, flags=re.MULTILINE)
+    t = re.sub(r"^(=+)[ \t]*(.*?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], t, flags=re.MULTILINE)
     t = re.sub(r"\(\s*[,;:]*\s*\)|__[A-Z]+__", "", t)
     t = re.sub(r"[ \t]+", " ", t)
     t = re.sub(r" +([,.;:])", r"\1", t)

@@ -28,6 +28,13 @@ EXAMPLE = [*SENTENCE, "fact_id", "unit"]
 _SPANS = "array<struct<start:int,end:int>>"
 
 
+def pages_of_interest(pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pages with quantities or facts, with ``has_quantities`` and ``has_facts``."""
+    known = facts.select(F.col("page_id").alias("id")).distinct().withColumn("has_facts", F.lit(True))
+    marked = pages.join(known, "id", "left").withColumns({"has_facts": F.coalesce("has_facts", F.lit(False)), "has_quantities": F.coalesce(F.size("quantities") > 0, F.lit(False))})
+    return marked.where("has_quantities OR has_facts")
+
+
 def sentences(pages: DataFrame, facts: DataFrame) -> DataFrame:
     """page_id, title, sent_idx, par_idx, sentence, numbers' spans, of pages that have facts."""
     some = pages.join(facts.select(F.col("page_id").alias("id")).distinct(), "id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantspark import cli, schemas
 from quantspark.operators import frequency, graph_patterns, sequence, statements
-from quantspark.plans import catalogue, context, parse, quantity, unit_frequencies
+from quantspark.plans import catalogue, catalogue_jobs, context, parse, quantity, unit_frequencies
 from quantspark.sources import dump, endpoint, tables
 from quantspark.streaming import pages as page_stream
 
@@ -167,6 +167,18 @@ def test_command_line(spark, dump_path, tmp_path):
     assert cli.parser().parse_args(["datasets", "--pages", "p", "--knowledge", "k", "--output", "o"]).skip_context is False
 
 
+def test_datasets_from_the_command_line(spark, tmp_path):
+    """Both datasets with unit frequencies read back, dropped examples and statistics."""
+    pages, facts, labels, conversions = catalogue_jobs.tower_pages(spark, "/root/testdata/sf0.001")
+    at = lambda name: f"file://{tmp_path}/{name}"
+    tables.write_json_lines(pages, at("pages"))
+    tables.write_knowledge({"facts": facts, "labels": labels, "unit_conversions": conversions}, at("knowledge"))
+    cli.main(["unit-frequencies", "--pages", at("pages"), "--knowledge", at("knowledge"), "--output", at("frequencies")])
+    cli.main(["datasets", "--pages", at("pages"), "--knowledge", at("knowledge"), "--output", at("out"), "--unit-frequencies", at("frequencies"), "--dropped", at("dropped"), "--statistics", at("statistics"), "--skip-quantities"])
+    kept, counts = spark.read.json(at("out/context")).count(), {r.key: r.n for r in spark.read.json(at("statistics")).collect()}
+    assert kept == counts["number_of_examples"] > 0 and counts["multiple_values"] == spark.read.json(at("dropped/context")).where("drop_reason = 'multiple_values'").count() > 0
+
+
 def test_band_join_has_equal_keys(spark):
     df = catalogue.value_match_band_join(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -174,8 +186,8 @@ def test_band_join_has_equal_keys(spark):
 
 
 def test_columns_are_pruned(spark):
-    plan = catalogue.page_fact_semijoin(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan and "EqualTo(quality,1)" in plan
+    plan = catalogue.missing_mapping_antijoin(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan and "ReadSchema: struct<doc_id:bigint>" in plan
 
 
 def test_reasons_are_known():
