@@ -1,11 +1,12 @@
 """Exact deduplication with a streaming, disk-backed keyed state.
 
-Documents land as files. A structured stream reads them and keeps, for each digest of the normalised text, the first
-row (smallest doc_id), the number of rows and where the first row's content lies. The state has no watermark and no
-timeout, so it never expires; it lives in RocksDB on executors and in the shared checkpoint folder, and a later
-stream on the same folder goes on where the last one stopped. Each hit is then checked: the full bytes of a row are
-compared with those of the row that its digest points to, and rows that differ in spite of equal digests are grouped
-by their bytes instead.
+Documents land as narrow rows: doc_id, digest of the normalised text, and a locator of their content, which is the file
+that holds them and their row in it. The locator is also what names a row for good. A structured stream reads what has
+landed and keeps, for each digest, the first row (smallest doc_id), where its content lies, and the number of rows. The
+state has no watermark and no timeout, so it never expires; it lives in RocksDB on executors and in the shared folder,
+and a later call on the same folder goes on where the last one stopped. Each hit is then checked: the full bytes of a
+row, read again through its locator, are compared with those of the row that its digest points to, and rows that differ
+in spite of equal digests are grouped by their bytes instead. Each text is normalised and hashed once; hits twice.
 
 Hot groups: the stream combines rows of a digest before its shuffle, and the joins back have a shuffle on either
 side and nothing above that needs a key's rows together, so Spark splits a large group over many tasks.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,17 +38,34 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def located(docs: DataFrame) -> tuple[DataFrame, str | None]:
+    """``docs`` with ``__file`` and ``__row``, the locator of each row, and the table that had to be written for it.
+
+    Rows that are read from Parquet have a place already (a hash of the file's path, and the row's number in it); others
+    are written as a table first.
+    """
+    file, row = F.xxhash64(F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__row")
+    try:
+        return docs.select("*", file, row), None
+    except AnalysisException:
+        path = fresh_path(docs.sparkSession, "content")
+        stored(docs, path)
+        return docs.sparkSession.read.schema(docs.schema).parquet(path).select("*", file, row), path
+
+
 def _land(docs: DataFrame, path: str, digest: Callable[[Column], Column]) -> None:
-    """Write docs as (row, doc_id, digest, locator); ``row`` names a landed row for good. Texts stay where they are."""
-    landed = docs.select("doc_id", digest(normalised(F.col("text"))).alias("digest"), F.input_file_name().alias("locator"))
-    landed.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    """Append located docs to the inbox as (doc_id, digest, file, row); texts stay where they are."""
+    body = normalised(F.col("text"))
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(body).alias("digest"), F.col("__file").alias("file"), F.col("__row").alias("row")).write.mode("append").parquet(path)
+
+
+_INBOX = "doc_id long, digest string, file long, row long"
 
 
 def update_state(spark: SparkSession, inbox: str, state: str) -> None:
     """Read what is new in ``inbox`` into the keyed state kept in ``state``; ends when nothing is left to read."""
-    schema = "row long, doc_id long, digest string, locator string"
-    rows = spark.readStream.schema(schema).parquet(inbox)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "locator")
+    rows = spark.readStream.schema(_INBOX).parquet(inbox)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
     keyed = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     before = {name: spark.conf.get(name, None) for name in STATE_CONF}
     for name, value in STATE_CONF.items():
@@ -60,79 +79,105 @@ def update_state(spark: SparkSession, inbox: str, state: str) -> None:
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
-    """The state as a table: digest, keep_row, keep_id, group_size, locator."""
+    """The state as a table: digest, keep_id, keep_file, keep_row (the locator of the first row), group_size."""
     raw = spark.read.format("statestore").load(state)
     first, count = [f"value.`{f.name}`" for f in raw.schema["value"].dataType.fields]
-    return raw.select(F.col("key.digest").alias("digest"), F.col(f"{first}.row").alias("keep_row"), F.col(f"{first}.doc_id").alias("keep_id"), F.col(count).alias("group_size"), F.col(f"{first}.locator").alias("locator"))
+    return raw.select(F.col("key.digest").alias("digest"), F.col(f"{first}.doc_id").alias("keep_id"), F.col(f"{first}.file").alias("keep_file"), F.col(f"{first}.row").alias("keep_row"), F.col(count).alias("group_size"))
 
 
-def _texts(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    body = normalised(F.col("text"))
-    return docs.select("doc_id", digest(body).alias("digest"), body.alias("body"))
+def _bodies(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (file, row, ...) with the normalised text that lies there; texts elsewhere are not normalised."""
+    texts = docs.select(F.col("__file").alias("file"), F.col("__row").alias("row"), "text")
+    return texts.join(places, ["file", "row"]).withColumn("body", normalised(F.col("text"))).drop("text")
 
 
-def _differing(docs: DataFrame, grouped: DataFrame, digest: Callable[[Column], Column], path: str) -> DataFrame:
+def _differing(docs: DataFrame, grouped: DataFrame, path: str) -> DataFrame:
     """The digests of which some row's bytes differ from those of the row that the digest points to.
 
-    Hits alone are read again: rows of groups of two or more, found by doc_id and digest.
+    Hits alone are read again, by their locators: rows of groups of two or more.
     """
     spark = docs.sparkSession
-    hits = grouped.where("group_size > 1").select("doc_id", "digest", "keep_id").distinct()
-    found = _texts(docs, digest).alias("t").join(hits.alias("h"), F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.digest") == F.col("h.digest")))
-    stored(found.select("t.*", "h.keep_id"), path)
-    texts = spark.read.schema("doc_id long, digest string, body string, keep_id long").parquet(path)
-    first = cut(texts.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("body").alias("first_body")))
-    return cut(texts.join(first, "digest").where("body <> first_body").select("digest"))
+    first = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
+    hits = grouped.where("group_size > 1").select("file", "row", "digest", first.alias("first"))
+    stored(_bodies(docs, hits).select("digest", "first", "body"), path)
+    texts = spark.read.schema("digest string, first boolean, body string").parquet(path)
+    known = texts.where("first").select("digest", F.col("body").alias("first_body"))
+    return cut(texts.where("NOT first").join(known, "digest").where("body <> first_body").select("digest"))
 
 
-def _regroup(docs: DataFrame, grouped: DataFrame, bad: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def _regroup(docs: DataFrame, grouped: DataFrame, bad: DataFrame) -> DataFrame:
     """``grouped`` with the groups of colliding digests formed again by their full bytes."""
-    again = _texts(docs, digest).join(bad, "digest", "left_semi")
-    again = cut(again.withColumn("row", F.monotonically_increasing_id()))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    again = cut(_bodies(docs, grouped.join(bad, "digest", "left_semi").select("file", "row", "doc_id", "digest")))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
     keyed = again.groupBy("digest", "body").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    fixed = again.join(keyed, ["digest", "body"]).select("row", "doc_id", "digest", F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size")
+    fixed = again.join(keyed, ["digest", "body"]).select("file", "row", "doc_id", "digest", F.col("first.file").alias("keep_file"), F.col("first.row").alias("keep_row"), F.col("first.doc_id").alias("keep_id"), "group_size")
     return grouped.join(bad, "digest", "left_anti").unionByName(fixed)
 
 
+def _grouped(docs: DataFrame, digest: Callable[[Column], Column], folder: str, hits: str, all_docs: DataFrame) -> DataFrame:
+    """Land ``docs`` in ``folder``, bring its state up to date, and group all rows landed there, whose texts are in ``all_docs``."""
+    spark, inbox, state = docs.sparkSession, f"{folder}/inbox", f"{folder}/state"
+    _land(docs, inbox, digest)
+    update_state(spark, inbox, state)
+    landed = spark.read.schema(_INBOX).parquet(inbox)
+    grouped = cut(landed.join(read_state(spark, state), "digest"))
+    bad = _differing(all_docs, grouped, hits)
+    if not bad.isEmpty():
+        grouped = cut(_regroup(all_docs, grouped, bad.distinct()))
+    discard(spark, hits)
+    return grouped
+
+
 def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """row, doc_id, digest, keep_row, keep_id, group_size of each document; ``row`` tells rows apart.
+    """file, row, doc_id, digest, keep_file, keep_row, keep_id, group_size of each document.
 
     Needs doc_id and text; other columns are ignored. Null text counts as empty, null doc_ids come after all others,
-    and of rows with equal doc_id and text the one that landed first stays. An empty table gives an empty result.
+    and of rows with equal doc_id and text the one with the smaller locator stays. An empty table gives an empty result.
     """
+    found, folder, content = _groups(docs, digest)
+    discard(docs.sparkSession, folder, *([content] if content else []))
+    return found
+
+
+def _groups(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, str, str | None]:
     spark = docs.sparkSession
-    inbox, state, hits = (fresh_path(spark, n) for n in ("inbox", "dedup-state", "hits"))
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    _land(docs, inbox, digest)
-    landed = spark.read.schema("row long, doc_id long, digest string").parquet(inbox)
-    update_state(spark, inbox, state)
-    grouped = cut(landed.join(read_state(spark, state).drop("locator"), "digest").select("row", "doc_id", "digest", "keep_row", "keep_id", "group_size"))
-    bad = _differing(docs, grouped, digest, hits)
-    if not bad.isEmpty():
-        grouped = cut(_regroup(docs, grouped, bad.distinct(), digest))
-    discard(spark, inbox, state, hits)
-    return grouped
+    folder = fresh_path(spark, "dedup")
+    placed, content = located(docs)
+    return _grouped(placed, digest, folder, f"{folder}-hits", placed), folder, content
+
+
+def continued(docs: DataFrame, folder: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """``groups`` over ``docs`` and all that earlier calls brought to the same ``folder``; the folder is kept for the next.
+
+    The state goes on: only ``docs`` is hashed. Texts of earlier calls are read again where they are hits, so their
+    files must still be there; what isn't read from Parquet is kept in the folder.
+    """
+    spark = docs.sparkSession
+    placed, content = located(docs.select("doc_id", "text"))
+    places = placed.select("_metadata.file_path").distinct() if content is None else spark.createDataFrame([(content,)], "file_path string")
+    places.write.mode("append").parquet(f"{folder}/files")
+    # One name for each file (or folder of files), not for rows.
+    files = sorted({r.file_path for r in spark.read.schema("file_path string").parquet(f"{folder}/files").distinct().collect()})
+    everything = spark.read.schema(placed.select("doc_id", "text").schema).parquet(*files)
+    return _grouped(placed, digest, folder, fresh_path(spark, "hits"), located(everything)[0])
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """For each document doc_id, keep_id, group_size, kept and its digest as text_sha256."""
-    grouped = groups(docs, digest)
-    return grouped.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
+    kept = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
+    return groups(docs, digest).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The documents that stay, one of each group of equal texts, with their columns as they were.
 
-    Joined back by doc_id and digest, so rows that share a doc_id with another text are told apart; of rows with
-    equal doc_id and equal text one stays.
+    Joined back by the locators of rows, so rows are told apart whatever their doc_id and text; the result is a table of
+    its own, so that nothing reads the state or contents after their removal.
     """
-    grouped = groups(docs, digest)
-    same = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    stay = grouped.where("row = keep_row").select(same(F.col("doc_id")).alias("id"), "digest").distinct()
+    found, folder, content = _groups(docs, digest)
+    stay = found.where("file = keep_file AND row = keep_row").select("file", "row")
+    placed = docs if content is None else docs.sparkSession.read.schema(docs.schema).parquet(content)
     # The row as one struct, so that no column of it clashes with the keys.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), same(F.col("doc_id").cast("long")).alias("id"), digest(normalised(F.col("text"))).alias("digest"))
-    joined = packed.join(stay, ["id", "digest"], "left_semi")
-    if not grouped.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
-        joined = joined.dropDuplicates(["id", "digest"])
-    return joined.select("doc.*")
+    packed = located(placed)[0].select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+    discard(docs.sparkSession, folder)
+    return packed.join(stay, ["file", "row"], "left_semi").select("doc.*")

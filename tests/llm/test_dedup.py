@@ -106,13 +106,24 @@ def test_exact_keep_first(odd, empty):
 
 
 def test_state_goes_on(spark, tmp_path):
-    """A second stream on the same state sees the first one's digests."""
-    inbox, state = f"file://{tmp_path}/inbox", f"file://{tmp_path}/state"
-    for part in ([(1, "a", 10), (2, "b", 11)], [(0, "a", 12)]):
-        spark.createDataFrame(part, "doc_id long, digest string, row long").withColumn("locator", F.lit("here")).write.mode("append").parquet(inbox)
-        exact_dedup.update_state(spark, inbox, state)
-    found = {r.digest: (r.keep_id, r.group_size, r.locator) for r in exact_dedup.read_state(spark, state).collect()}
-    assert found == {"a": (0, 2, "here"), "b": (2, 1, "here")}
+    """Later calls on the same folder see the first one's digests, first rows and contents; colliding digests are told apart."""
+    weak = lambda c: F.substring(F.sha2(c, 256), 1, 1)
+    batches = [[(5, "a b"), (3, "c"), (None, "c")], [(1, "a  b"), (7, "d"), (3, "c")], [(2, "d"), (9, None)]]
+    for name, digest in (("strong", exact_dedup.sha256), ("weak", weak)):
+        seen = []
+        for k, rows in enumerate(batches):
+            seen += rows
+            df = spark.createDataFrame(rows, "doc_id long, text string")
+            if k == 1:
+                # A batch that lies in a file already is read where it is.
+                df.write.parquet(f"file://{tmp_path}/{name}-batch")
+                df = spark.read.parquet(f"file://{tmp_path}/{name}-batch")
+            found = exact_dedup.continued(df, f"file://{tmp_path}/{name}", digest)
+            truth = exact_truth(seen)
+            want = sorted((str(i), str(min([x for x in ids if x is not None], default=None)), len(ids)) for ids in truth.values() for i in ids)
+            assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in found.collect()) == want
+            assert found.where("file = keep_file AND row = keep_row").count() == len(truth)
+    assert found.select("file", "row").distinct().count() == found.count() == 8
 
 
 def bag(text, size=5):
