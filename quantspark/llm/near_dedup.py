@@ -10,7 +10,9 @@ Two documents are linked when the weighted Jaccard similarity of their bags of `
   compared with the others, then, with what this connects as components, the hubs of all bands with members of other
   components; so a bucket of n near copies costs about n comparisons, however many bands they share. What is still in
   several components is compared in full, so that no candidate pair is left out: buckets of up to ``SMALL`` members as
-  pairs, larger ones in blocks of ``BLOCK`` members, whose overlaps are one matrix product and whose rows are links.
+  pairs, larger ones in blocks: first narrow rows, ``NARROW`` at a time, which tell who can have a partner in another
+  component at all, then the texts of these, ``BLOCK`` at a time, whose overlaps are one matrix product and whose rows
+  are links. ``ROUNDS`` of bands follow one another, so that what one connects needs no blocks in the next.
 * Pairs are listed only if their lengths and ``BITS`` one-bit hashes allow the threshold; a pair at the threshold
   fails this once in 10**8. Sharing a passage isn't enough, however many texts share it.
 * Texts are shuffled once, for nodes that share a bucket only after a narrow join, and kept for all rounds.
@@ -33,7 +35,9 @@ from quantspark.session import ship
 SIZE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 28, 5
-SMALL, BLOCK = 16, 256
+SMALL, BLOCK, NARROW = 16, 256, 2048
+#: The bands up to which each round of blocks goes.
+ROUNDS = (3, 10, None)
 #: The first round looks at so many bands alone; what they connect needs no pairs in the others.
 FIRST_BANDS = 3
 
@@ -202,26 +206,60 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
     labels = labels if links.isEmpty() else _joined(labels, links)
     live = cut(current(labels).where("size > 2"))
     small, _ = compare(live.where(F.col("size") <= SMALL), 1, SMALL, tried)
-    large = _block_links(live.where(F.col("size") > SMALL), texts, size, numerator, denominator)
-    links = small.unionByName(large)
-    labels = labels if links.isEmpty() else _joined(labels, links)
+    labels = labels if small.isEmpty() else _joined(labels, small)
+    for low, high in zip((0, *ROUNDS), ROUNDS, strict=False):
+        in_round = (F.col("band") >= low) & (F.lit(True) if high is None else F.col("band") < high)
+        large = cut(current(labels).where((F.col("size") > SMALL) & in_round))
+        if large.isEmpty():
+            continue
+        links = _block_links(large, texts, size, numerator, denominator, most_bits)
+        labels = labels if links.isEmpty() else _joined(labels, links)
     discard(spark, path)
     return labels
 
 
-def _block_links(live: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+def _cells(members: DataFrame, block: int, fields: list[str]) -> DataFrame:
+    """Members dealt into blocks of about ``block``, once for each pair of blocks (low, high) that their own is in."""
+    dealt = members.withColumn("n_blocks", F.ceil(F.col("size") / block).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    return dealt.withColumn("other", other).select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *fields)
+
+
+def _block_links(live: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int, most_bits: int) -> DataFrame:
     """(a, b) links of large buckets: all members of different components compared, block by block.
 
-    A bucket's members are dealt into blocks of about BLOCK; a task holds two blocks and counts all overlaps at once
-    as a product of incidence matrices. Of the links it finds, those of a spanning forest are rows.
+    Lengths and one-bit hashes first: a member that no other component's member comes near in them needs no text. A
+    task then holds the texts of two blocks and counts all overlaps at once as a product of incidence matrices. Of the
+    links it finds, those of a spanning forest are rows.
     """
-    dealt = live.select("bucket", "node", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("n_blocks")).cast("int")).join(texts, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    cells = dealt.withColumn("other", other).select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "text")
+    narrow = _cells(live, NARROW, ["node", "component", "n", "bits", "bits2"])
+    some = narrow.groupBy("bucket", "low", "high").applyInArrow(_with_partners(numerator, denominator, most_bits), "bucket long, node long, component long").distinct()
+    some = cut(some)
+    sizes = some.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    cells = _cells(some.join(sizes, "bucket"), BLOCK, ["node", "component"]).join(texts, "node")
     return cut(cells.groupBy("bucket", "low", "high").applyInArrow(_verify_block(size, numerator, denominator), "a long, b long"))
 
 
+def _with_partners(numerator: int, denominator: int, most_bits: int, rows_at_once: int = 256):
+    """Of a cell's members those with a partner in another component that lengths and bits allow."""
+
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda name: table.column(name).to_numpy()
+        n, component = column("n"), column("component")
+        bits = [column(name).view(np.uint64) for name in ("bits", "bits2")]
+        found = np.zeros(len(n), bool)
+        for k in range(0, len(n), rows_at_once):
+            own = slice(k, k + rows_at_once)
+            near = component[own, None] != component[None, :]
+            near &= np.minimum(n[own, None], n[None, :]) * denominator >= np.maximum(n[own, None], n[None, :]) * numerator
+            near &= sum(np.bitwise_count(b[own, None] ^ b[None, :]).astype(np.int64) for b in bits) <= most_bits
+            found[own] |= near.any(1)
+        return table.select(["bucket", "node", "component"]).filter(pa.array(found))
+
+    return run
+
+
 def _verify_block(size: int, numerator: int, denominator: int):
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
@@ -283,13 +321,13 @@ def _repeats(wanted: DataFrame, path: str) -> bool:
     return wanted.sparkSession.read.parquet(path).select("node").count() > wanted.count()
 
 
-def near_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, bands: int = BANDS, rows: int = ROWS, bit_filter: bool = True) -> DataFrame:
     """For each document row doc_id, text_hash, n_shingles, class_id and kept (one row of each class).
 
     Needs doc_id and text; other columns are ignored. class_id is the smallest doc_id of the class, nulls last. Null
     and blank texts have no shingles and form one class (their word sequences are equal); a text of fewer than
     ``size`` words is one shingle. Rows that share a doc_id are told apart by their texts. An empty table gives an
-    empty result.
+    empty result. Without ``bit_filter`` no candidate pair is left out for its one-bit hashes.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -299,7 +337,8 @@ def near_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, d
     nodes = sketches.groupBy("content", "content2").agg(F.min(order).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"))
     nodes = nodes.select("content", "content2", "n_shingles", "bands", "bits", "bits2", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.row").alias("node"))
     nodes = cut(nodes)
-    labels = _links(docs, nodes, size, numerator, denominator, most_differing_bits(bands * rows, numerator / denominator))
+    most_bits = most_differing_bits(bands * rows, numerator / denominator) if bit_filter else BITS
+    labels = _links(docs, nodes, size, numerator, denominator, most_bits)
     named = nodes.select("content", "content2", "node", F.col("doc_id").alias("first_id"))
     if labels is None:
         named = named.select("content", "content2", F.col("first_id").alias("class_id"), F.col("node").alias("keep_row"))
@@ -313,7 +352,11 @@ def near_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, d
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, with its columns as they were."""
+    """One document of each class, the one with the smallest doc_id, with its columns as they were.
+
+    Null doc_ids come last; null and blank texts are one class; of rows with equal doc_id and equal text one stays; an
+    empty table gives an empty result. Columns of any name are kept.
+    """
     stay = cut(near_groups(docs, **options).where("kept").select("doc_id", "text_hash"))
     doc_id = F.col("doc_id").cast("long")
     # The row as one struct, so that no column of it clashes with the keys.
