@@ -45,7 +45,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: in
     """source, source_size, weight, target for each source of ``sizes`` (source, size).
 
     Sources by code point, null last, have ``weights`` in turn. With sources in the order of limit over weight, those
-    that stop at their limit come first; the rest share what is left by weight.
+    that stop at their limit come first; the rest share what is left by weight. One task orders the sources: a row of
+    four numbers for each, so a million sources are a few dozen megabytes; documents are never ordered as a whole.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -139,7 +140,11 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, max_
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1, **options: int) -> DataFrame:
-    """The documents of the mix with their columns as they were: each as often as its tokens taken fill it, rounded."""
+    """The documents of the mix with their columns as they were: each as often as its tokens taken fill it, rounded.
+
+    Null and empty texts are in no mix; a null source is one of its own; rows that share doc_id, source and size share
+    what the mix takes of them evenly; an empty table gives an empty result. Columns of any name are kept.
+    """
     chosen = mix(docs, seed, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
     copies = F.round(F.col("taken") / F.col("rows") / F.col("size")).cast("int")
     chosen = chosen.withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "size", "copies")

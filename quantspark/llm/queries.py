@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantspark.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
 
@@ -21,8 +22,29 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir))
 
 
+def tool_turns(turns: DataFrame) -> DataFrame:
+    """Conversations with a call and a result for every turn, as the tables hold none.
+
+    Turn t of a conversation stands at 3 t; at 3 t + 1 a call is made with the turn's text as an argument, which refers
+    to the call before it unless t is a multiple of four; at 3 t + 2 it is answered, unless t is one less than a multiple
+    of four. Conversations declare the tool; in every fourth its schema doesn't fit the calls, every second lacks it.
+    """
+    t, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    after = F.when(t % 4 != 0, F.struct(name(t - 1).alias("$ref")))
+    call = F.struct(name(t).alias("id"), F.lit("search").alias("name"), F.struct(t.alias("limit"), text.alias("query"), after.alias("after")).alias("arguments"))
+    made = turns.select("conv_id", (3 * t + 1).alias("turn"), F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    answered = turns.where(t % 4 != 3).select("conv_id", (3 * t + 2).alias("turn"), F.lit("tool").alias("role"), F.to_json(F.struct(name(t).alias("tool_call_id"), text.alias("content"))).alias("text"))
+    kind = F.when(F.col("conv_id") % 4 == 0, "string").otherwise("integer")
+    parameters = F.struct(F.array(F.lit("query")).alias("required"), F.struct(F.struct(F.lit("string").alias("type")).alias("query"), F.struct(kind.alias("type")).alias("limit")).alias("properties"))
+    tools = F.to_json(F.struct(F.array(F.struct(F.lit("search").alias("name"), parameters.alias("parameters"))).alias("tools")))
+    declared = turns.where("conv_id % 2 = 0").groupBy("conv_id").agg(F.min("turn").alias("first")).select("conv_id", (3 * F.col("first") - 1).alias("turn"), F.lit("system").alias("role"), tools.alias("text"))
+    plain = turns.select("conv_id", (3 * t).alias("turn"), "role", "text")
+    return plain.unionByName(made).unionByName(answered).unionByName(declared)
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.formatted(tool_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +123,24 @@ WITH normal AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM grouped
 """
 
-# The tables' conversations hold plain messages alone; tests hold calls and results against brute force.
+# What becomes of the calls and results that ``tool_turns`` adds follows from the numbers of turns and conversations.
 _OP6 = """
-SELECT conv_id, turn, CAST(-1 AS INTEGER) AS nth, 'message' AS kind, role, CAST(NULL AS VARCHAR) AS call_id,
-  CAST(NULL AS INTEGER) AS level, CAST(NULL AS BIGINT) AS result_turn, CAST(NULL AS BOOLEAN) AS valid,
-  CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json
-FROM conversations
+WITH t AS (
+  SELECT conv_id, turn AS t, role, text, coalesce(text, '') AS body, 'c' || turn AS id FROM conversations
+), calls AS (
+  SELECT *, CASE WHEN t % 4 <> 3 THEN 3 * t + 2 END AS result_turn, CASE WHEN conv_id % 2 = 1 THEN NULL ELSE conv_id % 4 <> 0 END AS valid,
+    CASE WHEN t % 4 = 0 THEN json_object('limit', t, 'query', body) ELSE json_object('after', json_object('$ref', 'c' || (t - 1)), 'limit', t, 'query', body) END AS arguments FROM t
+)
+SELECT conv_id, 3 * t AS turn, CAST(-1 AS INTEGER) AS nth, 'message' AS kind, role, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS INTEGER) AS level, CAST(NULL AS BIGINT) AS result_turn, CAST(NULL AS BOOLEAN) AS valid,
+  CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json FROM t
+UNION ALL SELECT conv_id, 3 * t + 1, -1, 'message', 'assistant', NULL, NULL, NULL, NULL, CAST(json_object('role', 'assistant') AS VARCHAR) FROM t
+UNION ALL SELECT conv_id, 3 * t + 1, 0, 'call', 'assistant', id, CAST(t % 4 AS INTEGER), result_turn, valid,
+  CAST(CASE WHEN result_turn IS NULL THEN json_object('arguments', arguments, 'id', id, 'name', 'search') ELSE json_object('arguments', arguments, 'id', id, 'name', 'search', 'result', body) END AS VARCHAR) FROM calls
+UNION ALL SELECT conv_id, 3 * t + 2, -1, 'result', 'tool', id, NULL, NULL, NULL, CAST(json_object('content', body, 'role', 'tool', 'tool_call_id', id) AS VARCHAR) FROM t WHERE t % 4 <> 3
+UNION ALL SELECT conv_id, 3 * min(t) - 1, -1, 'message', 'system', NULL, NULL, NULL, NULL, CAST(json_object('content',
+  CASE WHEN conv_id % 4 = 0 THEN '{"tools":[{"name":"search","parameters":{"required":["query"],"properties":{"query":{"type":"string"},"limit":{"type":"string"}}}}]}'
+  ELSE '{"tools":[{"name":"search","parameters":{"required":["query"],"properties":{"query":{"type":"string"},"limit":{"type":"integer"}}}}]}' END, 'role', 'system') AS VARCHAR)
+FROM t WHERE conv_id % 2 = 0 GROUP BY conv_id
 """
 
 # Quotas by listing all quotients; the operator lists only those near the cut.

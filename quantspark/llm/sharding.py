@@ -7,7 +7,7 @@ least loaded shard, largest first; the edited map is the next version. So sizes
 and all their records, stay in place.
 
 Only slot-sized tables are ever ordered or broadcast; a slot holds about one record in ``SLOTS`` whatever the skew of
-sources or texts, and numbers within a shard are a slot's running count plus the counts of the shard's earlier slots.
+sources or texts (records without a doc_id have a salt, so equal texts among them don't gather), and numbers within a shard are a slot's running count plus the counts of the shard's earlier slots.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantspark.llm.store import cut, fresh_path
+from quantspark.llm.store import cut, discard, exists, fresh_path
 
 SLOTS = 4096
 SHARDS = 40
@@ -27,8 +27,9 @@ def size_of(text: Column) -> Column:
 
 
 def slot_of(doc_id: Column, text_crc32: Column, slots: int = SLOTS) -> Column:
-    """A record's slot; the text's checksum keeps records apart that share a doc_id or have none."""
-    return F.pmod(F.xxhash64(doc_id, text_crc32), F.lit(slots)).cast("int")
+    """A record's slot; the text's checksum keeps records apart that share a doc_id, a salt those that have none."""
+    salt = F.when(doc_id.isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    return F.pmod(F.xxhash64(doc_id, text_crc32, salt), F.lit(slots)).cast("int")
 
 
 def first_map(spark: SparkSession, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
@@ -92,17 +93,21 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
     ``slot`` numbers the documents of a shard from 0 without gaps. The law is ``bytes``: sizes of shards are near
     equal, as far as single slots allow. Needs doc_id and text; other columns are ignored. Null text has no bytes; rows that
     lack or share a doc_id have numbers of their own; an empty table gives an empty result.
-    The map's versions are stored at ``path``, a folder of their own in the shared folder by default.
+    Where ``path`` is given the map lives there: its latest version is what is rebalanced, and the edited one is added
+    to it. Otherwise a first map is made, and nothing is left in the shared folder.
     """
     spark = docs.sparkSession
-    path = path or fresh_path(spark, "slot-map")
+    kept, path = path, path or fresh_path(spark, "slot-map")
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), size_of(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("text_crc32"))
     rows = cut(rows.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), slots)))
     per_slot = cut(rows.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
-    store_map(first_map(spark, slots, shards), path)
+    if not exists(spark, path):
+        store_map(first_map(spark, slots, shards), path)
     store_map(rebalanced(load_map(spark, path), per_slot, shards), path)
-    current = load_map(spark, path)
+    current = cut(load_map(spark, path))
+    if not kept:
+        discard(spark, path)
     before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     owners = current.join(per_slot, "slot").withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
     owners = owners.select(F.col("slot").alias("virtual_slot"), "shard", "ahead", F.col("version").alias("map_version"))

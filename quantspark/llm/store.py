@@ -71,6 +71,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder at ``path``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables of this run in the shared folder, once all that was read from them has been cut."""
     for path in paths:

@@ -1,19 +1,24 @@
-"""Substring deduplication by relative Lempel-Ziv factors over an index of anchors.
+"""Substring deduplication by greedy relative Lempel-Ziv parsing over an index of reference blocks.
 
 The whole corpus is the reference. Its index holds anchors: in every window of ``WINDOW`` words the smallest hashed
 run of ``ANCHOR`` words (leftmost on ties). Equal windows have equal anchors in equal places, so every repeated window
-is found under its anchor. Windows of a text that share an anchor form one candidate factor, about nine windows long.
-
-1. Factors: each candidate goes to its anchor's entry together with a hash of its words. Where an earlier text has
-   the same anchor and the same words, the greedy parse copies the whole factor from there: all its words are repeats.
-2. Factor boundaries: where an anchor's entry holds different candidates (a repeat begins or ends there), the first
-   text of each candidate is parsed window by window: its windows' hashes are looked up among those of the other
-   candidates of the anchor, and again the first start of a window keeps it.
-3. Spans of repeated words are put together for each text and cut out of it.
+is found under its anchor. Windows of a text that share an anchor are one candidate, about nine windows long.
+
+1. Seeds: a candidate whose anchor and words are those of an earlier one is a seed, with the place of the first one as
+   its source. Where an anchor's entry holds different candidates (a repeat begins or ends there), the first text of
+   each is looked up window by window, and again the first start of a window is the source of the later ones.
+2. Reference blocks: seeds that lie on from one another in one source are one range. The blocks of ``BLOCK_WORDS`` words
+   that ranges and their surroundings lie in are cut out of their sources, each once, and brought to the texts that
+   refer to them, however long a source is and however many texts refer to it.
+3. Parse: a text's words are compared with its sources' words, and each match is extended to the left and right as far
+   as words agree. From left to right the longest match from the place at hand on is the next factor; factors of
+   ``WINDOW`` words or more are duplicates. At a factor's end all windows across the border are checked as well, since
+   another source may hold them.
 
 "Earlier" is the smaller doc_id, then the smaller start. Candidates that an Arrow batch already holds an earlier copy
 of are settled there, and a text that repeats itself or a batch of copies sends one entry of each kind; only what is
-left, about one narrow row for every seven words, is shuffled. Texts are shuffled once, by row id, for steps 2 and 3.
+left, about one narrow row for every seven words, is shuffled, by anchor and words, so that a frequent anchor in ever
+new surroundings is split. Which anchors have several entries is a partial aggregate, joined back.
 """
 
 from __future__ import annotations
@@ -26,18 +31,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.llm.store import table
+from quantspark.llm.store import cut, discard, fresh_path, stored, table
 from quantspark.llm.words import BASE, BASE2, Words, chunks, mix, prefix, ranges
 from quantspark.session import ship
 
 WINDOW = 20
 ANCHOR = 8
 
+#: Words of a reference block, and how far a match is extended beyond its seeds on either side. A seed ends where its
+#: anchor's windows end, so the rest of a match in the next entry is never longer than this.
+BLOCK_WORDS, MARGIN = 64, WINDOW - ANCHOR
+
 #: ``span``: the first window's start times WINDOW, plus the number of further windows. ``words`` is null where the
-#: factor is a repeat for certain; its anchor is then an arbitrary number, as it needs no entry in the index.
-_FACTOR = pa.schema([(n, pa.int64()) for n in ("anchor", "words", "doc_id", "row_id", "span")])
-_FACTOR_DDL = "anchor long, words long, doc_id long, row_id long, span long"
-_SPAN_DDL = "key long, key2 long, doc_id long, row_id long, lo long"
+#: batch holds an earlier copy, which then is the source; the anchor is an arbitrary number, as no entry is needed.
+_SOURCE = ("src_doc", "src_row", "src_lo")
+_FACTOR = pa.schema([(n, pa.int64()) for n in ("anchor", "words", "doc_id", "row_id", "span", *_SOURCE)])
+_SOURCE_DDL = "src_doc long, src_row long, src_lo long"
+_FACTOR_DDL = f"anchor long, words long, doc_id long, row_id long, span long, {_SOURCE_DDL}"
+_SPAN_DDL = f"key long, key2 long, doc_id long, row_id long, lo long, {_SOURCE_DDL}"
+_RANGE_DDL = f"doc_id long, row_id long, lo long, hi long, {_SOURCE_DDL}"
 _KEPT_DDL = "n_words long, n_removed long, kept_sha256 string"
 
 
@@ -49,8 +61,8 @@ def _order(doc_id: pa.Array) -> np.ndarray:
     return np.where(null, -1, rank)
 
 
-def _first_of(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Whether each row is the first of those with its keys, in ``order``, or ties with the first."""
+def _first_of(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row is the first of those with its keys, in ``order``, or ties with the first; and which that is."""
     by = np.lexsort(order[::-1] + keys[::-1])
     new = np.zeros(len(by), bool)
     new[:1] = True
@@ -60,7 +72,15 @@ def _first_of(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> np
     first = np.ones(len(by), bool)
     for o in order:
         first[by] &= o[by] == o[by][start]
-    return first
+    which = np.empty(len(by), np.int64)
+    which[by] = by[start]
+    return first, which
+
+
+def _sources(first: np.ndarray, which: np.ndarray, doc_id: pa.Array, row_id: pa.Array, lo: np.ndarray) -> list[pa.Array]:
+    """The columns of _SOURCE for rows that aren't the first of their kind in a batch."""
+    at = pa.array(which, mask=first)
+    return [doc_id.take(at), row_id.take(at), pa.array(lo).take(at)]
 
 
 def _scattered(row_id: pa.Array, lo: np.ndarray) -> np.ndarray:
@@ -100,10 +120,10 @@ def _factors(window: int, anchor: int):
             if not found:
                 continue
             key, content, row, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True))
-            first = _first_of((key, content), (order[row], lo))
+            first, which = _first_of((key, content), (order[row], lo))
             doc_id, row_id = batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))
             key = np.where(first, key, _scattered(row_id, lo))
-            columns = [pa.array(key.view(np.int64)), pa.array(content.view(np.int64), mask=~first), doc_id, row_id, pa.array(lo * window + hi - lo)]
+            columns = [pa.array(key.view(np.int64)), pa.array(content.view(np.int64), mask=~first), doc_id, row_id, pa.array(lo * window + hi - lo), *_sources(first, which, doc_id, row_id, lo)]
             yield pa.RecordBatch.from_arrays(columns, schema=_FACTOR)
 
     return run
@@ -136,30 +156,148 @@ def _windows(window: int):
                 keys = [ranges(*prefix(hashes, base), start, start + window) for base in (BASE, BASE2)]
                 row = words.doc[start]
                 lo = start - words.first[row]
-                first = _first_of((keys[0], keys[1]), (_order(part.column(0))[row], lo))
-                keys[0] = np.where(first, keys[0], _scattered(part.column(1).take(pa.array(row)), lo))
-                columns = [pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64), mask=~first), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(lo)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "key2", "doc_id", "row_id", "lo"])
+                first, which = _first_of((keys[0], keys[1]), (_order(part.column(0))[row], lo))
+                doc_id, row_id = part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))
+                keys[0] = np.where(first, keys[0], _scattered(row_id, lo))
+                columns = [pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64), mask=~first), doc_id, row_id, pa.array(lo), *_sources(first, which, doc_id, row_id, lo)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "key2", "doc_id", "row_id", "lo", *_SOURCE])
 
     return run
 
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds of each text (a list of lo, hi and source) as ranges: those that lie on from one another in one source are one."""
+    for batch in batches:
+        seeds = batch.column(2)
+        row = np.repeat(np.arange(batch.num_rows), seeds.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = seeds.flatten()
+        lo, hi, src_doc, src_row, src_lo = (flat.field(k) for k in range(5))
+        known = src_doc.is_null().to_numpy(zero_copy_only=False)
+        number = lambda c: c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        low, high, sd, sr, sl = map(number, (lo, hi, src_doc, src_row, src_lo))
+        by = np.lexsort((low, sl - low, known, sd, sr, row))
+        low, high, sl = low[by], high[by], sl[by]
+        new = np.ones(len(by), bool)
+        together = np.ones(max(0, len(by) - 1), bool)
+        for c in (row[by], sr[by], sd[by], known[by], sl - low):
+            together &= c[1:] == c[:-1]
+        # Within a source and diagonal, seeds are in order of their starts and may overlap or nest.
+        reach = high.copy()
+        group = np.cumsum(np.append(True, ~together)) - 1 if len(by) else np.empty(0, np.int64)
+        if len(by):
+            shift = group * (int(high.max()) + 2)
+            reach = np.maximum.accumulate(high + shift) - shift
+            new[1:] = ~together | (low[1:] > reach[:-1] + 1)
+        start = np.flatnonzero(new)
+        last = np.append(start[1:], len(by)) - 1
+        at = pa.array(row[by][start])
+        source = pa.array(by[start])
+        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(low[start]), pa.array(reach[last] if len(by) else low[start]), src_doc.take(source), src_row.take(source), pa.array(sl[start])]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_id", "lo", "hi", *_SOURCE])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each text (doc_id, row_id, text, blocks) that are asked for, as (src_doc, src_row, block, body)."""
+    for batch in batches:
+        for part in chunks(batch):
+            words = Words(part.column(2))
+            asked = part.column(3)
+            row = np.repeat(np.arange(part.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
+            block = asked.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            n = words.count[row]
+            first = np.minimum(block * BLOCK_WORDS, n) + words.first[row]
+            last = np.minimum((block + 1) * BLOCK_WORDS, n) + words.first[row]
+            body = [_text(words, a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(block), pa.array(body, pa.binary())], names=["src_doc", "src_row", "block", "body"])
+
+
+def _text(words: Words, first: int, last: int) -> bytes:
+    """Words ``first`` to ``last`` (exclusive, of the chunk), joined by one space."""
+    if first >= last:
+        return b""
+    raw = words.raw[words.start[first] : words.end[last - 1]].tobytes()
+    return b" ".join(raw.split())
+
+
+def extended(own: list[bytes], source: list[bytes], lo: int, size: int, src_lo: int, src_first: int) -> tuple[int, int, int]:
+    """(start, length, source start) of the match around ``own[lo:lo + size]``, which should lie at ``src_lo`` of the source.
+
+    ``source`` holds the source's words from ``src_first`` on. Words are compared one by one: the match ends where they
+    differ, and goes on to either side while they agree.
+    """
+    at, end = src_lo - src_first, 0
+    while end < size and at + end < len(source) and lo + end < len(own) and own[lo + end] == source[at + end]:
+        end += 1
+    if end == size:
+        while at + end < len(source) and lo + end < len(own) and own[lo + end] == source[at + end]:
+            end += 1
+    begin = 0
+    while begin < min(at, lo) and own[lo - begin - 1] == source[at - begin - 1]:
+        begin += 1
+    return lo - begin, begin + end, src_lo - begin
+
+
+def greedy_factors(matches: list[tuple], window: int) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """The factors of a text from its matches (start, length, ...), and the ranges of window starts that are repeats.
+
+    At each place the match that reaches furthest is the factor, from that place on; where no match of ``window`` words
+    goes on, the parse moves to the next one's start. Windows across a factor's end are repeats if any match holds them.
+    """
+    long = sorted((m for m in matches if m[1] >= window), key=lambda m: (m[0], -m[1]))
+    factors, at, k, best = [], 0, 0, None
+    while True:
+        while k < len(long) and long[k][0] <= at:
+            if best is None or long[k][0] + long[k][1] > best[0] + best[1]:
+                best = long[k]
+            k += 1
+        if best is not None and best[0] + best[1] - at >= window:
+            factors.append((at, best[0] + best[1] - at, *(v + at - best[0] if j == len(best) - 3 else v for j, v in enumerate(best[2:]))))
+            at = best[0] + best[1]
+        elif k < len(long):
+            at = max(at + 1, long[k][0]) if long[k][0] > at else at + 1
+        else:
+            break
+    inside = [(a, a + n - window) for a, n, *_ in factors]
+    borders = {a + n for a, n, *_ in factors}
+    across = [(max(m[0], e - window + 1), min(m[0] + m[1] - window, e - 1)) for e in borders for m in long if m[0] < e and m[0] + m[1] > e]
+    rest = [(m[0], m[0] + m[1] - window) for m in long]
+    return factors, inside + [r for r in across if r[0] <= r[1]] + rest
+
+
+def _repeats(words: Words, row: int, refs: list[dict], window: int) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """The parse of one text by its references: factors (start, length, source start, source doc_id, source row), repeats."""
+    a, b = words.first[row], words.first[row + 1]
+    own = _text(words, a, b).split(b" ")
+    found: dict[tuple, list[tuple[int, bytes]]] = {}
+    for r in refs:
+        found.setdefault((r["lo"], r["hi"], r["src_lo"], r["src_doc"], r["src_row"]), []).append((r["block"], r["body"]))
+    matches = []
+    for (lo, hi, src_lo, src_doc, src_row), blocks in found.items():
+        blocks.sort()
+        source = [w for _, body in blocks for w in (body.split(b" ") if body else [])]
+        start, n, at = extended(own, source, lo, hi - lo + window, src_lo, blocks[0][0] * BLOCK_WORDS)
+        matches.append((start, n, at, src_doc, src_row))
+    return greedy_factors(matches, window)
+
+
 def _cut_out(window: int, with_text: bool):
-    """What is left of each text (columns: kept columns, text, spans), its digest and counts."""
+    """What is left of each text (columns: kept columns, text, references), its digest and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "__text"):
                 n = part.num_columns - 2
                 words = Words(part.column(n))
-                starts = _inside(words, _spans(part.column(n + 1)))
-                drop = np.zeros(len(starts), bool)
-                reach = np.zeros(len(starts) + 1, np.int64)
-                at = np.flatnonzero(starts)
-                if len(at):
-                    np.add.at(reach, at, 1)
-                    np.add.at(reach, np.minimum(at + window, len(starts)), -1)
-                    drop = np.cumsum(reach)[:-1] > 0
+                refs = part.column(n + 1)
+                marks = np.zeros(len(words.doc) + 1, np.int64)
+                for row in np.flatnonzero(refs.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    _, repeats = _repeats(words, row, refs[row].as_py(), window)
+                    first = words.first[row]
+                    for lo, hi in repeats:
+                        marks[first + lo] += 1
+                        marks[first + hi + window] -= 1
+                drop = np.cumsum(marks)[:-1] > 0
                 removed = np.bincount(words.doc[drop], minlength=words.n_docs)
                 kept = _joined(words, ~drop)
                 texts = [hashlib.sha256(t).hexdigest() for t in kept]
@@ -171,6 +309,20 @@ def _cut_out(window: int, with_text: bool):
     return run
 
 
+def _factor_rows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "__text"):
+                words, out = Words(part.column(1)), []
+                for row in range(part.num_rows):
+                    for start, n, src_start, src_doc, _ in _repeats(words, row, part.column(2)[row].as_py(), window)[0]:
+                        out.append((part.column(0)[row].as_py(), start, n, src_doc, src_start))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "source_doc_id", "source_start"])
+
+    return run
+
+
 def _joined(words: Words, keep: np.ndarray) -> list[bytes]:
     """The kept words of each row, joined by one space."""
     size = (words.end - words.start)[keep] + 1
@@ -187,28 +339,74 @@ def _joined(words: Words, keep: np.ndarray) -> list[bytes]:
     return [data[b - n : b - 1] if n else b"" for n, b in zip(total.tolist(), end.tolist(), strict=True)]
 
 
-def _at_rows(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """``texts`` with the spans of their rows; a row is named by doc_id and a hash of its text."""
-    spans = spans.select(F.col("doc_id").alias("__doc_id"), F.col("row_id").alias("__row_id"), "spans")
-    return texts.join(spans, (F.col("row_id") == F.col("__row_id")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), how).drop("__doc_id", "__row_id")
+def _at_rows(texts: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """``texts`` with what ``others`` has for their rows; a row is named by doc_id and a hash of its text."""
+    rest = [c for c in others.columns if c not in ("doc_id", "row_id")]
+    others = others.select(F.col("doc_id").alias("__doc_id"), F.col("row_id").alias("__row_id"), *rest)
+    return texts.join(others, (F.col("row_id") == F.col("__row_id")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), how).drop("__doc_id", "__row_id")
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, row_id, spans): for each row of ``texts`` (doc_id, row_id, text) with repeats, the ranges of starts of windows that start earlier elsewhere."""
-    factors = texts.mapInArrow(_factors(window, anchor), _FACTOR_DDL).repartition("anchor")
+def seeds(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, list[str]]:
+    """(doc_id, row_id, lo, hi, source) of all ranges of windows in ``texts`` (doc_id, row_id, text) that begin earlier elsewhere, and tables to discard."""
+    spark = texts.sparkSession
+    paths = [fresh_path(spark, n) for n in ("candidates", "windows")]
     same = Window.partitionBy("anchor", "words").orderBy("doc_id", "lo")
-    entry = Window.partitionBy("anchor")
     lo = F.expr(f"span DIV {window}")
-    factors = factors.withColumns({"lo": lo, "hi": lo + F.col("span") % window})
-    judged = factors.withColumns({"later": F.col("words").isNull() | (F.rank().over(same) > 1), "mixed": F.min("words").over(entry) < F.max("words").over(entry)})
-    judged = table(judged.where("later OR mixed").select("doc_id", "row_id", "lo", "hi", "later"), "factors")
-    whole = judged.where("later").select("doc_id", "row_id", "lo", "hi")
-    edges = judged.where("NOT later").groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+    def judged(rows: DataFrame, by: Window, settled: F.Column) -> DataFrame:
+        """``rows`` with ``later`` and, where it holds, their source."""
+        first = F.first(F.struct(F.col("doc_id").alias("src_doc"), F.col("row_id").alias("src_row"), F.col("lo").alias("src_lo"))).over(by)
+        rows = rows.withColumns({"__rank": F.rank().over(by), "__first": first})
+        own = F.struct(*_SOURCE)
+        rows = rows.withColumns({"later": settled | (F.col("__rank") > 1), "__src": F.when(settled, own).otherwise(F.col("__first"))})
+        return rows.drop(*_SOURCE, "__rank", "__first").select("*", *[F.when(F.col("later"), F.col("__src")[c]).alias(c) for c in _SOURCE]).drop("__src")
+
+    found = texts.mapInArrow(_factors(window, anchor), _FACTOR_DDL).repartition("anchor", "words")
+    found = found.withColumns({"lo": lo, "hi": lo + F.col("span") % window})
+    found = judged(found, same, F.col("words").isNull()).select("anchor", "words", "doc_id", "row_id", "lo", "hi", "later", *_SOURCE)
+    stored(found, paths[0])
+    found = spark.read.schema(found.schema).parquet(paths[0])
+    opens = found.where("NOT later").select("anchor", "words", "doc_id", "row_id", "lo", "hi")
+    mixed = cut(opens.groupBy("anchor").agg(F.min("words").alias("least"), F.max("words").alias("most")).where("least < most").select("anchor"))
+    edges = opens.join(mixed, "anchor").groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     parsed = _at_rows(texts, edges, "inner").select("doc_id", "row_id", "text", "spans").mapInArrow(_windows(window), _SPAN_DDL).repartition("key")
-    first_start = F.rank().over(Window.partitionBy("key", "key2").orderBy("doc_id", "lo")) == 1
-    single = parsed.withColumn("first", first_start & F.col("key2").isNotNull()).where("NOT first")
-    single = single.select("doc_id", "row_id", "lo", F.col("lo").alias("hi"))
-    return whole.unionByName(single).groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    single = judged(parsed, Window.partitionBy("key", "key2").orderBy("doc_id", "lo"), F.col("key2").isNull()).where("later")
+    single = single.select("doc_id", "row_id", "lo", F.col("lo").alias("hi"), *_SOURCE)
+    stored(single, paths[1])
+    single = spark.read.schema(single.schema).parquet(paths[1])
+    return found.where("later").select("doc_id", "row_id", "lo", "hi", *_SOURCE).unionByName(single), paths
+
+
+def references(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, row_id, refs): for each row of ``texts`` with repeats, its ranges with the reference blocks that they point into."""
+    spark = texts.sparkSession
+    found, paths = seeds(texts, window, anchor)
+    listed = found.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi", *_SOURCE)).alias("seeds"))
+    ranges = table(listed.mapInArrow(_ranges, _RANGE_DDL), "ranges")
+    discard(spark, *paths)
+    asked = ranges.withColumn("block", F.explode(F.sequence(F.expr(f"greatest(0, src_lo - {MARGIN}) DIV {BLOCK_WORDS}"), F.expr(f"(src_lo + hi - lo + {window + MARGIN}) DIV {BLOCK_WORDS}"))))
+    wanted = asked.groupBy(F.col("src_doc").alias("doc_id"), F.col("src_row").alias("row_id")).agg(F.collect_set("block").alias("blocks"))
+    blocks = _at_rows(texts, wanted, "inner").select("doc_id", "row_id", "text", "blocks").mapInArrow(_blocks, "src_doc long, src_row long, block long, body binary")
+    # Rows that share doc_id and text are one source.
+    blocks = table(blocks.dropDuplicates(["src_doc", "src_row", "block"]), "reference-blocks").alias("b")
+    same = (F.col("a.src_row") == F.col("b.src_row")) & F.col("a.src_doc").eqNullSafe(F.col("b.src_doc")) & (F.col("a.block") == F.col("b.block"))
+    joined = asked.alias("a").join(blocks, same).select("a.*", "b.body")
+    return joined.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi", *_SOURCE, "block", "body")).alias("refs"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, row_id (a hash that tells rows of one doc_id apart), text."""
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(7)).alias("row_id"), "text")
+
+
+def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The parse: doc_id, start, length, source_doc_id, source_start of each factor of ``window`` words or more."""
+    ship(docs.sparkSession)
+    texts = _texts(docs)
+    joined = _at_rows(texts, references(texts, window, anchor), "inner").select("doc_id", F.col("text").alias("__text"), F.col("refs").alias("__refs"))
+    return joined.mapInArrow(_factor_rows(window), "doc_id long, start long, length long, source_doc_id long, source_start long")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -219,11 +417,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     that start a window at the same place both keep it. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    row_id = F.xxhash64("doc_id", "text", F.lit(7))
-    # No alias where no cast is needed: it would keep the two uses of the text shuffle from being one.
-    if dict(docs.dtypes)["doc_id"] != "bigint":
-        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    texts = docs.select("doc_id", row_id.alias("row_id"), "text")
-    spans = repeated_spans(texts, window, anchor)
-    joined = _at_rows(texts, spans, "left").select("doc_id", F.col("text").alias("__text"), F.col("spans").alias("__spans"))
+    texts = _texts(docs)
+    joined = _at_rows(texts, references(texts, window, anchor), "left").select("doc_id", F.col("text").alias("__text"), F.col("refs").alias("__refs"))
     return joined.mapInArrow(_cut_out(window, with_text), "doc_id long, " + _KEPT_DDL + ", kept_text string" * with_text)

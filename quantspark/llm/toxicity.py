@@ -2,12 +2,13 @@
 
 The features are rates: weighted density of a lexicon, hits, distinct hits, hits close to second-person words, hits in
 words that hide letters (l.i.k.e t-h*is), capitals, shouted words, punctuation, exclamation marks, words with inner
-signs or digits, long runs of a letter, word length. Words are compared by their letters alone, in lower case.
+signs or digits, long runs of a letter, word length. Words are compared by their letters alone, in lower case, and once
+more with the digits and signs that stand for letters read as these (``1d10t``).
 
 Training data is a bounded sample, ``MAX_LABELLED`` rows of labels chosen by a hash of doc_id among those that may be
 learned from. One half gives the lexicon: whole words and beginnings of words (stems) that mark toxic texts, ranked by
-a pessimistic log-odds ratio over all words of the half, the best ``MAX_LEXICON`` kept. The other half gives trees and,
-from out-of-fold scores, the isotonic map; so neither sees its own lexicon's luck. All documents are then scored in
+a pessimistic log-odds ratio over all words of the half; all that are well above even are kept. The other half gives
+trees and, from out-of-fold scores, the isotonic map; so neither sees its own lexicon's luck. All documents are then scored in
 one scan, without a shuffle; what is sent to executors is the lexicon and the trees.
 """
 
@@ -26,7 +27,6 @@ from quantspark.llm.words import BASE, BYTE_VALUES, Words, chunks, mix, powers
 from quantspark.session import ship
 
 MAX_LABELLED = 12_000
-MAX_LEXICON = 512
 STEMS = range(3, 9)
 NEAR = 5
 #: Second-person words of the corpus's languages (fixed values).
@@ -41,6 +41,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = _LETTER[0x80:] = True
+#: What digits and signs stand for in place of letters (fixed values).
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+_LEET = _LOWER.copy()
+for _sign, _meant in LEET.items():
+    _LEET[ord(_sign)] = ord(_meant)
+_STANDS_IN = _LEET != _LOWER
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
 _DIGIT = np.zeros(256, bool)
@@ -56,6 +62,7 @@ class Letters:
     """The words of a chunk by their letters: a hash of the whole word, and of each stem, with the word it is of."""
 
     words: Words
+    leet: bool = False
     whole: np.ndarray = field(init=False)
     stems: list[tuple[np.ndarray, np.ndarray]] = field(init=False)
     inner: np.ndarray = field(init=False)
@@ -67,8 +74,13 @@ class Letters:
         word_of = np.repeat(np.arange(n), size)
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(words.start, size)
         letter = _LETTER[raw[at]]
+        if self.leet:
+            # Only inside words that have a letter as well; a number stays a number, and a sign at the end a sign.
+            mixed = np.bincount(word_of[letter], minlength=n) > 0
+            inside = at < words.end[word_of] - 1
+            letter |= _STANDS_IN[raw[at]] & mixed[word_of] & inside
         at, owner = at[letter], word_of[letter]
-        low = _LOWER[raw[at]]
+        low = (_LEET if self.leet else _LOWER)[raw[at]]
         # Latin-1 capitals are C3 80..9E in UTF-8, small letters C3 A0..BE.
         if len(at):
             follows = np.append(False, (raw[at[1:] - 1] == 0xC3)) & (low >= 0x80) & (low <= 0x9E)
@@ -84,7 +96,7 @@ class Letters:
             char = np.cumsum(starts) - 1
             char -= char[np.minimum(first, len(char) - 1)][owner] if len(char) else 0
             self.stems = []
-            for k in STEMS:
+            for k in () if self.leet else STEMS:
                 end = np.flatnonzero(starts & (char == k))
                 self.stems.append((mix((sums[end] - sums[first[owner[end]]]) ^ _U(k)), owner[end]))
         # Signs or digits between letters of a word.
@@ -121,7 +133,15 @@ def seed_lexicon() -> dict[int, float]:
     return {word_hash(w): INSULT_WEIGHT for w in INSULTS.split()}
 
 
-def learn_lexicon(sample: DataFrame, most: int = MAX_LEXICON) -> tuple[np.ndarray, np.ndarray]:
+def upper_starts(raw: np.ndarray) -> np.ndarray:
+    """Marks of the last byte of each capital: ASCII, and Latin-1's two-byte ones (C3 80..9E without 97)."""
+    upper = _UPPER[raw]
+    if len(raw) > 1:
+        upper[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    return upper
+
+
+def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and stems (ascending) and their weights, from rows (text, toxic)."""
     totals = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     n_bad, n = totals[0] or 0, totals[1]
@@ -131,7 +151,7 @@ def learn_lexicon(sample: DataFrame, most: int = MAX_LEXICON) -> tuple[np.ndarra
     tally = sample.select("text", "toxic").mapInArrow(_tally, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n - n_bad + 1.0))
     doubt = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = tally.where("bad >= 3").select("key", (odds - 1.0 * doubt).alias("weight")).where("weight > 1.0").orderBy(F.desc("weight"), "key").limit(most).collect()
+    best = tally.where("bad >= 3").select("key", (odds - 1.0 * doubt).alias("weight")).where("weight > 1.0").collect()
     known |= {int(np.int64(key).view(np.uint64)): weight for key, weight in best}
     return _sorted(known)
 
@@ -153,7 +173,9 @@ def features(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray], second: n
     weight = np.zeros(len(doc))
     named = np.zeros(len(doc), np.uint64)
     if len(keys):
-        for found, owner in ((letters.whole, np.arange(len(doc))), *letters.stems):
+        seen_through = Letters(words, leet=True).whole
+        every = np.arange(len(doc))
+        for found, owner in ((letters.whole, every), (seen_through, every), *letters.stems):
             at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
             hit = (keys[at] == found) & (weights[at] > weight[owner])
             weight[owner[hit]] = weights[at[hit]]
@@ -170,17 +192,22 @@ def features(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray], second: n
     heaviest = np.zeros(n)
     np.maximum.at(heaviest, doc[hit], weight[hit])
     size = words.end - words.start
+    capital = upper_starts(raw)
     upper = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(_UPPER[raw], out=upper[1:])
+    np.cumsum(capital, out=upper[1:])
     shouted = (upper[words.end] - upper[words.start]) * 2 > size
     shouted &= size > 1
     runs = np.zeros(len(raw), bool)
     if len(raw) > 2:
         runs[2:] = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & _LETTER[raw[2:]]
+        # The first two bytes of a row follow another row's.
+        starts = words.at[:-1]
+        for k in (0, 1):
+            runs[(starts + k)[starts + k < words.at[1:]]] = False
     chars = np.maximum(1, np.diff(words.at))
     return np.column_stack([
         per(weight) / some, np.log1p(per(hit)), distinct, heaviest, per(hit & close) / some, per(hit & letters.inner),
-        words.per_doc(_UPPER[raw]) / chars, per(shouted) / some, words.per_doc(_PUNCT[raw]) / chars, words.per_doc(raw == ord("!")) / some,
+        words.per_doc(capital) / chars, per(shouted) / some, words.per_doc(_PUNCT[raw]) / chars, words.per_doc(raw == ord("!")) / some,
         per(letters.inner) / some, words.per_doc(runs) / chars, per(size) / some, np.log1p(words.count),
     ])
 
@@ -291,11 +318,13 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """A model from at most about ``most`` labelled rows that are not held out.
 
-    Labels that are null count as missing; of several labels of a doc_id the largest counts. With no labels, or of
-    one kind only, the model is a constant rate.
+    Labels that are null count as missing; of several labels of a doc_id the largest counts; rows that share a doc_id
+    are examples of their own with its label; null texts are empty ones. With no labels, of one kind only, or without
+    documents the model is a constant rate. Other columns are ignored. The lexicon holds words of the sample alone, so
+    its size is bounded as the sample is.
     """
     ship(docs.sparkSession)
     may = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
@@ -305,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, max_lexi
     half = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = cut(rows.select("text", "toxic", half.alias("half"), F.xxhash64("doc_id", F.lit(13)).alias("place")))
-    lexicon = learn_lexicon(rows.where("half = 0"), max_lexicon)
+    lexicon = learn_lexicon(rows.where("half = 0"))
     second = np.array([word_hash(w) for w in SECOND_PERSON.split()], np.uint64)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +350,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, max_lexi
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document; null and empty texts have the score of a text without words."""
+    """doc_id, held_out, score, predicted of each document.
+
+    Null and empty texts have the score of a text without words. A row's score follows from its text alone, so repeated
+    rows agree; null doc_ids are rows like any other; other columns are ignored; an empty table gives an empty result.
+    """
 
     ship(docs.sparkSession)
 

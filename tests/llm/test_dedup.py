@@ -184,11 +184,13 @@ def test_near_chains_and_rounds(spark):
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert grouped(near_dedup.near_groups(df, bands=6, rows=1)) == classes(rows)
+    assert grouped(near_dedup.near_groups(df, bands=6, rows=1, bit_filter=False)) == classes(rows)
 
 
 def test_near_in_many_blocks(spark, monkeypatch):
     """Buckets larger than a block: all pairs of blocks meet."""
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "NARROW", 16)
     monkeypatch.setattr(near_dedup, "SMALL", 3)
     base = [f"b{k}" for k in range(80)]
     r = random.Random(9)
