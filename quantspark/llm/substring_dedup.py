@@ -11,7 +11,8 @@ is found under its anchor. Windows of a text that share an anchor are one candid
    that ranges and their surroundings lie in are cut out of their sources, each once, and brought to the texts that
    refer to them, however long a source is and however many texts refer to it.
 3. Parse: a text's words are compared with its sources' words, and each match is extended to the left and right as far
-   as words agree. From left to right the longest match from the place at hand on is the next factor; factors of
+   as words agree, but no further than ``MARGIN`` words beyond its seeds: what follows has an even earlier source, and
+   seeds of its own. From left to right the longest match from the place at hand on is the next factor; factors of
    ``WINDOW`` words or more are duplicates. At a factor's end all windows across the border are checked as well, since
    another source may hold them.
 
@@ -23,6 +24,7 @@ new surroundings is split. Which anchors have several entries is a partial aggre
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -239,7 +241,7 @@ def extended(own: list[bytes], source: list[bytes], lo: int, size: int, src_lo:
 
 
 def greedy_factors(matches: list[tuple], window: int) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """The factors of a text from its matches (start, length, ...), and the ranges of window starts that are repeats.
+    """The factors of a text from its matches (start, length, source start, source), and the ranges of window starts that are repeats.
 
     At each place the match that reaches furthest is the factor, from that place on; where no match of ``window`` words
     goes on, the parse moves to the next one's start. Windows across a factor's end are repeats if any match holds them.
@@ -252,17 +254,31 @@ def greedy_factors(matches: list[tuple], window: int) -> tuple[list[tuple], list
                 best = long[k]
             k += 1
         if best is not None and best[0] + best[1] - at >= window:
-            factors.append((at, best[0] + best[1] - at, *(v + at - best[0] if j == len(best) - 3 else v for j, v in enumerate(best[2:]))))
+            factors.append((at, best[0] + best[1] - at, best[2] + at - best[0], *best[3:]))
             at = best[0] + best[1]
         elif k < len(long):
-            at = max(at + 1, long[k][0]) if long[k][0] > at else at + 1
+            at = long[k][0]
         else:
             break
-    inside = [(a, a + n - window) for a, n, *_ in factors]
-    borders = {a + n for a, n, *_ in factors}
-    across = [(max(m[0], e - window + 1), min(m[0] + m[1] - window, e - 1)) for e in borders for m in long if m[0] < e and m[0] + m[1] > e]
-    rest = [(m[0], m[0] + m[1] - window) for m in long]
-    return factors, inside + [r for r in across if r[0] <= r[1]] + rest
+    # What all matches hold, as disjoint ranges of window starts in order.
+    held: list[list[int]] = []
+    for a, n, *_ in long:
+        if held and a <= held[-1][1] + 1:
+            held[-1][1] = max(held[-1][1], a + n - window)
+        else:
+            held.append([a, a + n - window])
+    lows = [a for a, _ in held]
+    repeats = []
+    for a, n, *_ in factors:
+        repeats.append((a, a + n - window))
+        end = a + n
+        j = max(0, bisect.bisect_right(lows, end - window + 1) - 1)
+        while j < len(held) and held[j][0] < end:
+            low, high = max(held[j][0], end - window + 1), min(held[j][1], end - 1)
+            if low <= high:
+                repeats.append((low, high))
+            j += 1
+    return factors, repeats
 
 
 def _repeats(words: Words, row: int, refs: list[dict], window: int) -> tuple[list[tuple], list[tuple[int, int]]]:
@@ -378,20 +394,28 @@ def seeds(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
 
 
 def references(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, row_id, refs): for each row of ``texts`` with repeats, its ranges with the reference blocks that they point into."""
+    """(doc_id, row_id, refs): for each row of ``texts`` with repeats, its ranges with the reference blocks that they point into.
+
+    A table of its own in the shared folder; all that led to it is removed.
+    """
     spark = texts.sparkSession
     found, paths = seeds(texts, window, anchor)
     listed = found.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi", *_SOURCE)).alias("seeds"))
-    ranges = table(listed.mapInArrow(_ranges, _RANGE_DDL), "ranges")
+    range_path, block_path = fresh_path(spark, "ranges"), fresh_path(spark, "reference-blocks")
+    stored(listed.mapInArrow(_ranges, _RANGE_DDL), range_path)
     discard(spark, *paths)
+    ranges = spark.read.schema(_RANGE_DDL).parquet(range_path)
     asked = ranges.withColumn("block", F.explode(F.sequence(F.expr(f"greatest(0, src_lo - {MARGIN}) DIV {BLOCK_WORDS}"), F.expr(f"(src_lo + hi - lo + {window + MARGIN}) DIV {BLOCK_WORDS}"))))
     wanted = asked.groupBy(F.col("src_doc").alias("doc_id"), F.col("src_row").alias("row_id")).agg(F.collect_set("block").alias("blocks"))
     blocks = _at_rows(texts, wanted, "inner").select("doc_id", "row_id", "text", "blocks").mapInArrow(_blocks, "src_doc long, src_row long, block long, body binary")
     # Rows that share doc_id and text are one source.
-    blocks = table(blocks.dropDuplicates(["src_doc", "src_row", "block"]), "reference-blocks").alias("b")
+    stored(blocks.dropDuplicates(["src_doc", "src_row", "block"]), block_path)
+    blocks = spark.read.schema(blocks.schema).parquet(block_path).alias("b")
     same = (F.col("a.src_row") == F.col("b.src_row")) & F.col("a.src_doc").eqNullSafe(F.col("b.src_doc")) & (F.col("a.block") == F.col("b.block"))
     joined = asked.alias("a").join(blocks, same).select("a.*", "b.body")
-    return joined.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi", *_SOURCE, "block", "body")).alias("refs"))
+    refs = table(joined.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi", *_SOURCE, "block", "body")).alias("refs")), "references")
+    discard(spark, range_path, block_path)
+    return refs
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -63,6 +63,55 @@ def test_substring_random_passages(spark):
     assert sorted(got) == sorted(removed(rows))
 
 
+def test_factors_against_a_greedy_parse(spark):
+    """Factors copy their source's words, begin earlier, go on as far as both agree or to the next one, and hold all repeated windows but for those across their ends."""
+    r = random.Random(11)
+    passages = [[f"p{k}_{j}" for j in range(r.randint(25, 90))] for k in range(5)]
+    rows = []
+    for i in range(50):
+        w = []
+        for _ in range(r.randint(1, 5)):
+            p = r.choice(passages)
+            a = r.randint(0, len(p) // 2)
+            w += p[a : a + r.randint(10, 80)] + [f"x{i}_{r.randint(0, 9)}"] * r.randint(0, 2)
+        rows.append((i, " ".join(w)))
+    own = {i: t.split() for i, t in rows}
+    found = sorted(tuple(x) for x in substring_dedup.factors(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert len(found) > 50
+    starts = {f[:2] for f in found}
+    inside = collections.defaultdict(set)
+    ends = collections.defaultdict(set)
+    reach = {}
+    for i, start, n, j, at in found:
+        assert n >= 20 and (j, at) < (i, start) and own[i][start : start + n] == own[j][at : at + n]
+        assert start >= reach.get(i, 0)
+        reach[i] = start + n
+        after = own[i][start + n : start + n + 1], own[j][at + n : at + n + 1]
+        # Where both go on, what follows has an earlier source, from which the next factor is copied, or is short.
+        assert after[0] != after[1] or not after[0] or not after[1] or (i, start + n) in starts or len(own[i]) < start + n + 20
+        inside[i] |= set(range(start, start + n - 19))
+        ends[i] |= set(range(start + n - 19, start + n))
+    first = {}
+    for i in sorted(own):
+        for k in range(len(own[i]) - 19):
+            key = tuple(own[i][k : k + 20])
+            if key in first:
+                assert k in inside[i] or k in ends[i]
+            else:
+                assert k not in inside[i]
+                first[key] = (i, k)
+
+
+def test_extension_and_factors():
+    own, source = [b"a", b"b", b"c", b"d", b"x"], [b"z", b"b", b"c", b"d", b"y"]
+    # From two words in the middle to either side, as far as words agree; the source's words are known from place 10 on.
+    assert substring_dedup.extended(own, source, 2, 1, 12, 10) == (1, 3, 11)
+    assert substring_dedup.extended(own, [b"q"] * 5, 2, 2, 12, 10) == (2, 0, 12)
+    found, repeats = substring_dedup.greedy_factors([(0, 30, 5, 1, 1), (20, 40, 7, 2, 2), (25, 10, 0, 3, 3)], 20)
+    assert [f[:2] for f in found] == [(0, 30), (30, 30)] and found[1][2:] == (17, 2, 2)
+    assert sorted({k for a, b in repeats for k in range(a, b + 1)}) == [*range(11), *range(20, 41)]
+
+
 def test_substring_text_and_empty(spark, empty):
     df = spark.createDataFrame([(1, "a b c " * 30)], "doc_id long, text string")
     row = substring_dedup.substring_dedup(df, with_text=True).first()
