@@ -18,8 +18,8 @@ is found under its anchor. Windows of a text that share an anchor are one candid
 
 "Earlier" is the smaller doc_id, then the smaller start. Candidates that an Arrow batch already holds an earlier copy
 of are settled there, and a text that repeats itself or a batch of copies sends one entry of each kind; only what is
-left, about one narrow row for every seven words, is shuffled, by anchor and words, so that a frequent anchor in ever
-new surroundings is split. Which anchors have several entries is a partial aggregate, joined back.
+left, about one narrow row for every seven words, is shuffled, once, by anchor. So a frequent anchor sends a task one
+row for each batch and each different surroundings (README).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.llm.store import cut, discard, fresh_path, stored, table
+from quantspark.llm.store import discard, fresh_path, stored, table
 from quantspark.llm.words import BASE, BASE2, Words, chunks, mix, prefix, ranges
 from quantspark.session import ship
 
@@ -229,8 +229,11 @@ def extended(own: list[bytes], source: list[bytes], lo: int, size: int, src_lo:
     differ, and goes on to either side while they agree.
     """
     at, end = src_lo - src_first, 0
-    while end < size and at + end < len(source) and lo + end < len(own) and own[lo + end] == source[at + end]:
-        end += 1
+    if own[lo : lo + size] == source[at : at + size]:
+        end = size
+    else:
+        while end < size and at + end < len(source) and lo + end < len(own) and own[lo + end] == source[at + end]:
+            end += 1
     if end == size:
         while at + end < len(source) and lo + end < len(own) and own[lo + end] == source[at + end]:
             end += 1
@@ -377,14 +380,14 @@ def seeds(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
         rows = rows.withColumns({"later": settled | (F.col("__rank") > 1), "__src": F.when(settled, own).otherwise(F.col("__first"))})
         return rows.drop(*_SOURCE, "__rank", "__first").select("*", *[F.when(F.col("later"), F.col("__src")[c]).alias(c) for c in _SOURCE]).drop("__src")
 
-    found = texts.mapInArrow(_factors(window, anchor), _FACTOR_DDL).repartition("anchor", "words")
+    found = texts.mapInArrow(_factors(window, anchor), _FACTOR_DDL).repartition("anchor")
     found = found.withColumns({"lo": lo, "hi": lo + F.col("span") % window})
-    found = judged(found, same, F.col("words").isNull()).select("anchor", "words", "doc_id", "row_id", "lo", "hi", "later", *_SOURCE)
+    entry = Window.partitionBy("anchor")
+    found = judged(found, same, F.col("words").isNull()).withColumn("mixed", F.min("words").over(entry) < F.max("words").over(entry))
+    found = found.where("later OR mixed").select("doc_id", "row_id", "lo", "hi", "later", *_SOURCE)
     stored(found, paths[0])
     found = spark.read.schema(found.schema).parquet(paths[0])
-    opens = found.where("NOT later").select("anchor", "words", "doc_id", "row_id", "lo", "hi")
-    mixed = cut(opens.groupBy("anchor").agg(F.min("words").alias("least"), F.max("words").alias("most")).where("least < most").select("anchor"))
-    edges = opens.join(mixed, "anchor").groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    edges = found.where("NOT later").groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     parsed = _at_rows(texts, edges, "inner").select("doc_id", "row_id", "text", "spans").mapInArrow(_windows(window), _SPAN_DDL).repartition("key")
     single = judged(parsed, Window.partitionBy("key", "key2").orderBy("doc_id", "lo"), F.col("key2").isNull()).where("later")
     single = single.select("doc_id", "row_id", "lo", F.col("lo").alias("hi"), *_SOURCE)
