@@ -40,9 +40,9 @@ from quantspark.session import ship
 WINDOW = 20
 ANCHOR = 8
 
-#: Words of a reference block, and how far a match is extended beyond its seeds on either side. A seed ends where its
-#: anchor's windows end, so the rest of a match in the next entry is never longer than this.
-BLOCK_WORDS, MARGIN = 64, WINDOW - ANCHOR
+#: Words of a reference block, and how far a match is extended beyond its seeds on either side: were it longer by a whole
+#: window, that window would be a seed of its own.
+BLOCK_WORDS, MARGIN = 64, WINDOW - 1
 
 #: ``span``: the first window's start times WINDOW, plus the number of further windows. ``words`` is null where the
 #: batch holds an earlier copy, which then is the source; the anchor is an arbitrary number, as no entry is needed.
@@ -51,7 +51,8 @@ _FACTOR = pa.schema([(n, pa.int64()) for n in ("anchor", "words", "doc_id", "row
 _SOURCE_DDL = "src_doc long, src_row long, src_lo long"
 _FACTOR_DDL = f"anchor long, words long, doc_id long, row_id long, span long, {_SOURCE_DDL}"
 _SPAN_DDL = f"key long, key2 long, doc_id long, row_id long, lo long, {_SOURCE_DDL}"
-_RANGE_DDL = f"doc_id long, row_id long, lo long, hi long, {_SOURCE_DDL}"
+_RANGE = pa.struct([(n, pa.int64()) for n in ("lo", "hi", *_SOURCE)])
+_RANGES_DDL = "doc_id long, row_id long, ranges array<struct<lo:long,hi:long,src_doc:long,src_row:long,src_lo:long>>"
 _KEPT_DDL = "n_words long, n_removed long, kept_sha256 string"
 
 
@@ -192,10 +193,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = ~together | (low[1:] > reach[:-1] + 1)
         start = np.flatnonzero(new)
         last = np.append(start[1:], len(by)) - 1
-        at = pa.array(row[by][start])
         source = pa.array(by[start])
-        columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(low[start]), pa.array(reach[last] if len(by) else low[start]), src_doc.take(source), src_row.take(source), pa.array(sl[start])]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_id", "lo", "hi", *_SOURCE])
+        found = pa.StructArray.from_arrays([pa.array(low[start]), pa.array(reach[last] if len(by) else low[start]), src_doc.take(source), src_row.take(source), pa.array(sl[start])], fields=list(_RANGE))
+        offsets = np.append(0, np.cumsum(np.bincount(row[by][start], minlength=batch.num_rows))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), found)], names=["doc_id", "row_id", "ranges"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,22 +226,23 @@ def _text(words: Words, first: int, last: int) -> bytes:
 def extended(own: list[bytes], source: list[bytes], lo: int, size: int, src_lo: int, src_first: int) -> tuple[int, int, int]:
     """(start, length, source start) of the match around ``own[lo:lo + size]``, which should lie at ``src_lo`` of the source.
 
-    ``source`` holds the source's words from ``src_first`` on. Words are compared one by one: the match ends where they
-    differ, and goes on to either side while they agree.
+    ``source`` holds the source's words from ``src_first`` on. The match ends where words differ; where all agree it goes
+    on to either side while they do, up to ``MARGIN`` words.
     """
-    at, end = src_lo - src_first, 0
-    if own[lo : lo + size] == source[at : at + size]:
-        end = size
-    else:
-        while end < size and at + end < len(source) and lo + end < len(own) and own[lo + end] == source[at + end]:
-            end += 1
-    if end == size:
-        while at + end < len(source) and lo + end < len(own) and own[lo + end] == source[at + end]:
-            end += 1
-    begin = 0
-    while begin < min(at, lo) and own[lo - begin - 1] == source[at - begin - 1]:
-        begin += 1
-    return lo - begin, begin + end, src_lo - begin
+    at = src_lo - src_first
+    if own[lo : lo + size] != source[at : at + size]:
+        end = next((k for k, (x, y) in enumerate(zip(own[lo : lo + size], source[at : at + size], strict=False)) if x != y), min(len(own) - lo, len(source) - at))
+        return lo, end, src_lo
+    right = _agreeing(own[lo + size : lo + size + MARGIN], source[at + size : at + size + MARGIN])
+    left = _agreeing(own[max(0, lo - MARGIN) : lo][::-1], source[max(0, at - MARGIN) : at][::-1])
+    return lo - left, left + size + right, src_lo - left
+
+
+def _agreeing(a: list[bytes], b: list[bytes]) -> int:
+    """How many words two lists begin with in common."""
+    if a == b:
+        return len(a)
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def greedy_factors(matches: list[tuple], window: int) -> tuple[list[tuple], list[tuple[int, int]]]:
@@ -284,34 +286,43 @@ def greedy_factors(matches: list[tuple], window: int) -> tuple[list[tuple], list
     return factors, repeats
 
 
-def _repeats(words: Words, row: int, refs: list[dict], window: int) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """The parse of one text by its references: factors (start, length, source start, source doc_id, source row), repeats."""
-    a, b = words.first[row], words.first[row + 1]
-    own = _text(words, a, b).split(b" ")
-    found: dict[tuple, list[tuple[int, bytes]]] = {}
-    for r in refs:
-        found.setdefault((r["lo"], r["hi"], r["src_lo"], r["src_doc"], r["src_row"]), []).append((r["block"], r["body"]))
+def _repeats(words: Words, row: int, ranges: list[dict], bodies: list[dict], window: int) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """The parse of one text by its ranges and reference blocks: factors (start, length, source start, source doc_id, source row), repeats."""
+    own = _text(words, words.first[row], words.first[row + 1]).split(b" ")
+    known = {(x["src_doc"], x["src_row"], x["block"]): x["body"] for x in bodies}
+    sources: dict[tuple, list[bytes]] = {}
     matches = []
-    for (lo, hi, src_lo, src_doc, src_row), blocks in found.items():
-        blocks.sort()
-        source = [w for _, body in blocks for w in (body.split(b" ") if body else [])]
-        start, n, at = extended(own, source, lo, hi - lo + window, src_lo, blocks[0][0] * BLOCK_WORDS)
-        matches.append((start, n, at, src_doc, src_row))
+    for r in ranges:
+        size, src_lo, name = r["hi"] - r["lo"] + window, r["src_lo"], (r["src_doc"], r["src_row"])
+        low, high = max(0, src_lo - MARGIN) // BLOCK_WORDS, (src_lo + size + MARGIN) // BLOCK_WORDS
+        if (*name, low) not in known:
+            # A text that repeats itself is its own reference.
+            source, first = own, 0
+        else:
+            if (*name, low, high) not in sources:
+                sources[*name, low, high] = [w for k in range(low, high + 1) if (body := known.get((*name, k))) for w in body.split(b" ")]
+            source, first = sources[*name, low, high], low * BLOCK_WORDS
+        start, n, at = extended(own, source, r["lo"], size, src_lo, first)
+        matches.append((start, n, at, *name))
     return greedy_factors(matches, window)
 
 
+def _pylist(column: pa.Array, row: int) -> list[dict]:
+    return column[row].as_py() or []
+
+
 def _cut_out(window: int, with_text: bool):
-    """What is left of each text (columns: kept columns, text, references), its digest and counts."""
+    """What is left of each text (columns: kept columns, text, ranges, bodies), its digest and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "__text"):
-                n = part.num_columns - 2
+                n = part.num_columns - 3
                 words = Words(part.column(n))
-                refs = part.column(n + 1)
+                ranges, bodies = part.column(n + 1), part.column(n + 2)
                 marks = np.zeros(len(words.doc) + 1, np.int64)
-                for row in np.flatnonzero(refs.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    _, repeats = _repeats(words, row, refs[row].as_py(), window)
+                for row in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    _, repeats = _repeats(words, row, _pylist(ranges, row), _pylist(bodies, row), window)
                     first = words.first[row]
                     for lo, hi in repeats:
                         marks[first + lo] += 1
@@ -334,7 +345,7 @@ def _factor_rows(window: int):
             for part in chunks(batch, "__text"):
                 words, out = Words(part.column(1)), []
                 for row in range(part.num_rows):
-                    for start, n, src_start, src_doc, _ in _repeats(words, row, part.column(2)[row].as_py(), window)[0]:
+                    for start, n, src_start, src_doc, _ in _repeats(words, row, _pylist(part.column(2), row), _pylist(part.column(3), row), window)[0]:
                         out.append((part.column(0)[row].as_py(), start, n, src_doc, src_start))
                 columns = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "source_doc_id", "source_start"])
@@ -396,29 +407,32 @@ def seeds(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
     return found.where("later").select("doc_id", "row_id", "lo", "hi", *_SOURCE).unionByName(single), paths
 
 
-def references(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, row_id, refs): for each row of ``texts`` with repeats, its ranges with the reference blocks that they point into.
+def with_references(texts: DataFrame, how: str, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``texts`` with ``ranges`` and ``bodies``: what of each text begins earlier elsewhere, and the reference blocks that this points into.
 
-    A table of its own in the shared folder; all that led to it is removed.
+    A block is listed once for each text that refers to it. Both are tables of their own in the shared folder; all that
+    led to them is removed.
     """
     spark = texts.sparkSession
     found, paths = seeds(texts, window, anchor)
     listed = found.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi", *_SOURCE)).alias("seeds"))
-    range_path, block_path = fresh_path(spark, "ranges"), fresh_path(spark, "reference-blocks")
-    stored(listed.mapInArrow(_ranges, _RANGE_DDL), range_path)
+    ranges = table(listed.mapInArrow(_ranges, _RANGES_DDL), "ranges")
     discard(spark, *paths)
-    ranges = spark.read.schema(_RANGE_DDL).parquet(range_path)
-    asked = ranges.withColumn("block", F.explode(F.sequence(F.expr(f"greatest(0, src_lo - {MARGIN}) DIV {BLOCK_WORDS}"), F.expr(f"(src_lo + hi - lo + {window + MARGIN}) DIV {BLOCK_WORDS}"))))
+    flat = ranges.select("doc_id", "row_id", F.explode("ranges").alias("r")).select("doc_id", "row_id", "r.*")
+    within = (F.col("src_row") == F.col("row_id")) & F.col("src_doc").eqNullSafe(F.col("doc_id"))
+    block = F.explode(F.sequence(F.expr(f"greatest(0, src_lo - {MARGIN}) DIV {BLOCK_WORDS}"), F.expr(f"(src_lo + hi - lo + {window + MARGIN}) DIV {BLOCK_WORDS}")))
+    asked = flat.where(~within).select("doc_id", "row_id", "src_doc", "src_row", block.alias("block")).distinct()
     wanted = asked.groupBy(F.col("src_doc").alias("doc_id"), F.col("src_row").alias("row_id")).agg(F.collect_set("block").alias("blocks"))
     blocks = _at_rows(texts, wanted, "inner").select("doc_id", "row_id", "text", "blocks").mapInArrow(_blocks, "src_doc long, src_row long, block long, body binary")
     # Rows that share doc_id and text are one source.
-    stored(blocks.dropDuplicates(["src_doc", "src_row", "block"]), block_path)
-    blocks = spark.read.schema(blocks.schema).parquet(block_path).alias("b")
+    path = fresh_path(spark, "reference-blocks")
+    stored(blocks.dropDuplicates(["src_doc", "src_row", "block"]), path)
+    blocks = spark.read.schema(blocks.schema).parquet(path).alias("b")
     same = (F.col("a.src_row") == F.col("b.src_row")) & F.col("a.src_doc").eqNullSafe(F.col("b.src_doc")) & (F.col("a.block") == F.col("b.block"))
     joined = asked.alias("a").join(blocks, same).select("a.*", "b.body")
-    refs = table(joined.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi", *_SOURCE, "block", "body")).alias("refs")), "references")
-    discard(spark, range_path, block_path)
-    return refs
+    bodies = table(joined.groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("src_doc", "src_row", "block", "body")).alias("bodies")), "references")
+    discard(spark, path)
+    return _at_rows(_at_rows(texts, ranges, how), bodies, "left")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -432,7 +446,7 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     """The parse: doc_id, start, length, source_doc_id, source_start of each factor of ``window`` words or more."""
     ship(docs.sparkSession)
     texts = _texts(docs)
-    joined = _at_rows(texts, references(texts, window, anchor), "inner").select("doc_id", F.col("text").alias("__text"), F.col("refs").alias("__refs"))
+    joined = with_references(texts, "inner", window, anchor).select("doc_id", F.col("text").alias("__text"), F.col("ranges").alias("__ranges"), F.col("bodies").alias("__bodies"))
     return joined.mapInArrow(_factor_rows(window), "doc_id long, start long, length long, source_doc_id long, source_start long")
 
 
@@ -445,5 +459,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     ship(docs.sparkSession)
     texts = _texts(docs)
-    joined = _at_rows(texts, references(texts, window, anchor), "left").select("doc_id", F.col("text").alias("__text"), F.col("refs").alias("__refs"))
+    joined = with_references(texts, "left", window, anchor).select("doc_id", F.col("text").alias("__text"), F.col("ranges").alias("__ranges"), F.col("bodies").alias("__bodies"))
     return joined.mapInArrow(_cut_out(window, with_text), "doc_id long, " + _KEPT_DDL + ", kept_text string" * with_text)

@@ -107,6 +107,7 @@ def test_extension_and_factors():
     # From two words in the middle to either side, as far as words agree; the source's words are known from place 10 on.
     assert substring_dedup.extended(own, source, 2, 1, 12, 10) == (1, 3, 11)
     assert substring_dedup.extended(own, [b"q"] * 5, 2, 2, 12, 10) == (2, 0, 12)
+    assert substring_dedup.extended(own, [b"q", b"q", b"c", b"q"], 2, 2, 12, 10) == (2, 1, 12)
     found, repeats = substring_dedup.greedy_factors([(0, 30, 5, 1, 1), (20, 40, 7, 2, 2), (25, 10, 0, 3, 3)], 20)
     assert [f[:2] for f in found] == [(0, 30), (30, 30)] and found[1][2:] == (17, 2, 2)
     assert sorted({k for a, b in repeats for k in range(a, b + 1)}) == [*range(11), *range(20, 41)]
