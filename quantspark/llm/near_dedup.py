@@ -12,7 +12,7 @@ Two documents are linked when the weighted Jaccard similarity of their bags of `
   several components is compared in full, so that no candidate pair is left out: buckets of up to ``SMALL`` members as
   pairs, larger ones in blocks: first narrow rows, ``NARROW`` at a time, which tell who can have a partner in another
   component at all, then the texts of these, ``BLOCK`` at a time, whose overlaps are one matrix product and whose rows
-  are links. ``ROUNDS`` of bands follow one another, so that what one connects needs no blocks in the next.
+  are links.
 * Pairs are listed only if their lengths and ``BITS`` one-bit hashes allow the threshold; a pair at the threshold
   fails this once in 10**8. Sharing a passage isn't enough, however many texts share it.
 * Texts are shuffled once, for nodes that share a bucket only after a narrow join, and kept for all rounds.
@@ -36,8 +36,6 @@ SIZE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 28, 5
 SMALL, BLOCK, NARROW = 16, 256, 2048
-#: The bands up to which each round of blocks goes.
-ROUNDS = (3, 10, None)
 #: The first round looks at so many bands alone; what they connect needs no pairs in the others.
 FIRST_BANDS = 3
 
@@ -206,14 +204,9 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denomin
     labels = labels if links.isEmpty() else _joined(labels, links)
     live = cut(current(labels).where("size > 2"))
     small, _ = compare(live.where(F.col("size") <= SMALL), 1, SMALL, tried)
-    labels = labels if small.isEmpty() else _joined(labels, small)
-    for low, high in zip((0, *ROUNDS), ROUNDS, strict=False):
-        in_round = (F.col("band") >= low) & (F.lit(True) if high is None else F.col("band") < high)
-        large = cut(current(labels).where((F.col("size") > SMALL) & in_round))
-        if large.isEmpty():
-            continue
-        links = _block_links(large, texts, size, numerator, denominator, most_bits)
-        labels = labels if links.isEmpty() else _joined(labels, links)
+    large = _block_links(live.where(F.col("size") > SMALL), texts, size, numerator, denominator, most_bits)
+    links = small.unionByName(large)
+    labels = labels if links.isEmpty() else _joined(labels, links)
     discard(spark, path)
     return labels
 
