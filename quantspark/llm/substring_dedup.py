@@ -18,8 +18,10 @@ is found under its anchor. Windows of a text that share an anchor are one candid
 
 "Earlier" is the smaller doc_id, then the smaller start. Candidates that an Arrow batch already holds an earlier copy
 of are settled there, and a text that repeats itself or a batch of copies sends one entry of each kind; only what is
-left, about one narrow row for every seven words, is shuffled, once, by anchor. So a frequent anchor sends a task one
-row for each batch and each different surroundings (README).
+left, about one narrow row for every seven words, is shuffled, once, by anchor. An anchor that is frequent in ever new
+surroundings would gather one row for each in one task: rows are counted in ``ROUTES`` buckets of anchors, and those of a
+bucket of more than ``HOT`` times the mean are dealt out by anchor and words. Which anchors are there together is then not
+known, so all their first texts are looked up window by window, which finds the same repeats.
 """
 
 from __future__ import annotations
@@ -44,6 +46,9 @@ ANCHOR = 8
 #: window, that window would be a seed of its own.
 BLOCK_WORDS, MARGIN = 64, WINDOW - 1
 
+#: Buckets of anchors whose rows are counted, and how many times the mean makes one hot. At most ROUTES / HOT can be.
+ROUTES, HOT = 65_536, 8
+
 #: ``span``: the first window's start times WINDOW, plus the number of further windows. ``words`` is null where the
 #: batch holds an earlier copy, which then is the source; the anchor is an arbitrary number, as no entry is needed.
 _SOURCE = ("src_doc", "src_row", "src_lo")
@@ -376,10 +381,27 @@ def _at_rows(texts: DataFrame, others: DataFrame, how: str) -> DataFrame:
     return texts.join(others, (F.col("row_id") == F.col("__row_id")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), how).drop("__doc_id", "__row_id")
 
 
+def _dealt(listed: DataFrame) -> DataFrame:
+    """Candidates with ``hot``, and with a key of anchor and words for anchor where that is so.
+
+    Settled candidates have arbitrary anchors and don't count. The counts have ``ROUTES`` rows at most, so one task
+    compares them and the hot ones are broadcast.
+    """
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(ROUTES))
+    counts = listed.where("words IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    over = counts.withColumn("mean", F.avg("n").over(Window.partitionBy())).where(F.col("n") > HOT * F.col("mean"))
+    dealt = listed.join(F.broadcast(over.select("bucket", F.lit(True).alias("hot"))), bucket == F.col("bucket"), "left").drop("bucket")
+    dealt = dealt.withColumn("hot", F.col("hot").isNotNull())
+    return dealt.withColumn("anchor", F.when(F.col("hot"), F.xxhash64("anchor", "words")).otherwise(F.col("anchor")))
+
+
 def seeds(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, list[str]]:
     """(doc_id, row_id, lo, hi, source) of all ranges of windows in ``texts`` (doc_id, row_id, text) that begin earlier elsewhere, and tables to discard."""
     spark = texts.sparkSession
     paths = [fresh_path(spark, n) for n in ("candidates", "windows")]
+    anchors = fresh_path(spark, "anchors")
+    stored(texts.mapInArrow(_factors(window, anchor), _FACTOR_DDL), anchors)
+    listed = spark.read.schema(_FACTOR_DDL).parquet(anchors)
     same = Window.partitionBy("anchor", "words").orderBy("doc_id", "lo")
     lo = F.expr(f"span DIV {window}")
 
@@ -391,12 +413,12 @@ def seeds(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
         rows = rows.withColumns({"later": settled | (F.col("__rank") > 1), "__src": F.when(settled, own).otherwise(F.col("__first"))})
         return rows.drop(*_SOURCE, "__rank", "__first").select("*", *[F.when(F.col("later"), F.col("__src")[c]).alias(c) for c in _SOURCE]).drop("__src")
 
-    found = texts.mapInArrow(_factors(window, anchor), _FACTOR_DDL).repartition("anchor")
-    found = found.withColumns({"lo": lo, "hi": lo + F.col("span") % window})
+    found = _dealt(listed).repartition("anchor").withColumns({"lo": lo, "hi": lo + F.col("span") % window})
     entry = Window.partitionBy("anchor")
-    found = judged(found, same, F.col("words").isNull()).withColumn("mixed", F.min("words").over(entry) < F.max("words").over(entry))
+    found = judged(found, same, F.col("words").isNull()).withColumn("mixed", F.col("hot") | (F.min("words").over(entry) < F.max("words").over(entry)))
     found = found.where("later OR mixed").select("doc_id", "row_id", "lo", "hi", "later", *_SOURCE)
     stored(found, paths[0])
+    discard(spark, anchors)
     found = spark.read.schema(found.schema).parquet(paths[0])
     edges = found.where("NOT later").groupBy("doc_id", "row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     parsed = _at_rows(texts, edges, "inner").select("doc_id", "row_id", "text", "spans").mapInArrow(_windows(window), _SPAN_DDL).repartition("key")

@@ -63,6 +63,27 @@ def test_substring_random_passages(spark):
     assert sorted(got) == sorted(removed(rows))
 
 
+def test_substring_with_hot_anchors(spark, monkeypatch):
+    """A phrase in ever new surroundings: its anchor is dealt out, and repeats are found as where all or no anchors are."""
+    r = random.Random(6)
+    phrase = " ".join(f"q{k}" for k in range(12))
+    shared = [" ".join(f"s{k}_{j}" for j in range(40)) for k in range(3)]
+    rows = []
+    for i in range(120):
+        own = lambda k: " ".join(f"u{i}_{k}_{j}" for j in range(15))  # noqa: B023, E731
+        rows.append((i, " ".join([own(0), phrase, own(1), r.choice(shared) if i % 3 == 0 else "", phrase, own(2)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (0, 8, 1e9):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        assert sorted(tuple(x) for x in substring_dedup.substring_dedup(df).collect()) == sorted(removed(rows)), hot
+    monkeypatch.setattr(substring_dedup, "HOT", 8)
+    listed = spark.range(3000).selectExpr("if(id % 3 = 0, 5L, id) AS anchor", "if(id < 6, NULL, id) AS words")
+    dealt = substring_dedup._dealt(listed)
+    assert dealt.count() == 3000
+    assert dealt.where("hot AND words IS NOT NULL").agg({"anchor": "count"}).first()[0] in range(998, 1100)
+    assert dealt.groupBy("anchor").count().agg({"count": "max"}).first()[0] <= 3
+
+
 def test_factors_against_a_greedy_parse(spark):
     """Factors copy their source's words, begin earlier, go on as far as both agree or to the next one, and hold all repeated windows but for those across their ends."""
     r = random.Random(11)
