@@ -64,28 +64,55 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.join(answered, ["conv_id", "turn", "nth"], "left")
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """(conv_id, id, to, far, stuck) of calls with one dependency (conv_id, id, to): the first call along the chain that has none or several.
+
+    Each round doubles the way that a call has gone, so rounds grow with the logarithm of the longest chain. Calls on a
+    cycle, or after one, never arrive: they are ``stuck``. As all others arrive in order of their distance, they alone
+    are left once as many went on as in the round before.
+    """
+    chains, before = single.select("conv_id", "id", "to", F.lit(1).cast("long").alias("far")), None
+    while True:
+        onward = chains.select("conv_id", F.col("id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        step = chains.join(onward, ["conv_id", "to"], "left")
+        chains = cut(step.select("conv_id", "id", F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("stuck")))
+        going = chains.where("stuck").count()
+        if going in (0, before):
+            return chains
+        before = going
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, id, level) of calls with dependencies on calls of their conversation; null on or after a cycle.
 
-    A round settles all calls whose dependencies are settled; rounds are as many as the longest chain.
+    Chains of calls with one dependency each are shortened to their ends first. What is left are calls with several; a
+    round settles all whose dependencies are settled, so rounds are as many as such calls follow one another.
     """
+    key = ["conv_id", "id"]
     named = F.regexp_extract_all("arguments", F.lit(r'"\$ref"\s*:\s*"([^"]+)"'), F.lit(1))
-    known = calls.where("id IS NOT NULL").select("conv_id", "id").distinct()
-    needs = calls.where("id IS NOT NULL").select("conv_id", "id", F.explode(named).alias("needs")).distinct()
-    needs = cut(needs.join(known.withColumnRenamed("id", "needs"), ["conv_id", "needs"]))
-    open_ids = needs.select("conv_id", "id").distinct()
+    known = calls.where("id IS NOT NULL").select(*key).distinct()
+    needs = calls.where("id IS NOT NULL").select(*key, F.explode(named).alias("to")).distinct()
+    needs = cut(needs.join(known.withColumnRenamed("id", "to"), ["conv_id", "to"]))
     if needs.isEmpty():
-        return open_ids.withColumn("level", F.lit(None).cast("int"))
-    free = known.join(open_ids, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0))
-    settled = cut(free.join(needs.select("conv_id", F.col("needs").alias("id")).distinct(), ["conv_id", "id"], "left_semi"))
-    done = settled.limit(0)
-    while True:
-        reached = needs.join(settled.unionByName(done).withColumnRenamed("id", "needs"), ["conv_id", "needs"], "left")
-        state = reached.groupBy("conv_id", "id").agg((F.max("level") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("waits"))
-        now = cut(state.where("waits = 0").select("conv_id", "id", "level"))
-        if now.count() == done.count():
-            return open_ids.join(now, ["conv_id", "id"], "left")
-        done = now
+        return needs.select(*key, F.lit(None).cast("long").alias("level"))
+    count = cut(needs.groupBy(*key).agg(F.count("*").alias("n"), F.min("to").alias("to")))
+    chains = _chains(count.where("n = 1"))
+    ends = chains.select("conv_id", F.col("id").alias("to"), F.when(~F.col("stuck"), F.col("to")).alias("end"), "far")
+    several = needs.join(count.where("n > 1").select(*key), key, "left_semi").join(ends, ["conv_id", "to"], "left")
+    # A stuck call stands for itself: it is never settled, and neither is what needs it.
+    several = cut(several.select(*key, F.coalesce("end", "to").alias("to"), (F.coalesce("far", F.lit(0)) + 1).alias("far")))
+    free = known.join(count.select(*key), key, "left_anti").select("conv_id", F.col("id").alias("to"), F.lit(0).cast("long").alias("level"))
+    settled = cut(free.join(several.select("conv_id", "to").union(chains.select("conv_id", "to")).distinct(), ["conv_id", "to"], "left_semi"))
+    done, n_done = settled.limit(0), 0
+    while not several.isEmpty():
+        reached = several.join(settled.unionByName(done), ["conv_id", "to"], "left")
+        state = reached.groupBy(*key).agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count_if(F.col("level").isNull()).alias("waits"))
+        now = cut(state.where("waits = 0").select("conv_id", F.col("id").alias("to"), "level"))
+        done, before, n_done = now, n_done, now.count()
+        if n_done == before:
+            break
+    along = chains.where("NOT stuck").join(settled.unionByName(done), ["conv_id", "to"]).select(*key, (F.col("level") + F.col("far")).alias("level"))
+    return count.select(*key).join(along.unionByName(done.withColumnRenamed("to", "id")), key, "left")
 
 
 def valid_arguments(arguments: Column, schema: Column) -> Column:

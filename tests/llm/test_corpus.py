@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import zlib
 
 import numpy as np
@@ -406,6 +407,30 @@ def test_chat_of_any_length(spark):
     assert all(calls[2, f"c{k}"].level == k % 6 for k in range(600))
 
 
+def test_levels_against_brute_force(spark):
+    """Chains, calls with several dependencies, cycles and what comes after them, unknown ids, a call that needs itself."""
+    r = random.Random(3)
+    needs = {}
+    for conv in range(4):
+        for k in range(40):
+            back = [r.randrange(k) for _ in range(r.choice([0, 1, 1, 1, 1, 2, 3]))] if k else []
+            ahead = [r.randrange(40)] if conv > 1 and r.random() < 0.06 else []
+            needs[conv, f"n{k}"] = sorted({f"n{j}" for j in back + ahead} | ({"nowhere"} if r.random() < 0.1 else set()))
+    for k in range(300):
+        needs[9, f"n{k}"] = [f"n{k - 1}"] if k else []
+    needs[9, "own"], needs[9, "after"] = ["own"], ["own", "n5"]
+    want, depth = {}, 0
+    open_ids = {c: [d for d in v if (c[0], d) in needs] for c, v in needs.items()}
+    while ready := [c for c, v in open_ids.items() if c not in want and all((c[0], d) in want for d in v)]:
+        want |= {c: max([want[c[0], d] + 1 for d in open_ids[c]], default=0) for c in ready}
+        depth += 1
+    assert depth == 300 and 2 < len(needs) - len(want) < 60
+    rows = [(c, i, json.dumps({"q": [{"$ref": d} for d in v]})) for (c, i), v in needs.items()]
+    found = chat.levels(spark.createDataFrame(rows, "conv_id long, id string, arguments string")).collect()
+    assert {(x.conv_id, x.id): x.level for x in found} == {c: want.get(c) for c, v in open_ids.items() if v}
+    assert chat.levels(spark.createDataFrame([], "conv_id long, id string, arguments string")).count() == 0
+
+
 @pytest.mark.parametrize("name,stage", stages.STAGES)
 def test_stages_stand_odd_rows(spark, odd, empty, tmp_path, name, stage):
     """Nulls, blanks, long texts, repeated rows, clashing columns; empty tables."""
