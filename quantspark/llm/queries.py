@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
+from quantspark.llm import alignment, chat, exact_dedup, merkle, mixing, near_dedup, packing, quality, secrets, sentence_pieces, sharding, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_documents(spark, sf_dir)).select("doc_id", "class_id", "kept", "n_shingles")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = merkle.leaf_digest(*fields[:3], F.col("n_chars") + 1, fields[4])
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    leaves = docs.select(F.col("lang").alias("group"), F.col("doc_id").alias("key"), merkle.leaf_digest(*fields).alias("digest"), F.struct("doc_id", F.when(chosen, tampered).alias("tampered")).alias("kept"))
+    proven = merkle.manifest(leaves).withColumn("folded_root", merkle.folded(F.coalesce("kept.tampered", "digest"), F.col("proof")))
+    return proven.select("kept.doc_id", F.col("digest").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(_documents(spark, sf_dir))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -87,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 # All pairs that share a shingle are compared, and links are followed to the end.
@@ -212,7 +233,47 @@ SELECT t.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0
 FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
+# Trees of all languages level by level (tree 0), then the tree over their roots (tree 1); each leaf climbs both.
+_OP11 = r"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, [coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')] AS head,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+    coalesce(list_reduce(range(8 * len(doc_id::VARCHAR)), lambda c, k: xor(CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))) ELSE c END >> 1,
+      CASE WHEN (CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))) ELSE c END) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT), 0) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(array_to_string(head, '') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(array_to_string(head, '') || coalesce(strlen((n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR) || ':' || (n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END), '-') || tail) AS shown
+  FROM hashed
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), lower AS (
+  SELECT lang, 0 AS level, idx, n, leaf AS digest FROM numbered
+  UNION ALL SELECT lang, level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM lower WHERE n > 1 GROUP BY lang, level, idx // 2
+), subroots AS (
+  SELECT lang, digest AS subroot, level AS top, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM lower WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, idx, n, subroot AS digest FROM subroots
+  UNION ALL SELECT level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM upper WHERE n > 1 GROUP BY level, idx // 2
+), steps AS (
+  SELECT l.lang, l.level, l.idx, l.idx % 2 AS odd, coalesce(s.digest, '') AS other FROM lower l LEFT JOIN lower s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = l.level AND s.idx = xor(l.idx, 1) WHERE l.n > 1
+  UNION ALL SELECT r.lang, r.top + u.level, r.idx >> u.level, (r.idx >> u.level) % 2, coalesce(s.digest, '') FROM subroots r JOIN (SELECT DISTINCT level FROM upper WHERE n > 1) u ON true LEFT JOIN upper s ON s.level = u.level AND s.idx = xor(r.idx >> u.level, 1)
+), climbing AS (
+  SELECT doc_id, lang, idx AS start, idx, 0 AS level, '' AS siblings, shown AS acc FROM numbered
+  UNION ALL SELECT c.doc_id, c.lang, c.start, CASE WHEN c.level + 1 = r.top THEN r.idx ELSE c.idx // 2 END, c.level + 1, c.siblings || s.other, sha256(CASE WHEN s.odd = 1 THEN s.other || c.acc ELSE c.acc || s.other END)
+  FROM climbing c JOIN subroots r ON r.lang IS NOT DISTINCT FROM c.lang JOIN steps s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level
+    AND s.idx = CASE WHEN c.level = 0 AND r.top = 0 THEN r.idx ELSE c.idx END
+), ended AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, start ORDER BY level DESC) AS nth FROM climbing
+), root AS (
+  SELECT digest AS root FROM upper WHERE n = 1
+)
+SELECT n.doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM ended e JOIN numbered n ON n.lang IS NOT DISTINCT FROM e.lang AND n.idx = e.start JOIN subroots r ON r.lang IS NOT DISTINCT FROM n.lang, root WHERE nth = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _OP11,
     "op1_substring_dedup": _OP1,
     "op2_mixing": _OP2,
     "op3_exact_dedup": _OP3,

@@ -15,6 +15,9 @@ COLUMNS = {
     "op5_sharding": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
     "op7_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
     "op8_packing": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
+    "op11_merkle_manifest": "doc_id:bigint leaf:string subroot:string root:string proof_sha256:string folded_root:string verified:boolean",
+    "op12_sentencepiece": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string",
+    "op13_tokenizer_alignment": "doc_id:bigint n_a:bigint n_b:bigint n_groups:bigint n_links:bigint n_best:bigint count_sum:bigint groups_sha256:string",
     "op9_quality_rules": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint base_failed:boolean kept:boolean",
 }
 
@@ -46,6 +49,6 @@ def test_query(spark, name):
     assert sorted(tuple(shown(r[c]) for c in sorted(columns)) for r in rows) == want
 
 
-def test_ten_operators():
+def test_all_operators():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
