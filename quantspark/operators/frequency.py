@@ -7,54 +7,26 @@ from pyspark.sql import functions as F
 
 from quantspark.functions.numbers import parse_plain
 from quantspark.operators.annotate import annotated, lemmas
-
-MAX_BROADCAST_PHRASES = 200_000
-
-
-def ngrams(words: Column, most: int) -> Column:
-    """All runs of one to ``most`` words, joined by spaces."""
-
-    def runs(n: int) -> Column:
-        # Word by word: a slice would copy the whole list for each run.
-        joined = F.transform(words, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
-        return F.slice(joined, 1, F.greatest(F.lit(0), F.size(words) - n + 1))
-
-    return F.flatten(F.array(*[words if n == 1 else runs(n) for n in range(1, most + 1)]))
+from quantspark.operators.phrases import text_hits, word_hits
 
 
 def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, text: str = "text") -> DataFrame:
-    """(keys, hit, phrase) for each occurrence of a phrase (table id, phrase) in a text: an equi-join on word runs.
-
-    Runs as long as the longest phrase are generated; phrases are broadcast only while they are few.
-    """
+    """(keys, hit, phrase) for each occurrence of a phrase (table id, phrase) in a text, by lemmas."""
     phrases = phrases.select(F.col("id").alias("hit"), F.array_join(lemmas(F.col("phrase")), " ").alias("phrase")).where("phrase <> ''").distinct()
-    longest = phrases.select(F.max(F.size(F.split("phrase", " "))), F.count(F.lit(1))).first()
-    # Exploding an array of one keeps the word list a column, so that it isn't made again for each run.
-    words = texts.select(*keys, F.explode(F.array(lemmas(F.col(text)))).alias("__words"))
-    runs = words.select(*keys, F.explode(ngrams(F.col("__words"), longest[0] or 1)).alias("phrase"))
-    return runs.join(F.broadcast(phrases) if longest[1] <= MAX_BROADCAST_PHRASES else phrases, "phrase")
-
+    return text_hits(texts, keys, text, phrases).select(*keys, "phrase").join(phrases, "phrase")
 
-def lemma_phrases(aliases: DataFrame, column: str = "alias") -> DataFrame:
-    """Aliases with their lemmas as ``phrase`` and how many these are as ``n_words``; aliases without a word are left out.
 
-    Each distinct alias is annotated once, by the annotator that also makes the tokens of sentences.
-    """
-    named = aliases.select(column).distinct().withColumn("__t", annotated(column))
-    named = named.select(column, F.transform("__t", lambda t: t["lemma"]).alias("__w")).where(F.size("__w") > 0)
-    return aliases.join(named.select(column, F.array_join("__w", " ").alias("phrase"), F.size("__w").alias("n_words")), column)
+def _form(token: Column, form: str) -> Column:
+    return F.lower(token["text"]) if form == "lower" else token[form]
 
 
-def token_runs(sentences: DataFrame, keys: list[str], most: int, tokens: str = "tokens") -> DataFrame:
-    """(keys, phrase, start, end): all runs of one to ``most`` tokens by their lemmas."""
-    def run(i: Column, n: Column) -> Column:
-        part = F.slice(F.col(tokens), i, n)
-        return F.struct(F.array_join(F.transform(part, lambda t: t["lemma"]), " ").alias("phrase"), F.element_at(part, 1)["start"].alias("start"), F.element_at(part, -1)["end"].alias("end"))
+def alias_phrases(aliases: DataFrame, form: str = "lemma", column: str = "alias") -> DataFrame:
+    """Aliases with the ``form`` of their tokens as ``phrase``; aliases without a word are left out.
 
-    size = F.size(tokens)
-    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), size - i + 1)), lambda n: run(i, n))))
-    return sentences.select(*keys, F.explode(runs).alias("__r")).select(*keys, "__r.*")
+    Each distinct alias is annotated once, by the annotator that also makes the tokens of sentences.
+    """
+    named = aliases.select(column).distinct().withColumn("__t", annotated(column)).where(F.size("__t") > 0)
+    return aliases.join(named.select(column, F.array_join(F.transform("__t", lambda t: _form(t, form)), " ").alias("phrase")), column)
 
 
 def longest_first(spans: Column) -> Column:
@@ -64,24 +36,25 @@ def longest_first(spans: Column) -> Column:
     return F.array_sort(F.aggregate(by_size, F.array().cast("array<struct<start:int,end:int>>"), pick))
 
 
-def alias_spans(sentences: DataFrame, keys: list[str], aliases: DataFrame, most: int | None = None) -> DataFrame:
+def alias_spans(sentences: DataFrame, keys: list[str], aliases: DataFrame, form: str = "lemma") -> DataFrame:
     """(keys, kind, uri, spans): where sentences (keys, tokens) name a resource of ``aliases`` (kind, uri, alias).
 
-    An equi-join on runs of lemmas; where aliases of one resource overlap the longest stays.
+    Aliases are compared by their tokens' ``form``: lemma, or lower for the text in lower case. Where aliases of one
+    resource overlap the longest stays.
     """
-    phrases = lemma_phrases(aliases.select("kind", "uri", "alias").distinct())
-    most = most or phrases.agg(F.max("n_words")).first()[0] or 1
-    runs = token_runs(sentences, keys, most)
-    hits = runs.join(phrases.select("kind", "uri", "phrase").distinct(), "phrase")
-    span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    found = hits.groupBy(*keys, "kind", "uri").agg(F.collect_set(span).alias("spans"))
+    phrases = alias_phrases(aliases.select("kind", "uri", "alias").distinct(), form)
+    rows = sentences.select(*keys, "tokens", F.transform("tokens", lambda t: _form(t, form)).alias("__w"))
+    hits = word_hits(rows, [*keys, "tokens"], "__w", phrases)
+    span = F.struct(F.get("tokens", F.col("first"))["start"].cast("int").alias("start"), F.get("tokens", F.col("last"))["end"].cast("int").alias("end"))
+    named = hits.select(*keys, "phrase", span.alias("span")).join(phrases.select("kind", "uri", "phrase").distinct(), "phrase")
+    found = named.groupBy(*keys, "kind", "uri").agg(F.collect_set("span").alias("spans"))
     return found.select(*keys, "kind", "uri", longest_first(F.col("spans")).alias("spans"))
 
 
 def unit_frequencies(texts: DataFrame, keys: list[str], units: DataFrame, labels: DataFrame, stop: DataFrame) -> DataFrame:
     """(qid, n) of all labelled ``units`` (qid): occurrences of their aliases, zero where there is none."""
     aliases = units.join(labels.where("kind = 'units'"), F.col("qid") == F.col("uri")).select(F.col("qid").alias("id"), F.col("alias").alias("phrase"))
-    aliases = aliases.join(F.broadcast(stop), F.lower("phrase") == F.col("word"), "left_anti")
+    aliases = aliases.join(stop, F.lower("phrase") == F.col("word"), "left_anti")
     counted = phrase_hits(texts, keys, aliases).groupBy("hit").agg(F.count(F.lit(1)).alias("hits"))
     labelled = aliases.select(F.col("id").alias("qid")).distinct()
     return labelled.join(counted, labelled["qid"] == counted["hit"], "left").select("qid", F.coalesce("hits", F.lit(0)).alias("n"))

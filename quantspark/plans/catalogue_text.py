@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantspark.functions import formats, numbers, spans, text
 from quantspark.functions.convert import expanded_template
-from quantspark.operators import annotate, filters, matching
+from quantspark.operators import annotate, filters, matching, phrases
 from quantspark.plans.registry import letters, made, query, table
 from quantspark.session import ship
 
@@ -125,8 +125,7 @@ def stated_representations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a sentence states a known value in one of its representations."""
     ship(spark)
     rows = made(spark, sf_dir, "part", p_partkey="p_partkey", n="CAST(p_partkey * 7 + 1200 AS DOUBLE)", t="concat('About ', " + letters("p_partkey") + ", ' there are ', format_number(p_partkey * 7 + 1200, 0), ' wheels, not ', p_partkey * 9 + 99, '.')")
-    find = F.pandas_udf(lambda t, n: t.combine(n, lambda a, b: [{"start": s, "end": e} for s, e in formats.representation_spans(a, b)]), numbers.SPAN)
-    rows = rows.select("p_partkey", "t", F.explode(find("t", "n")).alias("s"))
+    rows = rows.select("p_partkey", "t", F.explode(phrases.stated_values("t", F.array("n"))).alias("s"))
     return rows.select("p_partkey", F.col("s.start").alias("start"), spans.substring(F.col("t"), F.col("s")).alias("shown"))
 
 

@@ -123,8 +123,8 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
     """All candidates with annotations and the reason for which each is dropped, if any.
 
     ``frequent_units`` (alias) are names of frequent units, next to which a value isn't the fact's and which no phrase
-    grows into. ``back_end`` names the coreference. Aliases of all kinds are found by one equi-join on runs of lemmas,
-    in candidates' sentences alone, each of which is annotated once.
+    grows into. ``back_end`` names the coreference. Aliases of all kinds are found by one automaton over lemmas, names of
+    frequent units by one over words in lower case, in candidates' sentences alone, each of which is annotated once.
     """
     ship(pages.sparkSession)
     found = cut(sentences(pages, facts))
@@ -134,9 +134,12 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
     some = found.join(unique.select(*SENTENCE).distinct(), SENTENCE, "left_semi")
     some = cut(components(some, "sentence", ("tokens",)))
     wanted = labels.where(F.col("kind").isin("entities", "properties", "units", "qualifiers_values", "qualifiers_units"))
+    words = some.select(*SENTENCE, "tokens")
+    hits = alias_spans(words, SENTENCE, wanted)
     if frequent_units is not None:
-        wanted = wanted.select("kind", "uri", "alias").unionByName(frequent_units.select(F.lit("frequent").alias("kind"), F.lit("frequent").alias("uri"), "alias"))
-    hits = cut(alias_spans(some.select(*SENTENCE, "tokens"), SENTENCE, wanted))
+        named = frequent_units.select(F.lit("frequent").alias("kind"), F.lit("frequent").alias("uri"), "alias")
+        hits = hits.unionByName(alias_spans(words, SENTENCE, named, "lower"))
+    hits = cut(hits)
     cand = unique.join(some.select(*SENTENCE, "title", "sentence", "tokens", "numbers", "before", "after"), SENTENCE)
     cand = cand.join(facts.select("page_id", "fact_id", "entity", "property", F.col("value").alias("fact_value"), F.col("unit").alias("fact_unit"), "qualifiers"), ["page_id", "fact_id"])
     for uri, kind, name in (("entity", "entities", "entity_spans"), ("property", "properties", "property_spans"), ("unit", "units", "unit_spans")):

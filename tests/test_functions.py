@@ -190,9 +190,3 @@ def test_cut_answers_are_repaired():
     cut = whole[: whole.index('"2"') + 1]
     assert [r for r in endpoint.flat(endpoint.repair_bindings(cut), ["a"])] == [("1",)]
     assert endpoint.repair_bindings("<html>")["results"]["bindings"] == []
-
-
-def test_representations():
-    s = "About two hundred people, 1,500 m and 1.5 thousand."
-    assert [s[a:b] for a, b in formats.representation_spans(s, 1500)] == ["1,500", "1.5 thousand"]
-    assert [s[a:b] for a, b in formats.representation_spans(s, 200)] == ["two hundred"]
