@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantspark.functions.numbers import parse_plain
 from quantspark.operators.annotate import annotated, lemmas
 from quantspark.operators.phrases import text_hits, word_hits
+from quantspark.operators.ranks import between, numbered
 
 
 def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, text: str = "text") -> DataFrame:
@@ -66,7 +67,7 @@ def unlabelled(units: DataFrame, labels: DataFrame) -> DataFrame:
 
 def ranked(frequencies: DataFrame) -> DataFrame:
     """By count, then by identifier."""
-    return frequencies.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "qid")))
+    return numbered(frequencies, F.desc("n"), "qid")
 
 
 def top(frequencies: DataFrame, percent: int = 50, mode: str = "top_x_of_not_zero") -> DataFrame:
@@ -102,7 +103,7 @@ def excluded(conversions: DataFrame, frequencies: DataFrame, without_labels: Dat
 def pages_to_analyse(pages: DataFrame, limit: int | None = None, quantities_only: bool = False) -> DataFrame:
     """All pages, or the first ``limit`` by id; with ``quantities_only`` only pages that have quantities count."""
     some = pages.where(F.size("quantities") > 0) if quantities_only else pages
-    return some if limit is None else some.orderBy("id").limit(limit)
+    return between(some, "id", limit=limit)
 
 
 def page_totals(pages: DataFrame) -> DataFrame:

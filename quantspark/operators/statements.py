@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantspark.operators.ranks import numbered
+
 from quantspark.functions.text import unquoted
 
 #: URI prefixes and their short forms (fixed values).
@@ -106,8 +108,6 @@ def final_titles(titles: DataFrame, normalised: DataFrame, redirected: DataFrame
     return step.select("title", "final")
 
 
-def chunked(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Rows with the number of their chunk of ``size`` rows; for small request lists, which are ordered as a whole."""
-    from pyspark.sql import Window
-
-    return df.withColumn("chunk", F.ceil(F.row_number().over(Window.orderBy(order)) / size).cast("int"))
+def chunked(df: DataFrame, *order: str, size: int) -> DataFrame:
+    """Rows with the number of their chunk of ``size`` rows in ``order``, from 1."""
+    return numbered(df, *order, name="__nth", start=0).select(*df.columns, (F.floor(F.col("__nth") / size) + 1).cast("int").alias("chunk"))

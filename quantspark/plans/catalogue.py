@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantspark.functions import dates, numbers, spans, text, units, vocab
 from quantspark.functions.convert import expanded_template
-from quantspark.operators import annotate, filters, frequency, graph_patterns, matching, sequence, statements
+from quantspark.operators import annotate, filters, frequency, graph_patterns, intervals, matching, sequence, statements
 from quantspark.operators.paths import nearest_candidates
 from quantspark.plans import goldens
 from quantspark.plans.registry import ORACLE_SQL, QUERIES, query, table, values
@@ -155,12 +155,14 @@ def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH s AS (SELECT user_id, floor(epoch(ts))::BIGINT AS a, event_type FROM events WHERE event_type = (SELECT min(event_type) FROM events)), p AS (SELECT user_id, floor(epoch(ts))::BIGINT AS a FROM events WHERE event_type = (SELECT max(event_type) FROM events)) SELECT count(*) AS n_pairs, count(DISTINCT s.user_id) AS n_users FROM s JOIN p ON s.user_id = p.user_id AND p.a >= s.a AND p.a <= s.a + 86400")
 def span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the last kind within a day after one of the first kind of the same user."""
     events = table(spark, sf_dir, "events")
     kinds = F.broadcast(events.agg(F.min("event_type").alias("low"), F.max("event_type").alias("high")))
-    tagged = events.join(kinds, (F.col("event_type") == F.col("low")) | (F.col("event_type") == F.col("high"))).select("user_id", F.unix_timestamp("ts").alias("a"), (F.col("event_type") == F.col("low")).alias("outer"))
-    outer, inner = tagged.where("outer").alias("s"), tagged.where("NOT outer").alias("p")
-    hit = outer.join(inner, (F.col("s.user_id") == F.col("p.user_id")) & F.col("p.a").between(F.col("s.a"), F.col("s.a") + 86400))
-    return hit.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct(F.col("s.user_id")).alias("n_users"))
+    at = F.unix_timestamp("ts").alias("start")
+    outer = events.join(kinds, F.col("event_type") == F.col("low")).select("user_id", at, (at + 86400).alias("end"))
+    inner = events.join(kinds, F.col("event_type") == F.col("high")).select("user_id", at, at.alias("end"))
+    hit = intervals.pairs(inner, outer, ["user_id"], inside=True)
+    return hit.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct(F.col("right.user_id")).alias("n_users"))
 
 
 # --- Joins, grouping and sets of statements --------------------------------------------------------------------------
@@ -234,7 +236,7 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CAST(ceil(row_number() OVER (ORDER BY c_custkey) / 250.0) AS INTEGER) AS chunk FROM customer")
 def request_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements.chunked(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 250)
+    return statements.chunked(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", size=250)
 
 
 # --- Units, values and qualifiers ------------------------------------------------------------------------------------
@@ -412,4 +414,4 @@ def knowledge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.build(triples.unionByName(schema), page_map, config, statements.stop_words(spark))["facts"].select("page_id", "entity", "property", "value", "unit")
 
 
-from quantspark.plans import catalogue_graph, catalogue_jobs, catalogue_spans, catalogue_text  # noqa: E402, F401  they register their queries
+from quantspark.plans import catalogue_graph, catalogue_jobs, catalogue_orders, catalogue_spans, catalogue_text  # noqa: E402, F401  they register their queries

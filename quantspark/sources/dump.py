@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantspark.operators.ranks import between
+
 
 @dataclass(frozen=True)
 class DumpJob:
@@ -60,12 +62,8 @@ def without_redirects(pages: DataFrame) -> DataFrame:
 
 def articles(spark: SparkSession, job: DumpJob) -> DataFrame:
     """Article rows of a job: filters first, so that ``offset`` and ``limit`` count articles."""
-    from quantspark.sources.tables import deterministic_page
-
     pages = without_redirects(in_namespaces(read_dump(spark, job.path), job.namespaces)).where("text IS NOT NULL")
-    if job.limit is None and not job.page_offset:
-        return pages
-    return deterministic_page(pages, job.page_offset, job.limit)
+    return between(pages, "id", "title", "text", offset=job.page_offset, limit=job.limit)
 
 
 def statistics(language: str) -> dict[str, int]:

@@ -97,11 +97,3 @@ def report(content: dict, path: str) -> None:
     """A small report as indented JSON; for figures, never for tables."""
     with open(path, "w", encoding="utf-8") as out:
         json.dump(content, out, ensure_ascii=False, indent=4)
-
-
-def deterministic_page(pages: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Pages in the order of ids from ``offset`` on, at most ``limit``."""
-    out = pages.orderBy("id")
-    if offset:
-        out = out.offset(offset)
-    return out if limit is None else out.limit(limit)
