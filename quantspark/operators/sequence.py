@@ -35,9 +35,9 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], text: str =
     return df.withColumn("previous", F.lag(text).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def with_bounds(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The end of the last span and the start of the next one: how far a span may grow."""
-    by = Window.partitionBy(*keys).orderBy("start", "end")
+def with_bounds(df: DataFrame, keys: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """The end of the last span and the start of the next one: how far a span may grow; equal spans are ordered by ``ties``."""
+    by = Window.partitionBy(*keys).orderBy("start", "end", *ties)
     return df.withColumns({"last_end": F.lag("end").over(by), "next_start": F.lead("start").over(by)})
 
 

@@ -200,9 +200,9 @@ def chosen_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = ", ".join(f"('{w}')" for w in statements.STOP_WORDS)
 
 
-@query(f"WITH w AS (SELECT DISTINCT lang AS kind, source AS uri, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS alias FROM documents) SELECT kind, uri, alias FROM w WHERE lower(alias) NOT IN (SELECT * FROM (VALUES {_STOP}) AS s(word))")
+@query(f"WITH w AS (SELECT DISTINCT lang AS kind, source AS uri, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS alias FROM documents) SELECT kind, uri, alias FROM w WHERE lower(alias) NOT IN (SELECT * FROM (VALUES {_STOP}) AS s(word))")
 def stopword_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), F.col("source").alias("uri"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("alias"))
+    words = table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), F.col("source").alias("uri"), F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("alias"))
     return statements.clean_labels(words, statements.stop_words(spark))
 
 
@@ -266,7 +266,7 @@ _MATCHES = f"""WITH p AS (
     CASE WHEN v % 10 = 0 AND v % 100 <> 0 THEN 1 WHEN v % 100 = 0 THEN 1 ELSE 2 END AS v_places, {_half_even('v', 'step')} AS rv, {_half_even('t', 'step')} AS rt FROM p
 ), m AS (
   SELECT c_custkey, s_suppkey, inside, NOT inside AND error > 0.03 AND abs(t) < 100 * 0.5 / 0.03 AND v_places <> (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 END)
-    AND abs(rv - rt) / greatest(abs(rt), 2.220446049250313e-14) <= 0.03 AS by_rounding, error FROM q
+    AND abs(rv - rt) / greatest(abs(rt), 2.220446049250313e-14) <= 0.03 AS by_rounding, error, v, t, rv, rt FROM q
 )"""
 
 
@@ -289,16 +289,14 @@ def value_match_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.value_matches(*stated_and_targets(spark, sf_dir), ["page_id"]).select("c_custkey", "s_suppkey", "by_rounding", "inside")
 
 
-@query("WITH m AS (SELECT s_suppkey, c_custkey, abs(c_acctbal - s_acctbal) / abs(s_acctbal) AS dev FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE abs(c_acctbal - s_acctbal) <= 0.03 * abs(s_acctbal)) SELECT s_suppkey, CASE WHEN count(*) = 1 OR (count(*) FILTER (dev = 0) = 1 AND s_suppkey % 3 > 0) THEN NULL ELSE 'multiple_values' END AS drop_reason, count(*) AS n FROM m GROUP BY s_suppkey")
+@query(f"{_MATCHES}, a AS (SELECT *, inside OR v = t OR (by_rounding AND rv = rt) AS exact FROM m WHERE inside OR error <= 0.03 OR by_rounding) SELECT s_suppkey, CASE WHEN count(*) = 1 OR (count(*) FILTER (exact) = 1 AND s_suppkey % 3 > 0) THEN NULL ELSE 'multiple_values' END AS drop_reason, count(*) AS n, count(*) FILTER (exact) AS n_exact FROM a GROUP BY s_suppkey")
 def unique_exact_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts whose number is a multiple of three have no unit, so that an exact value among several does not help them."""
     ship(spark)
-    stated = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page_id"), "c_custkey", F.col("c_acctbal").alias("value"), F.col("c_acctbal").cast("string").alias("text"))
-    null = F.lit(None).cast("double")
-    targets = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page_id"), "s_suppkey", F.col("s_acctbal").alias("target"), F.lit(None).cast("string").alias("target_text"), null.alias("low"), null.alias("high"))
-    matches = matching.value_matches(stated, targets, ["page_id"]).where("NOT by_rounding").select("s_suppkey", "c_custkey", "deviation")
-    n = F.count(F.lit(1)).over(Window.partitionBy("s_suppkey"))
-    return matching.unique_values(matches.withColumn("n", n), ["s_suppkey"], F.col("s_suppkey") % 3 > 0).select("s_suppkey", "drop_reason", F.col("n"))
+    matches = matching.value_matches(*stated_and_targets(spark, sf_dir), ["page_id"]).select("s_suppkey", "c_custkey", "deviation")
+    own = Window.partitionBy("s_suppkey")
+    counted = matches.withColumns({"n": F.count(F.lit(1)).over(own), "n_exact": F.count_if(F.col("deviation") == 0).over(own)})
+    return matching.unique_values(counted, ["s_suppkey"], F.col("s_suppkey") % 3 > 0).select("s_suppkey", "drop_reason", "n", "n_exact")
 
 
 @query("SELECT o_orderkey, date_trunc('month', o_orderdate) = TIMESTAMP '1995-03-01' AS in_month, date_trunc('year', o_orderdate) = TIMESTAMP '1995-01-01' AS in_year FROM orders")

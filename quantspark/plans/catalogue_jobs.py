@@ -90,7 +90,7 @@ def endpoint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("sparql").schema("item string, label string").option("queries", json.dumps(sorted(answers))).option("stored", json.dumps(answers)).load()
 
 
-@query("SELECT c_name AS title, CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE c_custkey + 7 END AS page_id, CASE WHEN c_custkey % 4 = 0 THEN 'wrong_namespace' WHEN c_custkey % 4 = 1 THEN 'no_page_id_for_given_title' END AS reason FROM customer WHERE c_custkey % 4 > 0 OR c_custkey >= 0")
+@query("SELECT c_name AS title, CASE WHEN c_custkey % 4 > 1 THEN c_custkey + 7 END AS page_id, CASE WHEN c_custkey % 4 = 0 THEN 'wrong_namespace' WHEN c_custkey % 4 = 1 THEN 'no_page_id_for_given_title' END AS reason FROM customer")
 def page_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page ids from stored answers of the page service, fifty titles each, through normalisation and redirects."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"), F.floor(F.col("c_custkey") / 50).alias("call"))
@@ -100,8 +100,7 @@ def page_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("string"), page)))
     answers = c.groupBy("call").agg(F.to_json(F.struct(F.struct(F.array().cast("array<struct<from:string,to:string>>").alias("normalized"), moved.alias("redirects"), pages.alias("pages")).alias("query"))).alias("json"))
     good, failed = endpoint.page_info(answers.select("json"), c.select("title"))
-    wrong = failed.join(c.select("title", (F.col("k") + 7).alias("page_id")), "title").select("title", F.when(F.col("reason") == "wrong_namespace", F.col("page_id")).alias("page_id"), "reason")
-    return good.select("title", "page_id", F.lit(None).cast("string").alias("reason")).unionByName(wrong)
+    return good.select("title", "page_id", F.lit(None).cast("string").alias("reason")).unionByName(failed.select("title", F.lit(None).cast("long").alias("page_id"), "reason"))
 
 
 @query("SELECT * FROM (VALUES ('en', 6571321, 4185916131), ('simple', 220357, 48570822)) AS t(language, articles, words)")
@@ -129,27 +128,48 @@ def analysed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Jobs ------------------------------------------------------------------------------------------------------------
 
-_PART_PAGE = "concat('{{Infobox part|size=1}}The ''''''', p_name, ' ', {n}, ''''''' is a part. It is {{convert|', p_size + 10, '|km|mi|0}} long and made of [[iron]]. It was made ', CASE WHEN p_size % 2 = 0 THEN 'twice ' ELSE 'well ' END, 'for {{cvt|', p_size + 20, '|kg|lb|0}} in all.<!-- x -->\\n\\n## a heading {{convert|5|m}}')"
-_KM, _LB = "p_size + 10", "p_size + 20"
+_PART_PAGE = "concat('{{Infobox part|size=1}}The ''''''', p_name, ' ', {n}, ''''''' is a part. It is {{convert|', p_size + 10, '|km|mi|0}} long and made of [[iron]]. It was made ', CASE WHEN p_size % 2 = 0 THEN 'twice ' ELSE 'well ' END, 'for {{cvt|', p_size + 20, '|kg|lb|0}} in all.<!-- x -->\\n\\n== A heading of the page ==')"
+def _hash(seed: str, place: str) -> str:
+    """SQL for the number below 1000 that decides how a quantity is shown."""
+    return f"('0x' || substr(md5({seed} || ':' || {place}), 1, 8))::BIGINT % 1000"
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, 0 AS k, concat('It is ', p_size + 10, ' kilometres (', CAST(round((p_size + 10) * 1000 / 1609.344) AS BIGINT), ' mi) long and made of iron.') AS sentence, 6 AS start, NULL AS reason FROM part
-  UNION ALL SELECT p_partkey, 1, concat('It was made ', CASE WHEN p_size % 2 = 0 THEN 'twice ' ELSE 'well ' END, 'for ', p_size + 20, ' kg (', CAST(round((p_size + 20) * 1000 / 453.59237) AS BIGINT), ' lb) in all.'), length(concat('It was made ', CASE WHEN p_size % 2 = 0 THEN 'twice ' ELSE 'well ' END, 'for ')), NULL FROM part)
-SELECT id, sentence, start::INTEGER AS start, 1 AS n, reason FROM s""")
+def _shown(seed: str, place: int, left: str, right: str, both: str) -> str:
+    return f"CASE WHEN {_hash(seed, str(place))} < 475 THEN {left} WHEN {_hash(seed, str(place))} < 950 THEN {right} ELSE {both} END"
+
+
+_KM, _MI = "(p_size + 10)", "CAST(round((p_size + 10) * 1000 / 1609.344) AS BIGINT)"
+_KG, _LB = "(p_size + 20)", "CAST(round((p_size + 20) * 1000 / 453.59237) AS BIGINT)"
+_FIRST = _shown("p_partkey", 0, f"concat({_KM}, ' kilometres')", f"concat({_MI}, ' mi')", f"concat({_KM}, ' kilometres (', {_MI}, ' mi)')")
+_SECOND = _shown("p_partkey", 1, f"concat({_KG}, ' kg')", f"concat({_LB}, ' lb')", f"concat({_KG}, ' kg (', {_LB}, ' lb)')")
+_HOW = "CASE WHEN p_size % 2 = 0 THEN 'twice ' ELSE 'well ' END"
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS id, 'It is ' AS head, {_FIRST} AS value, ' long and made of iron.' AS tail FROM part
+  UNION ALL SELECT p_partkey, concat('It was made ', {_HOW}, 'for '), {_SECOND}, ' in all.' FROM part
+  UNION ALL SELECT -p_partkey - 1, 'It is ', {_shown('-p_partkey - 1', 2, "p_size || ' m'", "p_size || ' yd'", "p_size || ' m (' || p_size || ' yd)'")}, ' long and made of wood.' FROM part
+  UNION ALL SELECT -p_partkey - 1, '', p_size || ' m (' || p_size || ' yd)', '' FROM part WHERE {_hash('-p_partkey - 1', '1')} >= 950)
+SELECT id, head || value || tail AS sentence, value, length(head)::INTEGER AS start, 1 AS n, CASE WHEN head = '' THEN 'little_text' END AS reason FROM s""")
 def quantity_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles for all parts through the parse and the quantity job, each quantity with both of its sides."""
+    """Articles for all parts through the parse and the quantity job, and parsed pages with a heading and a quantity that
+    stands alone, which has the three words of a sentence only where both sides are shown."""
     raw = made(spark, sf_dir, "part", id="p_partkey", title="p_name", text=_PART_PAGE.replace("{n}", letters("p_partkey")))
-    pages = parse.converted_pages(raw).withColumn("quantities", F.transform("quantities", lambda q: F.array(F.get(q, F.lit(2)), F.get(q, F.lit(2)), F.get(q, F.lit(2)))))
-    rows = quantity.examples(pages).where(~F.col("sentence").contains("heading"))
-    return rows.select("id", "sentence", F.get("quantities", F.lit(0))["start"].alias("start"), F.size("quantities").alias("n"), F.col("drop_reason").alias("reason"))
+    pages = parse.converted_pages(raw)
+    size = F.col("p_size").cast("string")
+    q = F.array(F.concat(size, F.lit(" m")), F.concat(size, F.lit(" yd")), F.concat(size, F.lit(" m ("), size, F.lit(" yd)")))
+    runs = F.array(*[F.array(F.lit(t)) for t in ("## The size of it is ", "\n\n", "\n\nIt is ", " long and made of wood.")])
+    own = table(spark, sf_dir, "part").select((-F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("title"), runs.alias("text"), F.array(q, q, q).alias("quantities"))
+    rows = quantity.examples(pages.unionByName(own))
+    value = F.get("quantities", F.lit(0))
+    return rows.select("id", "sentence", spans.substring(F.col("sentence"), value).alias("value"), value["start"].alias("start"), F.size("quantities").alias("n"), F.col("drop_reason").alias("reason"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN h < 475 THEN 'left' WHEN h < 950 THEN 'right' ELSE 'both' END AS side FROM (SELECT doc_id, doc_id % 1000 AS h FROM documents) WHERE false")
+@query(f"SELECT id, place::INTEGER AS place, CASE WHEN h < 475 THEN 'left' || place WHEN h < 950 AND place <> 3 THEN 'right' || place ELSE 'both' || place END AS side FROM (SELECT doc_id AS id, place, {_hash('doc_id', 'place')} AS h FROM documents, range(6) AS r(place))")
 def rendered_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sides other than those that a quantity has; there are none."""
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array(F.array(F.lit("left"), F.lit("right"), F.lit("both"))).alias("quantities"))
-    sides = pages.select("id", F.explode(quantity.rendered(F.col("quantities"), F.col("id"))).alias("side"))
-    return sides.where(~F.col("side").isin("left", "right", "both"))
+    """The side that is shown of six quantities for each document; the fourth has no right side, which shows both."""
+    sides = lambda k: F.array(F.lit(f"left{k}"), F.lit(None if k == 3 else f"right{k}").cast("string"), F.lit(f"both{k}"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array(*map(sides, range(6))).alias("quantities"))
+    return pages.select("id", F.posexplode(quantity.rendered(F.col("quantities"), F.col("id"))).alias("place", "side"))
 
 
 #: Eight kinds of sentences about a supplier: what they state of its height, and what becomes of them.

@@ -50,12 +50,10 @@ def merged_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.merge_span_rows(line_spans(spark, sf_dir).select("k", "tag", "start", "end"), ["k", "tag"])
 
 
-@query(f"SELECT k, n, a AS start, lag(b) OVER (PARTITION BY k ORDER BY a, b) AS last_end, lead(a) OVER (PARTITION BY k ORDER BY a, b) AS next_start FROM (SELECT * FROM {_LINES} QUALIFY count(*) OVER (PARTITION BY k, a, b) = 1)")
+@query(f"SELECT k, n, a AS start, lag(b) OVER (PARTITION BY k ORDER BY a, b, n) AS last_end, lead(a) OVER (PARTITION BY k ORDER BY a, b, n) AS next_start FROM {_LINES}")
 def growth_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each span may grow on either side."""
-    one = F.count(F.lit(1)).over(Window.partitionBy("k", "start", "end")) == 1
-    rows = line_spans(spark, sf_dir).withColumn("one", one).where("one")
-    return sequence.with_bounds(rows, ["k"]).select("k", "n", "start", "last_end", "next_start")
+    """How far each span may grow on either side; of equal spans the lower line comes first."""
+    return sequence.with_bounds(line_spans(spark, sf_dir), ["k"], ("n",)).select("k", "n", "start", "last_end", "next_start")
 
 
 #: Spans of an order's returned lines against those of its other lines.
@@ -103,16 +101,15 @@ def nearest_units_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", gap.alias("gap"), unit_choice(F.col("own"), F.col("value"))["start"].alias("start"))
 
 
-@query(f"SELECT k, n, a AS first_token, sum(n) OVER (PARTITION BY k ORDER BY n, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::INTEGER AS start, sum(n) OVER (PARTITION BY k ORDER BY n, a ROWS UNBOUNDED PRECEDING)::INTEGER AS \"end\" FROM {_LINES} WHERE n > 1")
+@query(f"SELECT k, n, a AS first_token, coalesce(sum(n) OVER (PARTITION BY k ORDER BY n, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start, sum(n) OVER (PARTITION BY k ORDER BY n, a ROWS UNBOUNDED PRECEDING)::INTEGER AS \"end\" FROM {_LINES}")
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens as long as their line number: the characters that a token takes follow from those before it."""
     by = Window.partitionBy("k").orderBy("n", "first_token")
-    rows = sequence.running_offset(line_spans(spark, sf_dir).where("n > 1").drop("end").withColumnRenamed("start", "first_token"), ["k"], ["n", "first_token"], F.col("n"), "start")
+    rows = sequence.running_offset(line_spans(spark, sf_dir).drop("end").withColumnRenamed("start", "first_token"), ["k"], ["n", "first_token"], F.col("n"), "start")
     rows = rows.withColumn("tokens", F.collect_list(F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.col("n")).cast("int").alias("end"))).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     at = F.row_number().over(by) - 1
     rows = rows.withColumn("at", at).withColumn("s", spans.token_to_char(F.col("tokens"), F.col("at"), F.col("at")))
-    first = F.row_number().over(by) == 1
-    return rows.select("k", "n", "first_token", F.when(first, F.lit(None)).otherwise(F.col("s.start")).cast("int").alias("start"), F.col("s.end").alias("end"))
+    return rows.select("k", "n", "first_token", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 @query("SELECT doc_id, len(string_split(text, ', '))::INTEGER AS n_segments, (length(text) - length(list_extract(string_split(text, ', '), -1)))::INTEGER AS last_start FROM documents WHERE text IS NOT NULL")
@@ -180,8 +177,10 @@ def small_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("l_orderkey", "l_linenumber", reason.alias("reason"), units.is_small_int(F.col("l_quantity")).alias("small"))
 
 
-@query("SELECT p_partkey, concat(p_name, 's') AS many, CASE WHEN p_type LIKE '%Y' THEN NULL ELSE lower(p_type) || 's' END AS kinds FROM part WHERE p_name NOT LIKE '%x' AND p_name NOT LIKE '%y' AND p_name NOT LIKE '%s'")
+@query("WITH w AS (SELECT p_partkey, unnest([p_name, lower(p_type), p_name || 's', p_name || 'y', lower(p_type) || 'x', p_brand || 'sy', 'y', 's', 'x']) AS word FROM part) SELECT p_partkey, word, CASE right(word, 1) WHEN 's' THEN word WHEN 'y' THEN left(word, length(word) - 1) || 'ies' WHEN 'x' THEN word || 'es' ELSE word || 's' END AS many FROM w")
 def plural_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_name NOT LIKE '%x' AND p_name NOT LIKE '%y' AND p_name NOT LIKE '%s'")
-    kinds = F.lower("p_type")
-    return part.select("p_partkey", text.plural(F.col("p_name")).alias("many"), F.when(~kinds.endswith("y"), text.plural(kinds)).alias("kinds"))
+    """Names and types, and words made of them that end in s, y and x."""
+    kind, end = F.lower("p_type"), lambda c, e: F.concat(c, F.lit(e))
+    words = F.array(F.col("p_name"), kind, end(F.col("p_name"), "s"), end(F.col("p_name"), "y"), end(kind, "x"), end(F.col("p_brand"), "sy"), F.lit("y"), F.lit("s"), F.lit("x"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(words).alias("word"))
+    return rows.select("p_partkey", "word", text.plural(F.col("word")).alias("many"))

@@ -5,6 +5,8 @@ A sentence is put together from columns, so SQL knows where its numbers, names a
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,19 +175,25 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "sent_idx", spans.substring(F.col("t"), F.col("s")).alias("sentence"))
 
 
-@query("SELECT doc_id, replace(replace(replace(text, 'a', 'a' || chr(769)), 'ﬁ', 'fi'), 'ü', 'u' || chr(776)) AS decomposed FROM (SELECT doc_id, replace(replace(left(regexp_replace(text, '[^ -~]', '', 'g'), 1000000), 'á', ''), 'fi', 'ﬁ') AS text FROM documents WHERE text IS NOT NULL)")
+def _decompositions() -> str:
+    """A SQL map of all characters below U+3000 and of the presentation forms to what they are made of."""
+    points = [c for c in map(chr, [*range(0x80, 0x3000), *range(0xFB00, 0xFB50), *range(0xFF01, 0xFF60)]) if unicodedata.normalize("NFKD", c) != c]
+    return "MAP([" + ", ".join(f"'{c}'" for c in points) + "], [" + ", ".join("'" + unicodedata.normalize("NFKD", c).replace("'", "''") + "'" for c in points) + "])"
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text || ' ﬁnd ½ Å ǆ Ｗ²', '(?s).'), lambda c: coalesce(d.m[c], c)), '')) AS decomposed FROM documents, (SELECT {_decompositions()} AS m) AS d WHERE text IS NOT NULL")
 def decomposed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compatibility decomposition: accents become marks of their own, ligatures letters."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
-    return docs.select("doc_id", text.nfkd(F.regexp_replace(F.regexp_replace("t", "a", "á"), "fi", "ﬁ")).alias("decomposed"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.md5(text.nfkd(F.concat("text", F.lit(" ﬁnd ½ Å ǆ Ｗ²")))).alias("decomposed"))
 
 
-@query("WITH d AS (SELECT doc_id, string_split(text, '. ') AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN len(p) <= 2 THEN array_to_string(p, chr(10) || chr(10)) ELSE p[1] || chr(10) || chr(10) || p[-1] END AS short, len(p)::INTEGER AS n FROM d WHERE NOT contains(array_to_string(p, ''), chr(10) || chr(10))")
+@query("WITH d AS (SELECT doc_id, string_split(replace(text, '. ', chr(10) || chr(10)), chr(10) || chr(10)) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN len(p) <= 2 THEN array_to_string(p, chr(10) || chr(10)) ELSE p[1] || chr(10) || chr(10) || p[-1] END AS short FROM d")
 def shortened_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first and last paragraph of each text, its sentences taken as paragraphs."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", r"\. ").alias("p")).where(~F.array_join("p", "").contains("\n\n"))
-    return docs.select("doc_id", text.shortened(F.array_join("p", "\n\n")).alias("short"), F.size("p").alias("n"))
+    """The first and last paragraph of each text, its sentences taken as paragraphs, too."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", text.shortened(F.regexp_replace("text", r"\. ", "\n\n")).alias("short"))
 
 
 @query("SELECT conv_id, string_agg(text || ' 5 m ', '' ORDER BY turn) AS whole FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
@@ -238,11 +246,12 @@ def sentence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", filters.sentence_drop_reason(F.col("t"), span, annotate.whitelisted("t"), list(vocab.blacklisted_terms())).alias("reason"))
 
 
-@query("SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]*one'), lambda w: w <> 'one')) > 0 AND NOT regexp_matches(lower(text), '(^|[^a-z0-9_])one') AS inside FROM documents WHERE regexp_matches(lower(text), 'one') AND NOT regexp_matches(text, '[^ -~\\n\\t\\r]')")
+@query("SELECT doc_id, term, contains(lower(text), term) AND NOT regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}\\p{M}_])' || term) AS inside FROM documents, (VALUES ('one'), ('ten'), ('on'), ('e')) AS t(term) WHERE text IS NOT NULL")
 def unanchored_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in which a number word occurs inside other words only."""
-    docs = table(spark, sf_dir, "documents").where(F.lower("text").rlike("one") & ~F.col("text").rlike(r"[^ -~\n\t\r]"))
-    return docs.select("doc_id", (F.size(filters.unanchored_only(F.col("text"), ["one"])) > 0).alias("inside"))
+    """Whether a text has a term inside other words only."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    inside = [F.struct(F.lit(w).alias("term"), (F.size(filters.unanchored_only(F.col("text"), [w])) > 0).alias("inside")) for w in ("one", "ten", "on", "e")]
+    return docs.select("doc_id", F.inline(F.array(*inside)))
 
 
 _DIGITS = "CAST(o_orderkey + 10 AS STRING)"
@@ -282,15 +291,12 @@ def context_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", filters.context_drop_reason(F.lit("ABC of which DEF"), entity, prop, n == 3).alias("reason"))
 
 
-_DIMENSION = "['wdt:P2048', 'wdt:P2049', 'wdt:P4511', 'wdt:P2610', 'wdt:P9'][l_linenumber]"
-
-
-@query("SELECT l_orderkey, l_linenumber, l_linenumber = 1 AND l_partkey % 3 = 0 OR l_linenumber IN (3, 4) AND l_partkey % 3 < 2 OR l_linenumber = 2 AND l_partkey % 3 = 1 AS mixed FROM lineitem WHERE l_linenumber <= 5")
+@query("SELECT l_orderkey, l_linenumber, l_linenumber = 1 AND l_partkey % 3 = 0 OR l_linenumber IN (3, 4, 6) AND l_partkey % 3 < 2 OR l_linenumber = 2 AND l_partkey % 3 = 1 AS mixed FROM lineitem")
 def mixed_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A height beside ``wide``, a width beside ``high``, and so on; the words after the next comma don't count."""
-    prop = "element_at(array('wdt:P2048', 'wdt:P2049', 'wdt:P4511', 'wdt:P2610', 'wdt:P9'), l_linenumber)"
+    prop = "element_at(array('wdt:P2048', 'wdt:P2049', 'wdt:P4511', 'wdt:P2610', 'wdt:P9', 'wdt:P5524', 'wdt:P10'), l_linenumber)"
     t = "concat('A tower ', CASE l_partkey % 3 WHEN 0 THEN 'wide ' WHEN 1 THEN 'high ' ELSE '' END, l_suppkey, ' m, deep and thick')"
-    rows = made(spark, sf_dir, "lineitem", l_orderkey="l_orderkey", l_linenumber="l_linenumber", t=t, p=prop, a="8").where("l_linenumber <= 5")
+    rows = made(spark, sf_dir, "lineitem", l_orderkey="l_orderkey", l_linenumber="l_linenumber", t=t, p=prop, a="8")
     value = F.struct(F.col("a").cast("int").alias("start"), (F.col("a") + 1).cast("int").alias("end"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return rows.select("l_orderkey", "l_linenumber", filters.mixes_dimensions(F.col("t"), F.col("p"), value, none).alias("mixed"))

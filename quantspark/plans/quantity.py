@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantspark.functions import vocab
-from quantspark.functions.text import nfkd, postprocessed, sentence_spans
+from quantspark.functions.numbers import SPAN
+from quantspark.functions.text import postprocessed, sentence_spans
 from quantspark.operators.annotate import whitelisted
 from quantspark.operators.filters import sentence_drop_reason
 from quantspark.session import ship
@@ -18,7 +23,7 @@ def rendered(quantities: F.Column, seed: F.Column) -> F.Column:
     """One rendering of each quantity: left, right or both sides in 47.5, 47.5 and 5 of 100 cases, by a hash of its place."""
 
     def pick(q: F.Column, i: F.Column) -> F.Column:
-        h = F.pmod(F.xxhash64(seed, i), F.lit(1000))
+        h = F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % 1000
         side = F.when(h < 475, F.get(q, F.lit(0))).when(h < 950, F.get(q, F.lit(1))).otherwise(F.get(q, F.lit(2)))
         return F.coalesce(side, F.get(q, F.lit(2)), F.lit(""))
 
@@ -30,14 +35,26 @@ def laid_out(pages: DataFrame) -> DataFrame:
     runs = F.transform("text", lambda p: F.array_join(p, "\n\n"))
     chosen = pages.select("id", "title", runs.alias("runs"), rendered(F.coalesce("quantities", F.array().cast("array<array<string>>")), F.col("id")).alias("q"))
     pieces = F.flatten(F.transform(F.arrays_zip("runs", "q"), lambda z: F.array(F.coalesce(z["runs"], F.lit("")), F.coalesce(z["q"], F.lit("")))))
-    # Unicode forms first: spans count characters of the normalised text.
-    whole = chosen.select("id", "title", F.transform(pieces, lambda p: p).alias("pieces"))
-    rows = whole.select("id", "title", F.posexplode("pieces").alias("k", "piece")).withColumn("piece", nfkd(F.col("piece")))
-    by_page = rows.groupBy("id", "title").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p"))
-    start = F.aggregate("p", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["piece"]))))
-    by_page = by_page.withColumn("at", start)
-    spans = F.filter(F.transform("p", lambda x, i: F.struct(F.get(F.col("at"), i).alias("start"), F.get(F.col("at"), i + 1).alias("end"), (x["k"] % 2).alias("odd"))), lambda s: (s["odd"] == 1) & (s["end"] > s["start"]))
-    return by_page.select("id", "title", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"), F.transform(spans, lambda s: F.struct(s["start"], s["end"])).alias("quantities"))
+    rows = chosen.select("id", "title", F.explode(F.array(joined(pieces))).alias("j"))
+    return rows.select("id", "title", "j.text", "j.quantities")
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("quantities", SPAN)]))
+def joined(pieces: pa.Array) -> pa.Array:
+    """Pieces, of which every second is a quantity, as one text in its compatibility decomposition, with their spans.
+
+    Forms come first, as spans count characters of the normalised text.
+    """
+    out = []
+    for row in pieces.to_pylist():
+        text, spans, at = [unicodedata.normalize("NFKD", p) for p in row or ()], [], 0
+        for k, piece in enumerate(text):
+            if k % 2 and piece:
+                spans.append({"start": at, "end": at + len(piece)})
+            at += len(piece)
+        out.append({"text": "".join(text), "quantities": spans})
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    return pa.array(out, pa.struct([("text", pa.string()), ("quantities", pa.list_(span))]))
 
 
 def sentences_of(texts: DataFrame) -> DataFrame:
@@ -52,7 +69,7 @@ def sentences_of(texts: DataFrame) -> DataFrame:
 def examples(pages: DataFrame) -> DataFrame:
     """(id, title, sent_idx, sentence, quantities, drop_reason) of all sentences with quantities; accepted ones are cleaned.
 
-    Only pages with quantities are read on; one shuffle puts a page's pieces together, all else is row-wise.
+    Only pages with quantities are read on; all is row-wise, so nothing is shuffled.
     """
     ship(pages.sparkSession)
     some = pages.where(F.size("quantities") > 0)
