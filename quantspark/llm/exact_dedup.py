@@ -38,19 +38,33 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _bare_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is no more than columns and rows of files as they are read, so that a row's place tells it apart."""
+    if any(c.lower() == "_metadata" for c in docs.columns):
+        return False
+    node = docs._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and node.children().size() == 1:
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation" and "_metadata" not in [c.lower() for c in node.schema().fieldNames()]
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, str | None]:
     """``docs`` with ``__file`` and ``__row``, the locator of each row, and the table that had to be written for it.
 
-    Rows that are read from Parquet have a place already (a hash of the file's path, and the row's number in it); others
-    are written as a table first.
+    Rows of a plain scan have a place already (a hash of the file's path, and the row's number in it). All others are
+    written as a table first: rows that a generator, a join or a sample repeats would have their file's place in common.
     """
     file, row = F.xxhash64(F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__row")
-    try:
-        return docs.select("*", file, row), None
-    except AnalysisException:
-        path = fresh_path(docs.sparkSession, "content")
-        stored(docs, path)
-        return docs.sparkSession.read.schema(docs.schema).parquet(path).select("*", file, row), path
+    if _bare_scan(docs):
+        try:
+            return docs.select("*", file, row), None
+        except AnalysisException:  # a source without files' metadata
+            pass
+    path = fresh_path(docs.sparkSession, "content")
+    stored(docs, path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path).select("*", file, row), path
 
 
 def _land(docs: DataFrame, path: str, digest: Callable[[Column], Column]) -> None:
@@ -134,16 +148,19 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
     Needs doc_id and text; other columns are ignored. Null text counts as empty, null doc_ids come after all others,
     and of rows with equal doc_id and text the one with the smaller locator stays. An empty table gives an empty result.
     """
-    found, folder, content = _groups(docs, digest)
+    found, folder, content, _ = _groups(docs.select("doc_id", "text"), digest)
     discard(docs.sparkSession, folder, *([content] if content else []))
     return found
 
 
-def _groups(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, str, str | None]:
+def _groups(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, str, str | None, DataFrame]:
+    """Groups, the folder of their state, the table of contents if one was written, and the rows as (doc, file, row)."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "dedup")
-    placed, content = located(docs)
-    return _grouped(placed, digest, folder, f"{folder}-hits", placed), folder, content
+    # A row as one struct, so that no column of it clashes with the locator's.
+    placed, content = located(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    texts = placed.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "__file", "__row")
+    return _grouped(texts, digest, folder, f"{folder}-hits", texts), folder, content, placed.select("doc", F.col("__file").alias("file"), F.col("__row").alias("row"))
 
 
 def continued(docs: DataFrame, folder: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -154,7 +171,7 @@ def continued(docs: DataFrame, folder: str, digest: Callable[[Column], Column] =
     """
     spark = docs.sparkSession
     placed, content = located(docs.select("doc_id", "text"))
-    places = placed.select("_metadata.file_path").distinct() if content is None else spark.createDataFrame([(content,)], "file_path string")
+    places = docs.select("doc_id", "text").select("_metadata.file_path").distinct() if content is None else spark.createDataFrame([(content,)], "file_path string")
     places.write.mode("append").parquet(f"{folder}/files")
     # One name for each file (or folder of files), not for rows.
     files = sorted({r.file_path for r in spark.read.schema("file_path string").parquet(f"{folder}/files").distinct().collect()})
@@ -174,10 +191,7 @@ def keep_first(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     Joined back by the locators of rows, so rows are told apart whatever their doc_id and text; the result is a table of
     its own, so that nothing reads the state or contents after their removal.
     """
-    found, folder, content = _groups(docs, digest)
+    found, folder, _, rows = _groups(docs, digest)
     stay = found.where("file = keep_file AND row = keep_row").select("file", "row")
-    placed = docs if content is None else docs.sparkSession.read.schema(docs.schema).parquet(content)
-    # The row as one struct, so that no column of it clashes with the keys.
-    packed = located(placed)[0].select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("__file").alias("file"), F.col("__row").alias("row"))
     discard(docs.sparkSession, folder)
-    return packed.join(stay, ["file", "row"], "left_semi").select("doc.*")
+    return rows.join(stay, ["file", "row"], "left_semi").select("doc.*")
