@@ -12,8 +12,9 @@ value is, not from where it stands: a key of a known form is a secret after any
 none. Random hexadecimal and base64 text alone is labelled by its surroundings, as nothing else tells a key from a
 checksum. Own findings with the same columns can be given instead or added.
 
-Texts without a digit or a credential name are dropped before they are split, and candidates leave the scan as narrow
-rows. What is shuffled are these, and the distinct words of the corpus with their counts.
+Texts without a digit, a credential name or a password in an address are dropped before they are split. Candidates
+leave the scan as their features, a digest, and hashes of the words in them: nothing that is written or shuffled
+holds a secret or the words around it. What is shuffled are these rows, and the distinct words of the corpus.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     Null and empty texts have none. Other columns of docs are ignored; without a ``path`` column paths are empty.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), "text").where(F.col("text").rlike("[0-9]") | F.col("text").rlike(CREDENTIAL))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), "text").where(F.col("text").rlike("[0-9]") | F.col("text").rlike(CREDENTIAL) | F.col("text").rlike(URL_PASSWORD))
     words = some.select("doc_id", "path", F.split(F.regexp_replace("text", f"^{SPACE}|{SPACE}$", ""), SPACE).alias("words"))
 
     def word(at: Column) -> Column:
@@ -142,19 +143,26 @@ def transitions(counts: DataFrame) -> dict[str, float]:
     return table
 
 
+def _words_of(candidate: Column) -> Column:
+    """Hash and length of the words that capitals, digits and signs set apart in a candidate."""
+    words = F.filter(F.regexp_extract_all(candidate, F.lit(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0)), lambda w: F.length(w) > 2)
+    return F.transform(words, lambda w: F.struct(F.xxhash64(F.lower(w)).alias("word"), F.length(w).alias("size")))
+
+
 def _covered(findings: DataFrame, counts: DataFrame) -> DataFrame:
-    """``findings`` (with ``__id``) with ``n_covered``: the characters of words of the dictionary, by the words that capitals, digits and signs set apart."""
-    runs = F.transform(F.regexp_extract_all("candidate", F.lit(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0)), lambda w: F.lower(w))
-    runs = findings.select("__id", F.explode(F.filter(runs, lambda w: F.length(w) > 2)).alias("word"))
+    """``findings`` (with ``__id``, ``__words``) with ``covered``: the share of characters in words of the dictionary."""
+    runs = findings.select("__id", F.inline("__words"))
     program = runs.sparkSession.createDataFrame([(w,) for w in sorted(set(PROGRAM_WORDS.split()))], "word string")
-    known = counts.where(F.col("n") >= LEAST_COUNT).select("word").join(runs.select("word").distinct(), "word", "left_semi").unionByName(program).distinct()
-    covered = runs.join(known, "word").groupBy("__id").agg(F.sum(F.length("word")).alias("n_covered"))
-    return findings.join(covered, "__id", "left")
+    known = counts.where(F.col("n") >= LEAST_COUNT).select("word").unionByName(program).select(F.xxhash64("word").alias("word"))
+    known = known.join(runs.select("word").distinct(), "word", "left_semi").distinct()
+    covered = runs.join(known, "word").groupBy("__id").agg(F.sum("size").alias("__n"))
+    joined = findings.join(covered, "__id", "left")
+    return joined.withColumn("covered", F.coalesce(F.col("__n") / F.col("length"), F.lit(0.0))).drop("__n", "__id", "__words")
 
 
 def described(findings: DataFrame, counts: DataFrame, table: dict[str, float]) -> DataFrame:
-    """``findings`` (candidate, raw, before, after, path) with FEATURES, by the words of a corpus and their transitions."""
-    findings = _covered(cut(findings).withColumn("__id", F.monotonically_increasing_id()), counts)
+    """``findings`` (candidate, raw, before, after, path) with FEATURES and secret_sha256 in place of these columns."""
+    rest = [name for name in findings.columns if name not in ("candidate", "raw", "before", "after", "path")]
     c = F.col("candidate")
     size = F.length(c)
     near = F.concat_ws(" ", "before", F.regexp_replace("raw", r"[\x22\x27].*$", ""))
@@ -170,7 +178,6 @@ def described(findings: DataFrame, counts: DataFrame, table: dict[str, float]) -
         "class_changes": F.regexp_count(c, F.lit(_CHANGE)) / size,
         "variety": F.size(F.array_distinct(F.split(c, ""))) / size,
         "vowels": F.regexp_count(c, F.lit("(?i)[bcdfghj-np-tv-z][aeiou]")) / size,
-        "covered": F.col("n_covered") / size,
         "digits": F.regexp_count(c, F.lit("[0-9]")) / size,
         "capitals": F.regexp_count(c, F.lit("[A-Z]")) / size,
         "is_hex": c.rlike("^[0-9a-f]+$|^[0-9A-F]+$"),
@@ -187,7 +194,9 @@ def described(findings: DataFrame, counts: DataFrame, table: dict[str, float]) -
         "key_block": c.startswith("-----BEGIN "),
         "dots": F.regexp_count(c, F.lit(r"\.")),
     }
-    return findings.withColumns({name: F.coalesce(value.cast("double"), F.lit(0.0)) for name, value in columns.items()}).drop("__id", "__at", "n_covered")
+    made = findings.select(*rest, F.sha2(c, 256).alias("secret_sha256"), _words_of(c).alias("__words"), *[F.coalesce(value.cast("double"), F.lit(0.0)).alias(name) for name, value in columns.items()])
+    # Numbered once for good, as rows are joined back by their number.
+    return _covered(cut(made.withColumn("__id", F.monotonically_increasing_id())), counts)
 
 
 def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 3) -> DataFrame:
@@ -255,4 +264,4 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession), counts, table)
     scored = model.transform(_vectors(candidates(docs, path), counts, table))
     score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "place", F.length("candidate").alias("length"), F.round(score, 6).alias("score"), (score >= threshold).alias("is_secret"), F.sha2("candidate", 256).alias("secret_sha256"))
+    return scored.select("doc_id", "place", F.col("length").cast("int").alias("length"), F.round(score, 6).alias("score"), (score >= threshold).alias("is_secret"), "secret_sha256")
