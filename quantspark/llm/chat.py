@@ -57,8 +57,9 @@ def calls_of(body: DataFrame) -> DataFrame:
 
 def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     """``calls`` with ``result_turn`` and ``result``: the first later result of the first call of an id."""
-    first = calls.where("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "nth")).alias("first"))
-    answered = results.join(first, ["conv_id", "id"]).where("result_turn > first.turn")
+    # Both kept: the join then has a shuffle on either side, and results of one id are combined before theirs.
+    first = cut(calls.where("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "nth")).alias("first")))
+    answered = cut(results.join(first, ["conv_id", "id"]).where("result_turn > first.turn"))
     answered = answered.groupBy("conv_id", "id", "first").agg(F.min(F.struct("result_turn", "result")).alias("answer"))
     answered = answered.select("conv_id", F.col("first.turn").alias("turn"), F.col("first.nth").alias("nth"), "answer.result_turn", "answer.result")
     return calls.join(answered, ["conv_id", "turn", "nth"], "left")
@@ -149,14 +150,16 @@ def formatted(turns: DataFrame) -> DataFrame:
     calls = calls_of(body)
     results = body.where("body.tool_call_id IS NOT NULL").select("conv_id", F.col("body.tool_call_id").alias("id"), F.col("turn").alias("result_turn"), F.coalesce("body.content", F.lit("")).alias("result"))
     answered = cut(linked(calls, results))
-    deep = levels(calls)
-    schemas = tool_schemas(body)
+    # Kept, so that the joins below have a shuffle of their own on this side too, and a long conversation is split.
+    deep = cut(levels(calls))
+    schemas = cut(tool_schemas(body))
     checked = answered.join(schemas, ["conv_id", "name"], "left").withColumn("valid", valid_arguments(F.col("arguments"), F.col("schema")))
     order = checked.join(deep.withColumn("deep", F.lit(True)), ["conv_id", "id"], "left")
     level = F.when(F.col("deep"), F.col("level")).otherwise(F.lit(0))
     call_json = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "id", "name", "result"))
     call_rows = order.select("conv_id", "turn", F.col("nth").cast("int").alias("nth"), F.lit("call").alias("kind"), F.lit("assistant").alias("role"), F.col("id").alias("call_id"), level.cast("int").alias("level"), "result_turn", "valid", call_json.alias("json"))
     used = answered.where("result_turn IS NOT NULL").select("conv_id", F.col("id").alias("__id"), F.col("result_turn").alias("turn")).distinct().withColumn("used", F.lit(True))
+    used = cut(used)
     is_call = F.size("body.tool_calls") > 0
     content = F.when(F.col("body.tool_call_id").isNotNull() | is_call, F.col("body.content")).otherwise(F.col("text"))
     rows = body.withColumn("__id", F.col("body.tool_call_id"))
