@@ -321,8 +321,8 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """A model from at most about ``most`` labelled rows that are not held out.
 
-    Labels that are null count as missing; of several labels of a doc_id the largest counts; rows that share a doc_id
-    are examples of their own with its label; null texts are empty ones. With no labels, of one kind only, or without
+    Labels that are null count as missing; of several labels of a doc_id the largest counts; of rows that share
+    a doc_id one is learned from, that with the least hash of its text; null texts are empty ones. With no labels, of one kind only, or without
     documents the model is a constant rate. Other columns are ignored. The lexicon holds words of the sample alone, so
     its size is bounded as the sample is.
     """
@@ -333,6 +333,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     chosen = may.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     half = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One row for each doc_id, so that the sample is bounded whatever the table repeats.
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     rows = cut(rows.select("text", "toxic", half.alias("half"), F.xxhash64("doc_id", F.lit(13)).alias("place")))
     lexicon = learn_lexicon(rows.where("half = 0"))
     second = np.array([word_hash(w) for w in SECOND_PERSON.split()], np.uint64)
