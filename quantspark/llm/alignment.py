@@ -207,8 +207,8 @@ def groups(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_group_rows(*(vocabularies or default_vocabularies())), kinds)
 
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.list_(pa.int32())), ("place", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
-_BLOCKS_DDL = "block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<int>, place int, a int, b int, n long"
+_BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.binary()), ("place", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+_BLOCKS_DDL = "block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary, place int, a int, b int, n long"
 _RESULT_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -248,7 +248,7 @@ def _blocks(a_path: str, b_path: str, block_bytes: int):
                 n = chunk.num_rows
                 columns = {
                     "block": pa.array(np.full(n, block)), "doc_id": chunk.column(0), "n_a": pa.array(np.diff(x.a_at)), "n_b": pa.array(np.diff(x.b_at)), "n_groups": pa.array(np.diff(x.group_at)),
-                    "groups_sha256": pa.array(x.digests(), pa.string()), "links": _lists(pairs.numbered(x.left, x.right), x.group_at),
+                    "groups_sha256": pa.array(x.digests(), pa.string()), "links": _packed(pairs.numbered(x.left, x.right), x.group_at, len(pairs.counts)),
                 }
                 yield _filled(_BLOCKS, columns, n)
                 held += x.n_bytes
@@ -260,14 +260,29 @@ def _blocks(a_path: str, b_path: str, block_bytes: int):
     return run
 
 
+def _packed(numbers: np.ndarray, at: np.ndarray, known: int) -> pa.Array:
+    """Each text's pair numbers as bytes: two for a number while a block knows few enough pairs, else four."""
+    kind = np.dtype("<u2" if known <= 1 << 16 else "<u4")
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * kind.itemsize).astype(np.int32)), pa.py_buffer(numbers.astype(kind).tobytes())])
+
+
+def _unpacked(links: pa.Array, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts, and where each text's begin; a text's width follows from its ``count`` of numbers."""
+    raw, ends = utf8(links)
+    size, at = np.diff(ends), np.concatenate([[0], np.cumsum(count)])
+    out, owner = np.empty(int(at[-1]), np.int64), np.repeat(size > 2 * count, count)
+    for wide, kind in ((False, "<u2"), (True, "<u4")):
+        rows = (size > 2 * count) == wide
+        out[owner == wide] = gather(raw, ends[:-1][rows], size[rows]).view(kind)
+    return out, at
+
+
 def _counted(key: tuple[pa.Scalar, ...], docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """A block's texts with the corpus-wide counts of its pairs."""
     place = pairs["place"].to_numpy()
     total, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     total[place], best[place] = pairs["total"].to_numpy(), pairs["best"].to_numpy()
-    links = docs["links"].combine_chunks()
-    at = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    numbers = links.flatten().to_numpy(zero_copy_only=False)
+    numbers, at = _unpacked(docs["links"].combine_chunks(), docs["n_groups"].to_numpy())
     sums = [np.diff(np.concatenate([[0], np.cumsum(v[numbers])])[at]) for v in (best, total)]
     return pa.Table.from_arrays([*(docs[c] for c in ("doc_id", "n_a", "n_b", "n_groups")), pa.array(np.diff(at)), *map(pa.array, sums), docs["groups_sha256"]], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
