@@ -1,6 +1,7 @@
-"""Rule annotator: tokens with lemma, part of speech and head, entities, coreference; each is a column that a task asks for.
+"""Annotator: tokens with lemma, part of speech and head, entities, numbers by tags; each is a column that a task asks for.
 
-No trained model is used. Another annotator can take its place: a function from texts to the same token structs.
+Tags come from rules or a tagger that ``syntax.fit`` has fitted to a corpus, heads from the best projective tree. Another
+annotator can take its place: a function from texts to the same token structs.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import types as T
 
 from quantspark.functions import vocab
 from quantspark.functions.numbers import SPAN, date_spans, find_dates, merged, number_spans
+from quantspark.operators.syntax import Tagger, heads_of, number_tokens
 
 TOKEN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("lemma", T.StringType()), T.StructField("pos", T.StringType()), T.StructField("head", T.IntegerType())])
 TOKENS = T.ArrayType(TOKEN)
 
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+(?:[-'’]\w+)*|[^\w\s]")
+_TOKEN = re.compile(r"\d+(?:[.,]\d+|['’]\d{3}(?!\d))*|\w+(?:[-'’]\w+)*|[^\w\s]")
 _CLOSED = {
     "ADP": "of in on at by for with from to into over under between about after before during through per than via within",
     "DET": "the a an this that these those its their his her our my your each every some any no",
@@ -69,23 +71,20 @@ def _pos(word: str, first: bool) -> str:
     return "NOUN"
 
 
-def tokens(text: str) -> list[dict]:
-    """Tokens with heads: modifiers attach to the noun on their right, prepositions and their nouns chain to the left, the rest to the verb."""
-    found = [m.span() for m in _TOKEN.finditer(text)]
+def split_words(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
+def rule_tags(words: list[str]) -> list[str]:
+    return [_pos(w, k == 0) for k, w in enumerate(words)]
+
+
+def tokens(text: str, tagger: Tagger | None = None) -> list[dict]:
+    """Tokens with tags, by a ``tagger`` or else by rules, and the heads of the best projective tree; the root heads itself."""
+    found = split_words(text)
     words = [text[a:b] for a, b in found]
-    pos = [_pos(w, k == 0) for k, w in enumerate(words)]
-    root = next((k for k, p in enumerate(pos) if p in ("VERB", "AUX")), 0)
-    heads = []
-    for k, p in enumerate(pos):
-        head = root
-        if p in ("NUM", "ADJ", "DET") or (p in ("NOUN", "PROPN") and k + 1 < len(pos) and pos[k + 1] in ("NOUN", "PROPN")):
-            head = next((j for j in range(k + 1, min(len(pos), k + 6)) if pos[j] in ("NOUN", "PROPN")), root)
-        elif p == "ADP":
-            head = next((j for j in range(k - 1, -1, -1) if pos[j] in ("NOUN", "PROPN", "NUM", "VERB", "AUX")), root)
-        elif p in ("NOUN", "PROPN"):
-            head = next((j for j in range(k - 1, max(-1, k - 6), -1) if pos[j] in ("ADP", "VERB", "AUX")), root)
-        heads.append(k if k == root else head)
-    return [{"start": a, "end": b, "text": w, "lemma": lemma(w), "pos": p, "head": h} for (a, b), w, p, h in zip(found, words, pos, heads, strict=True)]
+    pos = rule_tags(words) if tagger is None else tagger.tags(words)
+    return [{"start": a, "end": b, "text": w, "lemma": lemma(w), "pos": p, "head": h} for (a, b), w, p, h in zip(found, words, pos, heads_of(words, pos), strict=True)]
 
 
 @F.pandas_udf(TOKENS)
@@ -93,6 +92,11 @@ def annotated(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: tokens(t or ""))
 
 
+def annotated_by(tagger: Tagger):
+    """``annotated`` with the tags of a fitted tagger."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: tokens(t or "", tagger)), TOKENS)
+
+
 def lemma_of(word: Column) -> Column:
     """``lemma`` in SQL."""
     w = F.lower(word)
@@ -112,9 +116,9 @@ def lemmas(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lemma_of)
 
 
-def components(df: DataFrame, text: str, wanted: tuple[str, ...]) -> DataFrame:
+def components(df: DataFrame, text: str, wanted: tuple[str, ...], tagger: Tagger | None = None) -> DataFrame:
     """``df`` with the annotations that a task asks for, and no others: tokens, numbers, dates, entities."""
-    made = {"tokens": annotated, "numbers": number_spans, "dates": date_spans, "entities": whitelisted}
+    made = {"tokens": annotated if tagger is None else annotated_by(tagger), "numbers": number_spans, "dates": date_spans, "entities": whitelisted}
     return df.withColumns({name: made[name](text) for name in wanted})
 
 
@@ -154,26 +158,44 @@ def count_noun(text: str, value: tuple[int, int], frequent: set[str] | frozenset
         head += 1
     if toks[head]["lemma"] in frequent or toks[head]["text"].lower() in frequent:
         return None
-    end = head
-    if head + 2 < len(toks) and toks[head + 1]["text"].lower() == "per" and toks[head + 2]["pos"] == "NOUN":
-        end = head + 2
+    # NOUN per NOUN, or with a verb between that hangs on the noun: people killed per year.
+    after, end = head + 1, head
+    if after + 1 < len(toks) and toks[after]["head"] == head and (toks[after]["pos"] == "VERB" or toks[after]["text"].lower().endswith("ed")):
+        after += 1
+    if after + 1 < len(toks) and toks[after]["text"].lower() == "per" and toks[after + 1]["pos"] == "NOUN":
+        end = after + 1
     return toks[k]["start"], toks[end]["end"]
 
 
 def modifiers(toks: list[dict], name: bool = False) -> dict[int, list[int]]:
-    """Head noun -> its modifiers in one run left of it: adjectives and nouns, for a ``name`` proper nouns too."""
+    """Noun -> the words left of it that hang on it in the tree: adjectives and nouns, for a ``name`` proper nouns too.
+
+    Only words beside another of them or the noun count; a word that hangs on a modifier belongs to the noun as well.
+    """
     kinds, found = ("ADJ", "NOUN", "PROPN") if name else ("ADJ", "NOUN"), {}
     for k, t in enumerate(toks):
         if t["pos"] not in ("NOUN", "PROPN"):
             continue
         low = k
-        while low > 0 and toks[low - 1]["pos"] in kinds:
+        while low > 0 and toks[low - 1]["pos"] in kinds and low <= toks[low - 1]["head"] <= k:
             low -= 1
         if low < k:
             found[k] = list(range(low, k))
     return found
 
 
+def tagged_numbers(text: str, ordinals: frozenset[str] = frozenset(), toks: list[dict] | None = None) -> list[tuple[int, int]]:
+    """Numbers by their tags: spans of runs of number words with their signs; words of ``ordinals`` may be among them."""
+    toks = tokens(text) if toks is None else toks
+    return [(toks[a]["start"], toks[b - 1]["end"]) for a, b in number_tokens(toks, ordinals) if a < b]
+
+
+@F.pandas_udf(SPAN)
+def tagged_number_spans(texts: pd.Series) -> pd.Series:
+    known = frozenset(w for w in vocab.ordinals() if " " not in w)
+    return texts.map(lambda t: [{"start": a, "end": b} for a, b in tagged_numbers(t or "", known)])
+
+
 def _covered(t: dict, spans: list[tuple[int, int]]) -> bool:
     return any(a < t["end"] and t["start"] < b for a, b in spans)
 

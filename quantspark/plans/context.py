@@ -19,6 +19,7 @@ from quantspark.operators import filters, matching
 from quantspark.operators.annotate import components, count_noun, expanded_all
 from quantspark.operators.coreference import stand_in
 from quantspark.operators.frequency import alias_spans
+from quantspark.operators.syntax import Tagger
 from quantspark.operators.sequence import paragraphs, with_context
 from quantspark.session import ship
 from quantspark.sources.tables import cut
@@ -119,11 +120,11 @@ def qualifier_hits(candidates: DataFrame, hits: DataFrame) -> DataFrame:
     return in_time.unionByName(named).unionByName(placed)
 
 
-def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: DataFrame | None = None, back_end: str = "head_noun") -> DataFrame:
+def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: DataFrame | None = None, back_end: str = "head_noun", tagger: Tagger | None = None) -> DataFrame:
     """All candidates with annotations and the reason for which each is dropped, if any.
 
     ``frequent_units`` (alias) are names of frequent units, next to which a value isn't the fact's and which no phrase
-    grows into. ``back_end`` names the coreference. Aliases of all kinds are found by one automaton over lemmas, names of
+    grows into. ``back_end`` names the coreference, ``tagger`` is one that ``syntax.fit`` made. Aliases of all kinds are found by one automaton over lemmas, names of
     frequent units by one over words in lower case, in candidates' sentences alone, each of which is annotated once.
     """
     ship(pages.sparkSession)
@@ -132,7 +133,7 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
     matches = matching.value_matches(stated_numbers(found), targets, ["page_id"])
     unique = matching.unique_values(matches.select(*EXAMPLE, "span", "text", "value", "deviation", "by_rounding", "is_count", "is_temperature", "inside"), EXAMPLE, ~F.col("m.is_count"))
     some = found.join(unique.select(*SENTENCE).distinct(), SENTENCE, "left_semi")
-    some = cut(components(some, "sentence", ("tokens",)))
+    some = cut(components(some, "sentence", ("tokens",), tagger))
     wanted = labels.where(F.col("kind").isin("entities", "properties", "units", "qualifiers_values", "qualifiers_units"))
     words = some.select(*SENTENCE, "tokens")
     hits = alias_spans(words, SENTENCE, wanted)
