@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from quantspark.operators.coreference import BACK_ENDS
 from quantspark.operators.statements import stop_words
 from quantspark.plans import context, knowledge, parse, quantity, statistics, unit_frequencies
 from quantspark.sources import tables
-from quantspark.sources.dump import DumpJob
+from quantspark.sources.dump import DumpJob, articles
+from quantspark.sources.ledger import run_in_parts
 
 log = logging.getLogger("quantspark")
 
@@ -29,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--mode", choices=("raw", "convert"), default="convert")
     p.add_argument("--limit", type=int)
     p.add_argument("--page-offset", type=int, default=0)
+    p.add_argument("--errors", help="also write pages that can't be parsed here")
+    p.add_argument("--parts", type=int, help="work in so many parts, so that a stopped run can go on; the output is Parquet")
     k = sub.add_parser("knowledge", help="triples to knowledge tables")
     for name in ("triples", "page-map", "unit-config", "output"):
         k.add_argument(f"--{name}", required=True)
@@ -48,27 +52,39 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--coreference", choices=tuple(BACK_ENDS), default="head_noun")
     d.add_argument("--dropped", help="also write dropped examples here")
     d.add_argument("--statistics", help="also write counts of reasons here")
+    d.add_argument("--parts", type=int, help="work in so many parts of the pages, so that a stopped run can go on")
     return top
 
 
 def datasets(spark: SparkSession, pages: DataFrame, known: dict[str, DataFrame], args: argparse.Namespace) -> None:
-    """Both datasets, their dropped examples and statistics; all examples are made once and read again."""
-    conversions, frequent, made = known["unit_conversions"], None, {}
+    """Both datasets, their dropped examples and statistics; all examples are made once, counted meanwhile, and read again."""
+    conversions, frequent, made, counts = known["unit_conversions"], None, {}, []
+
+    def all_examples(name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        if args.parts:
+            found = run_in_parts(pages, "id", args.parts, make, f"{args.output}/{name}-parts")
+            counts.append(statistics.dataset_statistics(pages, {name: found}))
+            return found
+        seen = statistics.Observed(name)
+        found = tables.cut(seen.examples(make(seen.pages(pages))))
+        counts.append(seen.table())
+        return found
+
     if args.unit_frequencies:
         counted = tables.read_frequencies(spark, args.unit_frequencies).groupBy("qid").agg(F.max("n").alias("n"))
         frequent = frequency.frequent_aliases(frequency.top(counted, args.frequent_percent), known["labels"])
         conversions = frequency.excluded(conversions, counted, frequency.unlabelled(counted.select("qid"), known["labels"]), args.remove_infrequent_units)
     if not args.skip_quantities:
-        made["quantity"] = tables.cut(quantity.examples(pages))
+        made["quantity"] = all_examples("quantity", quantity.examples)
         tables.write_examples(made["quantity"].where("drop_reason IS NULL").drop("drop_reason"), f"{args.output}/quantity", ["quantities"])
     if not args.skip_context:
-        made["context"] = tables.cut(context.examples(pages, known["facts"], known["labels"], conversions, frequent, args.coreference))
+        made["context"] = all_examples("context", lambda some: context.examples(some, known["facts"], known["labels"], conversions, frequent, args.coreference))
         tables.write_json_lines(context.reconciled_dataset(made["context"]), f"{args.output}/context")
     if args.dropped:
         for name, examples in made.items():
             tables.write_dropped(examples, f"{args.dropped}/{name}")
     if args.statistics and made:
-        tables.write_json_lines(statistics.dataset_statistics(pages, made), args.statistics)
+        tables.write_json_lines(statistics.merged(*counts), args.statistics)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -77,7 +93,16 @@ def main(argv: list[str] | None = None) -> None:
     spark = session.session()
     if args.command == "parse":
         job = DumpJob(args.dump, args.mode, args.limit, args.page_offset)
-        tables.write_json_lines(parse.parse(spark, job), args.output)
+        if args.parts:
+            make = parse.raw_pages if job.mode == "raw" else parse.converted_pages
+            run_in_parts(articles(spark, job), "id", args.parts, make, args.output)
+        elif args.errors and job.mode == "convert":
+            work = tables.scratch(spark, "parsed")
+            pages, failed = parse.written_apart(articles(spark, job), work)
+            tables.write_json_lines(pages, args.output)
+            tables.write_json_lines(tables.kept(failed, work), args.errors)
+        else:
+            tables.write_json_lines(parse.parse(spark, job), args.output)
     elif args.command == "knowledge":
         built = knowledge.build(spark.read.parquet(args.triples), spark.read.parquet(args.page_map), spark.read.parquet(args.unit_config), stop_words(spark))
         tables.write_knowledge(built, args.output)

@@ -26,7 +26,17 @@ def dump_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = s.select(F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0).alias("ns"), F.col("s_suppkey").alias("id"), body.alias("revision"))
     path = tables.scratch(spark, "simplewiki-dump")
     pages.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").option("compression", "bzip2").save(path)
-    return parse.parse(spark, dump.DumpJob(path, "raw", limit=40, page_offset=3))
+    return tables.kept(parse.parse(spark, dump.DumpJob(path, "raw", limit=40, page_offset=3)), path)
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'no_text' END AS error, CASE WHEN doc_id % 5 > 0 THEN 1 END AS n_quantities FROM documents")
+def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of which every fifth has no text: pages and errors from the one scan that writes both."""
+    text = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("It is {{convert|"), F.col("n_chars").cast("string"), F.lit("|km|mi}} long.")))
+    path = tables.scratch(spark, "parsed")
+    pages, failed = parse.written_apart(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), text.alias("text")), path)
+    good = pages.select("id", F.lit(None).cast("string").alias("error"), F.size("quantities").alias("n_quantities"))
+    return tables.kept(good.unionByName(failed.select("id", "error", F.lit(None).cast("int").alias("n_quantities"))), path)
 
 
 @query("SELECT doc_id AS id, source AS title, len(string_split(text, chr(10)))::INTEGER AS n_paragraphs, (doc_id % 3 > 0) AS quantity_read FROM documents WHERE text IS NOT NULL")
@@ -37,7 +47,7 @@ def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.scratch(spark, "pages")
     tables.write_json_lines(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.array(F.split("text", "\n")).alias("text"), F.array(one).alias("quantities")), path)
     pages = tables.read_pages(spark, path)
-    return pages.select("id", "title", F.size(F.get("text", F.lit(0))).alias("n_paragraphs"), F.get("quantities", F.lit(0)).isNotNull().alias("quantity_read"))
+    return tables.kept(pages.select("id", "title", F.size(F.get("text", F.lit(0))).alias("n_paragraphs"), F.get("quantities", F.lit(0)).isNotNull().alias("quantity_read")), path)
 
 
 @query("SELECT o_orderkey AS id, o_orderkey % 3 AS n, 'kept' AS file FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, o_orderkey % 3, 'dropped' FROM orders WHERE o_orderstatus = 'F'")
@@ -49,7 +59,7 @@ def example_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.write_examples(rows, kept, ["found"])
     tables.write_dropped(rows, dropped)
     read = lambda path, file: spark.read.schema("id long, n long").json(path).withColumn("file", F.lit(file))
-    return read(kept, "kept").unionByName(read(dropped, "dropped"))
+    return tables.kept(read(kept, "kept").unionByName(read(dropped, "dropped")), kept, dropped)
 
 
 @query("SELECT 'facts' AS name, count(*) AS n, count(DISTINCT s_nationkey) AS n_keys FROM supplier UNION ALL SELECT 'labels', 2 * count(*), count(*) FROM nation UNION ALL SELECT 'conversions', 3 * count(*), count(*) FROM region")
@@ -116,7 +126,7 @@ def stored_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.scratch(spark, "frequencies")
     counted.write.parquet(path)
     read = tables.read_frequencies(spark, path)
-    return frequency.top(read.select("qid", "n")).select(F.lit("full_text").alias("mode"), "qid", "n")
+    return tables.kept(frequency.top(read.select("qid", "n")).select(F.lit("full_text").alias("mode"), "qid", "n"), path)
 
 
 @query("SELECT doc_id AS id FROM (SELECT doc_id FROM documents WHERE doc_id % 3 > 0 ORDER BY doc_id LIMIT 25) UNION ALL SELECT doc_id FROM documents")
@@ -219,12 +229,15 @@ def context_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH t AS ({_TOWERS}) SELECT 'context' AS dataset, 'counts' AS category, 'analyzed_pages' AS key, count(*) AS n FROM t UNION ALL SELECT 'context', 'counts', 'candidates', count(*) FROM t UNION ALL SELECT 'context', 'counts', 'number_of_examples', count(*) FROM t WHERE reason IS NULL UNION ALL SELECT 'context', 'dropped_cause', reason, count(*) FROM t WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'context', 'accept_cause', doubts, count(*) FROM t WHERE doubts <> '' GROUP BY doubts")
 def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of the context job, merged from two runs over half of the pages each."""
+    """Counters that the passes which write the context dataset take, merged from two runs over half of the pages each."""
     pages, facts, labels, conversions = tower_pages(spark, sf_dir)
     runs = []
     for k in (0, 1):
-        half = pages.where(F.col("id") % 2 == k)
-        runs.append(statistics.dataset_statistics(half, {"context": context.examples(half, facts, labels, conversions)}))
+        seen, path = statistics.Observed("context"), tables.scratch(spark, "context")
+        examples = seen.examples(context.examples(seen.pages(pages.where(F.col("id") % 2 == k)), facts, labels, conversions))
+        tables.write_json_lines(examples.where("drop_reason IS NULL").drop("drop_reason"), path)
+        runs.append(seen.table())
+        tables.removed(spark, path)
     return statistics.merged(*runs)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantspark import schemas
 from quantspark.functions.convert import expand
@@ -32,21 +33,36 @@ def raw_pages(pages: DataFrame) -> DataFrame:
     return pages.select("id", "title", "text")
 
 
-def converted_pages(pages: DataFrame) -> DataFrame:
-    """id, title, text runs and quantities of articles; a page that can't be parsed is dropped, not the job."""
+def attempted_pages(pages: DataFrame) -> DataFrame:
+    """id, title, text runs and quantities of articles; of a page that can't be parsed, the ``error`` in their place."""
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for page_id, title, markup in zip(pdf["id"], pdf["title"], pdf["text"], strict=True):
-                try:
-                    rows.append((page_id, title, *parsed_page(markup)))
-                except (ValueError, IndexError, RecursionError):
+                if markup is None:
+                    rows.append((page_id, title, None, None, "no_text"))
                     continue
-            yield pd.DataFrame(rows, columns=["id", "title", "text", "quantities"])
+                try:
+                    rows.append((page_id, title, *parsed_page(markup), None))
+                except Exception as e:  # noqa: BLE001  whatever a page does, it is the page that fails and not the job
+                    rows.append((page_id, title, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["id", "title", "text", "quantities", "error"])
+
+    return pages.select("id", "title", "text").mapInPandas(run, f"{schemas.PAGES_PARSED}, error STRING")
+
+
+def converted_pages(pages: DataFrame) -> DataFrame:
+    """Pages that can be parsed: id, title, text runs and quantities. ``written_apart`` keeps the others, too."""
+    return attempted_pages(pages).where("error IS NULL").drop("error")
+
 
-    return pages.select("id", "title", "text").mapInPandas(run, schemas.PAGES_PARSED)
+def written_apart(pages: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed pages, and (id, title, error) of the others: one scan that writes both as tables under ``path``."""
+    attempted_pages(pages).withColumn("failed", F.col("error").isNotNull()).write.partitionBy("failed").parquet(path)
+    rows = pages.sparkSession.read.schema(f"{schemas.PAGES_PARSED}, error STRING, failed BOOLEAN").parquet(path)
+    return rows.where("NOT failed").drop("error", "failed"), rows.where("failed").select("id", "title", "error")
 
 
 def parse(spark: SparkSession, job: DumpJob) -> DataFrame:

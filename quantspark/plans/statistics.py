@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quantspark.operators import filters
@@ -27,6 +27,44 @@ def dataset_statistics(pages: DataFrame, examples: dict[str, DataFrame]) -> Data
     return filters.merged_counts(*parts)
 
 
+def _counters(columns: list[str]) -> dict[tuple[str, str], Column]:
+    """(category, key): the aggregate of each counter; reasons that aren't known are counted together."""
+    reason, used = F.col("drop_reason"), F.col("drop_reason").isNull()
+    out = {("counts", "candidates"): F.count(F.lit(1)), ("counts", "number_of_examples"): F.count_if(used)}
+    known = list(dict.fromkeys([*filters.OF_SENTENCES, *filters.DROPPED]))
+    out |= {("dropped_cause", r): F.count_if(reason == r) for r in known}
+    out["dropped_cause", "other"] = F.count_if(reason.isNotNull() & ~reason.isin(known))
+    if "weak_accept_reasons" in columns:
+        doubts = [*filters.WEAK, "choose_single_annotation_based_on_parentheses"]
+        out |= {("accept_cause", w): F.count_if(used & F.array_contains("weak_accept_reasons", w)) for w in doubts}
+    return out
+
+
+class Observed:
+    """Counters of a job, taken by the pass that makes its examples.
+
+    ``pages`` and ``examples`` give the frames to go on with; ``table`` has the counters once an action has run on both.
+    """
+
+    def __init__(self, dataset: str):
+        self.dataset, self._pages, self._examples, self._names = dataset, Observation(), Observation(), []
+
+    def pages(self, df: DataFrame) -> DataFrame:
+        self._spark = df.sparkSession
+        return df.observe(self._pages, F.count(F.lit(1)).alias("n"))
+
+    def examples(self, df: DataFrame) -> DataFrame:
+        counters = _counters(df.columns)
+        self._names = list(counters)
+        return df.observe(self._examples, *[c.alias(f"c{k}") for k, c in enumerate(counters.values())])
+
+    def table(self) -> DataFrame:
+        got = self._examples.get
+        rows = [("counts", "analyzed_pages", self._pages.get["n"]), *[(*name, got[f"c{k}"]) for k, name in enumerate(self._names)]]
+        shown = [(self.dataset, category, key, n) for category, key, n in rows if n or category == "counts"]
+        return self._spark.createDataFrame(shown, "dataset string, category string, key string, n long")
+
+
 def merged(*statistics: DataFrame) -> DataFrame:
     """Statistics of several runs as one: counters of equal names are added up."""
     return filters.merged_counts(reduce(lambda a, b: a.unionByName(b), statistics))

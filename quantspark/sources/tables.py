@@ -20,6 +20,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def kept(df: DataFrame, *paths: str) -> DataFrame:
+    """The rows of ``df``, computed once; the scratch tables at ``paths``, which they were read from, are removed."""
+    out = cut(df)
+    removed(df.sparkSession, *paths)
+    return out
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of this run."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of ``spark.checkpoint.dir``; a temporary folder only under a local master."""
     return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"

@@ -194,8 +194,3 @@ def test_reasons_are_known():
     from quantspark.operators import filters
 
     assert len(set(filters.DROPPED)) == len(filters.DROPPED) and len(filters.WEAK) == 6
-
-
-def test_observed_totals(spark):
-    docs = spark.createDataFrame([([1],), ([],)], "quantities array<int>")
-    assert tuple(frequency.page_totals(docs.withColumn("quantities", F.col("quantities"))).first()) == (2, 1)
