@@ -30,6 +30,8 @@ from quantspark.llm.words import chunks, gather, utf8
 from quantspark.session import ship
 
 BLOCK_BYTES = 16 << 20
+#: Text of one chunk: several arrays of numbers as long as it are held at once.
+CHUNK_BYTES = 1 << 18
 
 #: Last bytes of letters that may be white space, and first ones: next to these a text isn't parted.
 _PLAIN_END = np.ones(256, bool)
@@ -74,8 +76,8 @@ class ByteModel:
         text = raw.tobytes()
         words = [text[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         ids, count = [np.empty(0, np.int32)], np.zeros(len(words), np.int64)
-        for k in range(0, len(words), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+        for k in range(0, len(words), 4_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + 4_000], add_special_tokens=False)]
             count[k : k + len(found)] = np.fromiter(map(len, found), np.int64, len(found))
             ids.append(np.fromiter((i for x in found for i in x), np.int32, int(count[k : k + len(found)].sum())))
         return np.concatenate(ids), count
@@ -185,7 +187,7 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
 def _group_rows(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch):
+            for chunk in chunks(batch, most=CHUNK_BYTES):
                 x = Aligned(chunk.column(1), a_path, b_path)
                 groups = np.repeat(np.arange(len(x.a_at) - 1), np.diff(x.group_at))
                 a_ends = np.cumsum(np.bincount(x.a_group, minlength=int(x.group_at[-1]))) - x.a_at[groups]
@@ -243,7 +245,7 @@ def _blocks(a_path: str, b_path: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, pairs, held = TaskContext.get().partitionId() << 32, _Pairs(), 0
         for batch in batches:
-            for chunk in chunks(batch):
+            for chunk in chunks(batch, most=CHUNK_BYTES):
                 x = Aligned(chunk.column(1), a_path, b_path)
                 n = chunk.num_rows
                 columns = {

@@ -27,7 +27,7 @@ class SpanIds:
     A full memory is emptied and filled again, so ``most`` bounds a worker's memory and never changes results.
     """
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 600_000):
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 250_000):
         self.encode, self.most = encode, most
         self._clear()
 

@@ -236,3 +236,13 @@ def test_groups_end_together(spark):
         assert a_model.decode(row.a[at[0] : end[0]]).encode() in (piece, piece.decode("utf-8", "replace").encode())
         assert b_model.decode([b_model.piece_to_id("▁")] + row.b[at[1] : end[1]]).strip().encode() in (piece.strip(), piece.decode("utf-8", "replace").strip().encode())
         at = end
+
+
+def test_links_of_two_widths():
+    from quantspark.llm.alignment import _packed, _unpacked
+
+    numbers, at = np.array([1, 65535, 0, 70_000, 3]), np.array([0, 2, 2, 3])
+    narrow = _packed(numbers[:3], at, 1 << 16)
+    wide = _packed(numbers[3:], np.array([0, 0, 2]), (1 << 16) + 1)
+    got, ends = _unpacked(pa.concat_arrays([narrow, wide]), np.array([2, 0, 1, 0, 2]))
+    assert got.tolist() == numbers.tolist() and ends.tolist() == [0, 2, 2, 3, 3, 5]
