@@ -412,4 +412,4 @@ def knowledge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.build(triples.unionByName(schema), page_map, config, statements.stop_words(spark))["facts"].select("page_id", "entity", "property", "value", "unit")
 
 
-from quantspark.plans import catalogue_graph, catalogue_jobs, catalogue_orders, catalogue_spans, catalogue_text  # noqa: E402, F401  they register their queries
+from quantspark.plans import catalogue_graph, catalogue_jobs, catalogue_orders, catalogue_spans, catalogue_sql, catalogue_text  # noqa: E402, F401  they register their queries
