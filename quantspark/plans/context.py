@@ -19,8 +19,8 @@ from quantspark.operators import filters, matching
 from quantspark.operators.annotate import components, count_noun, expanded_all
 from quantspark.operators.coreference import stand_in
 from quantspark.operators.frequency import alias_spans
+from quantspark.operators.sequence import paragraphs, with_previous
 from quantspark.operators.syntax import Tagger
-from quantspark.operators.sequence import paragraphs, with_context
 from quantspark.session import ship
 from quantspark.sources.tables import cut
 
@@ -37,7 +37,10 @@ def pages_of_interest(pages: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def sentences(pages: DataFrame, facts: DataFrame) -> DataFrame:
-    """page_id, title, sent_idx, par_idx, sentence, numbers' spans, of pages that have facts."""
+    """page_id, title, sent_idx, par_idx, sentence, the one before it in its paragraph, and numbers' spans, of pages with facts.
+
+    Short sentences state no facts and have no numbers here, but are context of others; ``enough`` tells the others.
+    """
     some = pages.join(facts.select(F.col("page_id").alias("id")).distinct(), "id", "left_semi")
     runs = F.transform("text", lambda p: F.array_join(p, "\n\n"))
     sides = F.transform(F.coalesce("quantities", F.array().cast("array<array<string>>")), lambda q: F.get(q, F.lit(2)))
@@ -46,10 +49,15 @@ def sentences(pages: DataFrame, facts: DataFrame) -> DataFrame:
     rows = split.select("page_id", "title", "sent_idx", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("sentence"))
     blank = F.col("sentence").rlike(r"^\s*$")
     rows = paragraphs(rows, ["page_id"], ["sent_idx"], blank).where(~blank)
-    # Short sentences state no facts, but are context of others.
-    rows = with_context(rows, ["page_id", "par_idx"], ["sent_idx"], "sentence")
-    rows = rows.where((F.size(F.split(F.trim("sentence"), r"\s+")) >= 3))
-    return rows.withColumn("numbers", number_spans("sentence"))
+    rows = with_previous(rows, ["page_id", "par_idx"], ["sent_idx"], "sentence")
+    rows = rows.withColumn("enough", F.size(F.split(F.trim("sentence"), r"\s+")) >= 3)
+    return rows.withColumn("numbers", number_spans(F.when(F.col("enough"), F.col("sentence"))))
+
+
+def contexts(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(page_id, par_idx, paragraph): the sentences of paragraphs that ``wanted`` (page_id, par_idx) names, in order."""
+    some = found.join(wanted.distinct(), ["page_id", "par_idx"], "left_semi")
+    return some.groupBy("page_id", "par_idx").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))).alias("paragraph"))
 
 
 def stated_numbers(found: DataFrame) -> DataFrame:
@@ -128,7 +136,8 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
     frequent units by one over words in lower case, in candidates' sentences alone, each of which is annotated once.
     """
     ship(pages.sparkSession)
-    found = cut(sentences(pages, facts))
+    everything = cut(sentences(pages, facts))
+    found = everything.where("enough")
     targets = matching.variants(facts, conversions, labels.where("kind = 'units'"))
     matches = matching.value_matches(stated_numbers(found), targets, ["page_id"])
     unique = matching.unique_values(matches.select(*EXAMPLE, "span", "text", "value", "deviation", "by_rounding", "is_count", "is_temperature", "inside"), EXAMPLE, ~F.col("m.is_count"))
@@ -141,7 +150,7 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
         named = frequent_units.select(F.lit("frequent").alias("kind"), F.lit("frequent").alias("uri"), "alias")
         hits = hits.unionByName(alias_spans(words, SENTENCE, named, "lower"))
     hits = cut(hits)
-    cand = unique.join(some.select(*SENTENCE, "title", "sentence", "tokens", "numbers", "before", "after"), SENTENCE)
+    cand = unique.join(some.select(*SENTENCE, "title", "par_idx", "sentence", "tokens", "numbers", "previous"), SENTENCE)
     cand = cand.join(facts.select("page_id", "fact_id", "entity", "property", F.col("value").alias("fact_value"), F.col("unit").alias("fact_unit"), "qualifiers"), ["page_id", "fact_id"])
     for uri, kind, name in (("entity", "entities", "entity_spans"), ("property", "properties", "property_spans"), ("unit", "units", "unit_spans")):
         cand = alias_hits(cand, hits, labels, uri, kind, name)
@@ -165,7 +174,7 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
     must = F.array(value, F.col("unit_span"))
     # An entity that only the sentence before names: for exact values of a named property that aren't counts.
     apart = ~F.col("is_count") & (F.col("deviation") == 0) & (F.size("property_spans") > 0) & (F.size("entity_spans") == 0)
-    mention = _stand_ins(back_end)(F.try_element_at("before", F.lit(-1)), F.col("sentence"), F.col("entity_spans_aliases"))
+    mention = _stand_ins(back_end)(F.col("previous"), F.col("sentence"), F.col("entity_spans_aliases"))
     cand = cand.withColumn("stand_in", mention).withColumn("by_coreference", apart & (F.size("stand_in") > 0))
     cand = cand.withColumn("entity_spans", F.when(F.col("by_coreference"), F.col("stand_in")).otherwise(F.col("entity_spans")))
     for name in ("property_spans", "entity_spans"):
@@ -182,13 +191,19 @@ def examples(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions:
     )
     cand = cut(cand.withColumn("drop_reason", reason))
     stated = qualifier_hits(cand.where("drop_reason IS NULL"), hits).groupBy(*EXAMPLE).agg(F.map_from_entries(F.collect_list(F.struct("tag", "spans"))).alias("found_qualifiers"))
-    cand = cand.join(stated, EXAMPLE, "left")
+    cand = cut(cand.join(stated, EXAMPLE, "left"))
     small = filters.small_count_without_qualifier(F.col("value"), F.col("is_count"), F.coalesce(F.size("found_qualifiers"), F.lit(0)))
     weak = F.filter(F.array(F.when(F.col("by_rounding"), "relax_threshold_for_small_rounded_values"), F.when((F.size("property_spans") == 0) & rare, "no_property_but_rare_num_exact_match"), F.col("property_spans_reason"), F.col("entity_spans_reason"), F.when(F.col("by_coreference"), "found_entity_with_coreference_resolution")), lambda r: r.isNotNull())
     main = F.create_map(F.lit("entity"), F.col("entity_spans"), F.lit("property"), F.col("property_spans"), F.lit("value"), F.array(value), F.lit("unit"), F.when(F.col("unit_span").isNull(), nothing).otherwise(F.array(F.col("unit_span"))))
     annotations = F.map_filter(F.map_concat(main, F.coalesce("found_qualifiers", F.create_map().cast(f"map<string,{_SPANS}>"))), lambda tag, spans: F.size(spans) > 0)
     fact = F.struct("fact_id", "entity", "property", F.col("fact_value").alias("value"), F.col("fact_unit").alias("unit"))
-    return cand.select(*SENTENCE, "title", "fact_id", "unit", "sentence", annotations.alias("annotations"), fact.alias("fact"), F.struct("before", "after").alias("context"), weak.alias("weak_accept_reasons"), F.coalesce("drop_reason", small).alias("drop_reason"))
+    # The paragraph of what is accepted comes last, one row for each paragraph.
+    cand = cand.withColumn("__par", F.when(F.coalesce("drop_reason", small).isNull(), F.col("par_idx")))
+    around = contexts(everything, cand.where("__par IS NOT NULL").select("page_id", "par_idx")).withColumnRenamed("par_idx", "__par")
+    cand = cand.join(around, ["page_id", "__par"], "left")
+    of = lambda kept: F.transform(F.filter("paragraph", kept), lambda s: s["sentence"])
+    context = F.struct(of(lambda s: s["sent_idx"] < F.col("sent_idx")).alias("before"), of(lambda s: s["sent_idx"] > F.col("sent_idx")).alias("after"))
+    return cand.select(*SENTENCE, "title", "fact_id", "unit", "sentence", annotations.alias("annotations"), fact.alias("fact"), context.alias("context"), weak.alias("weak_accept_reasons"), F.coalesce("drop_reason", small).alias("drop_reason"))
 
 
 def dataset(pages: DataFrame, facts: DataFrame, labels: DataFrame, conversions: DataFrame, frequent_units: DataFrame | None = None, back_end: str = "head_noun") -> DataFrame:
