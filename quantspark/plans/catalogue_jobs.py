@@ -164,12 +164,14 @@ def quantity_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles for all parts through the parse and the quantity job, and parsed pages with a heading and a quantity that
     stands alone, which has the three words of a sentence only where both sides are shown."""
     raw = made(spark, sf_dir, "part", id="p_partkey", title="p_name", text=_PART_PAGE.replace("{n}", letters("p_partkey")))
-    pages = parse.converted_pages(raw)
+    # Dealt out while rows are short: the jobs themselves shuffle nothing, and a small table is one task otherwise.
+    cores = spark.sparkContext.defaultParallelism
+    pages = parse.converted_pages(raw.repartition(cores, "id"))
     size = F.col("p_size").cast("string")
     q = F.array(F.concat(size, F.lit(" m")), F.concat(size, F.lit(" yd")), F.concat(size, F.lit(" m ("), size, F.lit(" yd)")))
     runs = F.array(*[F.array(F.lit(t)) for t in ("## The size of it is ", "\n\n", "\n\nIt is ", " long and made of wood.")])
     own = table(spark, sf_dir, "part").select((-F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("title"), runs.alias("text"), F.array(q, q, q).alias("quantities"))
-    rows = quantity.examples(pages.unionByName(own))
+    rows = quantity.examples(pages.unionByName(own.repartition(cores, "id")))
     value = F.get("quantities", F.lit(0))
     return rows.select("id", "sentence", spans.substring(F.col("sentence"), value).alias("value"), value["start"].alias("start"), F.size("quantities").alias("n"), F.col("drop_reason").alias("reason"))
 
