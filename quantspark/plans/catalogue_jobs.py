@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,15 +90,43 @@ def repaired_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoint.bindings_of(rows.select("s_nationkey", text.alias("t")), "t", ["item", "name"])
 
 
-@query("SELECT n_name AS item, CASE WHEN n_nationkey % 2 = 0 THEN 'of ' || n_regionkey END AS label FROM nation")
+@query("SELECT n_name AS key, c_custkey % 3 AS page, c_name AS item, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS label, CAST(NULL AS VARCHAR) AS error FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE NOT (n_nationkey % 4 = 0 AND c_custkey % 3 = 2) UNION ALL SELECT DISTINCT n_name, c_custkey % 3, NULL, NULL, 'HTTPError: 503' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 4 = 0 AND c_custkey % 3 = 2")
 def endpoint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query for each region to a stored endpoint; a variable that isn't bound is null."""
-    endpoint.register(spark)
-    label = F.when(F.col("n_nationkey") % 2 == 0, F.struct(F.concat(F.lit("of "), F.col("n_regionkey").cast("string")).alias("value")))
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct(F.struct(F.col("n_name").alias("value")).alias("item"), label.alias("label")))).alias("j"))
-    # Nations are a handful in any of the tables; stored answers are an option of the source.
-    answers = {f"q{r.n_regionkey}": f'{{"results": {{"bindings": {r.j}}}}}' for r in rows.collect()}
-    return spark.read.format("sparql").schema("item string, label string").option("queries", json.dumps(sorted(answers))).option("stored", json.dumps(answers)).load()
+    """Kept answers of an endpoint in pages for each nation; every fourth nation's last page failed. A variable that
+    isn't bound is null."""
+    ship(spark)
+    label = F.when(F.col("c_custkey") % 2 == 0, F.struct(F.col("c_mktsegment").alias("value")))
+    binding = F.struct(F.struct(F.col("c_name").alias("value")).alias("item"), label.alias("label"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    found = rows.groupBy(F.col("n_name").alias("key"), (F.col("c_custkey") % 3).cast("int").alias("page"), "n_nationkey").agg(F.collect_list(binding).alias("b"))
+    broken = (F.col("n_nationkey") % 4 == 0) & (F.col("page") == 2)
+    answer = F.to_json(F.struct(F.struct(F.col("b").alias("bindings")).alias("results")))
+    path = tables.scratch(spark, "answers")
+    endpoint.keep_answers(found.select("key", "page", F.when(~broken, answer).alias("answer"), F.when(broken, "HTTPError: 503").alias("error")), path)
+    return tables.kept(endpoint.stored(spark, path, ["item", "label"]), path)
+
+
+class NumberedPages:
+    """A page service whose titles end in their page's number; every third call of fifty is refused, every fourth page is
+    outside the article namespace, and the page after each of these doesn't exist."""
+
+    def __call__(self, address: str) -> str:
+        titles = parse_qs(urlsplit(address).query)["titles"][0].split("|")
+        numbers = [int(t.rsplit("#", 1)[1]) for t in titles]
+        if numbers[0] // 50 % 3 == 2:
+            raise OSError("busy")
+        pages = {str(n): {"ns": int(n % 4 == 0), "title": t} | ({} if n % 4 == 1 else {"pageid": n + 7}) for n, t in zip(numbers, titles, strict=True)}
+        return json.dumps({"query": {"pages": pages}})
+
+
+@query("WITH n AS (SELECT c_name AS title, c_custkey AS k, (row_number() OVER (ORDER BY c_name) - 1) // 50 AS call FROM customer), r AS (SELECT title, k, CASE WHEN min(k) OVER (PARTITION BY call) // 50 % 3 = 2 THEN 'OSError: busy' WHEN k % 4 = 0 THEN 'wrong_namespace' WHEN k % 4 = 1 THEN 'no_page_id_for_given_title' END AS reason FROM n) SELECT title, CASE WHEN reason IS NULL THEN k + 7 END AS page_id, reason FROM r UNION ALL SELECT NULL, NULL, 'no_page_id_for_given_title'")
+def page_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page ids of all customers' names and of a null title by calls of fifty titles each, of which every third fails."""
+    ship(spark)
+    titles = table(spark, sf_dir, "customer").select(F.col("c_name").alias("title"))
+    nameless = spark.range(1).select(F.lit(None).cast("string").alias("title"))
+    good, failed = endpoint.page_mappings(titles.unionByName(nameless), NumberedPages(), attempts=1)
+    return good.select("title", "page_id", F.lit(None).cast("string").alias("reason")).unionByName(failed.select("title", F.lit(None).cast("long").alias("page_id"), "reason"))
 
 
 @query("SELECT c_name AS title, CASE WHEN c_custkey % 4 > 1 THEN c_custkey + 7 END AS page_id, CASE WHEN c_custkey % 4 = 0 THEN 'wrong_namespace' WHEN c_custkey % 4 = 1 THEN 'no_page_id_for_given_title' END AS reason FROM customer")

@@ -1,22 +1,31 @@
-"""Query endpoints as a data source, with repair of truncated answers.
+"""Query endpoints: requests page by page with retries, failures as rows, kept answers, repair of answers that were cut.
 
-``spark.read.format("sparql")`` reads one query for each partition. Transport is a parameter, so the source works
-offline from stored answers; without one it uses HTTP.
+Two ways lead to an endpoint. ``spark.read.format("sparql")`` asks one query for each partition, and a filter on the key
+column leaves out the requests of other keys. ``fetched`` takes its requests from a table of any size and gives answers
+that ``keep_answers`` writes by key and ``stored`` reads again, so that later runs work offline. Neither passes answers
+through the driver, and a request that fails is a row with its reason, never an empty answer.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from urllib.error import HTTPError
+from urllib.parse import urlencode
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 ENDPOINT = "https://query.wikidata.org/sparql"
 ROWS_PER_QUERY, URIS_PER_QUERY, TITLES_PER_CALL, TIMEOUT = 250_000, 250, 50, 60
+ATTEMPTS, PAUSE = 4, 2.0
+#: Answers that another attempt may mend: too many requests, and faults of the server.
+RETRIED = frozenset((429, 500, 502, 503, 504))
 
 
 def repair_bindings(text: str) -> dict:
@@ -59,40 +68,154 @@ def flat(answer: dict, names: list[str]) -> Iterator[tuple]:
         yield tuple(binding.get(n, {}).get("value") for n in names)
 
 
+def asked(ask: Callable[[str], str], text: str, attempts: int = ATTEMPTS, pause: float = PAUSE) -> str:
+    """The answer to ``text``; failures that may pass are tried again after pauses that double, the last one is raised."""
+    for k in range(attempts):
+        try:
+            return ask(text)
+        except OSError as e:
+            if k + 1 == attempts or (isinstance(e, HTTPError) and e.code not in RETRIED):
+                raise
+            time.sleep(pause * 2**k)
+    raise ValueError("attempts must be positive")
+
+
+def _whole(text: str) -> bool:
+    try:
+        json.loads(text)
+    except json.JSONDecodeError:
+        return False
+    return True
+
+
+def paged(ask: Callable[[str], str], query: str, size: int | None = None, attempts: int = ATTEMPTS, pause: float = PAUSE) -> Iterator[tuple[int, str | None, str | None]]:
+    """(page, answer, error) of a query, ``size`` rows at a time until a page isn't full; without ``size``, in one.
+
+    A page that was cut off is followed by one that starts after its last whole row. An answer of which nothing can be
+    read, or a request that fails for good, ends the query with an error.
+    """
+    page = offset = 0
+    while True:
+        try:
+            answer = asked(ask, query if size is None else f"{query} LIMIT {size} OFFSET {offset}", attempts, pause)
+        except OSError as e:
+            yield page, None, f"{type(e).__name__}: {e}"
+            return
+        n, whole = len(repair_bindings(answer).get("results", {}).get("bindings", [])), _whole(answer)
+        if not whole and n == 0:
+            yield page, None, "unreadable answer"
+            return
+        yield page, answer, None
+        if size is None or (whole and n < size):
+            return
+        page, offset = page + 1, offset + n
+
+
+class Http:
+    """Asks ``endpoint`` for JSON: the text is the value of ``parameter``, or the address itself where that is None."""
+
+    def __init__(self, endpoint: str = ENDPOINT, parameter: str | None = "query"):
+        self.endpoint, self.parameter = endpoint, parameter
+
+    def __call__(self, text: str) -> str:
+        url = text if self.parameter is None else f"{self.endpoint}?{urlencode({self.parameter: text, 'format': 'json'})}"
+        with urlopen(Request(url, headers={"Accept": "application/sparql-results+json"}), timeout=TIMEOUT) as found:
+            return found.read().decode("utf-8", "replace")
+
+
+def fetched(requests: DataFrame, ask: Callable[[str], str], size: int | None = None, attempts: int = ATTEMPTS, pause: float = PAUSE) -> DataFrame:
+    """``requests`` (key, query) as (key, page, answer, error); of a page, either the answer or the error is null.
+
+    A null query gives one row with the error ``no query``. Each task asks its own requests one after another; how many
+    run at a time is the number of partitions that the caller gives ``requests``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, query in zip(batch["key"], batch["query"], strict=True):
+                found = [(0, None, "no query")] if query is None else paged(ask, query, size, attempts, pause)
+                for row in found:
+                    yield pd.DataFrame([(key, *row)], columns=["key", "page", "answer", "error"])
+
+    return requests.select("key", "query").mapInPandas(run, ANSWERS)
+
+
+ANSWERS = "key string, page int, answer string, error string"
+
+
+def keep_answers(answers: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Answers as a folder for each key, so that a reader that filters on keys opens theirs alone."""
+    answers.write.mode(mode).partitionBy("key").parquet(path)
+
+
+def kept_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(key, page, answer, error) as ``keep_answers`` wrote them."""
+    return spark.read.schema(ANSWERS).parquet(path)
+
+
+def open_requests(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Requests (key, query) whose answers aren't there or end in an error: those that another run has to ask."""
+    state = answers.groupBy("key").agg(F.max(F.col("error").isNotNull()).alias("failed"))
+    return requests.join(state.where("NOT failed"), "key", "left_anti")
+
+
+def stored(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Kept answers as (key, page, *names, error): a row for each binding, and one for each page that failed."""
+    answers = kept_answers(spark, path)
+    good = bindings_of(answers.where("answer IS NOT NULL").drop("error"), "answer", names).withColumn("error", F.lit(None).cast("string"))
+    failed = answers.where("answer IS NULL").select("key", "page", *[F.lit(None).cast("string").alias(n) for n in names], F.coalesce("error", F.lit("no answer")).alias("error"))
+    return good.unionByName(failed)
+
+
 class _Query(InputPartition):
-    def __init__(self, text: str):
-        self.text = text
+    def __init__(self, key: str, text: str, stored: str | None):
+        self.key, self.text, self.stored = key, text, stored
 
 
 class SparqlReader(DataSourceReader):
     def __init__(self, schema, options):
-        self.names = [f.name for f in schema.fields]
-        self.queries = json.loads(options.get("queries", "[]"))
+        self.fields = [f.name for f in schema.fields]
+        self.key = options.get("key", "key")
+        queries = json.loads(options.get("queries", "[]"))
+        self.queries = queries if isinstance(queries, dict) else {q: q for q in queries}
         self.endpoint = options.get("endpoint", ENDPOINT)
-        self.stored = options.get("stored")
+        self.stored = json.loads(options["stored"]) if "stored" in options else None
+        size = options.get("page_size")
+        self.how = (int(size) if size else None, int(options.get("attempts", ATTEMPTS)), float(options.get("pause", PAUSE)))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Equality and membership of the key choose the requests; Spark evaluates all else."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == (self.key,):
+                wanted = set(f.value) if isinstance(f, In) else {f.value}
+                self.queries = {k: q for k, q in self.queries.items() if k in wanted}
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Query(q) for q in self.queries]
+        # Each partition carries its own stored answer alone.
+        return [_Query(k, q, None if self.stored is None else self.stored.get(q, "")) for k, q in self.queries.items()]
 
     def read(self, partition: _Query) -> Iterator[tuple]:
-        yield from flat(repair_bindings(self._answer(partition.text)), self.names)
-
-    def _answer(self, query: str) -> str:
-        if self.stored is not None:
-            return json.loads(self.stored).get(query, "")
-        from urllib.parse import urlencode
-        from urllib.request import Request, urlopen
-
-        url = f"{self.endpoint}?{urlencode({'query': query, 'format': 'json'})}"
-        try:
-            with urlopen(Request(url, headers={"Accept": "application/sparql-results+json"}), timeout=TIMEOUT) as found:
-                return found.read().decode("utf-8", "replace")
-        except OSError:
-            return ""
+        names = [n for n in self.fields if n not in (self.key, "error")]
+        found = paged(Http(self.endpoint), partition.text, *self.how) if partition.stored is None else paged(lambda _: partition.stored, partition.text)
+        for _, answer, error in found:
+            if error and "error" not in self.fields:
+                raise OSError(f"{partition.key}: {error}")
+            rows = [(None,) * len(names)] if error else flat(repair_bindings(answer), names)
+            for row in rows:
+                value = dict(zip(names, row, strict=True)) | {self.key: partition.key, "error": error}
+                yield tuple(value[n] for n in self.fields)
 
 
 class SparqlSource(DataSource):
-    """Options: ``queries`` (a JSON list), ``endpoint``, ``stored`` (a JSON object of query to answer)."""
+    """A row for each binding. Options: ``queries`` (a JSON object of key to query, or a list, whose queries are their own
+    keys), ``key`` (the name of the key's column), ``endpoint``, ``page_size``, ``attempts``, ``pause`` (seconds before
+    the second attempt), ``stored`` (a JSON object of query to answer, for a handful of them).
+
+    The schema names the variables to read, besides the key and ``error`` where they are wanted. A request that fails is
+    a row with its error; in a schema without that column it fails the job.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -106,6 +229,8 @@ class SparqlSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format "sparql" known, with filters handed down to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SparqlSource)
 
 
@@ -122,6 +247,30 @@ def label_query(uris: list[str], language: str = "en") -> str:
 _PAGE_INFO = "query STRUCT<normalized: ARRAY<STRUCT<`from`: STRING, `to`: STRING>>, redirects: ARRAY<STRUCT<`from`: STRING, `to`: STRING>>, pages: MAP<STRING, STRUCT<pageid: LONG, ns: INT, title: STRING>>>"
 
 
+def page_info_requests(titles: DataFrame, language: str = "en", size: int = TITLES_PER_CALL) -> DataFrame:
+    """(key, query, titles): the page service's addresses for distinct ``titles``, ``size`` in each; null titles ask nothing."""
+    from quantspark.operators.statements import chunked
+
+    calls = chunked(titles.select("title").where("title IS NOT NULL").distinct(), "title", size=size)
+    calls = calls.groupBy(F.col("chunk").cast("string").alias("key")).agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    listed = F.replace(F.url_encode(F.array_join("titles", "|")), F.lit("+"), F.lit("%20"))
+    start = f"https://{language}.wikipedia.org/w/api.php?action=query&prop=info&redirects=1&format=json&titles="
+    return calls.select("key", F.concat(F.lit(start), listed).alias("query"), "titles")
+
+
+def page_mappings(titles: DataFrame, ask: Callable[[str], str] | None = None, language: str = "en", size: int = TITLES_PER_CALL, **how) -> tuple[DataFrame, DataFrame]:
+    """Page ids of ``titles`` by the page service, as ``page_info``; titles of a call that failed have its error as reason."""
+    from quantspark.sources.tables import cut
+
+    requests = page_info_requests(titles, language, size)
+    # Kept, so that both results come of one round of calls.
+    answers = cut(fetched(requests, ask or Http(parameter=None), **how))
+    failed = answers.where("error IS NOT NULL").join(requests, "key").select(F.explode("titles").alias("title"), F.col("error").alias("reason"))
+    reached = titles.select("title").join(failed, "title", "left_anti")
+    good, missing = page_info(answers.where("answer IS NOT NULL").select(F.col("answer").alias("json")), reached)
+    return good, missing.unionByName(titles.select("title").join(failed, "title"))
+
+
 def page_info(answers: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored page-info answers (json) and requested ``titles`` as (title, page_id, final) and (title, reason).
 

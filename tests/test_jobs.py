@@ -2,6 +2,9 @@
 
 import bz2
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +71,91 @@ def test_endpoint_source(spark):
     assert sorted((r.item, r.label or "") for r in rows) == [("Q1", ""), ("Q2", "x"), ("Q3", "")]
 
 
+class _Endpoint(BaseHTTPRequestHandler):
+    """Twelve bindings for each query, by limit and offset; "flaky" fails at first, "broken" always, "cut" answers end early."""
+
+    asked: list = []
+
+    def log_message(self, *_):
+        pass
+
+    def do_GET(self):  # noqa: N802
+        query = parse_qs(urlsplit(self.path).query)["query"][0]
+        self.asked.append(query)
+        name, _, limits = query.partition(" LIMIT ")
+        if name == "broken" or (name == "flaky" and self.asked.count(query) == 1):
+            self.send_error(503)
+            return
+        if name == "refused":
+            self.send_error(400)
+            return
+        size, _, offset = limits.partition(" OFFSET ")
+        rows = [{"item": {"value": f"{name}{k}"}} for k in range(12)][int(offset or 0) :][: int(size or 12)]
+        text = json.dumps({"results": {"bindings": rows}})
+        if name == "cut" and len(rows) > 2:
+            text = text[: text.index(rows[2]["item"]["value"]) + 2]
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(text.encode())
+
+
+@pytest.fixture
+def served():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Endpoint)
+    _Endpoint.asked.clear()
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/"
+    server.shutdown()
+    server.server_close()
+
+
+def test_endpoint_over_http(spark, served):
+    endpoint.register(spark)
+    names = ["plain", "flaky", "broken", "refused", "cut"]
+    rows = (
+        spark.read.format("sparql").schema("key string, item string, error string").option("queries", json.dumps({n: n for n in names}))
+        .option("endpoint", served).option("page_size", 5).option("attempts", 2).option("pause", 0.01).load()
+    )
+    found = rows.collect()
+    for name in ("plain", "flaky", "cut"):
+        assert sorted(r.item for r in found if r.key == name) == sorted(f"{name}{k}" for k in range(12))
+    assert {r.key: r.error for r in found if r.error} == {"broken": "HTTPError: HTTP Error 503: Service Unavailable", "refused": "HTTPError: HTTP Error 400: Bad Request"}
+    asked = list(_Endpoint.asked)
+    assert asked.count("refused LIMIT 5 OFFSET 0") == 1 and asked.count("broken LIMIT 5 OFFSET 0") == 2
+    assert [q for q in asked if q.startswith("plain")] == [f"plain LIMIT 5 OFFSET {k}" for k in (0, 5, 10)]
+    _Endpoint.asked.clear()
+    assert rows.where("key = 'plain' AND item LIKE '%1'").count() == 2
+    assert {q.split(" ")[0] for q in _Endpoint.asked} == {"plain"}
+    assert {r.key for r in rows.where(F.col("key").isin("cut", "flaky")).collect()} == {"cut", "flaky"}
+    bare = spark.read.format("sparql").schema("item string").option("queries", '["refused"]').option("endpoint", served).option("attempts", 1).load()
+    with pytest.raises(Exception, match="400"):
+        bare.collect()
+
+
+def test_kept_answers(spark, served, tmp_path):
+    path = f"file://{tmp_path}/answers"
+    requests = spark.createDataFrame([("a", "plain"), ("b", "broken"), ("c", None)], "key string, query string")
+    ask = endpoint.Http(served)
+    endpoint.keep_answers(endpoint.fetched(requests, ask, size=5, attempts=1), path)
+    rows = endpoint.stored(spark, path, ["item", "other"])
+    found = rows.collect()
+    assert sorted((r.page, r.item) for r in found if r.key == "a") == sorted((k // 5, f"plain{k}") for k in range(12))
+    assert {r.key: r.error for r in found if r.error} == {"b": "HTTPError: HTTP Error 503: Service Unavailable", "c": "no query"}
+    assert all(r.other is None for r in found)
+    assert "PartitionFilters: [isnotnull(key" in rows.where("key = 'a'")._jdf.queryExecution().toString()
+    again = endpoint.open_requests(requests, endpoint.kept_answers(spark, path))
+    assert sorted(r.key for r in again.collect()) == ["b", "c"]
+    assert endpoint.fetched(requests.limit(0), ask).collect() == []
+
+
+def test_page_requests(spark):
+    titles = spark.createDataFrame([("A & B",), ("Ü|x",), ("A & B",), (None,)], "title string")
+    calls = endpoint.page_info_requests(titles, "de", 1).orderBy("key").collect()
+    assert [(r.key, r.titles) for r in calls] == [("1", ["A & B"]), ("2", ["Ü|x"])]
+    assert calls[0].query == "https://de.wikipedia.org/w/api.php?action=query&prop=info&redirects=1&format=json&titles=A%20%26%20B"
+    assert endpoint.page_info_requests(titles.limit(0)).collect() == []
+
+
 def test_page_info(spark):
     answer = {"query": {"normalized": [{"from": "tower", "to": "Tower"}], "redirects": [{"from": "Tower", "to": "Iron Tower"}], "pages": {"7": {"pageid": 7, "ns": 0, "title": "Iron Tower"}, "8": {"pageid": 8, "ns": 1, "title": "Talk:X"}, "-1": {"ns": 0, "title": "Gone"}}}}
     answers = spark.createDataFrame([(json.dumps(answer),), ("not json",)], "json string")
