@@ -258,6 +258,50 @@ def context_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", part("entity").alias("entity"), part("value").alias("value"), part("point_in_time").alias("point_in_time"), F.array_join("weak_accept_reasons", " ").alias("doubts"))
 
 
+#: Eight kinds of sentences about a supplier whose facts all have the same qualifiers: what becomes of them, and the
+#: qualifiers that they state.
+_QUALIFIED = [
+    ("concat({t}, ' has a height of ', {v}, ' metres above the old mill.')", None, "location=old mill"),
+    ("concat({t}, ' has a height of ', {v}, ' metres without the mast.')", None, "applies_to_part=mast"),
+    ("concat({t}, ' at 12.345 and 67.891 has a height of ', {v}, ' metres.')", None, "coordinate_location=12.345 coordinate_location=67.891"),
+    ("concat({t}, ' with its storeys has a height of ', {v}, ' metres.')", None, "criterion_used=storeys"),
+    ("concat('The height of ', {t}, ' in metres, as it was told, is ', {v}, ' feet.')", "value_adjecent_to_other_unit", ""),
+    ("concat({t}, ' has a height of ', {v}, ' metres as number 7 of all.')", None, ""),
+    ("concat({t}, ' had a height of ', {v}, ' metres from 1995 to 2001.')", None, "end_time=2001 start_time=1995"),
+    ("concat({t}, ' has a height of ', {v}, ' metres and is made of granite.')", None, "some_qualifier=granite"),
+]
+_FACT_QUALIFIERS = "array(" + ", ".join(
+    f"named_struct('qualifier', '{q}', 'value', {v}, 'lowerbound', CAST(NULL AS STRING), 'upperbound', CAST(NULL AS STRING), 'unit', {u}, 'time_precision', {p})"
+    for q, v, u, p in (
+        ("pq:P276", "'wd:L1'", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"), ("pq:P518", "'wd:M1'", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"),
+        ("pq:P625", "'Point(67.891 12.345)'", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"), ("pq:P1013", "'40'", "'wd:U1'", "CAST(NULL AS STRING)"),
+        ("pq:P1352", "'7'", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"), ("pq:P580", "'+1995-00-00T00:00:00Z'", "CAST(NULL AS STRING)", "'9'"),
+        ("pq:P582", "'+2001-00-00T00:00:00Z'", "CAST(NULL AS STRING)", "'9'"), ("pq:P9999", "'wd:X1'", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"),
+    )
+) + ")"
+
+
+@query("SELECT s_suppkey AS page_id, [" + ", ".join("NULL" if r is None else f"'{r}'" for _, r, _ in _QUALIFIED) + "][s_suppkey % 8 + 1] AS reason, [" + ", ".join(f"'{q}'" for _, _, q in _QUALIFIED) + "][s_suppkey % 8 + 1] AS qualifiers FROM supplier")
+def qualified_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Textual qualifiers, places, periods and rankings of facts in the context job, with the frequent units that the
+    unit-frequencies job counts on the same pages."""
+    _, facts, labels, _ = tower_pages(spark, sf_dir)
+    t, v = _TOWER.replace("{n}", letters("s_suppkey")), _V
+    body = "CASE s_suppkey % 8 " + " ".join(f"WHEN {k} THEN {e.replace('{t}', t).replace('{v}', v)}" for k, (e, _, _) in enumerate(_QUALIFIED)) + " END"
+    rows = made(spark, sf_dir, "supplier", id="s_suppkey", title=t, body=body)
+    pages = rows.select("id", "title", F.array(F.array("body")).alias("text"), F.array().cast("array<array<string>>").alias("quantities"))
+    facts = facts.withColumn("qualifiers", F.expr(_FACT_QUALIFIERS))
+    more = "('units', 'Q3710', 'foot'), ('units', 'Q3710', 'feet'), ('qualifiers_values', 'wd:L1', 'old mill'), ('qualifiers_values', 'wd:M1', 'mast'), ('qualifiers_units', 'wd:U1', 'storey'), ('qualifiers_values', 'wd:X1', 'granite')"
+    labels = labels.unionByName(values(spark, more, "kind, uri, alias"))
+    conversions = values(spark, "('Q11573', 'Q11573', '1', '1'), ('Q3710', 'Q3710', '1', '1')", "from_unit, to_unit, num, den")
+    counted, _ = unit_frequencies.count(pages, facts, conversions, labels, statements.stop_words(spark), ("full_text",))
+    frequent = frequency.frequent_aliases(frequency.top(counted.select("qid", "n"), 100), labels)
+    found = context.examples(pages, facts, labels, conversions, frequent)
+    stated = F.map_filter("annotations", lambda tag, _: ~tag.isin("entity", "property", "value", "unit"))
+    named = F.flatten(F.transform(F.map_entries(stated), lambda e: F.transform(e["value"], lambda s: F.concat(e["key"], F.lit("="), spans.substring(F.col("sentence"), s)))))
+    return found.select("page_id", F.col("drop_reason").alias("reason"), F.array_join(F.array_sort(named), " ").alias("qualifiers"))
+
+
 @query(f"WITH t AS ({_TOWERS}) SELECT 'context' AS dataset, 'counts' AS category, 'analyzed_pages' AS key, count(*) AS n FROM t UNION ALL SELECT 'context', 'counts', 'candidates', count(*) FROM t UNION ALL SELECT 'context', 'counts', 'number_of_examples', count(*) FROM t WHERE reason IS NULL UNION ALL SELECT 'context', 'dropped_cause', reason, count(*) FROM t WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'context', 'accept_cause', doubts, count(*) FROM t WHERE doubts <> '' GROUP BY doubts")
 def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters that the passes which write the context dataset take, merged from two runs over half of the pages each."""
