@@ -63,20 +63,28 @@ def example_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.kept(read(kept, "kept").unionByName(read(dropped, "dropped")), kept, dropped)
 
 
-@query("SELECT 'facts' AS name, count(*) AS n, count(DISTINCT s_nationkey) AS n_keys FROM supplier UNION ALL SELECT 'labels', 2 * count(*), count(*) FROM nation UNION ALL SELECT 'conversions', 3 * count(*), count(*) FROM region")
+@query("SELECT 'facts' AS name, count(*) AS n, count(DISTINCT o_custkey) AS n_keys, sum(length(o_orderkey::VARCHAR || ', \"' || o_orderpriority || '\" }]'))::BIGINT AS n_chars FROM orders UNION ALL SELECT 'labels', 2 * count(*), count(*), sum(2 * length(c_name))::BIGINT FROM customer UNION ALL SELECT 'conversions', 3 * count(*), count(*), sum(3 * length(r_name) + 3)::BIGINT FROM region")
 def knowledge_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested JSON document of statements by page, labels by kind and conversions by unit, read as tables."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("page"), F.struct(F.col("s_name").alias("entity"), F.lit("P1").alias("property"), F.col("s_acctbal").cast("string").alias("value"), F.lit("U0").alias("unit")).alias("f"))
-    facts = s.groupBy("page").agg(F.collect_list("f").alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("page", "f"))).alias("quantitative_statements"))
-    labels = table(spark, sf_dir, "nation").agg(F.map_from_entries(F.collect_list(F.struct("n_name", F.array(F.col("n_name"), F.lower("n_name"))))).alias("l")).select(F.create_map(F.lit("units"), F.col("l")).alias("labels"))
+    """One nested JSON document of a statement for each order by customer, labels by kind and conversions by unit, read as
+    tables in byte ranges of its one file. Entities hold commas, quotes and brackets."""
+    entity = F.concat(F.col("o_orderkey").cast("string"), F.lit(', "'), F.col("o_orderpriority"), F.lit('" }]'))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.struct(entity.alias("entity"), F.lit("P1").alias("property"), F.col("o_totalprice").cast("string").alias("value"), F.lit("U0").alias("unit")).alias("f"))
+    entry = lambda key, value: F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(": "), F.to_json(value), F.lit(","))
+    facts = o.groupBy("page").agg(F.collect_list("f").alias("f")).select(F.lit(1).alias("part"), entry(F.col("page").cast("string"), F.col("f")).alias("line"))
+    labels = table(spark, sf_dir, "customer").select(F.lit(3).alias("part"), entry(F.col("c_name"), F.array("c_name", F.lower("c_name"))).alias("line"))
     to = F.array(*[F.struct(F.concat(F.col("r_name"), F.lit(f"{k}")).alias("to_unit"), F.lit("1").alias("conv_factor_numerator"), F.lit(str(k + 1)).alias("conv_factor_denominator")) for k in range(3)])
-    conversions = table(spark, sf_dir, "region").agg(F.map_from_entries(F.collect_list(F.struct("r_name", to))).alias("unit_conversion_data"))
+    conversions = table(spark, sf_dir, "region").select(F.lit(5).alias("part"), entry(F.col("r_name"), to).alias("line"))
+    around = values(spark, """(0, '{"quantitative_statements": {'), (2, '"0": []}, "labels": {"units": {'), (4, '"none": []}}, "unit_conversion_data": {'), (6, '"none": []}}')""", "part, line")
     path = tables.scratch(spark, "bundle")
-    facts.join(labels, F.lit(True)).join(conversions, F.lit(True)).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(path)
+    # One file has one writer, which holds a row for each entry, not the document.
+    facts.unionByName(labels).unionByName(conversions).unionByName(around).repartition(1).sortWithinPartitions("part").select("line").write.text(path)
     known = tables.read_knowledge_json(spark, path)
-    total = tables.knowledge_totals(known["facts"]).select(F.lit("facts").alias("name"), F.col("n_facts").alias("n"), F.col("n_pages").alias("n_keys"))
-    count = lambda name, key: known[name].agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("n_keys")).select(F.lit({"labels": "labels"}.get(name, "conversions")).alias("name"), "n", "n_keys")
-    return total.unionByName(count("labels", "uri")).unionByName(count("unit_conversions", "from_unit"))
+    count = lambda name, key, text: known[name].agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("n_keys"), F.sum(F.length(text)).alias("n_chars")).select(F.lit({"unit_conversions": "conversions"}.get(name, name)).alias("name"), "*")
+    totals = tables.knowledge_totals(known["facts"]).select(F.lit("facts").alias("name"), F.col("n_facts").alias("n"), F.col("n_pages").alias("n_keys"))
+    # Both sides are one row.
+    facts_row = totals.join(known["facts"].agg(F.sum(F.length("entity")).alias("n_chars")), F.lit(True))
+    found = facts_row.unionByName(count("labels", "uri", "alias")).unionByName(count("unit_conversions", "from_unit", "to_unit"))
+    return tables.kept(found, path)
 
 
 @query("WITH b AS (SELECT s_nationkey, s_suppkey, length('{\"item\": {\"value\": \"S' || s_suppkey || '\"}, \"name\": {\"value\": \"x\"}}') AS size FROM supplier), e AS (SELECT s_nationkey, s_suppkey, sum(size + 2) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 2 + length('{\"head\": {}, \"results\": {\"bindings\": [') AS until, length('{\"head\": {}, \"results\": {\"bindings\": [') + (SELECT sum(size + 2) - 2 FROM b c WHERE c.s_nationkey = e.s_nationkey) AS whole FROM b e) SELECT s_nationkey, 'S' || s_suppkey AS item, 'x' AS name FROM e WHERE s_nationkey % 2 = 0 OR until <= whole - 60")

@@ -100,14 +100,19 @@ def knowledge_totals(facts: DataFrame) -> DataFrame:
 
 
 def read_knowledge_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The same tables from one nested JSON document (labels by kind and URI, statements by page id, conversions by unit)."""
-    text = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", f"labels MAP<STRING, MAP<STRING, ARRAY<STRING>>>, quantitative_statements MAP<STRING, ARRAY<STRUCT<entity: STRING, property: STRING, value: STRING, value_lowerbound: STRING, value_upperbound: STRING, unit: STRING, qualifiers: {schemas.QUALIFIERS}, article: STRING>>>, unit_conversion_data MAP<STRING, ARRAY<STRUCT<to_unit: STRING, conv_factor_numerator: STRING, conv_factor_denominator: STRING>>>").alias("d")
-    )
-    labels = text.select(F.explode("d.labels").alias("kind", "by_uri")).select("kind", F.explode("by_uri").alias("uri", "aliases")).select("kind", "uri", F.explode("aliases").alias("alias"))
-    facts = text.select(F.explode("d.quantitative_statements").alias("page", "facts")).select(F.col("page").cast("long").alias("page_id"), F.posexplode("facts").alias("n", "f"))
+    """The same tables from one nested JSON document (labels by kind and URI, statements by page id, conversions by unit).
+
+    The document is read in byte ranges, so that it may be of any size; its entries are parsed one by one.
+    """
+    from quantspark.sources.documents import json_entries
+
+    entries = cut(json_entries(spark, path, {"labels": 3, "quantitative_statements": 2, "unit_conversion_data": 2}))
+    below = lambda top, *names: entries.where(F.get("keys", F.lit(0)) == top).select(*[F.get("keys", F.lit(k)).alias(n) for k, n in enumerate(names, 1)], "value")
+    labels = below("labels", "kind", "uri").select("kind", "uri", F.explode(F.from_json("value", "array<string>")).alias("alias"))
+    fact = f"array<struct<entity:string,property:string,value:string,value_lowerbound:string,value_upperbound:string,unit:string,qualifiers:{schemas.QUALIFIERS},article:string>>"
+    facts = below("quantitative_statements", "page").select(F.col("page").cast("long").alias("page_id"), F.posexplode(F.from_json("value", fact)).alias("n", "f"))
     facts = facts.select("page_id", F.xxhash64("page_id", "n").alias("fact_id"), "f.*")
-    conversions = text.select(F.explode("d.unit_conversion_data").alias("from_unit", "to")).select("from_unit", F.explode("to").alias("t"))
+    conversions = below("unit_conversion_data", "from_unit").select("from_unit", F.explode(F.from_json("value", "array<struct<to_unit:string,conv_factor_numerator:string,conv_factor_denominator:string>>")).alias("t"))
     conversions = conversions.select("from_unit", F.col("t.to_unit").alias("to_unit"), F.col("t.conv_factor_numerator").alias("num"), F.col("t.conv_factor_denominator").alias("den"))
     return {"facts": facts, "labels": labels, "unit_conversions": conversions}
 

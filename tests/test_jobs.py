@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quantspark import cli, schemas
 from quantspark.operators import frequency, graph_patterns, sequence, statements
 from quantspark.plans import catalogue, catalogue_jobs, context, parse, quantity, unit_frequencies
-from quantspark.sources import dump, endpoint, tables
+from quantspark.sources import documents, dump, endpoint, tables
 from quantspark.streaming import pages as page_stream
 
 DUMP = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.10/">
@@ -64,6 +64,53 @@ def test_knowledge_round_trip(spark, tmp_path):
     assert found["labels"].count() == 2 and found["facts"].first().page_id == 7 and found["unit_conversions"].first().num == "1"
 
 
+def _entries(document: dict, levels: dict[str, int]) -> list:
+    """What json_entries lists, by plain Python."""
+    found = []
+
+    def walk(value, keys, level):
+        if len(keys) == level:
+            found.append((tuple(keys), json.dumps(value)))
+        elif isinstance(value, dict):
+            for k, v in value.items():
+                walk(v, [*keys, k], level)
+
+    for k, v in document.items():
+        if k in levels:
+            walk(v, [k], levels[k])
+    return sorted(found)
+
+
+@pytest.mark.parametrize("indent", [None, 4])
+@pytest.mark.parametrize("block", [53, 100_000])
+def test_json_entries(spark, tmp_path, indent, block):
+    odd = ["plain", 'quote " inside', "comma, and } ] { [ signs", "back\\slash \\", 'end\\"', "Ü\u2028\n", "", " "]
+    document = {
+        "other": {"labels": {"x": {"y": [1, 2]}}, "z": [{"labels": 1}, 2]},
+        "labels": {kind: {f"{t}{k}": odd[:k] for k, t in enumerate(odd)} for kind in ("units", "of, two", 'q"uoted')} | {"none": {}, "word": "text"},
+        "statements": {str(k): [{"a": t, "n": {"deep": [k, {"x": "}"}]}} for t in odd[: k % 4]] for k in range(9)} | {"100": None, "101": -1.5, "102": {}},
+        "flat": [1, {"a": "b, c"}], "last": {},
+    }
+    levels = {"labels": 3, "statements": 2, "flat": 1, "last": 2}
+    (tmp_path / "d.json").write_text(json.dumps(document, indent=indent, ensure_ascii=False) + "\n", encoding="utf-8")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = documents.json_entries(spark, f"file://{tmp_path}/d.json", levels).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted((tuple(r["keys"]), json.dumps(json.loads(r["value"]))) for r in found) == _entries(document, levels)
+
+
+def test_json_entries_of_nothing(spark, tmp_path):
+    for name, text in (("a", ""), ("b", "{}"), ("c", '{"x": {}}'), ("d", ' { "x" : { "k" : 5 } } ')):
+        (tmp_path / f"{name}.json").write_text(text)
+    found = documents.json_entries(spark, f"file://{tmp_path}", {"x": 2}).collect()
+    assert [(r.file[-6:], r["keys"], r["value"]) for r in found] == [("d.json", ["x", "k"], "5")]
+
+
 def test_endpoint_source(spark):
     endpoint.register(spark)
     answers = {"q1": '{"results": {"bindings": [{"item": {"value": "Q1"}}, {"item": {"value": "Q2"}, "label": {"value": "x"}}]}}', "q2": '{"results": {"bindings": [{"item": {"value": "Q3"}}, {"item": {"val'}
