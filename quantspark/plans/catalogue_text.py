@@ -143,6 +143,48 @@ def converted_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.get("a", F.lit(2)).alias("whole"), F.get("b", F.lit(0)).alias("lhs"), F.get("b", F.lit(1)).alias("rhs"))
 
 
+def _to(value: str, factor: str) -> str:
+    return f"CAST(round(({value}) * {factor}) AS BIGINT)"
+
+
+_MILES = "1000 / 1609.344"
+_SMALL = ", ".join(f"'{w}'" for w in ("two", "three", "four", "five", "six", "seven", "eight", "nine"))
+#: Forms of templates and what they show; n is a part's size and ten.
+_FORMS = [
+    ("{{convert|', n, '|–|', n + 5, '|km|mi|0}}", ["n", "'–'", "n + 5", "' kilometres ('", _to("n", _MILES), "'–'", _to("n + 5", _MILES), "' mi)'"]),
+    ("{{convert|', n, '|to|', n + 5, '|km|mi|0}}", ["n", "' to '", "n + 5", "' kilometres ('", _to("n", _MILES), "' to '", _to("n + 5", _MILES), "' mi)'"]),
+    ("{{convert|', n, '|km|mi|0|order=flip}}", [_to("n", _MILES), "' miles ('", "n", "' kilometres)'"]),
+    ("{{convert|', n, '|km|mi|0|adj=on}}", ["n", "'-kilometre ('", _to("n", _MILES), "' mi)'"]),
+    ("{{convert|', n, '|km|mi|0|abbr=on}}", ["n", "' km ('", _to("n", _MILES), "' mi)'"]),
+    ("{{convert|', n, '|km|mi|0|sp=us}}", ["n", "' kilometers ('", _to("n", _MILES), "' mi)'"]),
+    ("{{convert|', n, '|e6t|e6lb|0|abbr=off}}", ["n", "' million tonnes ('", _to("n", "1000 / 0.45359237"), "' million pounds)'"]),
+    ("{{convert|', n, '|km|mi+nmi|0}}", ["n", "' kilometres ('", _to("n", _MILES), "' mi; '", _to("n", "1000 / 1852.0"), "' nmi)'"]),
+    ("{{convert|', n, '+1//2|mi|km|0}}", ["n", "'+1/2 miles ('", _to("n + 0.5", "1.609344"), "' km)'"]),
+    ("{{convert|', n, '|km|mi|0|adj=mid|-long}}", ["n", "'-kilometre-long ('", _to("n", _MILES), "' mi)'"]),
+    ("{{cvt|', n, 'x', n + 1, 'x', n + 2, '|ft|cm|0|order=flip}}", [_to("n", "30.48"), "' cm × '", _to("n + 1", "30.48"), "' cm × '", _to("n + 2", "30.48"), "' cm ('", "n", "' ft × '", "n + 1", "' ft × '", "n + 2", "' ft)'"]),
+    ("{{convert|', n, '|and|', n + 10, '|C|F|0}}", ["n", "' and '", "n + 10", "' °C ('", _to("n * 1.8 + 32", "1"), "' and '", _to("n * 1.8 + 50", "1"), "' °F)'"]),
+    ("{{convert|', p_size % 8 + 2, '|ft|m|1|spell=in}}", [f"[{_SMALL}][p_size % 8 + 1]", "' feet ('", "round((p_size % 8 + 2) * 0.3048, 1)::DECIMAL(4, 1)", "' m)'"]),
+    ("{{convert|', n, '|mi|km+mi|0|abbr=on|order=out}}", [_to("n", "1.609344"), "' km ('", "n", "' mi)'"]),
+    ("{{convert|', n, '|PD/sqmi|PD/km2|0}}", ["n", "' inhabitants per square mile ('", _to("n", "1 / 2.589988110336"), "'/km2)'"]),
+    ("{{convert|', n, '|in|mm|round=5}}", ["n", "' inches ('", "CAST(round(n * 25.4 / 5) * 5 AS BIGINT)", "' mm)'"]),
+    ("{{convert|some ', n, '|km|mi}}", None),
+]
+
+
+@query(
+    f"SELECT p_partkey, CASE p_partkey % {len(_FORMS)} "
+    + " ".join(f"WHEN {k} THEN " + ("NULL" if parts is None else "concat(" + ", ".join("format('{:,}', " + e + ")" if "AS BIGINT" in e else e for e in parts) + ")") for k, (_, parts) in enumerate(_FORMS))
+    + " END AS whole FROM (SELECT *, p_size + 10 AS n FROM part)"
+)
+def template_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of seventeen forms over all parts: ranges, flips, adjectives, prefixes, composites, fractions, sizes in
+    three directions, temperatures, spelled numbers, steps of rounding, and one that can't be read."""
+    ship(spark)
+    call = f"CASE p_partkey % {len(_FORMS)} " + " ".join(f"WHEN {k} THEN concat('{t}')" for k, (t, _) in enumerate(_FORMS)) + " END"
+    rows = table(spark, sf_dir, "part").withColumn("n", F.col("p_size") + 10).selectExpr("p_partkey", f"{call} AS t")
+    return rows.select("p_partkey", F.get(expanded_template("t"), F.lit(2)).alias("whole"))
+
+
 @query("SELECT p_partkey, concat('convert|', p_partkey, '|km|', p_name, '|x & y') AS clean FROM part")
 def cleaned_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
