@@ -14,7 +14,7 @@ from quantspark.operators import frequency
 from quantspark.operators.coreference import BACK_ENDS
 from quantspark.operators.statements import stop_words
 from quantspark.plans import context, knowledge, parse, quantity, statistics, unit_frequencies
-from quantspark.sources import tables
+from quantspark.sources import endpoint, tables
 from quantspark.sources.dump import DumpJob, articles
 from quantspark.sources.ledger import run_in_parts
 
@@ -33,6 +33,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--page-offset", type=int, default=0)
     p.add_argument("--errors", help="also write pages that can't be parsed here")
     p.add_argument("--parts", type=int, help="work in so many parts, so that a stopped run can go on; the output is Parquet")
+    a = sub.add_parser("fetch", help="ask an endpoint all requests that have no whole answer yet")
+    a.add_argument("--requests", required=True, help="Parquet with key and query")
+    a.add_argument("--output", required=True, help="answers, in a folder for each key")
+    a.add_argument("--endpoint", default=endpoint.ENDPOINT)
+    a.add_argument("--page-size", type=int, default=endpoint.ROWS_PER_QUERY)
+    a.add_argument("--at-once", type=int, default=4, help="requests at a time")
     k = sub.add_parser("knowledge", help="triples to knowledge tables")
     for name in ("triples", "page-map", "unit-config", "output"):
         k.add_argument(f"--{name}", required=True)
@@ -87,6 +93,11 @@ def datasets(spark: SparkSession, pages: DataFrame, known: dict[str, DataFrame],
         tables.write_json_lines(statistics.merged(*counts), args.statistics)
 
 
+def read_known(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Knowledge tables from the folder that the knowledge command wrote, or from one JSON document."""
+    return tables.read_knowledge_json(spark, path) if path.endswith(".json") else tables.read_knowledge(spark, path)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     logging.basicConfig(level=args.log_level, format="%(asctime)s %(levelname)s %(message)s")
@@ -103,16 +114,20 @@ def main(argv: list[str] | None = None) -> None:
             tables.write_json_lines(tables.kept(failed, work), args.errors)
         else:
             tables.write_json_lines(parse.parse(spark, job), args.output)
+    elif args.command == "fetch":
+        session.ship(spark)
+        requests = spark.read.parquet(args.requests).repartition(args.at_once)
+        endpoint.refreshed(requests, endpoint.Http(args.endpoint), args.output, size=args.page_size)
     elif args.command == "knowledge":
         built = knowledge.build(spark.read.parquet(args.triples), spark.read.parquet(args.page_map), spark.read.parquet(args.unit_config), stop_words(spark))
         tables.write_knowledge(built, args.output)
     elif args.command == "unit-frequencies":
-        known = tables.read_knowledge(spark, args.knowledge)
+        known = read_known(spark, args.knowledge)
         limits = dict(zip(args.modes, args.limits, strict=True)) if args.limits else None
         counted, _ = unit_frequencies.count(tables.read_pages(spark, args.pages), known["facts"], known["unit_conversions"], known["labels"], stop_words(spark), tuple(args.modes), limits)
         counted.write.parquet(args.output)
     else:
-        pages, known = tables.read_pages(spark, args.pages), tables.read_knowledge(spark, args.knowledge)
+        pages, known = tables.read_pages(spark, args.pages), read_known(spark, args.knowledge)
         datasets(spark, pages, known, args)
     log.info("%s: done", args.command)
 

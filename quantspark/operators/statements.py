@@ -74,7 +74,7 @@ def stop_words(spark: SparkSession) -> DataFrame:
 def clean_labels(labels: DataFrame, stop: DataFrame) -> DataFrame:
     """Labels (kind, uri, alias) without stop words and repeats."""
     word = F.lower(F.col("alias"))
-    return labels.join(F.broadcast(stop), word == F.col("word"), "left_anti").dropDuplicates(["kind", "uri", "alias"])
+    return labels.join(stop, word == F.col("word"), "left_anti").dropDuplicates(["kind", "uri", "alias"])
 
 
 def missing(requested: DataFrame, cached: DataFrame, key: str) -> DataFrame:

@@ -159,6 +159,19 @@ def open_requests(requests: DataFrame, answers: DataFrame) -> DataFrame:
     return requests.join(state.where("NOT failed"), "key", "left_anti")
 
 
+def refreshed(requests: DataFrame, ask: Callable[[str], str], path: str, **how) -> None:
+    """Ask what ``path`` has no whole answer to yet and keep it there; a key that is asked again loses its old pages.
+
+    So a run that was stopped, or met failures, is followed by one that asks the rest alone. Other arguments are those of
+    ``fetched``.
+    """
+    from quantspark.sources.tables import cut, exists
+
+    spark = requests.sparkSession
+    wanted = cut(open_requests(requests, kept_answers(spark, path))) if exists(spark, path) else requests
+    fetched(wanted, ask, **how).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("key").parquet(path)
+
+
 def stored(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Kept answers as (key, page, *names, error): a row for each binding, and one for each page that failed."""
     answers = kept_answers(spark, path)

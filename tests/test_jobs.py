@@ -195,6 +195,26 @@ def test_kept_answers(spark, served, tmp_path):
     assert endpoint.fetched(requests.limit(0), ask).collect() == []
 
 
+def test_refreshed_answers(spark, served, tmp_path):
+    path = f"file://{tmp_path}/answers"
+    requests = spark.createDataFrame([("a", "plain"), ("b", "broken"), ("c", "flaky")], "key string, query string")
+    endpoint.refreshed(requests, endpoint.Http(served), path, size=5, attempts=1)
+    assert {r.key for r in endpoint.stored(spark, path, ["item"]).collect() if r.error} == {"b", "c"}
+    _Endpoint.asked[:] = [q for q in _Endpoint.asked if q.startswith("flaky")]
+    # Each page of the flaky query fails once, so the second run tries every page twice.
+    endpoint.refreshed(requests, endpoint.Http(served), path, size=5, attempts=2, pause=0.01)
+    rows = endpoint.stored(spark, path, ["item"]).collect()
+    assert sorted(r.item for r in rows if r.key in "ac" and not r.error) == sorted(f"{n}{k}" for n in ("plain", "flaky") for k in range(12))
+    assert [r.key for r in rows if r.error] == ["b"] and not any(q.startswith("plain") for q in _Endpoint.asked)
+
+
+def test_fetch_command(spark, served, tmp_path):
+    spark.createDataFrame([("a", "plain"), ("b", "cut")], "key string, query string").write.parquet(f"file://{tmp_path}/requests")
+    cli.main(["fetch", "--requests", f"file://{tmp_path}/requests", "--output", f"file://{tmp_path}/answers", "--endpoint", served, "--page-size", "5"])
+    rows = endpoint.stored(spark, f"file://{tmp_path}/answers", ["item"]).collect()
+    assert len(rows) == 24 and not any(r.error for r in rows)
+
+
 def test_page_requests(spark):
     titles = spark.createDataFrame([("A & B",), ("Ü|x",), ("A & B",), (None,)], "title string")
     calls = endpoint.page_info_requests(titles, "de", 1).orderBy("key").collect()
