@@ -271,13 +271,16 @@ def page_info_requests(titles: DataFrame, language: str = "en", size: int = TITL
     return calls.select("key", F.concat(F.lit(start), listed).alias("query"), "titles")
 
 
-def page_mappings(titles: DataFrame, ask: Callable[[str], str] | None = None, language: str = "en", size: int = TITLES_PER_CALL, **how) -> tuple[DataFrame, DataFrame]:
-    """Page ids of ``titles`` by the page service, as ``page_info``; titles of a call that failed have its error as reason."""
+def page_mappings(titles: DataFrame, ask: Callable[[str], str] | None = None, language: str = "en", size: int = TITLES_PER_CALL, at_once: int = 4, **how) -> tuple[DataFrame, DataFrame]:
+    """Page ids of ``titles`` by the page service, as ``page_info``; titles of a call that failed have its error as reason.
+
+    ``at_once`` calls run at a time.
+    """
     from quantspark.sources.tables import cut
 
     requests = page_info_requests(titles, language, size)
     # Kept, so that both results come of one round of calls.
-    answers = cut(fetched(requests, ask or Http(parameter=None), **how))
+    answers = cut(fetched(requests.repartition(at_once), ask or Http(parameter=None), **how))
     failed = answers.where("error IS NOT NULL").join(requests, "key").select(F.explode("titles").alias("title"), F.col("error").alias("reason"))
     reached = titles.select("title").join(failed, "title", "left_anti")
     good, missing = page_info(answers.where("answer IS NOT NULL").select(F.col("answer").alias("json")), reached)
