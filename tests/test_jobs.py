@@ -349,3 +349,10 @@ def test_reasons_are_known():
     from quantspark.operators import filters
 
     assert len(set(filters.DROPPED)) == len(filters.DROPPED) and len(filters.WEAK) == 6
+
+
+def test_bounds_include_their_ends(spark, tmp_path):
+    """1.3 - 1.5 and 0.1 + 2.5 as sums of doubles miss the stated values that equal them."""
+    spark.createDataFrame([(1, 0, -0.2), (2, 0, 3.8), (3, 0, -0.21), (4, 0, 3.81)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(7, 0, 1.3)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(tuple(r) for r in catalogue.value_match_band_join(spark, str(tmp_path)).collect()) == [(1, 7, False, True), (2, 7, False, True)]
