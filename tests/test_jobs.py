@@ -356,3 +356,4 @@ def test_bounds_include_their_ends(spark, tmp_path):
     spark.createDataFrame([(1, 0, -0.2), (2, 0, 3.8), (3, 0, -0.21), (4, 0, 3.81)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(7, 0, 1.3)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     assert sorted(tuple(r) for r in catalogue.value_match_band_join(spark, str(tmp_path)).collect()) == [(1, 7, False, True), (2, 7, False, True)]
+    assert tuple(catalogue.unique_exact_value(spark, str(tmp_path)).first()) == (7, "multiple_values", 2, 2)
