@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quantspark.functions import formats, numbers, spans, text
 from quantspark.functions.convert import expanded_template
 from quantspark.operators import annotate, filters, matching, phrases
-from quantspark.plans.registry import letters, made, query, table
+from quantspark.plans.registry import dealt, letters, made, query, table
 from quantspark.session import ship
 
 # --- Numbers ---------------------------------------------------------------------------------------------------------
@@ -114,7 +114,7 @@ def number_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractions, magnitude words and grouping, among all notations of a value."""
     ship(spark)
-    part = table(spark, sf_dir, "part")
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     fraction = F.pandas_udf(lambda n: n.map(formats.fraction), "string")
     million = F.pandas_udf(lambda n: n.map(lambda x: formats.formatted(x, exponent=6, spell_magnitude=True, separator="")), "string")
     grouped = F.regexp_replace(F.format_number(F.col("p_partkey") * 1000 + 1000, 0), "", "")

@@ -190,3 +190,26 @@ def test_cut_answers_are_repaired():
     cut = whole[: whole.index('"2"') + 1]
     assert [r for r in endpoint.flat(endpoint.repair_bindings(cut), ["a"])] == [("1",)]
     assert endpoint.repair_bindings("<html>")["results"]["bindings"] == []
+
+
+DEALT = ["formatted_numbers"]
+
+
+def test_small_scans_are_dealt_out(spark, tmp_path):
+    """A small file whose rows make much work is no single task."""
+    from pyspark.sql import functions as F
+
+    from quantspark.plans import catalogue
+
+    spark.range(1000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size"), F.lit("red ring").alias("p_name"), F.lit("B").alias("p_brand")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in DEALT:
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() > 4, name
+
+
+def test_notations_vary_independently():
+    """Every separator, sign, power and magnitude word that a number allows, and none that rounding takes too far."""
+    from quantspark.functions import formats
+
+    found = formats.notations(2_500_000.0)
+    assert {"2,500,000", "+2 500 000", "2.5 million", "2,500.0×10^3", "+2 500x10^3", "2.50*10^6"} <= set(found) and "2 million" not in found and "3×10^6" not in found and len(found) == len(set(found))
+    assert not [n for n in formats.notations(-1500.0) if n.startswith("+")]
