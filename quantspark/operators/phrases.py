@@ -182,21 +182,21 @@ MAX_STATED = 60_000
 def stated_spans(texts: list[str | None], values: list[list[float] | None], strings: Callable[[float], list[str]]) -> list[list[tuple[int, int, float]]]:
     """For each text the spans in which it states one of its values as one of their ``strings``, whatever the case.
 
-    One automaton serves as many texts as have ``MAX_STATED`` strings. Of hits that overlap the longer stays, then the
+    One automaton serves as many texts as have ``MAX_STATED`` strings, of which it holds those that a text with their
+    value contains at all. Of hits that overlap the longer stays, then the
     earlier. A hit has no letter or digit right before or after it.
     """
     out: list[list[tuple[int, int, float]]] = []
     start = 0
     while start < len(texts):
         listed: dict[tuple[str, ...], set[tuple[str, float]]] = {}
-        seen: set[float] = set()
         n, end = 0, start
         while end < len(texts) and (end == start or n < MAX_STATED):
+            low = (texts[end] or "").lower()
             for value in values[end] or ():
-                if value is not None and value not in seen:
-                    seen.add(value)
-                    for s in strings(value):
-                        listed.setdefault(tuple(_PARTS.findall(s.lower())), set()).add((s.lower(), value))
+                for s in strings(value) if value is not None else ():
+                    if (s := s.lower()) in low:
+                        listed.setdefault(tuple(_PARTS.findall(s)), set()).add((s, value))
                         n += 1
             end += 1
         phrases = list(listed)

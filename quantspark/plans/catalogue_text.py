@@ -127,7 +127,7 @@ def stated_representations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a sentence states a known value in one of its representations."""
     ship(spark)
     rows = made(spark, sf_dir, "part", p_partkey="p_partkey", n="CAST(p_partkey * 7 + 1200 AS DOUBLE)", t="concat('About ', " + letters("p_partkey") + ", ' there are ', format_number(p_partkey * 7 + 1200, 0), ' wheels, not ', p_partkey * 9 + 99, '.')")
-    rows = rows.select("p_partkey", "t", F.explode(phrases.stated_values("t", F.array("n"))).alias("s"))
+    rows = dealt(rows, "p_partkey").select("p_partkey", "t", F.explode(phrases.stated_values("t", F.array("n"))).alias("s"))
     return rows.select("p_partkey", F.col("s.start").alias("start"), spans.substring(F.col("t"), F.col("s")).alias("shown"))
 
 

@@ -93,3 +93,13 @@ def test_shipped_names_are_lower_case(spark):
     stop = spark.createDataFrame([("the",)], "word string")
     found = frequency.unit_frequencies(df, ["id"], units, labels, stop).orderBy("qid")
     assert [tuple(r) for r in found.select("qid", F.col("n").cast("int")).collect()] == [("U", 1), ("V", 0)]
+
+
+def test_stated_strings_that_no_text_holds_are_left_out(monkeypatch):
+    """The automaton holds what texts contain; a value stated in another text alone is none of this one's."""
+    from quantspark.operators import phrases
+
+    sizes, whole = [], phrases.Automaton
+    monkeypatch.setattr(phrases, "Automaton", lambda p: sizes.append(len(p)) or whole(p))
+    found = phrases.stated_spans(["It has 1,200 or 12 wheels.", "Twelve of 1200.", None, "12a 112"], [[1200.0], [12.0, 1200.0, None], [5.0], [12.0]], lambda v: ["1,200", "1200", "1 200"] if v == 1200 else ["12", "Twelve", "5"])
+    assert found == [[(7, 12, 1200.0)], [(0, 6, 12.0), (10, 14, 1200.0)], [], []] and sum(sizes) <= 5
