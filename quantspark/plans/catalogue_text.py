@@ -389,15 +389,18 @@ def counted_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expanded_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A property grows over its modifiers, but not over a frequent unit; an entity over the proper nouns beside it."""
     ship(spark)
-    rows = made(spark, sf_dir, "part", p_partkey="p_partkey", t="concat('The old stone bridge of Iron ', " + letters("p_partkey") + ", ' Tower is long.')")
+    rows = dealt(made(spark, sf_dir, "part", p_partkey="p_partkey", t="concat('The old stone bridge of Iron ', " + letters("p_partkey") + ", ' Tower is long.')"), "p_partkey")
+    wanted = {"grown": ("bridge", "property", set()), "beside_unit": ("bridge", "property", {"stone"}), "name": ("Iron", "entity", set())}
 
-    def grow(word: str, tag: str, units: set[str]):
-        def run(t):
-            return t.map(lambda x: x[slice(*annotate.expanded(x, (x.index(word), x.index(word) + len(word)), tag, [], units=units))])
+    def grow(t):
+        import pandas as pd
 
-        return F.pandas_udf(run, "string")
+        # One annotation serves all phrases of a text.
+        toks = [annotate.tokens(x) for x in t]
+        run = lambda word, tag, units: [x[slice(*annotate.expanded(x, (x.index(word), x.index(word) + len(word)), tag, [], k, units))] for x, k in zip(t, toks, strict=True)]
+        return pd.DataFrame({name: run(*what) for name, what in wanted.items()})
 
-    return rows.select("p_partkey", grow("bridge", "property", set())("t").alias("grown"), grow("bridge", "property", {"stone"})("t").alias("beside_unit"), grow("Iron", "entity", set())("t").alias("name"))
+    return rows.select("p_partkey", F.pandas_udf(grow, "grown string, beside_unit string, name string")("t").alias("s")).select("p_partkey", "s.*")
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'It' WHEN 1 THEN 'the tower' END AS head_noun, CASE s_suppkey % 4 WHEN 0 THEN 'It' END AS pronoun, NULL AS none FROM supplier")

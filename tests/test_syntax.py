@@ -133,3 +133,16 @@ def test_path_decides_between_names(spark):
     df = spark.createDataFrame([(text, [dict(start=a, end=b) for a, b in names], [dict(start=46, end=54)])], "t string, s array<struct<start:int,end:int>>, m array<struct<start:int,end:int>>")
     row = df.select(filters.reduced("t", "s", "m").alias("r")).first().r
     assert row.reason == "choose_single_annotation_based_on_shortest_path" and [text[s.start : s.end] for s in row.spans] == ["tower"] and row.spans[0].start == 18
+
+
+def test_trees_of_one_shape_are_found_once(monkeypatch):
+    """Other words of the same tags and signs have the same heads; a sign elsewhere makes another tree."""
+    from quantspark.operators import syntax
+
+    runs, whole = [], syntax.projective_tree
+    monkeypatch.setattr(syntax, "projective_tree", lambda *a: runs.append(1) or whole(*a))
+    syntax._heads.cache_clear()
+    tags = ["DET", "ADJ", "NOUN", "AUX", "PUNCT", "ADJ"]
+    for words in (["the", "old", "bridge", "is", ",", "long"], ["a", "new", "tower", "was", ";", "tall"], ["a", "new", "tower", "was", "!", "tall"]):
+        assert syntax.heads_of(words, tags) == whole(*syntax.arc_scores(words, tags))
+    assert len(runs) == 2
