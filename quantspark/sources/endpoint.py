@@ -284,13 +284,14 @@ def page_mappings(titles: DataFrame, ask: Callable[[str], str] | None = None, la
     failed = answers.where("error IS NOT NULL").join(requests, "key").select(F.explode("titles").alias("title"), F.col("error").alias("reason"))
     reached = titles.select("title").join(failed, "title", "left_anti")
     good, missing = page_info(answers.where("answer IS NOT NULL").select(F.col("answer").alias("json")), reached)
-    return good, missing.unionByName(titles.select("title").join(failed, "title"))
+    return good, missing.unionByName(titles.select("title").join(failed, "title"), allowMissingColumns=True)
 
 
 def page_info(answers: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored page-info answers (json) and requested ``titles`` as (title, page_id, final) and (title, reason).
+    """Stored page-info answers (json) and requested ``titles`` as (title, page_id, final) and (title, page_id, reason).
 
-    Titles go through normalisation and redirects; a title without a page or outside the article namespace fails.
+    Titles go through normalisation and redirects; a title without a page or outside the article namespace fails. The id of
+    a page in another namespace is given as well.
     """
     from quantspark.operators.statements import final_titles
 
@@ -300,4 +301,4 @@ def page_info(answers: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFra
     found = final_titles(titles, *moves).join(pages, "final", "left")
     good = found.where("pageid IS NOT NULL AND ns = 0").select("title", F.col("pageid").alias("page_id"), "final")
     reason = F.when(F.col("pageid").isNull(), "no_page_id_for_given_title").otherwise("wrong_namespace")
-    return good, found.where("pageid IS NULL OR ns <> 0").select("title", reason.alias("reason"))
+    return good, found.where("pageid IS NULL OR ns <> 0").select("title", F.col("pageid").alias("page_id"), reason.alias("reason"))

@@ -357,3 +357,12 @@ def test_bounds_include_their_ends(spark, tmp_path):
     spark.createDataFrame([(7, 0, 1.3)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     assert sorted(tuple(r) for r in catalogue.value_match_band_join(spark, str(tmp_path)).collect()) == [(1, 7, False, True), (2, 7, False, True)]
     assert tuple(catalogue.unique_exact_value(spark, str(tmp_path)).first()) == (7, "multiple_values", 2, 2)
+
+
+def test_pages_of_other_namespaces_keep_their_ids(spark):
+    """Such a page fails, but what the service says of it isn't lost."""
+    from quantspark.sources import endpoint
+
+    answers = spark.createDataFrame([('{"query": {"pages": {"4": {"pageid": 11, "ns": 1, "title": "a"}, "5": {"ns": 0, "title": "b"}}}}',)], "json string")
+    good, failed = endpoint.page_info(answers, spark.createDataFrame([("a",), ("b",)], "title string"))
+    assert good.count() == 0 and sorted(map(tuple, failed.select("title", "page_id", "reason").collect())) == [("a", 11, "wrong_namespace"), ("b", None, "no_page_id_for_given_title")]
